@@ -154,7 +154,8 @@ def chat_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     fifth conversation is sent as a JPEG data URL of its text, of the next
     one as a PNG data URL (which the router treats as text)."""
     c = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    b64 = F.base64(F.encode("text", "UTF-8"))
+    # Unchunked base64 whatever the session's chunking setting.
+    b64 = F.regexp_replace(F.base64(F.encode("text", "UTF-8")), "[\r\n]", "")
     first_user = (F.col("role") == "user") & (F.col("turn") == 0)
     message = (F.when(first_user & (F.pmod("conv_id", F.lit(5)) == 0),
                       F.concat(F.lit(IMAGE_PREFIX), b64))
