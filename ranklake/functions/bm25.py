@@ -32,5 +32,5 @@ def quantized_length(dl) -> Column:
     x = _c(dl).cast("long")
     rest = x - 24
     shift = F.greatest(F.length(F.bin(rest)) - 4, F.lit(0))
-    return F.when(x < 24, x).otherwise(
-        F.lit(24) + F.shiftleft(F.shiftright(rest, shift), shift)).cast("long")
+    low_bits = F.pmod(rest, F.pow(F.lit(2), shift).cast("long"))
+    return F.when(x < 24, x).otherwise(F.lit(24) + rest - low_bits).cast("long")

@@ -123,9 +123,9 @@ def _pattern_hits(c: DataFrame, index: SearchIndex, bcast: bool, salts: int) ->
     ts = index.term_stats.select("index_name", "term")
     term = F.col("term")
     cond = (F.when(F.col("kind") == "prefix", term.startswith(F.col("text")))
-            .when(F.col("kind") == "wildcard", term.rlike(_wildcard_regex(F.col("text"))))
+            .when(F.col("kind") == "wildcard", F.regexp_like(term, _wildcard_regex(F.col("text"))))
             .when(F.col("kind") == "regex",
-                  term.rlike(F.concat(F.lit("^(?:"), F.col("text"), F.lit(")$"))))
+                  F.regexp_like(term, F.concat(F.lit("^(?:"), F.col("text"), F.lit(")$"))))
             .otherwise(_range_cond(term, F.col("text"), F.col("upper"), F.col("inclusive"))))
     exp = ts.join(F.broadcast(mt), "index_name", "inner").filter(cond) \
         .select(*_REQ, "clause_no", "occur", "key", "boost", "term")
@@ -145,7 +145,9 @@ def _fuzzy_hits(c: DataFrame, index: SearchIndex, bcast: bool, salts: int,
     fz = c.filter(F.col("kind") == "fuzzy")
     ts = index.term_stats.select("index_name", "term", "df")
     cs = F.broadcast(index.corpus_stats.select("index_name", "n_docs", "avgdl"))
-    ed = F.levenshtein(F.col("term"), F.col("text"), F.col("max_edits"))
+    # Threshold 2 (the largest edit distance a fuzzy term admits) lets the
+    # distance computation stop early; -1 means "more than 2".
+    ed = F.levenshtein(F.col("term"), F.col("text"), 2)
     near = (ts.join(F.broadcast(fz), "index_name", "inner")
             .filter(F.abs(F.length("term") - F.length("text")) <= F.col("max_edits"))
             .withColumn("ed", ed)

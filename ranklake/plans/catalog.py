@@ -404,3 +404,73 @@ REGISTRY = {
     "image_payload": q_image_payload,
     "caption_query": q_caption_query,
 }
+
+
+# ---- query forms -----------------------------------------------------------
+
+def _tok(i: int):
+    return F.try_element_at(F.col("toks"), F.lit(i))
+
+
+def _form_requests(c: Ctx, q) -> DataFrame:
+    """Accepted requests with ``q`` rebuilt from the benchmark item's
+    lower-cased tokens by ``q`` (a column over ``toks``)."""
+    from ranklake.functions.text import tokens
+    toks = read_table(c.spark, c.sf, "benchmark").select(
+        F.col("item_id").alias("request_id"), tokens("text").alias("toks"))
+    return c.valid.drop("q").join(toks, "request_id", "inner").withColumn("q", q).drop("toks")
+
+
+def _form_scores(spark, sf, q, kinds, quantize=False):
+    from ranklake.operators.query import clauses_from_q
+    from ranklake.operators.scoring import evaluate
+    c = Ctx(spark, sf)
+    s = evaluate(clauses_from_q(_form_requests(c, q)), c.index, quantize=quantize, kinds=kinds)
+    return s.select("request_id", "doc_id", "score")
+
+
+def q_match_bool(spark, sf):
+    q = F.concat_ws(" ", F.concat(F.lit("+"), _tok(1)), _tok(2), _tok(3),
+                    F.concat(F.lit("-"), _tok(4)))
+    return _form_scores(spark, sf, q, {"term"})
+
+
+def q_match_phrase(spark, sf):
+    q = F.concat(F.lit('"'), F.concat_ws(" ", _tok(1), _tok(2), _tok(3)), F.lit('"'))
+    return _form_scores(spark, sf, q, {"phrase"})
+
+
+def q_match_pattern(spark, sf):
+    t1, t2, t3, t4, t5 = (_tok(i) for i in range(1, 6))
+    q = F.concat_ws(" ",
+                    F.concat(t1.substr(F.lit(1), F.lit(3)), F.lit("*")),
+                    F.concat(t2.substr(F.lit(1), F.lit(1)), F.lit("?"), t2.substr(F.lit(3), F.length(t2))),
+                    F.concat(F.lit("/"), t3.substr(F.lit(1), F.lit(2)), F.lit(".*/")),
+                    F.concat(F.lit("["), t4, F.lit(" TO "), t5, F.lit("]")))
+    return _form_scores(spark, sf, q, {"prefix", "wildcard", "regex", "range"})
+
+
+def q_match_fuzzy(spark, sf):
+    q = F.concat_ws(" ", F.concat(_tok(1), F.lit("~")), F.concat(_tok(2), F.lit("~1")))
+    return _form_scores(spark, sf, q, {"fuzzy"})
+
+
+def q_boosted_terms(spark, sf):
+    q = F.concat_ws(" ", F.concat(_tok(1), F.lit("^2")), _tok(2), F.concat(_tok(3), F.lit("^0.5")))
+    return _form_scores(spark, sf, q, {"term"})
+
+
+def q_bm25_quantized(spark, sf):
+    c = Ctx(spark, sf)
+    s = bm25_search(c.valid, c.index, quantize=True)
+    return s.select("request_id", "index_name", "doc_id", "score")
+
+
+REGISTRY.update({
+    "match_bool": q_match_bool,
+    "match_phrase": q_match_phrase,
+    "match_pattern": q_match_pattern,
+    "match_fuzzy": q_match_fuzzy,
+    "boosted_terms": q_boosted_terms,
+    "bm25_quantized": q_bm25_quantized,
+})

@@ -414,3 +414,143 @@ WHERE m.role = 'user'""", ["messages", "captions"]),
 
 def oracle_sql() -> dict[str, str]:
     return {name: build(body, needs) for name, (body, needs) in ORACLE.items()}
+
+
+# ---- query forms -----------------------------------------------------------
+
+cte("ftoks", ["valid"], f"""
+SELECT v.request_id, v.index_name, regexp_extract_all(lower(b.text), '{TOKEN_RE}') AS toks
+FROM valid v JOIN benchmark b ON v.request_id = b.item_id""")
+
+IDF = "ln(1 + (c.n_docs - t.df + 0.5) / (t.df + 0.5))"
+TFN = "(p.tf / (p.tf + 1.2 * (0.25 + 0.75 * p.dl / c.avgdl)))"
+
+cte("bclauses", ["ftoks"], """
+SELECT request_id, index_name, occur, term, count(*) AS w FROM (
+  SELECT request_id, index_name, 'MUST' AS occur, toks[1] AS term FROM ftoks
+  UNION ALL SELECT request_id, index_name, 'SHOULD', toks[2] FROM ftoks
+  UNION ALL SELECT request_id, index_name, 'SHOULD', toks[3] FROM ftoks
+  UNION ALL SELECT request_id, index_name, 'MUST_NOT', toks[4] FROM ftoks)
+WHERE term IS NOT NULL GROUP BY request_id, index_name, occur, term""")
+
+cte("bscores", ["bclauses", "term_stats", "corpus_stats", "postings"], f"""
+SELECT h.request_id, h.doc_id,
+       round(sum(CASE WHEN h.occur <> 'MUST_NOT' THEN h.contrib END), 6) AS score
+FROM (SELECT q.request_id, p.doc_id, q.occur, q.w * {IDF} * {TFN} AS contrib
+      FROM bclauses q JOIN term_stats t ON q.index_name = t.index_name AND q.term = t.term
+      JOIN corpus_stats c ON q.index_name = c.index_name
+      JOIN postings p ON q.index_name = p.index_name AND q.term = p.term) h
+JOIN (SELECT request_id, count(*) FILTER (WHERE occur = 'MUST') AS n_must FROM bclauses GROUP BY request_id) n
+  ON h.request_id = n.request_id
+GROUP BY h.request_id, h.doc_id, n.n_must
+HAVING count(*) FILTER (WHERE h.occur = 'MUST') = n.n_must
+   AND count(*) FILTER (WHERE h.occur = 'MUST_NOT') = 0
+   AND count(*) FILTER (WHERE h.occur <> 'MUST_NOT') > 0""")
+
+cte("pscores", ["ftoks", "tok", "term_stats", "corpus_stats", "doc_len"], """
+SELECT s.request_id, s.doc_id,
+       round((i1.idf + i2.idf + i3.idf) * s.freq / (s.freq + 1.2 * (0.25 + 0.75 * dl.dl / c.avgdl)), 6) AS score
+FROM (SELECT f.request_id, f.index_name, a.doc_id, count(*) AS freq
+      FROM ftoks f
+      JOIN tok a ON a.index_name = f.index_name AND a.term = f.toks[1]
+      JOIN tok b ON b.index_name = f.index_name AND b.doc_id = a.doc_id AND b.term = f.toks[2] AND b.pos = a.pos + 1
+      JOIN tok d ON d.index_name = f.index_name AND d.doc_id = a.doc_id AND d.term = f.toks[3] AND d.pos = a.pos + 2
+      GROUP BY f.request_id, f.index_name, a.doc_id) s
+JOIN ftoks f ON f.request_id = s.request_id
+JOIN corpus_stats c ON c.index_name = s.index_name
+JOIN doc_len dl ON dl.index_name = s.index_name AND dl.doc_id = s.doc_id
+JOIN (SELECT t.index_name, t.term, ln(1 + (c.n_docs - t.df + 0.5) / (t.df + 0.5)) AS idf
+      FROM term_stats t JOIN corpus_stats c ON t.index_name = c.index_name) i1
+  ON i1.index_name = s.index_name AND i1.term = f.toks[1]
+JOIN (SELECT t.index_name, t.term, ln(1 + (c.n_docs - t.df + 0.5) / (t.df + 0.5)) AS idf
+      FROM term_stats t JOIN corpus_stats c ON t.index_name = c.index_name) i2
+  ON i2.index_name = s.index_name AND i2.term = f.toks[2]
+JOIN (SELECT t.index_name, t.term, ln(1 + (c.n_docs - t.df + 0.5) / (t.df + 0.5)) AS idf
+      FROM term_stats t JOIN corpus_stats c ON t.index_name = c.index_name) i3
+  ON i3.index_name = s.index_name AND i3.term = f.toks[3]""")
+
+cte("patscores", ["ftoks", "term_stats", "postings"], """
+SELECT request_id, doc_id, round(CAST(count(DISTINCT clause) AS DOUBLE), 6) AS score FROM (
+  SELECT f.request_id, p.doc_id, e.clause
+  FROM ftoks f
+  JOIN (SELECT f2.request_id, 1 AS clause, t.index_name, t.term FROM ftoks f2 JOIN term_stats t
+          ON t.index_name = f2.index_name AND prefix(t.term, substr(f2.toks[1], 1, 3))
+        UNION ALL
+        SELECT f2.request_id, 2, t.index_name, t.term FROM ftoks f2 JOIN term_stats t
+          ON t.index_name = f2.index_name AND length(t.term) = greatest(length(f2.toks[2]), 2)
+         AND substr(t.term, 1, 1) = substr(f2.toks[2], 1, 1) AND substr(t.term, 3) = substr(f2.toks[2], 3)
+        UNION ALL
+        SELECT f2.request_id, 3, t.index_name, t.term FROM ftoks f2 JOIN term_stats t
+          ON t.index_name = f2.index_name AND prefix(t.term, substr(f2.toks[3], 1, 2))
+        UNION ALL
+        SELECT f2.request_id, 4, t.index_name, t.term FROM ftoks f2 JOIN term_stats t
+          ON t.index_name = f2.index_name AND t.term >= f2.toks[4] AND t.term <= f2.toks[5]) e
+    ON e.request_id = f.request_id
+  JOIN postings p ON p.index_name = e.index_name AND p.term = e.term)
+GROUP BY request_id, doc_id""")
+
+# DuckDB's levenshtein counts bytes, Spark's counts characters: the few
+# non-ASCII characters of the vocabulary are mapped one to one onto ASCII
+# symbols that never occur in a lower-cased token before comparing.
+cte("charmap", ["term_stats", "ftoks"], """
+SELECT string_agg(ch, '' ORDER BY ch) AS src,
+       string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ!#$%&()*+,-./:;<=>?@[]^{|}~', CAST(rn AS INTEGER), 1), ''
+                  ORDER BY ch) AS dst
+FROM (SELECT ch, row_number() OVER (ORDER BY ch) AS rn FROM (
+        SELECT DISTINCT unnest(string_split(term, '')) AS ch FROM term_stats
+        UNION SELECT DISTINCT unnest(string_split(array_to_string(toks, ''), '')) FROM ftoks)
+      WHERE unicode(ch) > 127)""")
+
+cte("fzscores", ["ftoks", "term_stats", "corpus_stats", "postings", "charmap"], """
+SELECT x.request_id, p.doc_id,
+       round(sum(x.sim * ln(1 + (c.n_docs - x.df_blend + 0.5) / (x.df_blend + 0.5))
+                 * (p.tf / (p.tf + 1.2 * (0.25 + 0.75 * p.dl / c.avgdl)))), 6) AS score
+FROM (SELECT *, max(df) OVER (PARTITION BY request_id, clause) AS df_blend FROM (
+        SELECT *, row_number() OVER (PARTITION BY request_id, clause ORDER BY sim DESC, term) AS r FROM (
+          SELECT q.request_id, q.index_name, q.clause, t.term, t.df,
+                 1.0 - levenshtein(translate(t.term, m.src, m.dst), translate(q.qterm, m.src, m.dst))
+                       / least(length(t.term), length(q.qterm)) AS sim
+          FROM (SELECT request_id, index_name, 1 AS clause, toks[1] AS qterm, 2 AS k FROM ftoks
+                UNION ALL SELECT request_id, index_name, 2, toks[2], 1 FROM ftoks) q
+          JOIN term_stats t ON t.index_name = q.index_name
+           AND abs(length(t.term) - length(q.qterm)) <= q.k
+          CROSS JOIN charmap m
+          WHERE levenshtein(translate(t.term, m.src, m.dst), translate(q.qterm, m.src, m.dst)) <= q.k)
+        WHERE sim > 0)
+      WHERE r <= 50) x
+JOIN corpus_stats c ON c.index_name = x.index_name
+JOIN postings p ON p.index_name = x.index_name AND p.term = x.term
+GROUP BY x.request_id, p.doc_id""")
+
+cte("boostscores", ["ftoks", "term_stats", "corpus_stats", "postings"], f"""
+SELECT q.request_id, p.doc_id, round(sum(q.w * {IDF} * {TFN}), 6) AS score
+FROM (SELECT request_id, index_name, term, sum(w) AS w FROM (
+        SELECT request_id, index_name, toks[1] AS term, 2.0 AS w FROM ftoks
+        UNION ALL SELECT request_id, index_name, toks[2], 1.0 FROM ftoks
+        UNION ALL SELECT request_id, index_name, toks[3], 0.5 FROM ftoks)
+      GROUP BY request_id, index_name, term) q
+JOIN term_stats t ON q.index_name = t.index_name AND q.term = t.term
+JOIN corpus_stats c ON q.index_name = c.index_name
+JOIN postings p ON q.index_name = p.index_name AND q.term = p.term
+GROUP BY q.request_id, p.doc_id""")
+
+QDL = ("CASE WHEN p.dl < 24 THEN p.dl ELSE 24 + (((p.dl - 24) >> greatest(length(bin(p.dl - 24)) - 4, 0)) "
+       "<< greatest(length(bin(p.dl - 24)) - 4, 0)) END")
+
+cte("qscores", ["qt", "term_stats", "corpus_stats", "postings"], f"""
+SELECT q.request_id, q.index_name, p.doc_id,
+       round(sum(q.qtf * {IDF} * (p.tf / (p.tf + 1.2 * (0.25 + 0.75 * ({QDL}) / c.avgdl)))), 6) AS score
+FROM qt q
+JOIN term_stats t ON q.index_name = t.index_name AND q.term = t.term
+JOIN corpus_stats c ON q.index_name = c.index_name
+JOIN postings p ON q.index_name = p.index_name AND q.term = p.term
+GROUP BY q.request_id, q.index_name, p.doc_id""")
+
+ORACLE.update({
+    "match_bool": ("SELECT request_id, doc_id, score FROM bscores", ["bscores"]),
+    "match_phrase": ("SELECT request_id, doc_id, score FROM pscores", ["pscores"]),
+    "match_pattern": ("SELECT request_id, doc_id, score FROM patscores", ["patscores"]),
+    "match_fuzzy": ("SELECT request_id, doc_id, score FROM fzscores", ["fzscores"]),
+    "boosted_terms": ("SELECT request_id, doc_id, score FROM boostscores", ["boostscores"]),
+    "bm25_quantized": ("SELECT request_id, index_name, doc_id, score FROM qscores", ["qscores"]),
+})
