@@ -474,3 +474,62 @@ REGISTRY.update({
     "boosted_terms": q_boosted_terms,
     "bm25_quantized": q_bm25_quantized,
 })
+
+
+# ---- streaming ---------------------------------------------------------------
+
+def _chat_cfg():
+    from ranklake.streaming.chat_stream import ChatConfig
+    return ChatConfig(index=fx.INDEX_UUID)
+
+
+def _chat_files(spark, sf) -> str:
+    """The chat messages as JSON lines in a fresh folder of the shared
+    checkpoint dir (the stream's source)."""
+    from ranklake.session import scratch_path
+    path = scratch_path(spark, "chat-in")
+    fx.chat_json(spark, sf).write.mode("overwrite").text(path)
+    return path
+
+
+def q_stream_transcript(spark, sf):
+    from ranklake.streaming.chat_stream import transcript_batch
+    c = Ctx(spark, sf)
+    t = transcript_batch(fx.chat_messages(spark, sf), c.index, c.meta, _chat_cfg(),
+                         fx.captions(spark, sf), fx.answers(spark, sf))
+    return t.select("message_id", *_long("seq"), "username", "text")
+
+
+def q_stream_search(spark, sf):
+    from ranklake.session import scratch_path
+    from ranklake.streaming.chat_stream import chat_source, stream_search
+    c = Ctx(spark, sf)
+    sink = scratch_path(spark, "chat-out")
+    q = stream_search(chat_source(spark, _chat_files(spark, sf)), c.index, c.meta, _chat_cfg(),
+                      fx.captions(spark, sf), fx.answers(spark, sf), sink)
+    q.awaitTermination()
+    return spark.read.parquet(sink).select("message_id", *_long("seq"), "username", "text")
+
+
+def q_stream_memory(spark, sf):
+    """Final streamed memory per conversation (k = 5)."""
+    from pyspark.sql import Window
+    from ranklake.session import scratch_path
+    from ranklake.streaming.chat_stream import chat_source, stream_memory
+    sink = scratch_path(spark, "memory-out")
+    mem = stream_memory(chat_source(spark, _chat_files(spark, sf)))
+    q = (mem.writeStream.format("parquet").option("path", sink)
+         .option("checkpointLocation", scratch_path(spark, "memory-ckpt"))
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    out = spark.read.parquet(sink)
+    last = F.max("emit").over(Window.partitionBy("conv_id"))
+    return (out.withColumn("_last", last).filter(F.col("emit") == F.col("_last"))
+            .select("conv_id", "turn", "role"))
+
+
+REGISTRY.update({
+    "stream_transcript": q_stream_transcript,
+    "stream_search": q_stream_search,
+    "stream_memory": q_stream_memory,
+})

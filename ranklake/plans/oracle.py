@@ -547,6 +547,9 @@ JOIN postings p ON q.index_name = p.index_name AND q.term = p.term
 GROUP BY q.request_id, q.index_name, p.doc_id""")
 
 ORACLE.update({
+    "stream_memory": ("""
+SELECT conv_id, turn, role FROM conversations WHERE role IN ('user', 'assistant')
+QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 10""", []),
     "match_bool": ("SELECT request_id, doc_id, score FROM bscores", ["bscores"]),
     "match_phrase": ("SELECT request_id, doc_id, score FROM pscores", ["pscores"]),
     "match_pattern": ("SELECT request_id, doc_id, score FROM patscores", ["patscores"]),

@@ -186,3 +186,14 @@ def captions(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.lower(F.array_join(F.slice(
                         F.regexp_extract_all("text", F.lit(TOKEN_PATTERN), 0), 1, 3), " "))
                     .alias("caption")))
+
+
+def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(message_id, answer): stands in for the language model; the answer to
+    a user message is the assistant text of the next turn."""
+    c = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    a = c.filter(F.col("role") == "assistant").select(
+        "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
+    u = c.filter(F.col("role") == "user").select("conv_id", "turn")
+    return u.join(a, ["conv_id", "turn"], "inner").select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("message_id"), "answer")
