@@ -63,4 +63,4 @@ BROADCAST_MAX_ROWS = 1_000_000
 # tasks.
 TERM_SALTS = 32
 # Directory buckets of the stored postings (hash of the term).
-TERM_BUCKETS = 64
+TERM_BUCKETS = 16

@@ -84,7 +84,8 @@ def chunk_text(col, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> Col
 def explode_chunks(df: DataFrame, text_col: str, keep: list[str],
                    size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
     """One row per chunk: ``keep`` columns, ``chunk_no`` (0-based), ``chunk``."""
-    return df.select(*keep, F.posexplode(chunk_text(text_col, size, overlap))
+    from ranklake.operators.partitioning import spread
+    return spread(df).select(*keep, F.posexplode(chunk_text(text_col, size, overlap))
                      .alias("chunk_no", "chunk"))
 
 

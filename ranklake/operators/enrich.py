@@ -24,6 +24,8 @@ from ranklake.operators.scoring import topk_hits
 
 META_COLUMNS = ["index_name", "id", "url", "title", "plain_text", "language",
                 "warc_date", "file_pos"]
+# file_pos of the single empty record row of an index without metadata.
+BARE_POS = -1
 RESULT_COLUMNS = ["url", "id", "title", "textSnippet", "language", "warcDate", "wordCount"]
 
 
@@ -67,17 +69,20 @@ def url_join(hits: DataFrame, meta: DataFrame, key_col: str = "doc_key",
     The metadata side is exploded to its (at most three) matching keys and
     equi-joined: a sort-merge or broadcast join instead of the cartesian
     product the OR condition would plan."""
-    keyed = meta.select("*", F.explode(url_match_keys(url_col)).alias("_mkey"))
-    return (hits.join(keyed, (hits["index_name"] == keyed["index_name"])
-                      & (hits[key_col] == keyed["_mkey"]), "inner")
-            .drop(keyed["index_name"]).drop("_mkey"))
+    keyed = meta.select(*[c for c in meta.columns if c != "index_name"],
+                        F.col("index_name").alias("_m_index"),
+                        F.explode(url_match_keys(url_col)).alias("_mkey"))
+    return (hits.join(keyed, (F.col("index_name") == F.col("_m_index"))
+                      & (F.col(key_col) == F.col("_mkey")), "inner")
+            .drop("_m_index", "_mkey"))
 
 
 def uuid_join(hits: DataFrame, meta_by_id: DataFrame, key_col: str = "doc_key") -> DataFrame:
     """Hit key -> the record with that id (deduplicated metadata)."""
-    return (hits.join(meta_by_id, (hits["index_name"] == meta_by_id["index_name"])
-                      & (hits[key_col] == meta_by_id["id"]), "inner")
-            .drop(meta_by_id["index_name"]))
+    m = meta_by_id.withColumnRenamed("index_name", "_m_index")
+    return (hits.join(m, (F.col("index_name") == F.col("_m_index"))
+                      & (F.col(key_col) == F.col("id")), "inner")
+            .drop("_m_index"))
 
 
 def enrich_hits(hits: DataFrame, meta: DataFrame, key_col: str = "doc_key") -> DataFrame:
@@ -116,25 +121,42 @@ def result_fields(df: DataFrame, url_col: str = "out_url") -> list:
             word_count("plain_text").alias("wordCount")]
 
 
-def doc_meta(doc_stats: DataFrame, meta: DataFrame) -> DataFrame:
-    """Query-independent mapping of indexed documents to metadata records:
-    (index_name, doc_id, file_pos, language, mode). Built once per index."""
-    return (enrich_hits(doc_stats.select("index_name", "doc_id", "doc_key"),
-                        meta.select("index_name", "id", "url", "language", "file_pos",
-                                    "title", "plain_text", "warc_date"))
-            .select("index_name", "doc_id", "file_pos", "language", "mode"))
+def doc_meta(doc_stats: DataFrame, meta: DataFrame | None) -> DataFrame:
+    """Query-independent mapping of indexed documents to result rows:
+    (index_name, doc_id, file_pos, language, mode, out_url). Indexes with
+    metadata map through the URL or id lookup (``mode`` url / uuid);
+    indexes without metadata get one ``bare`` row per document (URL only,
+    no language filter, no re-rank). Built once per index and storable."""
+    docs = doc_stats.select("index_name", "doc_id", "doc_key")
+    bare = docs
+    parts = []
+    if meta is not None:
+        names = F.broadcast(meta.select("index_name").distinct())
+        mapped = enrich_hits(docs.join(names, "index_name", "left_semi"),
+                             meta.select("index_name", "id", "url", "language", "file_pos"))
+        parts.append(mapped.select("index_name", "doc_id", "file_pos", "language", "mode",
+                                   "out_url"))
+        bare = docs.join(names, "index_name", "left_anti")
+    parts.append(bare.select("index_name", "doc_id", F.lit(BARE_POS).cast("long").alias("file_pos"),
+                             F.lit(None).cast("string").alias("language"),
+                             F.lit("bare").alias("mode"), F.col("doc_key").alias("out_url")))
+    out = parts[0]
+    for p_ in parts[1:]:
+        out = out.unionByName(p_)
+    return out
 
 
 def filtered_topk(scores: DataFrame, requests: DataFrame, mapping: DataFrame,
                   max_limit: int, n_requests: int) -> DataFrame:
-    """Fill-to-limit: hits without metadata or failing the request's
+    """Fill-to-limit: hits without a result row or failing the request's
     language filter do not use up the limit. Join and filter first, then
     rank by (score desc, doc_id, record file order) and keep ``limit``
-    rows per request. ``requests`` carries (request_id, lang)."""
+    rows per request. ``requests`` carries (request_id, lang); ``bare``
+    rows (index without metadata) pass unfiltered."""
     langs = requests.select("request_id", "lang")
     if n_requests <= BROADCAST_MAX_ROWS:
         langs = F.broadcast(langs)
     j = (scores.join(langs, "request_id", "inner")
          .join(mapping, ["index_name", "doc_id"], "inner"))
-    j = j.filter(lang_filter_cond("lang", "language"))
+    j = j.filter((F.col("mode") == "bare") | lang_filter_cond("lang", "language"))
     return topk_hits(j, max_limit, extra_order=[F.col("file_pos")])

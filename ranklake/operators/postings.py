@@ -24,28 +24,63 @@ from pyspark.sql import functions as F
 
 from ranklake.config import TERM_BUCKETS
 from ranklake.functions.text import tokens
+from ranklake.operators.partitioning import spread
 
 
 def term_bucket(term_col, buckets: int = TERM_BUCKETS):
     return F.pmod(F.xxhash64(term_col), F.lit(buckets)).cast("int")
 
 
+def _sorted_pairs(toks):
+    """(term, position) pairs of a token array, sorted by term then position."""
+    return F.array_sort(F.transform(toks, lambda x, i: F.struct(x.alias("term"), i.alias("pos"))))
+
+
+def _run_starts(pairs):
+    """1-based indexes where a new term starts in the sorted pairs."""
+    def term_at(i):
+        return F.element_at(pairs, i).getField("term")
+    return F.filter(F.sequence(F.lit(1), F.size(pairs)),
+                    lambda i: (i == 1) | (term_at(i) != term_at(F.greatest(i - 1, F.lit(1)))))
+
+
+def _runs(pairs, starts):
+    """One ``struct(term, tf, positions)`` per run of equal terms."""
+    n = F.size(pairs)
+
+    def run(a, k):
+        b = F.when(k + 1 < F.size(starts), F.element_at(starts, k + 2) - 1).otherwise(n)
+        return F.struct(F.element_at(pairs, a).getField("term").alias("term"),
+                        (b - a + 1).alias("tf"),
+                        F.transform(F.slice(pairs, a, b - a + 1),
+                                    lambda x: x.getField("pos")).alias("positions"))
+
+    empty = F.array().cast("array<struct<term:string,tf:int,positions:array<int>>>")
+    return F.when(n > 0, F.transform(starts, run)).otherwise(empty)
+
+
 def build_postings(corpus: DataFrame, text_col: str = "text") -> DataFrame:
     """corpus(index_name, doc_id, text) -> postings.
 
-    The tokens of a document are in one row, so the partial aggregation on the
-    map side already folds them to one row per (term, doc): the shuffle
-    carries postings, not tokens."""
-    toks = (corpus
+    A document is one row, so its postings are computed inside the row and
+    exploded: sort the (term, position) pairs, find where the term changes,
+    slice out each run. Building the postings is a map-only step; the only
+    shuffle is the one that lays the stored index out by term
+    (``SearchIndex.save``). Each step reads the previous one's column: an
+    expression referenced inside a lambda would be evaluated once per
+    element, a column once per row."""
+    docs = (spread(corpus.select("index_name", "doc_id", text_col))
             .select("index_name", "doc_id", tokens(text_col).alias("toks"))
-            .select("index_name", "doc_id", F.size("toks").alias("dl"),
-                    F.posexplode("toks").alias("pos", "term")))
-    return (toks.groupBy("index_name", "term", "doc_id", "dl")
-            .agg(F.count(F.lit(1)).alias("tf"),
-                 F.sort_array(F.collect_list("pos")).alias("positions"))
-            .select("index_name", "term", "doc_id",
-                    F.col("tf").cast("long").alias("tf"),
-                    F.col("dl").cast("long").alias("dl"), "positions"))
+            .select("index_name", "doc_id", F.size("toks").cast("long").alias("dl"),
+                    _sorted_pairs(F.col("toks")).alias("pairs"))
+            .select("index_name", "doc_id", "dl", "pairs",
+                    F.when(F.size("pairs") > 0, _run_starts(F.col("pairs")))
+                    .otherwise(F.array().cast("array<int>")).alias("starts")))
+    return (docs.select("index_name", "doc_id", "dl",
+                        F.explode(_runs(F.col("pairs"), F.col("starts"))).alias("p"))
+            .select("index_name", F.col("p.term").alias("term"), "doc_id",
+                    F.col("p.tf").cast("long").alias("tf"), "dl",
+                    F.col("p.positions").alias("positions")))
 
 
 def doc_lengths(postings: DataFrame) -> DataFrame:

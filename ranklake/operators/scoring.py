@@ -171,14 +171,19 @@ def _fuzzy_hits(c: DataFrame, index: SearchIndex, bcast: bool, salts: int,
 def evaluate(clauses: DataFrame, index: SearchIndex, quantize: bool = False,
              kinds: set[str] | None = None, max_rows: int = BROADCAST_MAX_ROWS,
              salts: int = TERM_SALTS,
-             max_expansions: int = FUZZY_MAX_EXPANSIONS) -> DataFrame:
+             max_expansions: int = FUZZY_MAX_EXPANSIONS,
+             n_clauses: int | None = None) -> DataFrame:
     """clauses -> scores(request_id, index_name, limit, doc_id, score).
 
     ``kinds`` lists the clause kinds present (default: all); naming only the
-    ones used keeps the plan small."""
+    ones used keeps the plan small. ``n_clauses``, when the caller knows a
+    bound on the clause rows, saves the counting job."""
     c = _with_must_count(clauses)
     kinds = kinds or {"term", "phrase", "prefix", "wildcard", "regex", "range", "fuzzy"}
-    _, bcast = bounded_broadcast(c.select("request_id"), max_rows)
+    if n_clauses is None:
+        _, bcast = bounded_broadcast(c.select("request_id"), max_rows)
+    else:
+        bcast = n_clauses <= max_rows
     parts = []
     if "term" in kinds:
         parts.append(_term_hits(c, index, bcast, salts, quantize))
@@ -215,6 +220,14 @@ def request_bounds(requests: DataFrame) -> tuple[int, int]:
     return int(row["n"] or 0), int(row["m"] or 0)
 
 
+def request_sizes(requests: DataFrame) -> tuple[int, int, int]:
+    """(requests, largest limit, analysed query tokens) in one aggregate;
+    the token count bounds the plain clause table."""
+    row = requests.agg(F.count(F.lit(1)).alias("n"), F.max("limit").alias("m"),
+                       F.sum(F.size(tokens("q"))).alias("t")).first()
+    return int(row["n"] or 0), int(row["m"] or 0), int(row["t"] or 0)
+
+
 def topk_hits(scores: DataFrame, max_limit: int, extra_order: list | None = None,
               limit_col: str = "limit") -> DataFrame:
     """Best ``limit`` rows per request by (score desc, doc_id[, extra]).

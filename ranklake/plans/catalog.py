@@ -44,14 +44,18 @@ class Ctx:
     def corpus(self) -> DataFrame:
         return fx.corpus(self.spark, self.sf)
 
+    @cached_property
+    def store(self):
+        from ranklake.plans.store import store_for
+        return store_for(self.spark, self.sf)
+
     @cached_property
     def index(self) -> SearchIndex:
-        return SearchIndex.build(self.corpus)
+        return self.store.index
 
     @cached_property
     def meta(self) -> DataFrame:
-        return canonical_schema_a(fx.metadata_a(self.spark, self.sf), fx.INDEX_UUID).unionByName(
-            canonical_schema_b(fx.metadata_b(self.spark, self.sf), fx.INDEX_URL))
+        return self.store.meta
 
     @cached_property
     def reqs(self) -> DataFrame:
@@ -75,11 +79,12 @@ class Ctx:
 
     @cached_property
     def mapping(self) -> DataFrame:
-        return doc_meta(self.index.doc_stats, self.meta)
+        return self.store.mapping
 
     @cached_property
     def search(self):
-        return search(fx.requests(self.spark, self.sf), self.index, self.meta, DEFAULT_INDEX)
+        return search(fx.requests(self.spark, self.sf), self.index, self.meta, DEFAULT_INDEX,
+                      mapping=self.mapping)
 
     @cached_property
     def retrieved(self) -> DataFrame:
@@ -99,7 +104,10 @@ def _long(*names):
 
 
 def q_metadata_scan(spark, sf):
-    return Ctx(spark, sf).meta
+    """Canonical metadata straight from the two schema groups (not the
+    stored copy)."""
+    return canonical_schema_a(fx.metadata_a(spark, sf), fx.INDEX_UUID).unionByName(
+        canonical_schema_b(fx.metadata_b(spark, sf), fx.INDEX_URL))
 
 
 def q_metadata_by_id(spark, sf):
@@ -111,7 +119,8 @@ def q_index_registry(spark, sf):
 
 
 def q_build_postings(spark, sf):
-    p = Ctx(spark, sf).index.postings
+    """The postings built from the corpus in this query (not the stored copy)."""
+    p = SearchIndex.build(fx.corpus(spark, sf)).postings
     return p.select("index_name", "term", "doc_id", "tf", "dl",
                     F.array_join(F.transform("positions", lambda x: x.cast("string")), ",")
                     .alias("positions"))
@@ -123,7 +132,7 @@ def q_corpus_stats(spark, sf):
 
 
 def q_term_stats(spark, sf):
-    return Ctx(spark, sf).index.term_stats
+    return Ctx(spark, sf).index.term_stats.select("index_name", "term", "df")
 
 
 def q_requests_with_defaults(spark, sf):

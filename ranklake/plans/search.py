@@ -17,13 +17,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ranklake.config import BROADCAST_MAX_ROWS, DEFAULT_LIMIT, RANKING_ASC, RANKING_DESC
-from ranklake.operators.enrich import (RESULT_COLUMNS, doc_meta, filtered_topk,
+from ranklake.operators.enrich import (BARE_POS, RESULT_COLUMNS, doc_meta, filtered_topk,
                                        result_fields)
 from ranklake.operators.postings import SearchIndex, index_registry
 from ranklake.operators.query import plain_clauses
 from ranklake.operators.requests import (rejected_requests, requests_with_defaults,
                                          valid_requests, validate_requests)
-from ranklake.operators.scoring import evaluate, request_bounds, topk_hits
+from ranklake.operators.scoring import evaluate, request_sizes
 
 
 def _bounded(df: DataFrame, n_rows: int) -> DataFrame:
@@ -31,13 +31,17 @@ def _bounded(df: DataFrame, n_rows: int) -> DataFrame:
 
 
 def rerank_word_count(rows: DataFrame, ranking_col: str = "ranking",
-                      rank_col: str = "rank", wc_col: str = "wordCount") -> DataFrame:
+                      rank_col: str = "rank", wc_col: str = "wordCount",
+                      mode_col: str | None = None) -> DataFrame:
     """``asc`` / ``desc`` (any case) re-orders a request's rows by word
-    count, stable on the relevance rank; other values keep relevance order.
+    count, stable on the relevance rank; other values keep relevance order,
+    and so do rows of an index without metadata (``mode = 'bare'``).
     One window per request over at most ``limit`` rows."""
     r = F.lower(F.col(ranking_col))
     key = (F.when(r == RANKING_ASC, F.col(wc_col))
            .when(r == RANKING_DESC, -F.col(wc_col)).otherwise(F.lit(0)))
+    if mode_col is not None:
+        key = F.when(F.col(mode_col) == "bare", F.lit(0)).otherwise(key)
     w = Window.partitionBy("request_id").orderBy(key, F.col(rank_col))
     return rows.withColumn(rank_col, F.row_number().over(w))
 
@@ -56,55 +60,44 @@ def search(requests: DataFrame, index: SearchIndex, metadata: DataFrame | None,
            mapping: DataFrame | None = None) -> SearchOutput:
     """Answer every request of ``requests(request_id, q, index, lang,
     ranking, limit)``. ``metadata`` is canonical metadata (or None);
-    ``mapping`` may pass a stored ``doc_meta`` table."""
+    ``mapping`` may pass the stored ``doc_meta`` table of the index.
+
+    Scoring runs once for all indexes: documents of indexes without
+    metadata reach the top-k through ``bare`` mapping rows."""
     reqs = requests_with_defaults(requests, default_index, default_limit)
     validated = validate_requests(reqs, index_registry(index))
     valid = valid_requests(validated)
-    n_req, max_lim = request_bounds(valid)
+    n_req, max_lim, n_tok = request_sizes(valid)
+    n_clauses = None
     if kinds is None and clauses_fn is plain_clauses:
-        kinds = {"term"}
-    scores = evaluate(clauses_fn(valid), index, quantize=quantize, kinds=kinds)
-    req_cols = valid.select("request_id", "lang", "ranking")
-    req_side = _bounded(req_cols, n_req)
+        kinds, n_clauses = {"term"}, n_tok
+    scores = evaluate(clauses_fn(valid), index, quantize=quantize, kinds=kinds,
+                      n_clauses=n_clauses)
+    if mapping is None:
+        mapping = doc_meta(index.doc_stats, metadata)
+    ranked = filtered_topk(scores, valid, mapping, max_lim, n_req)
     top_bound = max(n_req * max(max_lim, 1), 1)
-
-    parts = []
+    top = _bounded(ranked.select("request_id", "index_name", "file_pos", "mode", "out_url",
+                                 "rank"), top_bound)
+    # Result records: the metadata plus one empty record per index without
+    # metadata (file_pos -1, matched by its ``bare`` rows), so one inner
+    # join with the broadcast top-k serves both kinds of index.
+    names = index_registry(index)
+    cols = ("id", "title", "plain_text", "language", "warc_date")
+    if metadata is not None:
+        names = names.join(F.broadcast(metadata.select("index_name").distinct()),
+                           "index_name", "left_anti")
+    records = names.select("index_name", F.lit(BARE_POS).cast("long").alias("file_pos"),
+                           *[F.lit(None).cast("string").alias(c) for c in cols])
     if metadata is not None:
-        meta_names = F.broadcast(metadata.select("index_name").distinct())
-        if mapping is None:
-            mapping = doc_meta(index.doc_stats, metadata)
-        s_meta = scores.join(meta_names, "index_name", "left_semi")
-        ranked = filtered_topk(s_meta, valid, mapping, max_lim, n_req)
-        records = metadata.select("index_name", "file_pos", "id", F.col("url").alias("meta_url"),
-                                  "title", "plain_text", "language", "warc_date")
-        keys = index.doc_stats.select("index_name", "doc_id", "doc_key")
-        top = _bounded(ranked.select("request_id", "index_name", "doc_id", "file_pos",
-                                     "mode", "rank"), top_bound)
-        rows = (records.join(top, ["index_name", "file_pos"], "inner")
-                .join(keys, ["index_name", "doc_id"], "inner")
-                .withColumn("out_url", F.when(F.col("mode") == "url", F.col("doc_key"))
-                            .otherwise(F.col("meta_url"))))
-        rows = rows.select("request_id", "rank", *result_fields(rows))
-        if rerank:
-            rows = rerank_word_count(rows.join(req_side, "request_id", "inner")).drop(
-                "lang", "ranking")
-        parts.append(rows.select("request_id", "rank", *RESULT_COLUMNS))
-        bare = scores.join(meta_names, "index_name", "left_anti")
-    else:
-        bare = scores
-    # Indexes without metadata: URL only, no filter, no re-rank.
-    top = _bounded(topk_hits(bare, max_lim).select("request_id", "index_name", "doc_id", "rank"),
-                   top_bound)
-    keys = index.doc_stats.select("index_name", "doc_id", "doc_key")
-    url_only = keys.join(top, ["index_name", "doc_id"], "inner").select(
-        "request_id", "rank", F.col("doc_key").alias("url"),
-        *[F.lit(None).cast(t).alias(c) for c, t in
-          [("id", "string"), ("title", "string"), ("textSnippet", "string"),
-           ("language", "string"), ("warcDate", "string"), ("wordCount", "int")]])
-    parts.append(url_only)
-    results = parts[0]
-    for p in parts[1:]:
-        results = results.unionByName(p)
+        records = metadata.select("index_name", "file_pos", *cols).unionByName(records)
+    rows = records.join(top, ["index_name", "file_pos"], "inner")
+    rows = rows.select("request_id", "rank", "mode", *result_fields(rows))
+    if rerank:
+        req_side = _bounded(valid.select("request_id", "ranking"), n_req)
+        rows = rerank_word_count(rows.join(req_side, "request_id", "inner"),
+                                 mode_col="mode").drop("ranking")
+    results = rows.select("request_id", "rank", *RESULT_COLUMNS)
     return SearchOutput(results, rejected_requests(validated), valid)
 
 
