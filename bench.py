@@ -23,9 +23,8 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from pyspark.sql import functions as F  # noqa: E402
 
 from ranklake.operators import chain  # noqa: E402
-from ranklake.operators.enrich import (canonical_schema_a, canonical_schema_b,  # noqa: E402
-                                       doc_meta)
-from ranklake.operators.postings import SearchIndex  # noqa: E402
+from ranklake.operators.partitioning import spread  # noqa: E402
+from ranklake.plans.store import build_store  # noqa: E402
 from ranklake.operators.query import clauses_from_q  # noqa: E402
 from ranklake.operators.requests import (requests_with_defaults, valid_requests,  # noqa: E402
                                          validate_requests)
@@ -55,18 +54,11 @@ def main() -> None:
     spark = get_spark(f"local[{cpus}]", int(cpus))
     sf = sf_dir.rsplit("sf", 1)[-1]
 
-    # One-off index build: postings + statistics + metadata mapping.
-    root = scratch_path(spark, "bench-index")
+    # One-off build: postings + statistics + metadata + mapping, written.
     t0 = time.perf_counter()
-    index = SearchIndex.build(fx.corpus(spark, sf_dir)).save(root)
-    meta = canonical_schema_a(fx.metadata_a(spark, sf_dir), fx.INDEX_UUID).unionByName(
-        canonical_schema_b(fx.metadata_b(spark, sf_dir), fx.INDEX_URL))
-    meta.write.mode("overwrite").partitionBy("index_name").parquet(f"{root}/metadata")
-    meta = spark.read.parquet(f"{root}/metadata")
-    doc_meta(index.doc_stats, meta).write.mode("overwrite").partitionBy("index_name") \
-        .parquet(f"{root}/doc_meta")
-    mapping = spark.read.parquet(f"{root}/doc_meta")
+    store = build_store(spark, sf_dir)
     build_sec = time.perf_counter() - t0
+    index, meta, mapping = store.index, store.meta, store.mapping
 
     raw = fx.requests(spark, sf_dir).persist()
     raw.count()
@@ -82,7 +74,7 @@ def main() -> None:
         return clauses_from_q(r)
 
     t = lambda i: F.try_element_at(F.col("toks"), F.lit(i))
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
     def q_bm25_topk():
         run(topk_hits(bm25_search(valid, index), max_lim))
@@ -141,7 +133,8 @@ def main() -> None:
     sink = scratch_path(spark, "bench-chat-out")
     t1 = time.perf_counter()
     sq = stream_search(chat_source(spark, msgs), index, meta, ChatConfig(index=fx.INDEX_UUID),
-                       fx.captions(spark, sf_dir), fx.answers(spark, sf_dir), sink)
+                       fx.captions(spark, sf_dir), fx.answers(spark, sf_dir), sink,
+                       mapping=mapping)
     sq.awaitTermination()
     stream_sec = time.perf_counter() - t1
     warm["stream_search"] = round(stream_sec, 3)

@@ -84,8 +84,7 @@ def chunk_text(col, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> Col
 def explode_chunks(df: DataFrame, text_col: str, keep: list[str],
                    size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
     """One row per chunk: ``keep`` columns, ``chunk_no`` (0-based), ``chunk``."""
-    from ranklake.operators.partitioning import spread
-    return spread(df).select(*keep, F.posexplode(chunk_text(text_col, size, overlap))
+    return df.select(*keep, F.posexplode(chunk_text(text_col, size, overlap))
                      .alias("chunk_no", "chunk"))
 
 
@@ -101,6 +100,22 @@ def stuff_context(chunks: DataFrame, group: str = "request_id",
                                  CONTEXT_SEPARATOR).alias("context")))
 
 
+def context_and_sources(chunks: DataFrame, group: str = "request_id",
+                        order: tuple[str, ...] = ("rank", "chunk_no"), text_col: str = "chunk",
+                        source_col: str = "source", shown: int = SOURCES_SHOWN) -> DataFrame:
+    """``stuff_context`` and ``answer_sources`` from one aggregation (one
+    pass over the chunks instead of two)."""
+    item = F.struct(*[F.col(c) for c in order], F.col(text_col).alias("_t"),
+                    F.col(source_col).alias("_s"))
+    return (chunks.groupBy(group)
+            .agg(F.sort_array(F.collect_list(item)).alias("_items"))
+            .select(group, F.size("_items").alias("n_chunks"),
+                    F.array_join(F.transform("_items", lambda x: x.getField("_t")),
+                                 CONTEXT_SEPARATOR).alias("context"),
+                    F.transform("_items", lambda x: x.getField("_s")).alias("sources"))
+            .withColumn("shown", F.slice("sources", 1, shown)))
+
+
 def answer_sources(chunks: DataFrame, group: str = "request_id",
                    order: tuple[str, ...] = ("rank", "chunk_no"),
                    source_col: str = "source", shown: int = SOURCES_SHOWN) -> DataFrame:

@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame
 
 
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin ``df`` over the cluster's cores when its scan yields
-    fewer partitions than that (a small file with one row group is one task).
+    """Round-robin ``df`` over the cluster's cores when it is read from fewer
+    files than there are cores (a small file with one row group is one
+    task), so heavy per-row work (tokenising, chunking) runs on every core.
 
-    Heavy per-row work (tokenising, chunking) then runs on every core. On a
-    cluster reading many files the input already has thousands of splits
-    and nothing is shuffled."""
+    The decision uses the input file list, which needs no job; on a cluster
+    reading many files nothing is shuffled."""
     target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
+    if len(df.inputFiles()) < target:
         return df.repartition(target)
     return df

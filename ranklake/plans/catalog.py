@@ -281,7 +281,8 @@ def q_retrieve(spark, sf):
 
 
 def q_chunk_text(spark, sf):
-    d = read_table(spark, sf, "documents").select("doc_id", "text")
+    from ranklake.operators.partitioning import spread
+    d = spread(read_table(spark, sf, "documents").select("doc_id", "text"))
     return chain.explode_chunks(d, "text", ["doc_id"]).select("doc_id", *_long("chunk_no"), "chunk")
 
 
@@ -505,7 +506,7 @@ def q_stream_transcript(spark, sf):
     from ranklake.streaming.chat_stream import transcript_batch
     c = Ctx(spark, sf)
     t = transcript_batch(fx.chat_messages(spark, sf), c.index, c.meta, _chat_cfg(),
-                         fx.captions(spark, sf), fx.answers(spark, sf))
+                         fx.captions(spark, sf), fx.answers(spark, sf), c.mapping)
     return t.select("message_id", *_long("seq"), "username", "text")
 
 
@@ -515,7 +516,7 @@ def q_stream_search(spark, sf):
     c = Ctx(spark, sf)
     sink = scratch_path(spark, "chat-out")
     q = stream_search(chat_source(spark, _chat_files(spark, sf)), c.index, c.meta, _chat_cfg(),
-                      fx.captions(spark, sf), fx.answers(spark, sf), sink)
+                      fx.captions(spark, sf), fx.answers(spark, sf), sink, mapping=c.mapping)
     q.awaitTermination()
     return spark.read.parquet(sink).select("message_id", *_long("seq"), "username", "text")
 
