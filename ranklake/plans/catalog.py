@@ -343,6 +343,18 @@ def q_semantic_rerank(spark, sf):
     return r.select("request_id", *_long("rank"), "doc_id", F.round("sim", 6).alias("cosine"))
 
 
+def q_embed_distinct(spark, sf):
+    """Query texts and result snippets embedded once per distinct text."""
+    from ranklake.functions.vectors import squared_norm
+    from ranklake.operators.rerank import embed_distinct
+    c = Ctx(spark, sf)
+    texts = c.valid.select("request_id", F.lit(0).alias("rank"), F.col("q").alias("text")) \
+        .unionByName(c.search.results.select("request_id", "rank", F.col("textSnippet").alias("text")))
+    e = embed_distinct(texts, fx.table_embedder(spark, sf))
+    return e.select("request_id", *_long("rank", "vec_id"),
+                    F.round(F.sqrt(squared_norm("vec")), 6).alias("norm"))
+
+
 def _messages(spark, sf):
     return fx.chat_messages(spark, sf)
 
@@ -409,6 +421,7 @@ REGISTRY = {
     "dot_product": q_dot_product,
     "cosine_similarity": q_cosine_similarity,
     "semantic_rerank": q_semantic_rerank,
+    "embed_distinct": q_embed_distinct,
     "chat_source": q_chat_source,
     "message_router": q_message_router,
     "image_payload": q_image_payload,

@@ -398,6 +398,13 @@ SELECT request_id, CAST(row_number() OVER (PARTITION BY request_id ORDER BY
 FROM (SELECT request_id, rank, doc_id,
              CASE WHEN den = 0 THEN 'NaN'::DOUBLE ELSE CAST(dot AS DOUBLE) / den END AS sim
       FROM pair_sims)""", ["pair_sims"]),
+    "embed_distinct": ("""
+SELECT t.request_id, CAST(t.rank AS BIGINT) AS rank, CAST(e.vec_id AS BIGINT) AS vec_id,
+       round(sqrt(list_reduce(list_transform(e.embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)),
+                              lambda s, x: s + x, CAST(0 AS DOUBLE))), 6) AS norm
+FROM (SELECT request_id, 0 AS rank, q AS text FROM valid
+      UNION ALL SELECT request_id, rank, "textSnippet" FROM results) t
+JOIN embeddings e ON length(t.text) % (SELECT count(*) FROM embeddings) = e.vec_id""", ["valid", "results"]),
     "chat_source": ("SELECT message_id, conv_id, turn, role, username, message FROM messages", ["messages"]),
     "message_router": (f"SELECT message_id, {ROUTE} AS route FROM messages", ["messages"]),
     "image_payload": (f"""

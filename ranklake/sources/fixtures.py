@@ -139,16 +139,28 @@ def query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def doc_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, dvec): vector ``vec_id = doc_id % (number of vectors)``; the
-    vector count is a one-row aggregate joined in, not a driver value."""
+    vector count is a scalar subquery, not a driver value."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id")
     e = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    n = e.agg(F.count(F.lit(1)).alias("n_vec"))
-    return (docs.crossJoin(F.broadcast(n))
-            .withColumn("vec_id", F.pmod("doc_id", "n_vec"))
+    n_vec = e.agg(F.count(F.lit(1))).scalar()
+    return (docs.withColumn("vec_id", F.pmod("doc_id", n_vec))
             .join(e, "vec_id", "inner")
             .select("doc_id", F.col("embedding").alias("dvec")))
 
 
+def table_embedder(spark: SparkSession, sf_dir: str):
+    """Embedder backed by the ``embeddings`` table: text -> the vector
+    ``vec_id = length(text) % (number of vectors)``. Stands in for a model
+    (a ``mapInPandas`` embedder has the same shape: texts in, vectors out)."""
+    e = read_table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
+    n_vec = e.agg(F.count(F.lit(1))).scalar()
+
+    def embed(texts: DataFrame) -> DataFrame:
+        return (texts.withColumn("vec_id", F.pmod(F.length("text"), n_vec))
+                .join(e, "vec_id", "inner").select("text", "vec_id", "vec"))
+    return embed
+
+
 def chat_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as chat messages. The opening user message of every
     fifth conversation is sent as a JPEG data URL of its text, of the next
