@@ -58,7 +58,7 @@ def main() -> None:
     t0 = time.perf_counter()
     store = build_store(spark, sf_dir)
     build_sec = time.perf_counter() - t0
-    index, meta, mapping = store.index, store.meta, store.mapping
+    index, meta, mapping, records = store.index, store.meta, store.mapping, store.records
 
     raw = fx.requests(spark, sf_dir).persist()
     raw.count()
@@ -80,15 +80,15 @@ def main() -> None:
         run(topk_hits(bm25_search(valid, index), max_lim))
 
     def q_search():
-        out = search(raw, index, meta, fx.INDEX_UUID, mapping=mapping)
+        out = search(raw, index, meta, fx.INDEX_UUID, mapping=mapping, records=records)
         run(out.results)
 
     def q_results_json():
-        out = search(raw, index, meta, fx.INDEX_UUID, mapping=mapping)
+        out = search(raw, index, meta, fx.INDEX_UUID, mapping=mapping, records=records)
         run(results_json(out.results, out.valid))
 
     def q_retrieve_context():
-        out = search(raw, index, meta, fx.INDEX_UUID, mapping=mapping)
+        out = search(raw, index, meta, fx.INDEX_UUID, mapping=mapping, records=records)
         ch = chain.explode_chunks(out.results, "textSnippet", ["request_id", "rank", "url"])
         run(chain.stuff_context(ch))
 
@@ -134,7 +134,7 @@ def main() -> None:
     t1 = time.perf_counter()
     sq = stream_search(chat_source(spark, msgs), index, meta, ChatConfig(index=fx.INDEX_UUID),
                        fx.captions(spark, sf_dir), fx.answers(spark, sf_dir), sink,
-                       mapping=mapping)
+                       mapping=mapping, records=records)
     sq.awaitTermination()
     stream_sec = time.perf_counter() - t1
     warm["stream_search"] = round(stream_sec, 3)

@@ -121,6 +121,18 @@ def result_fields(df: DataFrame, url_col: str = "out_url") -> list:
             word_count("plain_text").alias("wordCount")]
 
 
+RECORD_COLUMNS = ["id", "title", "textSnippet", "language", "warcDate", "wordCount"]
+
+
+def result_records(meta: DataFrame) -> DataFrame:
+    """The query-independent result fields of every metadata record,
+    (index_name, file_pos, id, title, textSnippet, language, warcDate,
+    wordCount): computed once per record (at index build, or for the
+    records a top-k needs), never once per result row."""
+    fields = result_fields(meta, url_col="url")[1:]
+    return meta.select("index_name", "file_pos", *fields)
+
+
 def doc_meta(doc_stats: DataFrame, meta: DataFrame | None) -> DataFrame:
     """Query-independent mapping of indexed documents to result rows:
     (index_name, doc_id, file_pos, language, mode, out_url). Indexes with

@@ -33,7 +33,9 @@ def term_bucket(term_col, buckets: int = TERM_BUCKETS):
 
 def _sorted_pairs(toks):
     """(term, position) pairs of a token array, sorted by term then position."""
-    return F.array_sort(F.transform(toks, lambda x, i: F.struct(x.alias("term"), i.alias("pos"))))
+    # sort_array compares with a direct ordering; array_sort would call a
+    # lambda comparator per comparison.
+    return F.sort_array(F.transform(toks, lambda x, i: F.struct(x.alias("term"), i.alias("pos"))))
 
 
 def _run_starts(pairs):
@@ -109,6 +111,7 @@ class SearchIndex:
     doc_stats: DataFrame
     term_stats: DataFrame
     corpus_stats: DataFrame
+    keys: DataFrame | None = None   # corpus (index_name, doc_id, doc_key), build only
 
     @classmethod
     def build(cls, corpus: DataFrame, text_col: str = "text") -> "SearchIndex":
@@ -118,7 +121,7 @@ class SearchIndex:
         keys = corpus.select("index_name", "doc_id", "doc_key")
         doc_stats = lengths.join(keys, ["index_name", "doc_id"], "inner")
         return cls(postings, doc_stats, build_term_stats(postings),
-                   build_corpus_stats(lengths))
+                   build_corpus_stats(lengths), keys)
 
     def save(self, path: str, buckets: int = TERM_BUCKETS) -> "SearchIndex":
         """Write the tables once (the one-off index build) and return the
@@ -133,7 +136,8 @@ class SearchIndex:
          .parquet(f"{path}/postings"))
         stored = spark.read.parquet(f"{path}/postings")
         lengths = doc_lengths(stored)
-        keys = self.doc_stats.select("index_name", "doc_id", "doc_key")
+        keys = (self.keys if self.keys is not None
+                else self.doc_stats.select("index_name", "doc_id", "doc_key"))
         (lengths.join(keys, ["index_name", "doc_id"], "inner")
          .write.mode("overwrite").partitionBy("index_name").parquet(f"{path}/doc_stats"))
         (build_term_stats(stored)

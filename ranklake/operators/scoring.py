@@ -46,6 +46,12 @@ def _with_must_count(clauses: DataFrame) -> DataFrame:
     return c.withColumn("n_must", F.size(must_keys).cast("int"))
 
 
+def _occ():
+    """Occur as a small int: 0 SHOULD, 1 MUST, 2 MUST_NOT."""
+    return (F.when(F.col("occur") == MUST, F.lit(1))
+            .when(F.col("occur") == MUST_NOT, F.lit(2)).otherwise(F.lit(0))).alias("occ")
+
+
 def _dl(quantize: bool):
     return quantized_length("dl") if quantize else F.col("dl")
 
@@ -72,7 +78,7 @@ def _term_hits(c: DataFrame, index: SearchIndex, bcast: bool, salts: int,
     p = index.postings.select("index_name", "term", "doc_id", "tf", "dl")
     h = _postings_join(w, p, ["index_name", "term"], bcast, salts)
     contrib = F.col("weight") * tf_norm("tf", _dl(quantize), "avgdl")
-    return h.select(*_REQ, "doc_id", "occur", "key", contrib.alias("contrib"))
+    return h.select("request_id", "doc_id", _occ(), contrib.alias("contrib"))
 
 
 def _phrase_hits(c: DataFrame, index: SearchIndex, bcast: bool, salts: int,
@@ -100,7 +106,7 @@ def _phrase_hits(c: DataFrame, index: SearchIndex, bcast: bool, salts: int,
     freq = F.size(starts)
     scored = parts.withColumn("freq", freq).filter(F.col("freq") > 0)
     contrib = F.col("boost") * F.col("idf_sum") * tf_norm("freq", _dl(quantize), "avgdl")
-    return scored.select(*_REQ, "doc_id", "occur", "key", contrib.alias("contrib"))
+    return scored.select("request_id", "doc_id", _occ(), contrib.alias("contrib"))
 
 
 def _wildcard_regex(text):
@@ -131,9 +137,9 @@ def _pattern_hits(c: DataFrame, index: SearchIndex, bcast: bool, salts: int) ->
         .select(*_REQ, "clause_no", "occur", "key", "boost", "term")
     p = index.postings.select("index_name", "term", "doc_id")
     h = _postings_join(exp, p, ["index_name", "term"], bcast, salts)
-    return (h.groupBy(*_REQ, "clause_no", "occur", "key", "doc_id")
+    return (h.groupBy("request_id", "clause_no", "occur", "doc_id")
             .agg(F.max("boost").alias("contrib"))
-            .select(*_REQ, "doc_id", "occur", "key", "contrib"))
+            .select("request_id", "doc_id", _occ(), "contrib"))
 
 
 def _fuzzy_hits(c: DataFrame, index: SearchIndex, bcast: bool, salts: int,
@@ -163,9 +169,9 @@ def _fuzzy_hits(c: DataFrame, index: SearchIndex, bcast: bool, salts: int,
     p = index.postings.select("index_name", "term", "doc_id", "tf", "dl")
     h = _postings_join(exp, p, ["index_name", "term"], bcast, salts)
     contrib = F.col("weight") * tf_norm("tf", _dl(quantize), "avgdl")
-    return (h.groupBy(*_REQ, "clause_no", "occur", "key", "doc_id")
+    return (h.groupBy("request_id", "clause_no", "occur", "doc_id")
             .agg(F.sum(contrib).alias("contrib"))
-            .select(*_REQ, "doc_id", "occur", "key", "contrib"))
+            .select("request_id", "doc_id", _occ(), "contrib"))
 
 
 def evaluate(clauses: DataFrame, index: SearchIndex, quantize: bool = False,
@@ -196,13 +202,19 @@ def evaluate(clauses: DataFrame, index: SearchIndex, quantize: bool = False,
     hits = parts[0]
     for p_ in parts[1:]:
         hits = hits.unionByName(p_)
-    pos = F.col("occur") != MUST_NOT
-    agg = (hits.groupBy(*_REQ, "doc_id")
+    # Hits carry only (request, doc, occ, contrib): the aggregation key is
+    # (request_id, doc_id) and request-level columns are joined back from
+    # the small request table afterwards.
+    pos = F.col("occ") != 2
+    agg = (hits.groupBy("request_id", "doc_id")
            .agg(F.sum(F.when(pos, F.col("contrib"))).alias("score"),
-                F.count_if(F.col("occur") == MUST).alias("m"),
-                F.count_if(F.col("occur") == MUST_NOT).alias("x"),
+                F.count_if(F.col("occ") == 1).alias("m"),
+                F.count_if(F.col("occ") == 2).alias("x"),
                 F.count_if(pos).alias("s")))
-    return (agg.filter((F.col("m") == F.col("n_must")) & (F.col("x") == 0) & (F.col("s") > 0))
+    req = c.select(*_REQ).distinct()
+    req = F.broadcast(req) if bcast else req
+    return (agg.filter((F.col("x") == 0) & (F.col("s") > 0)).join(req, "request_id", "inner")
+            .filter(F.col("m") == F.col("n_must"))
             .select("request_id", "index_name", "limit", "doc_id",
                     F.round("score", SCORE_DIGITS).alias("score")))
 

@@ -84,7 +84,7 @@ class Ctx:
     @cached_property
     def search(self):
         return search(fx.requests(self.spark, self.sf), self.index, self.meta, DEFAULT_INDEX,
-                      mapping=self.mapping)
+                      mapping=self.mapping, records=self.store.records)
 
     @cached_property
     def retrieved(self) -> DataFrame:
@@ -519,7 +519,8 @@ def q_stream_transcript(spark, sf):
     from ranklake.streaming.chat_stream import transcript_batch
     c = Ctx(spark, sf)
     t = transcript_batch(fx.chat_messages(spark, sf), c.index, c.meta, _chat_cfg(),
-                         fx.captions(spark, sf), fx.answers(spark, sf), c.mapping)
+                         fx.captions(spark, sf), fx.answers(spark, sf), c.mapping,
+                         c.store.records)
     return t.select("message_id", *_long("seq"), "username", "text")
 
 
@@ -529,7 +530,8 @@ def q_stream_search(spark, sf):
     c = Ctx(spark, sf)
     sink = scratch_path(spark, "chat-out")
     q = stream_search(chat_source(spark, _chat_files(spark, sf)), c.index, c.meta, _chat_cfg(),
-                      fx.captions(spark, sf), fx.answers(spark, sf), sink, mapping=c.mapping)
+                      fx.captions(spark, sf), fx.answers(spark, sf), sink, mapping=c.mapping,
+                      records=c.store.records)
     q.awaitTermination()
     return spark.read.parquet(sink).select("message_id", *_long("seq"), "username", "text")
 

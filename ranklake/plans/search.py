@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ranklake.config import BROADCAST_MAX_ROWS, DEFAULT_LIMIT, RANKING_ASC, RANKING_DESC
-from ranklake.operators.enrich import (BARE_POS, RESULT_COLUMNS, doc_meta, filtered_topk,
-                                       result_fields)
+from ranklake.operators.enrich import (BARE_POS, RECORD_COLUMNS, RESULT_COLUMNS, doc_meta,
+                                       filtered_topk, result_records)
 from ranklake.operators.postings import SearchIndex, index_registry
 from ranklake.operators.query import plain_clauses
 from ranklake.operators.requests import (rejected_requests, requests_with_defaults,
@@ -57,10 +57,12 @@ def search(requests: DataFrame, index: SearchIndex, metadata: DataFrame | None,
            default_index: str, default_limit: int = DEFAULT_LIMIT,
            clauses_fn=plain_clauses, kinds: set[str] | None = None,
            quantize: bool = False, rerank: bool = True,
-           mapping: DataFrame | None = None) -> SearchOutput:
+           mapping: DataFrame | None = None,
+           records: DataFrame | None = None) -> SearchOutput:
     """Answer every request of ``requests(request_id, q, index, lang,
     ranking, limit)``. ``metadata`` is canonical metadata (or None);
-    ``mapping`` may pass the stored ``doc_meta`` table of the index.
+    ``mapping`` and ``records`` may pass the stored ``doc_meta`` and
+    ``result_records`` tables of the index.
 
     Scoring runs once for all indexes: documents of indexes without
     metadata reach the top-k through ``bare`` mapping rows."""
@@ -75,24 +77,31 @@ def search(requests: DataFrame, index: SearchIndex, metadata: DataFrame | None,
                       n_clauses=n_clauses)
     if mapping is None:
         mapping = doc_meta(index.doc_stats, metadata)
-    ranked = filtered_topk(scores, valid, mapping, max_lim, n_req)
+    # The top-k rows (at most requests x largest limit) feed two consumers
+    # (the records they need and the final join): a reliable checkpoint in
+    # the shared folder computes the scoring once and cuts the lineage.
+    ranked = filtered_topk(scores, valid, mapping, max_lim, n_req).select(
+        "request_id", "index_name", "file_pos", "mode", "out_url", "rank").checkpoint(eager=True)
     top_bound = max(n_req * max(max_lim, 1), 1)
-    top = _bounded(ranked.select("request_id", "index_name", "file_pos", "mode", "out_url",
-                                 "rank"), top_bound)
-    # Result records: the metadata plus one empty record per index without
-    # metadata (file_pos -1, matched by its ``bare`` rows), so one inner
-    # join with the broadcast top-k serves both kinds of index.
+    top = _bounded(ranked, top_bound)
+    # Result records: per-record fields (stored, or computed only for the
+    # distinct records the top-k needs) plus one empty record per index
+    # without metadata (file_pos -1, matched by its ``bare`` rows), so one
+    # inner join with the broadcast top-k serves both kinds of index.
     names = index_registry(index)
-    cols = ("id", "title", "plain_text", "language", "warc_date")
     if metadata is not None:
         names = names.join(F.broadcast(metadata.select("index_name").distinct()),
                            "index_name", "left_anti")
-    records = names.select("index_name", F.lit(BARE_POS).cast("long").alias("file_pos"),
-                           *[F.lit(None).cast("string").alias(c) for c in cols])
-    if metadata is not None:
-        records = metadata.select("index_name", "file_pos", *cols).unionByName(records)
-    rows = records.join(top, ["index_name", "file_pos"], "inner")
-    rows = rows.select("request_id", "rank", "mode", *result_fields(rows))
+    empty = names.select("index_name", F.lit(BARE_POS).cast("long").alias("file_pos"),
+                         *[F.lit(None).cast("int" if c == "wordCount" else "string").alias(c)
+                           for c in RECORD_COLUMNS])
+    if records is None and metadata is not None:
+        needed = _bounded(ranked.select("index_name", "file_pos").distinct(), top_bound)
+        records = result_records(metadata.join(needed, ["index_name", "file_pos"], "left_semi"))
+    recs = empty if records is None else records.select(
+        "index_name", "file_pos", *RECORD_COLUMNS).unionByName(empty)
+    rows = recs.join(top, ["index_name", "file_pos"], "inner").select(
+        "request_id", "rank", "mode", F.col("out_url").alias("url"), *RECORD_COLUMNS)
     if rerank:
         req_side = _bounded(valid.select("request_id", "ranking"), n_req)
         rows = rerank_word_count(rows.join(req_side, "request_id", "inner"),

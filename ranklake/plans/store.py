@@ -10,7 +10,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ranklake.operators.enrich import canonical_schema_a, canonical_schema_b, doc_meta
+from ranklake.operators.enrich import (canonical_schema_a, canonical_schema_b, doc_meta,
+                                       result_records)
 from ranklake.operators.postings import SearchIndex
 from ranklake.session import scratch_path
 from ranklake.sources import fixtures as fx
@@ -22,6 +23,7 @@ class Store:
     index: SearchIndex
     meta: DataFrame
     mapping: DataFrame
+    records: DataFrame
 
 
 _ROOTS: dict[tuple[str, str], str] = {}
@@ -48,13 +50,15 @@ def build_store(spark: SparkSession, sf_dir: str) -> Store:
     meta = spark.read.parquet(f"{root}/metadata")
     doc_meta(index.doc_stats, meta).write.mode("overwrite").partitionBy("index_name") \
         .parquet(f"{root}/doc_meta")
+    result_records(meta).write.mode("overwrite").partitionBy("index_name") \
+        .parquet(f"{root}/records")
     _mark_done(spark, root)
     return load_store(spark, root)
 
 
 def load_store(spark: SparkSession, root: str) -> Store:
     return Store(root, SearchIndex.load(spark, root), spark.read.parquet(f"{root}/metadata"),
-                 spark.read.parquet(f"{root}/doc_meta"))
+                 spark.read.parquet(f"{root}/doc_meta"), spark.read.parquet(f"{root}/records"))
 
 
 def store_for(spark: SparkSession, sf_dir: str) -> Store:

@@ -51,7 +51,8 @@ def chat_source(spark: SparkSession, path: str, max_files_per_trigger: int | Non
 
 def answer_messages(messages: DataFrame, index: SearchIndex, metadata: DataFrame | None,
                     cfg: ChatConfig, captions: DataFrame, answers: DataFrame,
-                    mapping: DataFrame | None = None) -> DataFrame:
+                    mapping: DataFrame | None = None,
+                    records: DataFrame | None = None) -> DataFrame:
     """messages(message_id, username, message, role, ...) -> one answer row
     per user message: (message_id, sources, context, html).
 
@@ -63,7 +64,7 @@ def answer_messages(messages: DataFrame, index: SearchIndex, metadata: DataFrame
         F.col("message_id").alias("request_id"), F.col("query").alias("q"),
         F.lit(cfg.index).alias("index"), F.lit(cfg.lang).cast("string").alias("lang"),
         F.lit(None).cast("string").alias("ranking"), F.lit(cfg.limit).cast("int").alias("limit"))
-    out = search(reqs, index, metadata, cfg.index, mapping=mapping)
+    out = search(reqs, index, metadata, cfg.index, mapping=mapping, records=records)
     chunks = chain.explode_chunks(out.results, "textSnippet", ["request_id", "rank", "url"]) \
         .withColumnRenamed("url", "source")
     both = chain.context_and_sources(chunks)
@@ -81,9 +82,10 @@ def answer_messages(messages: DataFrame, index: SearchIndex, metadata: DataFrame
 
 def transcript_batch(messages: DataFrame, index: SearchIndex, metadata: DataFrame | None,
                      cfg: ChatConfig, captions: DataFrame, answers: DataFrame,
-                     mapping: DataFrame | None = None) -> DataFrame:
+                     mapping: DataFrame | None = None,
+                     records: DataFrame | None = None) -> DataFrame:
     """Batch form of the stream: echoed user rows and ``ai`` rows."""
-    ans = answer_messages(messages, index, metadata, cfg, captions, answers, mapping)
+    ans = answer_messages(messages, index, metadata, cfg, captions, answers, mapping, records)
     user = messages.filter(F.col("role") == "user")
     return chat.transcript(user, ans)
 
@@ -91,13 +93,13 @@ def transcript_batch(messages: DataFrame, index: SearchIndex, metadata: DataFram
 def stream_search(stream: DataFrame, index: SearchIndex, metadata: DataFrame | None,
                   cfg: ChatConfig, captions: DataFrame, answers: DataFrame,
                   sink: str, checkpoint: str | None = None, available_now: bool = True,
-                  mapping: DataFrame | None = None):
+                  mapping: DataFrame | None = None, records: DataFrame | None = None):
     """Start the streaming job; returns the ``StreamingQuery``."""
     spark = stream.sparkSession
     checkpoint = checkpoint or scratch_path(spark, "stream-search-ckpt")
 
     def run_batch(batch: DataFrame, batch_id: int) -> None:
-        out = transcript_batch(batch, index, metadata, cfg, captions, answers, mapping)
+        out = transcript_batch(batch, index, metadata, cfg, captions, answers, mapping, records)
         out.write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
 
     w = stream.writeStream.foreachBatch(run_batch).option("checkpointLocation", checkpoint)
