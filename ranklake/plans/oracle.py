@@ -419,8 +419,43 @@ WHERE m.role = 'user'""", ["messages", "captions"]),
 }
 
 
+# chunk_text: the greedy splitter as a recursive CTE, one line per step.
+_TAIL = "length(array_to_string(cur[j + 1:], chr(10)))"
+_STRIP = "regexp_replace({x}, '^" + PY_WS + "+|" + PY_WS + "+$', '', 'g')"
+CHUNK_SQL = f"""
+WITH RECURSIVE st(doc_id, ls, i, out, cur, tot) AS (
+  SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: x <> ''), 0,
+         CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[]), 0
+  FROM documents
+  UNION ALL
+  SELECT doc_id, ls, i + 1,
+    CASE WHEN ovf AND emitted <> '' THEN list_append(out, emitted) ELSE out END,
+    CASE WHEN ovf THEN list_append(cur[j0 + 1:], d) ELSE list_append(cur, d) END,
+    CASE WHEN ovf THEN length(array_to_string(cur[j0 + 1:], chr(10))) + length(d)
+                       + CASE WHEN len(cur) - j0 > 0 THEN 1 ELSE 0 END
+         ELSE tot + length(d) + CASE WHEN len(cur) > 0 THEN 1 ELSE 0 END END
+  FROM (
+    SELECT *, ls[i + 1] AS d,
+      tot + length(ls[i + 1]) + CASE WHEN len(cur) > 0 THEN 1 ELSE 0 END > 1000 AND len(cur) > 0 AS ovf,
+      {_STRIP.replace('{x}', 'array_to_string(cur, chr(10))')} AS emitted,
+      list_filter(range(0, len(cur) + 1), lambda j: NOT ({_TAIL} > 200 OR
+          ({_TAIL} + length(ls[i + 1]) + CASE WHEN len(cur) - j > 0 THEN 1 ELSE 0 END > 1000
+           AND {_TAIL} > 0)))[1] AS j0
+    FROM st WHERE i < len(ls))
+)
+SELECT doc_id, CAST(k - 1 AS BIGINT) AS chunk_no, chunk FROM (
+  SELECT doc_id, unnest(chunks) AS chunk, unnest(range(1, len(chunks) + 1)) AS k FROM (
+    SELECT doc_id,
+      CASE WHEN {_STRIP.replace('{x}', 'array_to_string(cur, chr(10))')} <> ''
+           THEN list_append(out, {_STRIP.replace('{x}', 'array_to_string(cur, chr(10))')})
+           ELSE out END AS chunks
+    FROM st QUALIFY i = max(i) OVER (PARTITION BY doc_id)))"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {name: build(body, needs) for name, (body, needs) in ORACLE.items()}
+    out = {name: build(body, needs) for name, (body, needs) in ORACLE.items()}
+    out["chunk_text"] = CHUNK_SQL.strip()
+    return out
 
 
 # ---- query forms -----------------------------------------------------------
