@@ -58,24 +58,43 @@ def _dl(quantize: bool):
 
 def _postings_join(side: DataFrame, postings: DataFrame, keys: list[str],
                    broadcast_side: bool, salts: int) -> DataFrame:
+    if "term_bucket" in postings.columns and "term_bucket" in side.columns:
+        # Stored layout: the bucket of each term comes from its stored
+        # term_stats row; joining on the directory bucket too lets dynamic
+        # partition pruning skip untouched buckets.
+        keys = keys + ["term_bucket"]
     if broadcast_side:
         return postings.join(F.broadcast(side), keys, "inner")
     return salt_spread(postings, salts, "doc_id").join(
         salt_replicate(side, salts), keys + ["salt"], "inner").drop("salt")
 
 
+def _postings_cols(index: SearchIndex, *cols: str) -> DataFrame:
+    extra = ["term_bucket"] if "term_bucket" in index.postings.columns else []
+    return index.postings.select("index_name", "term", "doc_id", *cols, *extra)
+
+
+def _ts(index: SearchIndex, *cols: str) -> DataFrame:
+    extra = ["term_bucket"] if "term_bucket" in index.term_stats.columns else []
+    return index.term_stats.select("index_name", "term", *cols, *extra)
+
+
+def _tb(index: SearchIndex) -> list[str]:
+    return ["term_bucket"] if "term_bucket" in index.term_stats.columns else []
+
+
 def _term_hits(c: DataFrame, index: SearchIndex, bcast: bool, salts: int,
                quantize: bool) -> DataFrame:
     g = (c.filter(F.col("kind") == "term")
          .groupBy(*_REQ, "occur", "key", F.col("text").alias("term"))
          .agg(F.sum("boost").alias("wsum")))
-    ts = index.term_stats.select("index_name", "term", "df")
+    ts = _ts(index, "df")
     cs = F.broadcast(index.corpus_stats.select("index_name", "n_docs", "avgdl"))
     g_side = F.broadcast(g) if bcast else g
     w = (g_side.join(ts, ["index_name", "term"], "inner").join(cs, "index_name", "inner")
-         .select(*_REQ, "occur", "key", "term", "avgdl",
+         .select(*_REQ, "occur", "key", "term", *_tb(index), "avgdl",
                  (F.col("wsum") * idf("df", "n_docs")).alias("weight")))
-    p = index.postings.select("index_name", "term", "doc_id", "tf", "dl")
+    p = _postings_cols(index, "tf", "dl")
     h = _postings_join(w, p, ["index_name", "term"], bcast, salts)
     contrib = F.col("weight") * tf_norm("tf", _dl(quantize), "avgdl")
     return h.select("request_id", "doc_id", _occ(), contrib.alias("contrib"))
@@ -87,13 +106,13 @@ def _phrase_hits(c: DataFrame, index: SearchIndex, bcast: bool, salts: int,
     pt = (ph.select(*_REQ, "clause_no", "occur", "key", "boost",
                     F.size(tokens("text")).alias("n_terms"),
                     F.posexplode(tokens("text")).alias("offset", "term")))
-    ts = index.term_stats.select("index_name", "term", "df")
+    ts = _ts(index, "df")
     cs = F.broadcast(index.corpus_stats.select("index_name", "n_docs", "avgdl"))
     pt_side = F.broadcast(pt) if bcast else pt
     wc = Window.partitionBy("request_id", "clause_no")
     w = (pt_side.join(ts, ["index_name", "term"], "inner").join(cs, "index_name", "inner")
          .withColumn("idf_sum", F.sum(idf("df", "n_docs")).over(wc)))
-    p = index.postings.select("index_name", "term", "doc_id", "dl", "positions")
+    p = _postings_cols(index, "dl", "positions")
     h = _postings_join(w, p, ["index_name", "term"], bcast, salts)
     parts = (h.groupBy(*_REQ, "clause_no", "occur", "key", "boost", "n_terms", "idf_sum",
                        "avgdl", "doc_id", "dl")
@@ -126,7 +145,7 @@ def _pattern_hits(c: DataFrame, index: SearchIndex, bcast: bool, salts: int) ->
     filters the term dictionary, then the matching terms' postings give a
     constant score ``boost`` per (clause, doc)."""
     mt = c.filter(F.col("kind").isin("prefix", "wildcard", "regex", "range"))
-    ts = index.term_stats.select("index_name", "term")
+    ts = _ts(index)
     term = F.col("term")
     cond = (F.when(F.col("kind") == "prefix", term.startswith(F.col("text")))
             .when(F.col("kind") == "wildcard", F.regexp_like(term, _wildcard_regex(F.col("text"))))
@@ -134,8 +153,8 @@ def _pattern_hits(c: DataFrame, index: SearchIndex, bcast: bool, salts: int) ->
                   F.regexp_like(term, F.concat(F.lit("^(?:"), F.col("text"), F.lit(")$"))))
             .otherwise(_range_cond(term, F.col("text"), F.col("upper"), F.col("inclusive"))))
     exp = ts.join(F.broadcast(mt), "index_name", "inner").filter(cond) \
-        .select(*_REQ, "clause_no", "occur", "key", "boost", "term")
-    p = index.postings.select("index_name", "term", "doc_id")
+        .select(*_REQ, "clause_no", "occur", "key", "boost", "term", *_tb(index))
+    p = _postings_cols(index)
     h = _postings_join(exp, p, ["index_name", "term"], bcast, salts)
     return (h.groupBy("request_id", "clause_no", "occur", "doc_id")
             .agg(F.max("boost").alias("contrib"))
@@ -149,7 +168,7 @@ def _fuzzy_hits(c: DataFrame, index: SearchIndex, bcast: bool, salts: int,
     ``max_expansions`` by (similarity desc, term), each scored by BM25 with
     the clause's highest df (blended statistics) times its similarity."""
     fz = c.filter(F.col("kind") == "fuzzy")
-    ts = index.term_stats.select("index_name", "term", "df")
+    ts = _ts(index, "df")
     cs = F.broadcast(index.corpus_stats.select("index_name", "n_docs", "avgdl"))
     # Threshold 2 (the largest edit distance a fuzzy term admits) lets the
     # distance computation stop early; -1 means "more than 2".
@@ -164,9 +183,9 @@ def _fuzzy_hits(c: DataFrame, index: SearchIndex, bcast: bool, salts: int,
     top = near.withColumn("r", F.row_number().over(wr)).filter(F.col("r") <= max_expansions)
     wb = Window.partitionBy("request_id", "clause_no")
     exp = (top.withColumn("df_blend", F.max("df").over(wb)).join(cs, "index_name", "inner")
-           .select(*_REQ, "clause_no", "occur", "key", "term", "avgdl",
+           .select(*_REQ, "clause_no", "occur", "key", "term", *_tb(index), "avgdl",
                    (F.col("boost") * F.col("sim") * idf("df_blend", "n_docs")).alias("weight")))
-    p = index.postings.select("index_name", "term", "doc_id", "tf", "dl")
+    p = _postings_cols(index, "tf", "dl")
     h = _postings_join(exp, p, ["index_name", "term"], bcast, salts)
     contrib = F.col("weight") * tf_norm("tf", _dl(quantize), "avgdl")
     return (h.groupBy("request_id", "clause_no", "occur", "doc_id")

@@ -48,8 +48,9 @@ def build_store(spark: SparkSession, sf_dir: str) -> Store:
         canonical_schema_b(fx.metadata_b(spark, sf_dir), fx.INDEX_URL))
     meta.write.mode("overwrite").partitionBy("index_name").parquet(f"{root}/metadata")
     meta = spark.read.parquet(f"{root}/metadata")
-    doc_meta(index.doc_stats, meta).write.mode("overwrite").partitionBy("index_name") \
-        .parquet(f"{root}/doc_meta")
+    # Not partitioned by index: a partitioned mapping would invite a dynamic
+    # pruning subquery that re-plans the whole scoring as its filter side.
+    doc_meta(index.doc_stats, meta).write.mode("overwrite").parquet(f"{root}/doc_meta")
     result_records(meta).write.mode("overwrite").partitionBy("index_name") \
         .parquet(f"{root}/records")
     _mark_done(spark, root)
