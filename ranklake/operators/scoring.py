@@ -296,9 +296,12 @@ def global_rank(scores: DataFrame, extra_order: list | None = None) -> DataFrame
     over many tasks), per-partition counts, and a prefix sum over the small
     (request, partition) count table give each row its rank."""
     order = [F.col("request_id"), F.col("score").desc(), F.col("doc_id")] + list(extra_order or [])
+    # The numbered rows are read twice (counts and join back): a reliable
+    # checkpoint in the shared folder fixes partition ids and row ids once.
     s = (scores.orderBy(*order)
          .withColumn("_part", F.spark_partition_id())
-         .withColumn("_mid", F.monotonically_increasing_id()))
+         .withColumn("_mid", F.monotonically_increasing_id())
+         .checkpoint(eager=True))
     counts = s.groupBy("request_id", "_part").agg(
         F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"))
     wo = Window.partitionBy("request_id").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
