@@ -173,8 +173,13 @@ def _fuzzy_hits(c: DataFrame, index: SearchIndex, bcast: bool, salts: int,
     # Threshold 2 (the largest edit distance a fuzzy term admits) lets the
     # distance computation stop early; -1 means "more than 2".
     ed = F.levenshtein(F.col("term"), F.col("text"), 2)
-    near = (ts.join(F.broadcast(fz), "index_name", "inner")
-            .filter(F.abs(F.length("term") - F.length("text")) <= F.col("max_edits"))
+    # Equi-join on term length: each clause is replicated over the lengths
+    # within its edit bound, so only those dictionary terms meet it.
+    fz_len = fz.withColumn("tlen", F.explode(F.sequence(
+        F.greatest(F.length("text") - F.col("max_edits"), F.lit(1)),
+        F.length("text") + F.col("max_edits"))))
+    near = (ts.withColumn("tlen", F.length("term"))
+            .join(F.broadcast(fz_len), ["index_name", "tlen"], "inner")
             .withColumn("ed", ed)
             .filter((F.col("ed") >= 0) & (F.col("ed") <= F.col("max_edits")))
             .withColumn("sim", 1.0 - F.col("ed") / F.least(F.length("term"), F.length("text")))
