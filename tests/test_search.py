@@ -147,3 +147,16 @@ def test_metadata_scan_dir(spark, sf, tmp_path):
     ga = [r.id for r in got.filter("index_name = 'demo_a'").orderBy("file_pos").collect()]
     ea = [r.id for r in exp.filter("index_name = 'demo_a'").orderBy("file_pos").collect()]
     assert ga == ea
+
+
+def test_salted_join_equals_broadcast(spark, sf):
+    """Above the broadcast bound the postings join is salted; same scores."""
+    from ranklake.operators.query import plain_clauses
+    index, _ = small_index(spark, sf)
+    qs = [r.text for r in read_table(spark, sf, "benchmark").orderBy("item_id").limit(4).collect()]
+    reqs = spark.createDataFrame([(i, "i", q, 20) for i, q in enumerate(qs)],
+                                 "request_id long, index_name string, q string, limit int")
+    a = sorted(tuple(r) for r in evaluate(plain_clauses(reqs), index, kinds={"term"}).collect())
+    b = sorted(tuple(r) for r in evaluate(plain_clauses(reqs), index, kinds={"term"},
+                                          max_rows=0, salts=4).collect())
+    assert a == b and len(a) > 0
