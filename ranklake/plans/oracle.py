@@ -599,3 +599,55 @@ QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 10""", []
     "boosted_terms": ("SELECT request_id, doc_id, score FROM boostscores", ["boostscores"]),
     "bm25_quantized": ("SELECT request_id, index_name, doc_id, score FROM qscores", ["qscores"]),
 })
+
+
+# ---- chat transcript ---------------------------------------------------------
+# The search chain again, over one request per user message (the retriever's
+# parameters: index demo_a, language en, limit 100, no ranking): each CTE of
+# the chain is copied under a ``c_`` name with its references renamed.
+
+_CHAIN = ["reqs", "validated", "valid", "qt", "scores", "ftopk", "result_rows", "results",
+          "retrieved"]
+
+
+def _chat_chain() -> None:
+    import re
+    cte("c_raw_req", ["messages", "captions"], """
+SELECT m.message_id AS request_id,
+       CASE WHEN prefix(m.message, 'data:image/jpeg;base64,') THEN 'tell me about ' || c.caption
+            ELSE m.message END AS q,
+       'demo_a' AS "index", 'en' AS lang, CAST(NULL AS VARCHAR) AS ranking,
+       CAST(100 AS INTEGER) AS "limit"
+FROM messages m LEFT JOIN captions c ON m.message_id = c.message_id
+WHERE m.role = 'user'""")
+    names = ["raw_req"] + _CHAIN
+    pat = re.compile(r"\b(" + "|".join(names) + r")\b")
+    for n in _CHAIN:
+        deps, sql = CTES[n]
+        CTES["c_" + n] = ([("c_" + d) if d in names else d for d in deps],
+                          pat.sub(lambda m: "c_" + m.group(1), sql))
+    cte("answers", [], """
+SELECT u.conv_id * 1000 + u.turn AS message_id, a.text AS answer
+FROM conversations u JOIN conversations a
+  ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant'
+WHERE u.role = 'user'""")
+    cte("transcript", ["messages", "c_raw_req", "c_retrieved", "answers"], """
+SELECT message_id, CAST(0 AS BIGINT) AS seq, username, message AS text FROM messages WHERE role = 'user'
+UNION ALL
+SELECT r.request_id AS message_id, CAST(1 AS BIGINT) AS seq, 'ai' AS username,
+       '<div style=''text-align: left''>' || COALESCE(a.answer, '') || '<br/><br/> References: <br/>'
+       || '<ul style=''font-size: 10px;''>' || chr(10)
+       || COALESCE(array_to_string(list_transform(s.shown,
+            lambda l: '<li><a href=''' || l || ''' target=''_blank''>' || l || '</a></li>' || chr(10)), ''), '')
+       || '</ul>' || '</div>' AS text
+FROM c_raw_req r
+LEFT JOIN (SELECT request_id, list(source ORDER BY rank, chunk_no)[1:3] AS shown
+           FROM c_retrieved GROUP BY request_id) s ON r.request_id = s.request_id
+LEFT JOIN answers a ON r.request_id = a.message_id""")
+
+
+_chat_chain()
+ORACLE.update({
+    "stream_transcript": ("SELECT message_id, seq, username, text FROM transcript", ["transcript"]),
+    "stream_search": ("SELECT message_id, seq, username, text FROM transcript", ["transcript"]),
+})
