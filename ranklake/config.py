@@ -51,9 +51,10 @@ WARC_DATE_FORMAT = "yyyy-MM-dd'T'HH:mm:ss'Z'"
 FUZZY_MAX_EDITS = 2
 FUZZY_MAX_EXPANSIONS = 50
 
-ERR_NO_QUERY = "The query could not be parsed"
 ERR_NO_INDEX = "The index could not be found"
 ERR_BAD_LIMIT = "The limit must be a positive value"
+# Ours: the reference answers a missing or unparsable query with a bare 500.
+ERR_NO_QUERY = "The query could not be parsed"
 
 # Sizing knobs (not reference values).
 # Query-side rows up to which the query terms are broadcast to the postings scan.

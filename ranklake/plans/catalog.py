@@ -18,16 +18,16 @@ from ranklake.functions.text import text_snippet, word_count
 from ranklake.functions.url import url_schema_a, url_schema_b
 from ranklake.functions.vectors import cosine_similarity, dot_product
 from ranklake.operators import chain, chat
-from ranklake.operators.enrich import (canonical_schema_a, canonical_schema_b, doc_meta,
-                                       enrich_hits, filtered_topk, lang_filter_cond,
-                                       metadata_by_id, url_join, uuid_join)
+from ranklake.operators.enrich import (canonical_schema_a, canonical_schema_b, enrich_hits,
+                                       filtered_topk, lang_filter_cond, metadata_by_id,
+                                       url_join, uuid_join)
 from ranklake.operators.postings import SearchIndex, index_registry
-from ranklake.operators.query import plain_clauses, query_terms
+from ranklake.operators.query import query_terms
 from ranklake.operators.requests import (requests_with_defaults, valid_requests,
                                          validate_requests)
 from ranklake.operators.scoring import (bm25_search, global_rank, request_bounds,
                                         search_after, topk_hits, total_hits)
-from ranklake.plans.search import rerank_word_count, results_json, search
+from ranklake.plans.search import results_json, search
 from ranklake.sources import fixtures as fx
 from ranklake.sources.tables import read_table
 
