@@ -152,7 +152,10 @@ def _pattern_hits(c: DataFrame, index: SearchIndex, bcast: bool, salts: int) ->
             .when(F.col("kind") == "regex",
                   F.regexp_like(term, F.concat(F.lit("^(?:"), F.col("text"), F.lit(")$"))))
             .otherwise(_range_cond(term, F.col("text"), F.col("upper"), F.col("inclusive"))))
-    exp = ts.join(F.broadcast(mt), "index_name", "inner").filter(cond) \
+    # The clause side is broadcast behind the clause-table size check; above
+    # it the join shuffles and AQE's skew handling splits an index's terms.
+    mt_side = F.broadcast(mt) if bcast else mt
+    exp = ts.join(mt_side, "index_name", "inner").filter(cond) \
         .select(*_REQ, "clause_no", "occur", "key", "boost", "term", *_tb(index))
     p = _postings_cols(index)
     h = _postings_join(exp, p, ["index_name", "term"], bcast, salts)
@@ -179,7 +182,7 @@ def _fuzzy_hits(c: DataFrame, index: SearchIndex, bcast: bool, salts: int,
         F.greatest(F.length("text") - F.col("max_edits"), F.lit(1)),
         F.length("text") + F.col("max_edits"))))
     near = (ts.withColumn("tlen", F.length("term"))
-            .join(F.broadcast(fz_len), ["index_name", "tlen"], "inner")
+            .join(F.broadcast(fz_len) if bcast else fz_len, ["index_name", "tlen"], "inner")
             .withColumn("ed", ed)
             .filter((F.col("ed") >= 0) & (F.col("ed") <= F.col("max_edits")))
             .withColumn("sim", 1.0 - F.col("ed") / F.least(F.length("term"), F.length("text")))

@@ -160,3 +160,14 @@ def test_salted_join_equals_broadcast(spark, sf):
     b = sorted(tuple(r) for r in evaluate(plain_clauses(reqs), index, kinds={"term"},
                                           max_rows=0, salts=4).collect())
     assert a == b and len(a) > 0
+
+
+def test_pattern_and_fuzzy_without_broadcast(spark, sf):
+    """Clause tables above the broadcast bound take the shuffle path."""
+    index, _ = small_index(spark, sf)
+    reqs = spark.createDataFrame([(1, "i", "th* w?th the~ [a TO b]", 20)],
+                                 "request_id long, index_name string, q string, limit int")
+    a = sorted(tuple(r) for r in evaluate(clauses_from_q(reqs), index).collect())
+    b = sorted(tuple(r) for r in evaluate(clauses_from_q(reqs), index, max_rows=0,
+                                          salts=4).collect())
+    assert a == b and len(a) > 0
