@@ -282,11 +282,16 @@ def topk_hits(scores: DataFrame, max_limit: int, extra_order: list | None = None
             .filter(F.col("rank") <= F.col(limit_col)))
 
 
-def search_after(scores: DataFrame, cursors: DataFrame, max_limit: int) -> DataFrame:
+def search_after(scores: DataFrame, cursors: DataFrame, max_limit: int,
+                 n_cursors: int | None = None,
+                 max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """Keyset continuation: cursors(request_id, after_score, after_doc_id);
     hits strictly after the cursor in (score desc, doc_id asc) order, then
-    the next ``limit``. Requests without a cursor start at the top."""
-    c = scores.join(F.broadcast(cursors), "request_id", "left")
+    the next ``limit``. Requests without a cursor start at the top. The
+    cursor table (one row per request) is broadcast when ``n_cursors``
+    proves it small; otherwise AQE picks the join at run time."""
+    side = F.broadcast(cursors) if n_cursors is not None and n_cursors <= max_rows else cursors
+    c = scores.join(side, "request_id", "left")
     after = (F.col("after_score").isNull()
              | (F.col("score") < F.col("after_score"))
              | ((F.col("score") == F.col("after_score")) & (F.col("doc_id") > F.col("after_doc_id"))))

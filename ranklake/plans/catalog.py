@@ -171,7 +171,7 @@ def q_search_after(spark, sf):
     first = topk_hits(c.scores.withColumn("_one", F.lit(1)), 1, limit_col="_one")
     cursors = first.select("request_id", F.col("score").alias("after_score"),
                            F.col("doc_id").alias("after_doc_id"))
-    t = search_after(c.scores, cursors, c.bounds[1])
+    t = search_after(c.scores, cursors, c.bounds[1], n_cursors=c.bounds[0])
     return t.select("request_id", *_long("rank"), "doc_id", "score")
 
 
