@@ -171,3 +171,26 @@ def test_pattern_and_fuzzy_without_broadcast(spark, sf):
     b = sorted(tuple(r) for r in evaluate(clauses_from_q(reqs), index, max_rows=0,
                                           salts=4).collect())
     assert a == b and len(a) > 0
+
+
+def test_clause_mapping_of_query_syntax(spark):
+    q = '+Alpha -beta "Gamma Delta" pre* w?ld /re.*x/ [a TO c] {a TO c} fuz~ fuz~1 boo^2.5 AND x-y'
+    reqs = spark.createDataFrame([(1, "i", q, 10)],
+                                 "request_id long, index_name string, q string, limit int")
+    rows = [(r.occur, r.kind, r.text, r.upper, r.inclusive, r.max_edits, r.boost)
+            for r in clauses_from_q(reqs).orderBy("clause_no").collect()]
+    assert rows == [
+        ("MUST", "term", "alpha", None, True, None, 1.0),
+        ("MUST_NOT", "term", "beta", None, True, None, 1.0),
+        ("SHOULD", "phrase", "gamma delta", None, True, None, 1.0),
+        ("SHOULD", "prefix", "pre", None, True, None, 1.0),
+        ("SHOULD", "wildcard", "w?ld", None, True, None, 1.0),
+        ("SHOULD", "regex", "re.*x", None, True, None, 1.0),
+        ("SHOULD", "range", "a", "c", True, None, 1.0),
+        ("SHOULD", "range", "a", "c", False, None, 1.0),
+        ("SHOULD", "fuzzy", "fuz", None, True, 2, 1.0),
+        ("SHOULD", "fuzzy", "fuz", None, True, 1, 1.0),
+        ("SHOULD", "term", "boo", None, True, None, 2.5),
+        ("SHOULD", "term", "x", None, True, None, 1.0),
+        ("SHOULD", "term", "y", None, True, None, 1.0),
+    ]
