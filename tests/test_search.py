@@ -194,3 +194,31 @@ def test_clause_mapping_of_query_syntax(spark):
         ("SHOULD", "term", "x", None, True, None, 1.0),
         ("SHOULD", "term", "y", None, True, None, 1.0),
     ]
+
+
+def test_search_end_to_end_small(spark):
+    from ranklake.plans.search import search
+    corpus = spark.createDataFrame(
+        [("u", 1, "http://a.org/x", "apple banana"), ("u", 2, "http://b.org/", "apple"),
+         ("bare", 3, "http://c.org", "apple pie")],
+        "index_name string, doc_id long, doc_key string, text string")
+    index = SearchIndex.build(corpus)
+    meta = spark.createDataFrame(
+        [("u", "r0", "http://a.org/x/", " T1 ", "l1\nlonger line", "en", "5", 0),
+         ("u", "r1", "http://b.org", "T2", "x", "de", "6", 1)],
+        "index_name string, id string, url string, title string, plain_text string, "
+        "language string, warc_date string, file_pos long")
+    reqs = spark.createDataFrame(
+        [(1, "apple", "u", None, None, 5), (2, "apple", "u", "EN", None, 5),
+         (3, "apple", "bare", "xx", "asc", 5), (4, "apple", "nowhere", None, None, 5)],
+        "request_id long, q string, index string, lang string, ranking string, limit int")
+    out = search(reqs, index, meta, "u")
+    got = {}
+    for r in out.results.orderBy("request_id", "rank").collect():
+        got.setdefault(r.request_id, []).append((r.url, r.title, r.textSnippet, r.wordCount))
+    assert got[1] == [("http://b.org/", "T2", "x", 1),
+                      ("http://a.org/x", "T1", "longer line", 3)]
+    assert got[2] == [("http://a.org/x", "T1", "longer line", 3)]
+    assert got[3] == [("http://c.org", None, None, None)]
+    assert 4 not in got
+    assert [(r.request_id, r.status) for r in out.rejected.collect()] == [(4, 404)]
