@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -56,3 +57,21 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique path inside the shared checkpoint folder."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package's code to the executors (once per context), so Python
+    functions run on workers whose path does not hold the repository."""
+    sc = spark.sparkContext
+    if getattr(sc, "_ranklake_shipped", False):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    out = os.path.join(tempfile.mkdtemp(prefix="ranklake-code-"), "ranklake.zip")
+    with zipfile.ZipFile(out, "w") as z:
+        for folder, _, names in os.walk(here):
+            for n in names:
+                if n.endswith(".py"):
+                    full = os.path.join(folder, n)
+                    z.write(full, os.path.join("ranklake", os.path.relpath(full, here)))
+    sc.addPyFile(out)
+    sc._ranklake_shipped = True
