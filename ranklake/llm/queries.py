@@ -6,14 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ranklake.llm import packing, sharding, simhash
+from ranklake.llm import line_dedup, mixing, packing, secret_scan, sharding, simhash
 from ranklake.sources.tables import read_table
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_digest(read_table(spark, sf_dir, "documents"))
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digest(read_table(spark, sf_dir, "documents"), min_docs=10, min_chars=1)
+
+
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan_digest(read_table(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"))
 
@@ -23,7 +35,59 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_sharding, op7_packing, op10_simhash)
+    f.__name__: f for f in (op1_mixing, op2_sharding, op3_line_dedup, op5_secret_scan, op7_packing, op10_simhash)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Lines split at the line feed; a key is the line without blanks at its ends,
+#: A-Z lower-cased.  Every row is a document.
+LINE_DEDUP_SQL = """
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
+lines AS (SELECT rid, unnest(parts) AS line, generate_subscripts(parts, 1) AS no FROM docs),
+keyed AS (SELECT rid, line, no, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines),
+hot AS (SELECT key FROM keyed WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT rid) >= 10),
+marked AS (SELECT k.rid, k.no, CASE WHEN h.key IS NULL THEN k.line END AS kept FROM keyed k LEFT JOIN hot h ON k.key = h.key)
+SELECT d.doc_id, count(*) AS n_lines, count(*) - count(m.kept) AS n_dropped,
+       sha256(coalesce(string_agg(m.kept, chr(10) ORDER BY m.no), '')) AS kept_sha256
+FROM docs d JOIN marked m ON d.rid = m.rid GROUP BY d.rid, d.doc_id
+"""
+
+
+def _spans_sql(name: str, kind: int, pattern: str, least: int, group: int) -> str:
+    """Matches with their places: the texts between the matches are what is
+    left of a split at the pattern."""
+    value = f"regexp_extract_all(text, '{pattern}', {group})"
+    return f"""
+{name} AS (SELECT rid, start, {kind} AS kind, start + length(hit) AS stop, value FROM (
+  SELECT rid, hits[i] AS hit, vals[i] AS value,
+         CAST(list_sum(list_transform(gaps[1:i], x -> length(x))) + coalesce(list_sum(list_transform(hits[1:i-1], x -> length(x))), 0) AS BIGINT) AS start
+  FROM (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM (
+    SELECT rid, regexp_extract_all(text, '{pattern}') AS hits, {value} AS vals, string_split_regex(text, '{pattern}') AS gaps
+    FROM docs WHERE regexp_matches(text, '{pattern}'))))
+  WHERE length(value) >= {least})"""
+
+
+def _secret_sql() -> str:
+    q = lambda p: p.replace("'", "''")
+    parts = [_spans_sql("s_assign", 0, q(secret_scan.ASSIGN), 6, 2), _spans_sql("s_access", 1, secret_scan.ACCESS, 20, 0),
+             _spans_sql("s_hex", 2, secret_scan.HEX, 24, 0), _spans_sql("s_token", 3, secret_scan.TOKEN, 20, 0)]
+    name = "CASE kind WHEN 0 THEN 'assign' WHEN 1 THEN 'access' WHEN 2 THEN 'hex' ELSE 'live' END || ':' || start || ':' || stop"
+    return f"""
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS text FROM documents),{",".join(parts)},
+base AS (SELECT * FROM s_assign UNION ALL SELECT * FROM s_access UNION ALL SELECT * FROM s_hex),
+cand AS (SELECT * FROM base UNION ALL SELECT * FROM s_token
+         WHERE regexp_matches(value, '[a-z]') AND regexp_matches(value, '[A-Z]') AND regexp_matches(value, '[0-9]')),
+live AS (SELECT value FROM cand JOIN docs USING (rid) GROUP BY value
+         HAVING count(DISTINCT source) + max(CASE WHEN source IS NULL THEN 1 ELSE 0 END) <= 1),
+marks AS (SELECT DISTINCT rid, stop - length(value) AS start, 3 AS kind, stop, value FROM cand WHERE value IN (SELECT value FROM live)),
+found AS (SELECT * FROM base UNION ALL SELECT * FROM marks),
+b AS (SELECT rid, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+             string_agg({name}, ',' ORDER BY start, kind, stop) AS txt FROM base GROUP BY rid),
+f AS (SELECT rid, string_agg({name}, ',' ORDER BY start, kind, stop) AS txt FROM found GROUP BY rid)
+SELECT d.doc_id, coalesce(b.n_assign, 0) AS n_assign, coalesce(b.n_access, 0) AS n_access, coalesce(b.n_hex, 0) AS n_hex,
+       sha256(coalesce(b.txt, '')) AS base_sha256, coalesce(f.txt, '') AS spans
+FROM docs d LEFT JOIN b USING (rid) LEFT JOIN f USING (rid)
+"""
+
+
+ORACLE_SQL: dict[str, str] = {"op3_line_dedup": LINE_DEDUP_SQL, "op5_secret_scan": _secret_sql()}

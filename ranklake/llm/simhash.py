@@ -21,8 +21,9 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ranklake.llm.common import connected_components, materialize, parallel
+from ranklake.llm.common import connected_components, content_key, materialize, parallel
 
 #: Bits in a block; blocks are dealt into ``bits + EXTRA_GROUPS`` groups.
 BLOCK = 2
@@ -53,13 +54,14 @@ def text_fingerprint(text: str | None, words: int) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
-    """(doc_id, fp long) of every row."""
+    """(doc_id, ka, kb, fp long) of every row; ka, kb identify the text."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            fp = np.fromiter((text_fingerprint(t, words) for t in b["text"]), np.int64, len(b))
-            yield pd.DataFrame({"doc_id": b["doc_id"], "fp": fp})
-    slim = docs.select(F.col("doc_id").cast("long"), "text")
-    return parallel(slim).mapInPandas(run, "doc_id long, fp long")
+            fp = np.fromiter((text_fingerprint(t, words) for t in b.pop("text")), np.int64, len(b))
+            yield b.assign(fp=fp)
+    key = content_key("text")
+    slim = docs.select(F.col("doc_id").cast("long"), key["a"].alias("ka"), key["b"].alias("kb"), "text")
+    return parallel(slim).mapInPandas(run, "doc_id long, ka long, kb long, fp long")
 
 
 def references() -> list[int]:
@@ -104,21 +106,44 @@ def near_pairs(fps: DataFrame, bits: int = 2) -> DataFrame:
     return found.select("a", "b").distinct()
 
 
+def components(fps: DataFrame, bits: int = 2) -> DataFrame:
+    """(fp, component, component_id) for the distinct fingerprints of stored
+    ``fps`` (doc_id, fp): component is the smallest fingerprint that links
+    reach, component_id the smallest doc_id."""
+    classes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    links = connected_components(near_pairs(classes.select("fp"), bits))
+    of = classes.join(links, classes.fp == links.v, "left").select(
+        "fp", "least", F.coalesce("component", "fp").alias("component"))
+    least = of.groupBy("component").agg(F.min("least").alias("component_id"))
+    return of.join(least, "component").select("fp", "component", "component_id")
+
+
 def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 2) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row of docs (doc_id, text).
 
     Equal fingerprints are one class (zero included: empty, blank and null
     texts are linked with each other); pairs are looked for between classes.
-    component_id is the smallest doc_id that links reach.  A null doc_id is
-    never a component's id unless it is alone in it.  Repeated rows give
-    repeated rows; an empty table an empty one; further columns are ignored.
+    component_id is the smallest doc_id that links reach, null only if all of
+    the component's are.  Repeated rows give repeated rows; an empty table an
+    empty one; further columns are ignored.
     """
     stored = materialize(fingerprints(docs, words), "fingerprints")
-    classes = stored.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    links = connected_components(near_pairs(classes.select("fp"), bits))
-    of = classes.join(links, classes.fp == links.v, "left").select(
-        "fp", "least", F.coalesce("component", "fp").alias("component"))
-    least = of.groupBy("component").agg(F.min("least").alias("component_id"))
-    ids = of.join(least, "component").select("fp", "component_id")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
-    return stored.join(ids, "fp").select("doc_id", hexed, "component_id")
+    return stored.join(components(stored, bits), "fp").select("doc_id", hexed, "component_id")
+
+
+def keep_one(docs: DataFrame, words: int = 3, bits: int = 2) -> DataFrame:
+    """``docs`` (any columns with doc_id, text) with one row of every
+    component: the smallest doc_id's (of rows that share it the smallest
+    text's hash, of fully repeated rows one)."""
+    stored = materialize(fingerprints(docs, words), "fingerprints")
+    of = stored.join(components(stored, bits), "fp")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "ka", "kb")).alias("first")
+    stay = of.groupBy("component").agg(first).select(
+        F.col("first.doc_id").alias("_d"), F.col("first.ka").alias("_a"), F.col("first.kb").alias("_b"))
+    key = content_key("text")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("rec")
+    rows = docs.select(whole, F.col("doc_id").cast("long").alias("_i"), key["a"].alias("_x"), key["b"].alias("_y"))
+    rows = rows.join(stay, F.col("_i").eqNullSafe(F.col("_d")) & (F.col("_x") == F.col("_a")) & (F.col("_y") == F.col("_b")))
+    copy = F.row_number().over(Window.partitionBy("_i", "_x", "_y").orderBy(F.lit(0)))
+    return rows.withColumn("_n", copy).where("_n = 1").select("rec.*")
