@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ranklake.llm import line_dedup, mixing, packing, secret_scan, sharding, simhash
+from ranklake.llm import ann, embedding_dedup, line_dedup, mixing, packing, secret_scan, sharding, simhash
 from ranklake.sources.tables import read_table
 
 
@@ -22,6 +23,10 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(read_table(spark, sf_dir, "documents"), min_docs=10, min_chars=1)
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(read_table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_digest(read_table(spark, sf_dir, "documents"))
 
@@ -30,12 +35,17 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"))
 
 
+def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"), words=3, bits=2)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mixing, op2_sharding, op3_line_dedup, op5_secret_scan, op7_packing, op10_simhash)
+    f.__name__: f for f in (op1_mixing, op2_sharding, op3_line_dedup, op4_embedding_dedup, op5_secret_scan, op7_packing,
+                           op8_nearest, op10_simhash)
 }
 
 #: Lines split at the line feed; a key is the line without blanks at its ends,
@@ -60,7 +70,7 @@ def _spans_sql(name: str, kind: int, pattern: str, least: int, group: int) -> st
     return f"""
 {name} AS (SELECT rid, start, {kind} AS kind, start + length(hit) AS stop, value FROM (
   SELECT rid, hits[i] AS hit, vals[i] AS value,
-         CAST(list_sum(list_transform(gaps[1:i], x -> length(x))) + coalesce(list_sum(list_transform(hits[1:i-1], x -> length(x))), 0) AS BIGINT) AS start
+         CAST(list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i-1], lambda x: length(x))), 0) AS BIGINT) AS start
   FROM (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM (
     SELECT rid, regexp_extract_all(text, '{pattern}') AS hits, {value} AS vals, string_split_regex(text, '{pattern}') AS gaps
     FROM docs WHERE regexp_matches(text, '{pattern}'))))
@@ -90,4 +100,17 @@ FROM docs d LEFT JOIN b USING (rid) LEFT JOIN f USING (rid)
 """
 
 
-ORACLE_SQL: dict[str, str] = {"op3_line_dedup": LINE_DEDUP_SQL, "op5_secret_scan": _secret_sql()}
+EMBEDDING_SQL = """
+WITH RECURSIVE rows AS (SELECT row_number() OVER () AS rid, vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+good AS (SELECT * FROM rows WHERE v IS NOT NULL AND len(v) > 0
+         AND len(list_filter(v, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+link AS (SELECT a.rid AS a, b.rid AS b FROM good a JOIN good b ON a.rid <> b.rid AND len(a.v) = len(b.v)
+         AND list_cosine_similarity(a.v, b.v) >= 0.95),
+reach AS (SELECT rid AS r, rid AS t FROM rows UNION SELECT reach.r, link.b FROM reach JOIN link ON reach.t = link.a),
+comp AS (SELECT r, min(vec_id) AS component_id FROM reach JOIN rows ON rid = t GROUP BY r),
+n AS (SELECT a, count(*) AS n FROM link GROUP BY a)
+SELECT vec_id, coalesce(n.n, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM rows JOIN comp ON comp.r = rid LEFT JOIN n ON n.a = rid
+"""
+
+ORACLE_SQL: dict[str, str] = {"op4_embedding_dedup": EMBEDDING_SQL, "op3_line_dedup": LINE_DEDUP_SQL, "op5_secret_scan": _secret_sql()}
