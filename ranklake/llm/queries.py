@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ranklake.llm import ann, embedding_dedup, line_dedup, mixing, packing, secret_scan, sharding, simhash
+from ranklake.llm import ann, embedding_dedup, line_dedup, mixing, packing, secret_scan, sharding, simhash, toxicity
 from ranklake.sources.tables import read_table
 
 
@@ -39,13 +39,17 @@ def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_digest(spark, read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"), words=3, bits=2)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_mixing, op2_sharding, op3_line_dedup, op4_embedding_dedup, op5_secret_scan, op7_packing,
-                           op8_nearest, op10_simhash)
+                           op8_nearest, op9_toxicity, op10_simhash)
 }
 
 #: Lines split at the line feed; a key is the line without blanks at its ends,
