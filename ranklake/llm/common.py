@@ -38,7 +38,7 @@ def content_key(*cols: Column | str) -> Column:
 
 
 def cumulative(rows: DataFrame, group: list[str], order: list[str], weight: Column,
-               out: str, chunk_rows: int = 50_000) -> DataFrame:
+               out: str, chunk_rows: int = 10_000) -> DataFrame:
     """Running sum of ``weight`` over the rows of a group, before each row, as
     column ``out`` (0 for the first row).
 

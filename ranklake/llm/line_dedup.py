@@ -281,6 +281,18 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> Data
     return index.clean(docs)
 
 
+def without_frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataFrame:
+    """``docs`` with its own columns: ``text`` without frequent lines and
+    ``n_chars``, if there, counted anew where lines went.  No row goes."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("rec")
+    out = dedup_lines(docs.select(whole, "text"), min_docs, min_chars)
+    types = dict(docs.dtypes)
+    new = {"text": F.col("text")}
+    if "n_chars" in types:
+        new["n_chars"] = F.when(F.col("n_dropped") > 0, F.length("text").cast(types["n_chars"])).otherwise(F.col("rec.n_chars"))
+    return out.select(*[new.get(c, F.col("rec").getField(c)).alias(c) for c in docs.columns])
+
+
 def digest(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataFrame:
     """doc_id, n_lines, n_dropped, kept_sha256 of every row of docs (doc_id,
     text); a null text has the checksum of the empty one."""

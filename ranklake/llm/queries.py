@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ranklake.llm import ann, embedding_dedup, line_dedup, mixing, packing, secret_scan, sharding, simhash, toxicity
+from ranklake.llm import ann, embedding_dedup, html_extract, line_dedup, mixing, packing, secret_scan, sharding, simhash, toxicity
 from ranklake.sources.tables import read_table
 
 
@@ -31,6 +31,10 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_digest(read_table(spark, sf_dir, "documents"))
 
 
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(read_table(spark, sf_dir, "pages"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"))
 
@@ -48,8 +52,8 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mixing, op2_sharding, op3_line_dedup, op4_embedding_dedup, op5_secret_scan, op7_packing,
-                           op8_nearest, op9_toxicity, op10_simhash)
+    f.__name__: f for f in (op1_mixing, op2_sharding, op3_line_dedup, op4_embedding_dedup, op5_secret_scan, op6_html,
+                           op7_packing, op8_nearest, op9_toxicity, op10_simhash)
 }
 
 #: Lines split at the line feed; a key is the line without blanks at its ends,

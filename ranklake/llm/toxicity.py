@@ -227,3 +227,10 @@ def score_digest(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> Dat
     out = score(docs.select("doc_id", "text"), fit(docs, labels))
     return out.select("doc_id", is_held_out("doc_id").alias("held_out"), "score",
                       F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"))
+
+
+def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
+    """``docs`` (any columns with text) without the rows that score THRESHOLD
+    or more."""
+    rows = score(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("rec"), "text"), model)
+    return rows.where(F.col("score") < THRESHOLD).select("rec.*")
