@@ -53,8 +53,9 @@ FUZZY_MAX_EXPANSIONS = 50
 
 ERR_NO_INDEX = "The index could not be found"
 ERR_BAD_LIMIT = "The limit must be a positive value"
-# Ours: the reference answers a missing or unparsable query with a bare 500.
+# Ours: the reference answers these with a bare 500.
 ERR_NO_QUERY = "The query could not be parsed"
+ERR_NO_LIMIT = "The limit must be an integer"
 
 # Sizing knobs (not reference values).
 # Query-side rows up to which the query terms are broadcast to the postings scan.
@@ -63,5 +64,5 @@ BROADCAST_MAX_ROWS = 1_000_000
 # query side is too large to broadcast; splits every hot term into this many
 # tasks.
 TERM_SALTS = 32
-# Directory buckets of the stored postings (hash of the term).
-TERM_BUCKETS = 16
+# Compressed corpus bytes whose postings make one document shard.
+SHARD_BYTES = 64 << 20

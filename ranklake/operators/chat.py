@@ -14,7 +14,7 @@ MESSAGE_SCHEMA = T.StructType([
     T.StructField("conv_id", T.LongType()),
     T.StructField("turn", T.LongType()),
     T.StructField("role", T.StringType()),
-    T.StructField("message_id", T.LongType()),
+    T.StructField("message_id", T.StringType()),
 ])
 
 

@@ -9,28 +9,25 @@
 * ``corpus_stats(index_name, n_docs, sum_dl, avgdl)``: one row per index,
   so its size is bounded by the number of indexes and it is broadcast.
 
-Stored layout: postings partitioned by ``index_name`` and a hash bucket of
-the term, rows sorted by term inside each file, so a lookup of a few terms
-reads few directories (dynamic partition pruning through ``term_bucket``)
-and few row groups.
+Stored layout: postings bucketed by document and sorted by (index, term)
+inside a bucket. A term that a third of all documents hold is spread over all
+buckets, and whatever sums per document (document lengths, the scores of plain
+requests) finds its rows in one place without a shuffle.
 """
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ranklake.config import TERM_BUCKETS
+from ranklake.config import SHARD_BYTES
 from ranklake.functions.text import tokens
 from ranklake.operators.partitioning import spread
 
 
-def term_bucket(term_col, buckets: int = TERM_BUCKETS):
-    return F.pmod(F.xxhash64(term_col), F.lit(buckets)).cast("int")
-
-
 def _sorted_pairs(toks):
     """(term, position) pairs of a token array, sorted by term then position."""
     # sort_array compares with a direct ordering; array_sort would call a
@@ -123,39 +120,61 @@ class SearchIndex:
         return cls(postings, doc_stats, build_term_stats(postings),
                    build_corpus_stats(lengths), keys)
 
-    def save(self, path: str, buckets: int = TERM_BUCKETS) -> "SearchIndex":
+    def save(self, path: str, shards: int | None = None) -> "SearchIndex":
         """Write the tables once (the one-off index build) and return the
         index read back from storage. Later tables are derived from the
-        written postings, so the corpus is tokenised once."""
+        written postings, so the corpus is tokenised once.
+
+        Postings are sharded by document (bucketed by ``doc_id``, sorted by
+        index and term inside a shard): a frequent term's postings lie in all
+        shards, and the score sum per (request, document) needs no exchange.
+        ``shards`` defaults to one per core; give more for a large corpus
+        (``shards_for``)."""
         spark = self.postings.sparkSession
-        (self.postings
-         .withColumn("term_bucket", term_bucket("term", buckets))
-         .repartition("index_name", "term_bucket")
-         .sortWithinPartitions("term", "doc_id")
-         .write.mode("overwrite").partitionBy("index_name", "term_bucket")
-         .parquet(f"{path}/postings"))
-        stored = spark.read.parquet(f"{path}/postings")
+        shards = shards or spark.sparkContext.defaultParallelism
+        (self.postings.repartition(shards, "doc_id").write.mode("overwrite")
+         .bucketBy(shards, "doc_id").sortBy("index_name", "term")
+         .option("path", f"{path}/postings").saveAsTable(_table_name(path)))
+        spark.createDataFrame([(shards,)], "shards int").write.mode("overwrite").parquet(f"{path}/layout")
+        stored = spark.table(_table_name(path))
         lengths = doc_lengths(stored)
         keys = (self.keys if self.keys is not None
                 else self.doc_stats.select("index_name", "doc_id", "doc_key"))
         (lengths.join(keys, ["index_name", "doc_id"], "inner")
          .write.mode("overwrite").partitionBy("index_name").parquet(f"{path}/doc_stats"))
         (build_term_stats(stored)
-         .withColumn("term_bucket", term_bucket("term", buckets))
-         .write.mode("overwrite").partitionBy("index_name", "term_bucket")
-         .parquet(f"{path}/term_stats"))
+         .write.mode("overwrite").partitionBy("index_name").parquet(f"{path}/term_stats"))
         (build_corpus_stats(spark.read.parquet(f"{path}/doc_stats"))
          .write.mode("overwrite").parquet(f"{path}/corpus_stats"))
         return SearchIndex.load(spark, path)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> "SearchIndex":
-        return cls(spark.read.parquet(f"{path}/postings"),
+        name = _table_name(path)
+        if not spark.catalog.tableExists(name):  # written by another session
+            shards = spark.read.parquet(f"{path}/layout").first().shards
+            fields = spark.read.parquet(f"{path}/postings").schema.fields
+            cols = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
+            spark.sql(f"CREATE TABLE {name} ({cols}) USING parquet LOCATION '{path}/postings' "
+                      f"CLUSTERED BY (doc_id) SORTED BY (index_name, term) INTO {shards} BUCKETS")
+        return cls(spark.table(name),
                    spark.read.parquet(f"{path}/doc_stats"),
                    spark.read.parquet(f"{path}/term_stats"),
                    spark.read.parquet(f"{path}/corpus_stats"))
 
 
+def _table_name(path: str) -> str:
+    """The catalog name of the postings stored under ``path`` (the catalog
+    keeps the bucketing; the files are plain Parquet)."""
+    return f"ranklake_postings_{zlib.crc32(path.encode()):08x}"
+
+
+def shards_for(spark: SparkSession, input_bytes: int) -> int:
+    """Document shards for a corpus of so many (compressed) bytes: about
+    ``SHARD_BYTES`` of it each, and at least one per core."""
+    return max(spark.sparkContext.defaultParallelism, -(-input_bytes // SHARD_BYTES))
+
+
 def index_registry(index: SearchIndex) -> DataFrame:
     """One row per known index name."""
     return index.corpus_stats.select("index_name").distinct()

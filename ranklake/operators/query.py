@@ -11,17 +11,22 @@ evaluated in the same job (``ranklake.operators.scoring``).
 
 ``plain_clauses`` is the default operator OR over the analysed text.
 ``clauses_from_q`` maps the flat, whitespace-separated forms of the classic
-query syntax (``+a``, ``-a``, ``"a b"``, ``ab*``, ``a?c``, ``/re/``,
-``[a TO b]``, ``{a TO b}``, ``a~``, ``a~1``, ``a^2``) to clauses with column
-expressions. It is not a grammar: no parentheses, no field prefixes, and
-the words AND / OR are dropped (NOT is not supported). A bare word that
-the analyser splits in several tokens gives one clause per token with the
-word's occur.
+query syntax (``+a``, ``-a``, ``!a``, ``a AND b``, ``a OR b``, ``NOT a``,
+``"a b"``, ``ab*``, ``a?c``, ``/re/``, ``[a TO b]``, ``{a TO b}``, ``a~``,
+``a~1``, ``a~0.8``, ``a^2``) to clauses with column expressions. It is not a
+grammar: parentheses are read as white space and there are no field prefixes.
+AND makes the clauses on both its sides required, unless one is prohibited; NOT
+prohibits the next one. A bare word that the analyser splits in several tokens
+gives one clause per token with the word's occur.
+
+``query_error`` is true for a ``q`` that these forms cannot read; such a request
+is answered with status 500 by ``validate_requests`` and no other request of the
+table is touched.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ranklake.config import FUZZY_MAX_EDITS
@@ -32,9 +37,68 @@ MUST, SHOULD, MUST_NOT = "MUST", "SHOULD", "MUST_NOT"
 CLAUSE_COLUMNS = ["request_id", "index_name", "limit", "clause_no", "occur", "kind",
                   "text", "upper", "inclusive", "max_edits", "boost"]
 
-_ITEM = r'[+-]?(?:"[^"]*"|\[[^\]]*\]|\{[^}]*\}|/[^/]+/|[^\s"]+)(?:\^[0-9]+(?:\.[0-9]+)?)?'
+_ITEM = (r'[+!-]?(?:"[^"]*"(?:~[0-9.]+)?|\[[^\]]*\]|\{[^}]*\}|/(?:[^/\\]|\\.)+/|[^\s"()]+)'
+         r'(?:\^[0-9]+(?:\.[0-9]+)?)?')
 _BOOST = r"\^([0-9]+(?:\.[0-9]+)?)$"
 _RANGE = r"^[\[{](\S*)\s+TO\s+(\S*)[\]}]$"
+_FUZZY = r"~([0-9]*(?:\.[0-9]+)?)$"
+_AND, _OR, _NOT = ("AND", "&&"), ("OR", "||"), ("NOT", "!")
+
+# Regular expressions that are taken: atoms with quantifiers, alternatives,
+# character classes and groups, up to this depth.
+_REGEX_DEPTH = 3
+_ATOMS = r"(?:[^\[\](){}*+?|\\](?:[*+?]|\{[0-9]{1,4}(?:,[0-9]{0,4})?\})?|\|)*"
+
+
+def _items(q) -> Column:
+    return F.regexp_extract_all(q, F.lit(_ITEM), F.lit(0))
+
+
+def _body(item: Column) -> Column:
+    """An item without its sign and boost."""
+    return F.regexp_replace(F.regexp_replace(item, r"^[+!-](?=.)", ""), _BOOST, "")
+
+
+def regex_ok(text: Column) -> Column:
+    """Whether a regular expression is one of the taken forms, so that no
+    pattern of one request can fail the job of a whole table."""
+    classes = F.regexp_extract_all(text, F.lit(r".-."), F.lit(0))
+    counts = F.regexp_extract_all(text, F.lit(r"\{([0-9]{1,4}),([0-9]{1,4})\}"), F.lit(0))
+    falling = F.exists(classes, lambda r: F.substring(r, 1, 1) > F.substring(r, 3, 1)) | F.exists(
+        counts, lambda c: F.regexp_extract(c, r"([0-9]+),", 1).cast("int") > F.regexp_extract(c, r",([0-9]+)", 1).cast("int"))
+    s = F.regexp_replace(text, r"\\[^A-Za-z0-9]", "x")
+    s = F.regexp_replace(s, r"\[\^?[^\[\]\\&^]+\]", "x")
+    for _ in range(_REGEX_DEPTH):
+        s = F.regexp_replace(s, r"\((?:\?:)?" + _ATOMS + r"\)", "x")
+    return s.rlike("^" + _ATOMS + "$") & ~falling
+
+
+def query_error(q) -> Column:
+    """True if ``q`` is null, blank or cannot be read: a quote or bracket
+    without its partner, a phrase with slop, a wildcard at the start of a word,
+    a bad regular expression, or an operator without its clauses."""
+    q = F.col(q) if isinstance(q, str) else q
+    items = _items(q)
+    is_op = lambda x: x.isin(*_AND, *_OR, *_NOT)
+    is_not = lambda x: x.isin(*_NOT)
+
+    def bad(item: Column) -> Column:
+        b = _body(item)
+        regex = b.rlike(r"^/.+/$")
+        quoted = b.rlike(r'^".*"(?:~[0-9.]+)?$')
+        ranged = b.rlike(r"^[\[{]")
+        return (F.when(quoted, b.rlike(r"~[0-9.]+$"))
+                .when(regex, ~regex_ok(b.substr(F.lit(2), F.length(b) - 2)))
+                .when(ranged, ~b.rlike(_RANGE))
+                .otherwise(b.rlike(r"[\[\]{}\"]|^[*?]|^/") | b.rlike(r"~[0-9]*\.[0-9]*\.") | (b == "")))
+    last = F.try_element_at(items, F.lit(-1))
+    first = F.try_element_at(items, F.lit(1))
+    after = F.slice(items, 2, F.greatest(F.size(items) - 1, F.lit(0)))
+    pairs = F.zip_with(items, after, lambda x, y: is_op(x) & is_op(y) & ~(is_not(y) & ~is_not(x)))
+    left = F.regexp_replace(q, _ITEM, "").rlike(r"[^\s()]")
+    alone = is_op(last) | (is_op(first) & ~is_not(first)) | F.exists(pairs, lambda p: F.coalesce(p, F.lit(False)))
+    return (q.isNull() | ~F.coalesce(q, F.lit("")).rlike(r"\S") | F.coalesce(left, F.lit(False))
+            | F.coalesce(F.exists(items, lambda x: ~is_op(x) & bad(x)), F.lit(False)) | F.coalesce(alone, F.lit(False)))
 
 
 def _req_cols(requests: DataFrame):
@@ -54,7 +118,7 @@ def plain_clauses(requests: DataFrame) -> DataFrame:
     """One SHOULD term clause per analysed token of ``q`` (default OR)."""
     return (requests.select(*_req_cols(requests), F.posexplode(tokens("q")).alias("clause_no", "text"))
             .select("request_id", "index_name", "limit",
-                    F.col("clause_no").cast("int").alias("clause_no"),
+                    F.col("clause_no").cast("long").alias("clause_no"),
                     F.lit(SHOULD).alias("occur"), F.lit("term").alias("kind"), "text",
                     F.lit(None).cast("string").alias("upper"),
                     F.lit(True).alias("inclusive"),
@@ -64,44 +128,45 @@ def plain_clauses(requests: DataFrame) -> DataFrame:
 
 def clauses_from_q(requests: DataFrame) -> DataFrame:
     """Flat query-syntax items of ``q`` -> clause table (see module doc)."""
-    items = requests.select(
-        *_req_cols(requests),
-        F.posexplode(F.regexp_extract_all("q", F.lit(_ITEM), 0)).alias("item_no", "item"))
-    items = items.filter(~F.col("item").isin("AND", "OR", "&&", "||"))
+    items = requests.select(*_req_cols(requests), _items("q").alias("items"))
+    items = items.select("request_id", "index_name", "limit", "items", F.posexplode("items").alias("item_no", "item"))
+    near = lambda k: F.coalesce(F.try_element_at("items", F.col("item_no") + 1 + k), F.lit(""))
+    # index 0 is no element; the first item has none before it
+    prev = F.when(F.col("item_no") >= 1, near(-1)).otherwise(F.lit(""))
+    before = F.when(F.col("item_no") >= 2, near(-2)).otherwise(F.lit(""))
+    joined = prev.isin(*_AND) | (prev.isin(*_NOT) & before.isin(*_AND)) | near(1).isin(*_AND)
+    items = items.withColumns({"denied": prev.isin(*_NOT), "joined": joined})
+    items = items.filter(~F.col("item").isin(*_AND, *_OR, *_NOT))
     sign = F.substring("item", 1, 1)
-    occur = (F.when(sign == "+", F.lit(MUST)).when(sign == "-", F.lit(MUST_NOT))
-             .otherwise(F.lit(SHOULD)))
-    rest = F.regexp_replace("item", r"^[+-]", "")
-    boost_txt = F.regexp_extract(rest, _BOOST, 1)
-    body = F.regexp_replace(rest, _BOOST, "")
+    occur = (F.when(F.col("denied") | sign.isin("-", "!"), F.lit(MUST_NOT))
+             .when((sign == "+") | F.col("joined"), F.lit(MUST)).otherwise(F.lit(SHOULD)))
+    # Each step is its own projection, so that no expression is repeated.
     parsed = items.select(
         "request_id", "index_name", "limit", "item_no", occur.alias("occur"),
-        F.when(boost_txt == "", F.lit(1.0)).otherwise(boost_txt.cast("double")).alias("boost"),
-        body.alias("body"))
+        F.regexp_extract("item", _BOOST, 1).alias("boost_txt"), _body(F.col("item")).alias("body"))
     b = F.col("body")
-    is_phrase = b.rlike(r'^".*"$')
-    is_range = b.rlike(_RANGE)
-    is_regex = b.rlike(r"^/.+/$")
-    is_fuzzy = b.rlike(r"~[0-9]*$")
-    is_wild = b.contains("*") | b.contains("?")
-    is_prefix = b.rlike(r"^[^*?]+\*$")
-    kind = (F.when(is_phrase, "phrase").when(is_range, "range").when(is_regex, "regex")
-            .when(is_fuzzy, "fuzzy").when(is_prefix, "prefix").when(is_wild, "wildcard")
-            .otherwise("term"))
-    inner = F.lower(
-        F.when(is_phrase | is_regex, b.substr(F.lit(2), F.length(b) - 2))
-        .when(is_range, F.regexp_extract(b, _RANGE, 1))
-        .when(is_fuzzy, F.regexp_replace(b, r"~[0-9]*$", ""))
-        .when(is_prefix, F.regexp_replace(b, r"\*$", ""))
-        .otherwise(b))
-    edits = F.regexp_extract(b, r"~([0-9]*)$", 1)
+    kind = (F.when(b.rlike(r'^".*"$'), "phrase").when(b.rlike(_RANGE), "range").when(b.rlike(r"^/.+/$"), "regex")
+            .when(b.rlike("[^~]" + _FUZZY), "fuzzy").when(b.rlike(r"^[^*?]+\*$"), "prefix")
+            .when(b.rlike(r"[*?]"), "wildcard").otherwise("term"))
+    parsed = parsed.withColumn("kind", kind)
+    k = F.col("kind")
+    parsed = parsed.withColumn("text", F.lower(
+        F.when(k.isin("phrase", "regex"), b.substr(F.lit(2), F.length(b) - 2))
+        .when(k == "range", F.regexp_extract(b, _RANGE, 1))
+        .when(k == "fuzzy", F.regexp_replace(b, _FUZZY, ""))
+        .when(k == "prefix", F.regexp_replace(b, r"\*$", ""))
+        .otherwise(b)))
+    # a~n: at most n edits; a~0.x: the edits that keep a similarity of 0.x
+    near_by = F.when(k == "fuzzy", F.regexp_extract(b, _FUZZY, 1).try_cast("double"))
+    edits = F.when(near_by >= 1, F.least(near_by, F.lit(FUZZY_MAX_EDITS))).when(near_by == 0, F.lit(0)) \
+        .when(near_by < 1, F.least(F.floor((1 - near_by) * F.length("text")), F.lit(FUZZY_MAX_EDITS))) \
+        .otherwise(F.lit(FUZZY_MAX_EDITS))
     typed = parsed.select(
-        "request_id", "index_name", "limit", "item_no", "occur", "boost",
-        kind.alias("kind"), inner.alias("text"),
-        F.when(is_range, F.lower(F.regexp_extract(b, _RANGE, 2))).alias("upper"),
-        F.when(is_range, b.startswith("[")).otherwise(F.lit(True)).alias("inclusive"),
-        F.when(is_fuzzy, F.when(edits == "", F.lit(FUZZY_MAX_EDITS))
-               .otherwise(edits.cast("int"))).alias("max_edits"))
+        "request_id", "index_name", "limit", "item_no", "occur",
+        F.coalesce(F.col("boost_txt").try_cast("double"), F.lit(1.0)).alias("boost"), "kind", "text",
+        F.when(k == "range", F.lower(F.regexp_extract(b, _RANGE, 2))).alias("upper"),
+        F.when(k == "range", b.startswith("[")).otherwise(F.lit(True)).alias("inclusive"),
+        F.when(k == "fuzzy", edits.cast("int")).alias("max_edits"))
     # Bare words go through the analyser; each token becomes a term clause.
     words = (typed.filter(F.col("kind") == "term")
              .select("request_id", "index_name", "limit", "item_no", "occur", "boost",
@@ -111,6 +176,6 @@ def clauses_from_q(requests: DataFrame) -> DataFrame:
     out = words.unionByName(others)
     return out.select(
         "request_id", "index_name", "limit",
-        (F.col("item_no") * 1000 + F.col("sub")).cast("int").alias("clause_no"),
+        (F.col("item_no").cast("long") * (1 << 24) + F.col("sub")).alias("clause_no"),
         "occur", "kind", "text", "upper", "inclusive",
         F.col("max_edits").cast("int").alias("max_edits"), "boost")

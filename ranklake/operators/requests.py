@@ -5,36 +5,42 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ranklake.config import DEFAULT_LIMIT, ERR_BAD_LIMIT, ERR_NO_INDEX, ERR_NO_QUERY
+from ranklake.config import (DEFAULT_LIMIT, ERR_BAD_LIMIT, ERR_NO_INDEX, ERR_NO_LIMIT,
+                             ERR_NO_QUERY)
+from ranklake.operators.query import query_error
 
 
 def requests_with_defaults(requests: DataFrame, default_index: str,
                            default_limit: int = DEFAULT_LIMIT) -> DataFrame:
     """requests(request_id, q, index, lang, ranking, limit) with the index
     and limit defaults applied; ``lang`` and ``ranking`` stay nullable.
-    Output column ``index_name`` replaces ``index``."""
+    Output column ``index_name`` replaces ``index``. A limit that is given but
+    is no integer becomes null, which ``validate_requests`` answers with 500."""
     cols = [c for c in requests.columns if c not in ("index", "limit")]
     return requests.select(
         *cols,
         F.coalesce(F.col("index"), F.lit(default_index)).alias("index_name"),
-        F.coalesce(F.col("limit").cast("int"), F.lit(default_limit)).alias("limit"))
+        F.when(F.col("limit").isNull(), F.lit(default_limit))
+        .otherwise(F.col("limit").try_cast("int")).alias("limit"))
 
 
 def validate_requests(requests: DataFrame, registry: DataFrame) -> DataFrame:
     """Adds ``status`` and ``error`` in the order the server checks them:
-    no query -> 500, unknown index -> 404, limit <= 0 -> 400, else 200.
+    unreadable query -> 500, limit that is no integer -> 500, unknown index ->
+    404, limit <= 0 -> 400, else 200.
 
     ``registry(index_name)`` has one row per index, so it is small by
     construction and broadcast."""
     known = F.broadcast(registry.select("index_name").distinct()
                         .withColumn("_known", F.lit(True)))
     r = requests.join(known, "index_name", "left")
-    no_q = F.col("q").isNull() | (F.trim(F.col("q")) == "")
-    status = (F.when(no_q, F.lit(500))
+    no_q = query_error("q")
+    no_limit = F.col("limit").isNull()
+    status = (F.when(no_q | no_limit, F.lit(500))
               .when(F.col("_known").isNull(), F.lit(404))
               .when(F.col("limit") <= 0, F.lit(400))
               .otherwise(F.lit(200)))
-    error = (F.when(no_q, F.lit(ERR_NO_QUERY))
+    error = (F.when(no_q, F.lit(ERR_NO_QUERY)).when(no_limit, F.lit(ERR_NO_LIMIT))
              .when(F.col("_known").isNull(), F.lit(ERR_NO_INDEX))
              .when(F.col("limit") <= 0, F.lit(ERR_BAD_LIMIT)))
     return r.withColumn("status", status.cast("int")).withColumn("error", error).drop("_known")

@@ -8,8 +8,9 @@ Plan shape for a table of requests:
    a row count proves them small, otherwise both sides are salted so that a
    hot term's posting list is spread over ``TERM_SALTS`` tasks;
 3. one aggregation per (request, doc): score sum and the boolean counts
-   (MUST all matched, no MUST_NOT, at least one positive clause); the map
-   side combines partial sums before the shuffle;
+   (MUST all matched, no MUST_NOT, at least one positive clause); on stored
+   postings, which are sharded by document, it needs no exchange, otherwise
+   the map side combines partial sums before the shuffle;
 4. top-k by ``row_number`` with a literal bound, which Catalyst turns into a
    partial ``WindowGroupLimit`` before the shuffle by request, so a request
    that matches a third of the corpus still ships only k rows per task.
@@ -58,11 +59,6 @@ def _dl(quantize: bool):
 
 def _postings_join(side: DataFrame, postings: DataFrame, keys: list[str],
                    broadcast_side: bool, salts: int) -> DataFrame:
-    if "term_bucket" in postings.columns and "term_bucket" in side.columns:
-        # Stored layout: the bucket of each term comes from its stored
-        # term_stats row; joining on the directory bucket too lets dynamic
-        # partition pruning skip untouched buckets.
-        keys = keys + ["term_bucket"]
     if broadcast_side:
         return postings.join(F.broadcast(side), keys, "inner")
     return salt_spread(postings, salts, "doc_id").join(
@@ -70,17 +66,11 @@ def _postings_join(side: DataFrame, postings: DataFrame, keys: list[str],
 
 
 def _postings_cols(index: SearchIndex, *cols: str) -> DataFrame:
-    extra = ["term_bucket"] if "term_bucket" in index.postings.columns else []
-    return index.postings.select("index_name", "term", "doc_id", *cols, *extra)
+    return index.postings.select("index_name", "term", "doc_id", *cols)
 
 
 def _ts(index: SearchIndex, *cols: str) -> DataFrame:
-    extra = ["term_bucket"] if "term_bucket" in index.term_stats.columns else []
-    return index.term_stats.select("index_name", "term", *cols, *extra)
-
-
-def _tb(index: SearchIndex) -> list[str]:
-    return ["term_bucket"] if "term_bucket" in index.term_stats.columns else []
+    return index.term_stats.select("index_name", "term", *cols)
 
 
 def _term_hits(c: DataFrame, index: SearchIndex, bcast: bool, salts: int,
@@ -92,7 +82,7 @@ def _term_hits(c: DataFrame, index: SearchIndex, bcast: bool, salts: int,
     cs = F.broadcast(index.corpus_stats.select("index_name", "n_docs", "avgdl"))
     g_side = F.broadcast(g) if bcast else g
     w = (g_side.join(ts, ["index_name", "term"], "inner").join(cs, "index_name", "inner")
-         .select(*_REQ, "occur", "key", "term", *_tb(index), "avgdl",
+         .select(*_REQ, "occur", "key", "term", "avgdl",
                  (F.col("wsum") * idf("df", "n_docs")).alias("weight")))
     p = _postings_cols(index, "tf", "dl")
     h = _postings_join(w, p, ["index_name", "term"], bcast, salts)
@@ -101,13 +91,14 @@ def _term_hits(c: DataFrame, index: SearchIndex, bcast: bool, salts: int,
 
 
 def _phrase_hits(c: DataFrame, index: SearchIndex, bcast: bool, salts: int,
-                 quantize: bool) -> DataFrame:
+                 quantize: bool, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     ph = c.filter(F.col("kind") == "phrase")
     pt = (ph.select(*_REQ, "clause_no", "occur", "key", "boost",
                     F.size(tokens("text")).alias("n_terms"),
                     F.posexplode(tokens("text")).alias("offset", "term")))
     ts = _ts(index, "df")
     cs = F.broadcast(index.corpus_stats.select("index_name", "n_docs", "avgdl"))
+    bcast = bcast and pt.count() <= max_rows  # tokens, not clauses
     pt_side = F.broadcast(pt) if bcast else pt
     wc = Window.partitionBy("request_id", "clause_no")
     w = (pt_side.join(ts, ["index_name", "term"], "inner").join(cs, "index_name", "inner")
@@ -120,7 +111,7 @@ def _phrase_hits(c: DataFrame, index: SearchIndex, bcast: bool, salts: int,
              .filter(F.size("parts") == F.col("n_terms")))
     shifted = lambda x: F.transform(x["positions"], lambda p_: p_ - x["offset"])
     starts = F.aggregate(
-        F.slice("parts", 2, 1 << 20), shifted(F.col("parts")[0]),
+        F.slice("parts", F.lit(2), F.greatest(F.size("parts") - 1, F.lit(0))), shifted(F.col("parts")[0]),
         lambda acc, x: F.array_intersect(acc, shifted(x)))
     freq = F.size(starts)
     scored = parts.withColumn("freq", freq).filter(F.col("freq") > 0)
@@ -140,7 +131,8 @@ def _range_cond(term, lower, upper, inclusive):
     return lo_ok & hi_ok
 
 
-def _pattern_hits(c: DataFrame, index: SearchIndex, bcast: bool, salts: int) -> DataFrame:
+def _pattern_hits(c: DataFrame, index: SearchIndex, bcast: bool, salts: int,
+                  max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """prefix / wildcard / regex / range: the clause side (small, broadcast)
     filters the term dictionary, then the matching terms' postings give a
     constant score ``boost`` per (clause, doc)."""
@@ -152,11 +144,31 @@ def _pattern_hits(c: DataFrame, index: SearchIndex, bcast: bool, salts: int) ->
             .when(F.col("kind") == "regex",
                   F.regexp_like(term, F.concat(F.lit("^(?:"), F.col("text"), F.lit(")$"))))
             .otherwise(_range_cond(term, F.col("text"), F.col("upper"), F.col("inclusive"))))
+    # Equal clauses of different requests meet the dictionary once, and those
+    # that fix a term's first character only the terms that begin with it.
     # The clause side is broadcast behind the clause-table size check; above
     # it the join shuffles and AQE's skew handling splits an index's terms.
-    mt_side = F.broadcast(mt) if bcast else mt
-    exp = ts.join(mt_side, "index_name", "inner").filter(cond) \
-        .select(*_REQ, "clause_no", "occur", "key", "boost", "term", *_tb(index))
+    first = (F.when(F.col("kind").isin("prefix", "wildcard"), F.substring("text", 1, 1))
+             .when((F.col("kind") == "regex") & F.col("text").rlike(r"^[\p{L}\p{N}_](?![*?{])[^|]*$"),
+                   F.substring("text", 1, 1)))
+    form = ["index_name", "kind", "text", "upper", "inclusive"]
+    forms = mt.select(*form, first.alias("first")).distinct()
+    side = (lambda x: F.broadcast(x)) if bcast else (lambda x: x)
+    begun = ts.withColumn("first", F.substring("term", 1, 1)).join(
+        side(forms.filter(F.col("first").isNotNull())), ["index_name", "first"], "inner").filter(cond)
+    free = ts.join(side(forms.filter(F.col("first").isNull())), "index_name", "inner").filter(cond)
+    found = begun.drop("first").unionByName(free.drop("first"))
+    same = F.col("f.upper").eqNullSafe(F.col("m.upper"))
+    exp = (found.alias("f").join(side(mt).alias("m"), same & (F.col("f.index_name") == F.col("m.index_name"))
+                                 & (F.col("f.kind") == F.col("m.kind")) & (F.col("f.text") == F.col("m.text"))
+                                 & (F.col("f.inclusive") == F.col("m.inclusive")), "inner")
+           .select("m.request_id", "m.index_name", "m.limit", "m.n_must", "m.clause_no", "m.occur", "m.key", "m.boost",
+                   "f.term"))
+    # What the dictionary makes of the clauses is bounded by the dictionary
+    # only: its own rows are counted before it is broadcast.
+    if bcast:
+        exp = exp.checkpoint(eager=True)
+        bcast = exp.count() <= max_rows
     p = _postings_cols(index)
     h = _postings_join(exp, p, ["index_name", "term"], bcast, salts)
     return (h.groupBy("request_id", "clause_no", "occur", "doc_id")
@@ -170,7 +182,7 @@ def _fuzzy_hits(c: DataFrame, index: SearchIndex, bcast: bool, salts: int,
     transposition counts two), similarity ``1 - ed / min(len)``, the best
     ``max_expansions`` by (similarity desc, term), each scored by BM25 with
     the clause's highest df (blended statistics) times its similarity."""
-    fz = c.filter(F.col("kind") == "fuzzy")
+    fz = c.filter((F.col("kind") == "fuzzy") & (F.length("text") > 0))
     ts = _ts(index, "df")
     cs = F.broadcast(index.corpus_stats.select("index_name", "n_docs", "avgdl"))
     # Threshold 2 (the largest edit distance a fuzzy term admits) lets the
@@ -185,13 +197,13 @@ def _fuzzy_hits(c: DataFrame, index: SearchIndex, bcast: bool, salts: int,
             .join(F.broadcast(fz_len) if bcast else fz_len, ["index_name", "tlen"], "inner")
             .withColumn("ed", ed)
             .filter((F.col("ed") >= 0) & (F.col("ed") <= F.col("max_edits")))
-            .withColumn("sim", 1.0 - F.col("ed") / F.least(F.length("term"), F.length("text")))
+            .withColumn("sim", 1.0 - F.try_divide(F.col("ed"), F.least(F.length("term"), F.length("text"))))
             .filter(F.col("sim") > 0))
     wr = Window.partitionBy("request_id", "clause_no").orderBy(F.col("sim").desc(), F.col("term"))
     top = near.withColumn("r", F.row_number().over(wr)).filter(F.col("r") <= max_expansions)
     wb = Window.partitionBy("request_id", "clause_no")
     exp = (top.withColumn("df_blend", F.max("df").over(wb)).join(cs, "index_name", "inner")
-           .select(*_REQ, "clause_no", "occur", "key", "term", *_tb(index), "avgdl",
+           .select(*_REQ, "clause_no", "occur", "key", "term", "avgdl",
                    (F.col("boost") * F.col("sim") * idf("df_blend", "n_docs")).alias("weight")))
     p = _postings_cols(index, "tf", "dl")
     h = _postings_join(exp, p, ["index_name", "term"], bcast, salts)
@@ -221,9 +233,9 @@ def evaluate(clauses: DataFrame, index: SearchIndex, quantize: bool = False,
     if "term" in kinds:
         parts.append(_term_hits(c, index, bcast, salts, quantize))
     if "phrase" in kinds:
-        parts.append(_phrase_hits(c, index, bcast, salts, quantize))
+        parts.append(_phrase_hits(c, index, bcast, salts, quantize, max_rows))
     if kinds & {"prefix", "wildcard", "regex", "range"}:
-        parts.append(_pattern_hits(c, index, bcast, salts))
+        parts.append(_pattern_hits(c, index, bcast, salts, max_rows))
     if "fuzzy" in kinds:
         parts.append(_fuzzy_hits(c, index, bcast, salts, quantize, max_expansions))
     hits = parts[0]
@@ -259,14 +271,6 @@ def request_bounds(requests: DataFrame) -> tuple[int, int]:
     return int(row["n"] or 0), int(row["m"] or 0)
 
 
-def request_sizes(requests: DataFrame) -> tuple[int, int, int]:
-    """(requests, largest limit, analysed query tokens) in one aggregate;
-    the token count bounds the plain clause table."""
-    row = requests.agg(F.count(F.lit(1)).alias("n"), F.max("limit").alias("m"),
-                       F.sum(F.size(tokens("q"))).alias("t")).first()
-    return int(row["n"] or 0), int(row["m"] or 0), int(row["t"] or 0)
-
-
 def topk_hits(scores: DataFrame, max_limit: int, extra_order: list | None = None,
               limit_col: str = "limit") -> DataFrame:
     """Best ``limit`` rows per request by (score desc, doc_id[, extra]).

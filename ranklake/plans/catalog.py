@@ -25,7 +25,7 @@ from ranklake.operators.postings import SearchIndex, index_registry
 from ranklake.operators.query import query_terms
 from ranklake.operators.requests import (requests_with_defaults, valid_requests,
                                          validate_requests)
-from ranklake.operators.scoring import (bm25_search, global_rank, request_bounds,
+from ranklake.operators.scoring import (bm25_search, hit_pages, request_bounds,
                                         search_after, topk_hits, total_hits)
 from ranklake.plans.search import results_json, search
 from ranklake.sources import fixtures as fx
@@ -104,10 +104,27 @@ def _long(*names):
 
 
 def q_metadata_scan(spark, sf):
-    """Canonical metadata straight from the two schema groups (not the
-    stored copy)."""
-    return canonical_schema_a(fx.metadata_a(spark, sf), fx.INDEX_UUID).unionByName(
-        canonical_schema_b(fx.metadata_b(spark, sf), fx.INDEX_URL))
+    """The two schema groups written as the metadata files of a directory, one
+    per index, and read back by the directory scan. ``file_pos`` is a record's
+    place in its file, which is written in the fixture's order."""
+    from ranklake.session import scratch_path
+    from ranklake.sources.metadata import scan_metadata_dir
+    root = scratch_path(spark, "metadata-dir")
+    groups = ((fx.INDEX_UUID, fx.metadata_a(spark, sf)), (fx.INDEX_URL, fx.metadata_b(spark, sf)))
+    for name, rows in groups:
+        _write_file(spark, rows.orderBy("file_pos").drop("file_pos"), root, name)
+    return scan_metadata_dir(spark, root)
+
+
+def _write_file(spark, rows, root: str, name: str) -> None:
+    """``rows`` as the one file ``root/name.parquet`` (an index's metadata is
+    one file by definition of the layout)."""
+    rows.coalesce(1).write.parquet(f"{root}/parts/{name}")
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path
+    fs = path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    part = fs.globStatus(path(f"{root}/parts/{name}/part-*"))[0].getPath()
+    fs.rename(part, path(f"{root}/{name}.parquet"))
 
 
 def q_metadata_by_id(spark, sf):
@@ -143,6 +160,26 @@ def q_validate_requests(spark, sf):
     return Ctx(spark, sf).validated.select("request_id", "index_name", "limit", "status", "error")
 
 
+def q_request_errors(spark, sf):
+    """Good and bad requests in one table: by request_id modulo 8 an open
+    quote, a leading wildcard, a bad regular expression, a limit that is no
+    number, a phrase with slop or an operator without its clause. The good
+    ones get their hits, the others their status."""
+    from ranklake.operators.query import clauses_from_q
+    from ranklake.operators.scoring import evaluate
+    c = Ctx(spark, sf)
+    k, q = F.pmod("request_id", F.lit(8)), F.col("q")
+    bad = (F.when(k == 1, F.concat(F.lit('"'), q)).when(k == 2, F.concat(F.lit("*"), q))
+           .when(k == 3, F.concat(q, F.lit(" /[/"))).when(k == 5, F.concat(q, F.lit(' "a b"~2')))
+           .when(k == 6, F.concat(F.lit("AND "), q)).otherwise(q))
+    limit = F.when(k == 4, F.lit("abc")).otherwise(F.col("limit").cast("string"))
+    raw = fx.requests(spark, sf).withColumns({"q": bad, "limit": limit})
+    checked = validate_requests(requests_with_defaults(raw, DEFAULT_INDEX), index_registry(c.index))
+    hits = total_hits(evaluate(clauses_from_q(valid_requests(checked)), c.index, kinds={"term"}))
+    return checked.join(hits, "request_id", "left").select(
+        "request_id", "status", "error", F.coalesce("total_hits", F.lit(0)).cast("long").alias("total_hits"))
+
+
 def q_query_terms(spark, sf):
     return query_terms(Ctx(spark, sf).valid)
 
@@ -176,10 +213,7 @@ def q_search_after(spark, sf):
 
 
 def q_hit_pages(spark, sf):
-    c = Ctx(spark, sf)
-    r = global_rank(c.scores)
-    r = r.withColumn("page", (F.floor((F.col("rank") - 1) / F.col("limit")) + 1).cast("long"))
-    return r.select("request_id", "doc_id", *_long("rank", "page"))
+    return hit_pages(Ctx(spark, sf).scores).select("request_id", "doc_id", *_long("rank", "page"))
 
 
 def q_filtered_topk(spark, sf):
@@ -390,6 +424,7 @@ REGISTRY = {
     "term_stats": q_term_stats,
     "requests_with_defaults": q_requests_with_defaults,
     "validate_requests": q_validate_requests,
+    "request_errors": q_request_errors,
     "query_terms": q_query_terms,
     "match_any": q_match_any,
     "bm25_score": q_bm25_score,
@@ -431,8 +466,10 @@ REGISTRY = {
 
 # ---- query forms -----------------------------------------------------------
 
-def _tok(i: int):
-    return F.try_element_at(F.col("toks"), F.lit(i))
+def _each(form):
+    """``q`` with one item for every token of the passage: ``form`` gets the
+    token and its place (from 1)."""
+    return F.array_join(F.transform("toks", lambda t, i: form(t, i + 1)), " ")
 
 
 def _form_requests(c: Ctx, q) -> DataFrame:
@@ -453,33 +490,43 @@ def _form_scores(spark, sf, q, kinds, quantize=False):
 
 
 def q_match_bool(spark, sf):
-    q = F.concat_ws(" ", F.concat(F.lit("+"), _tok(1)), _tok(2), _tok(3),
-                    F.concat(F.lit("-"), _tok(4)))
+    """+first second third -fourth fifth AND sixth seventh ... NOT last."""
+    n = F.size("toks")
+    q = _each(lambda t, i: F.when(i == 1, F.concat(F.lit("+"), t)).when(i == 4, F.concat(F.lit("-"), t))
+              .when((i == 6) & (n >= 6), F.concat(F.lit("AND "), t))
+              .when((i == n) & (n > 6), F.concat(F.lit("NOT "), t)).otherwise(t))
     return _form_scores(spark, sf, q, {"term"})
 
 
 def q_match_phrase(spark, sf):
-    q = F.concat(F.lit('"'), F.concat_ws(" ", _tok(1), _tok(2), _tok(3)), F.lit('"'))
+    """A phrase for every three consecutive tokens."""
+    starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size("toks"), F.lit(1))), lambda i: i <= F.size("toks") - 2)
+    q = F.array_join(F.transform(starts, lambda i: F.concat(
+        F.lit('"'), F.array_join(F.slice("toks", i, F.lit(3)), " "), F.lit('"'))), " ")
     return _form_scores(spark, sf, q, {"phrase"})
 
 
 def q_match_pattern(spark, sf):
-    t1, t2, t3, t4, t5 = (_tok(i) for i in range(1, 6))
-    q = F.concat_ws(" ",
-                    F.concat(t1.substr(F.lit(1), F.lit(3)), F.lit("*")),
-                    F.concat(t2.substr(F.lit(1), F.lit(1)), F.lit("?"), t2.substr(F.lit(3), F.length(t2))),
-                    F.concat(F.lit("/"), t3.substr(F.lit(1), F.lit(2)), F.lit(".*/")),
-                    F.concat(F.lit("["), t4, F.lit(" TO "), t5, F.lit("]")))
-    return _form_scores(spark, sf, q, {"prefix", "wildcard", "regex", "range"})
+    """Every token in one of four forms by its place: prefix, wildcard,
+    regular expression, range up to the next token."""
+    def form(t, i):
+        nxt = F.try_element_at("toks", (i + 1).cast("int"))
+        return (F.when(i % 4 == 1, F.concat(t.substr(F.lit(1), F.lit(3)), F.lit("*")))
+                .when(i % 4 == 2, F.concat(t.substr(F.lit(1), F.lit(1)), F.lit("?"), t.substr(F.lit(3), F.length(t))))
+                .when(i % 4 == 3, F.concat(F.lit("/"), t.substr(F.lit(1), F.lit(2)), F.lit(".*/")))
+                .otherwise(F.concat(F.lit("["), t, F.lit(" TO "), nxt, F.lit("]"))))
+    return _form_scores(spark, sf, _each(form), {"prefix", "wildcard", "regex", "range"})
 
 
 def q_match_fuzzy(spark, sf):
-    q = F.concat_ws(" ", F.concat(_tok(1), F.lit("~")), F.concat(_tok(2), F.lit("~1")))
+    """Every token fuzzy: two edits, one edit, or a similarity of 0.8."""
+    q = _each(lambda t, i: F.concat(t, F.when(i % 3 == 1, F.lit("~")).when(i % 3 == 2, F.lit("~1")).otherwise(F.lit("~0.8"))))
     return _form_scores(spark, sf, q, {"fuzzy"})
 
 
 def q_boosted_terms(spark, sf):
-    q = F.concat_ws(" ", F.concat(_tok(1), F.lit("^2")), _tok(2), F.concat(_tok(3), F.lit("^0.5")))
+    """Every token, boosted by 2, 1 or 0.5."""
+    q = _each(lambda t, i: F.concat(t, F.when(i % 3 == 1, F.lit("^2")).when(i % 3 == 2, F.lit("")).otherwise(F.lit("^0.5"))))
     return _form_scores(spark, sf, q, {"term"})
 
 
@@ -499,6 +546,9 @@ REGISTRY.update({
 })
 
 
+#: Micro-batches of the streamed memory query.
+MEMORY_BATCHES = 4
+
 # ---- streaming ---------------------------------------------------------------
 
 def _chat_cfg():
@@ -537,12 +587,21 @@ def q_stream_search(spark, sf):
 
 
 def q_stream_memory(spark, sf):
-    """Final streamed memory per conversation (k = 5)."""
+    """Final streamed memory per conversation (k = 5). The messages come in
+    several micro-batches, dealt over files by a hash so that turns arrive out
+    of order, and every seventh message comes twice."""
     from pyspark.sql import Window
     from ranklake.session import scratch_path
     from ranklake.streaming.chat_stream import chat_source, stream_memory
-    sink = scratch_path(spark, "memory-out")
-    mem = stream_memory(chat_source(spark, _chat_files(spark, sf)))
+    path, sink = scratch_path(spark, "memory-in"), scratch_path(spark, "memory-out")
+    lines = fx.chat_json(spark, sf)
+    again = lines.filter(F.pmod(F.xxhash64("value"), F.lit(7)) == 0)
+    n = MEMORY_BATCHES
+    for k in range(n):
+        first = lines.filter(F.pmod(F.xxhash64("value"), F.lit(n)) == k)
+        late = again.filter(F.pmod(F.xxhash64("value"), F.lit(n)) == (k - 1) % n)
+        first.unionByName(late).coalesce(1).write.mode("append").text(path)
+    mem = stream_memory(chat_source(spark, path, max_files_per_trigger=1))
     q = (mem.writeStream.format("parquet").option("path", sink)
          .option("checkpointLocation", scratch_path(spark, "memory-ckpt"))
          .trigger(availableNow=True).start())

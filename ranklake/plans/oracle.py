@@ -137,7 +137,7 @@ SELECT index_name, doc_id, doc_key, file_pos, language, 'uuid' AS mode, meta_url
 
 cte("raw_req", [], f"""
 SELECT item_id AS request_id,
-       array_to_string(regexp_extract_all(text, '{TOKEN_RE}')[1:5], ' ') AS q,
+       array_to_string(regexp_extract_all(text, '{TOKEN_RE}'), ' ') AS q,
        CASE WHEN item_id % 13 = 12 THEN 'nowhere' WHEN item_id % 2 = 0 THEN 'demo_a' ELSE 'demo_b' END AS "index",
        CASE item_id % 5 WHEN 1 THEN 'en' WHEN 2 THEN 'DE' WHEN 3 THEN 'fr' WHEN 4 THEN 'Es' END AS lang,
        CASE item_id % 4 WHEN 1 THEN 'asc' WHEN 2 THEN 'DESC' WHEN 3 THEN 'other' END AS ranking,
@@ -261,7 +261,7 @@ def build(body: str, needs: list[str]) -> str:
 def _vec_pairs() -> None:
     cte("qvec", [], """
 SELECT b.item_id AS request_id, e.embedding AS qvec
-FROM benchmark b JOIN embeddings e ON b.item_id = e.vec_id""")
+FROM benchmark b JOIN embeddings e ON b.item_id % (SELECT count(*) FROM embeddings) = e.vec_id""")
     cte("dvec", [], """
 SELECT d.doc_id, e.embedding AS dvec
 FROM documents d JOIN embeddings e ON d.doc_id % (SELECT count(*) FROM embeddings) = e.vec_id""")
@@ -281,7 +281,7 @@ FROM pairs""")
 _vec_pairs()
 
 cte("messages", [], """
-SELECT conv_id * 1000 + turn AS message_id, conv_id, turn, role,
+SELECT CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS message_id, conv_id, turn, role,
        role || '_' || CAST(conv_id AS VARCHAR) AS username,
        CASE WHEN role = 'user' AND turn = 0 AND conv_id % 5 = 0
               THEN 'data:image/jpeg;base64,' || to_base64(encode(text))
@@ -291,14 +291,14 @@ SELECT conv_id * 1000 + turn AS message_id, conv_id, turn, role,
 FROM conversations""")
 
 cte("captions", [], f"""
-SELECT conv_id * 1000 + turn AS message_id,
-       lower(array_to_string(regexp_extract_all(text, '{TOKEN_RE}')[1:3], ' ')) AS caption
+SELECT CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS message_id,
+       lower(array_to_string(regexp_extract_all(text, '{TOKEN_RE}'), ' ')) AS caption
 FROM conversations WHERE role = 'user' AND turn = 0 AND conv_id % 5 = 0""")
 
 ROUTE = "CASE WHEN prefix(message, 'data:image/jpeg;base64,') THEN 'image' ELSE 'text' END"
 
 ORACLE: dict[str, tuple[str, list[str]]] = {
-    "metadata_scan": ("SELECT index_name, id, url, title, plain_text, language, warc_date, file_pos FROM meta", ["meta"]),
+    "metadata_scan": ("SELECT index_name, id, url, title, plain_text, language, warc_date, row_number() OVER (PARTITION BY index_name ORDER BY file_pos) - 1 AS file_pos FROM meta", ["meta"]),
     "metadata_by_id": ("SELECT index_name, id, url, title, language, warc_date, file_pos FROM meta_by_id", ["meta_by_id"]),
     "index_registry": ("SELECT DISTINCT index_name FROM corpus_stats", ["corpus_stats"]),
     "build_postings": ("SELECT index_name, term, doc_id, tf, dl, array_to_string(positions, ',') AS positions FROM postings", ["postings"]),
@@ -306,6 +306,13 @@ ORACLE: dict[str, tuple[str, list[str]]] = {
     "term_stats": ("SELECT index_name, term, df FROM term_stats", ["term_stats"]),
     "requests_with_defaults": ('SELECT request_id, q, index_name, lang, ranking, "limit" FROM reqs', ["reqs"]),
     "validate_requests": ('SELECT request_id, index_name, "limit", CAST(status AS INTEGER) AS status, error FROM validated', ["validated"]),
+    "request_errors": ("""
+SELECT v.request_id, CAST(CASE WHEN k IN (1, 2, 3, 4, 5, 6) THEN 500 ELSE v.status END AS INTEGER) AS status,
+       CASE WHEN k IN (1, 2, 3, 5, 6) THEN 'The query could not be parsed' WHEN k = 4 THEN 'The limit must be an integer'
+            ELSE v.error END AS error,
+       CAST(CASE WHEN k IN (0, 7) THEN coalesce(n.hits, 0) ELSE 0 END AS BIGINT) AS total_hits
+FROM (SELECT *, request_id % 8 AS k FROM validated) v
+LEFT JOIN (SELECT request_id, count(*) AS hits FROM scores GROUP BY request_id) n ON v.request_id = n.request_id""", ["validated", "scores"]),
     "query_terms": ("SELECT request_id, index_name, term, CAST(sum(qtf) AS BIGINT) AS qtf FROM qt GROUP BY request_id, index_name, term", ["qt"]),
     "match_any": ("SELECT request_id, index_name, doc_id FROM scores", ["scores"]),
     "bm25_score": ("SELECT request_id, index_name, doc_id, score FROM scores", ["scores"]),
@@ -467,13 +474,18 @@ FROM valid v JOIN benchmark b ON v.request_id = b.item_id""")
 IDF = "ln(1 + (c.n_docs - t.df + 0.5) / (t.df + 0.5))"
 TFN = "(p.tf / (p.tf + 1.2 * (0.25 + 0.75 * p.dl / c.avgdl)))"
 
-cte("bclauses", ["ftoks"], """
+# Every token of the passage is a clause; its place (from 1) gives the form.
+cte("places", ["ftoks"], """
+SELECT request_id, index_name, unnest(toks) AS term, generate_subscripts(toks, 1) AS i, len(toks) AS n FROM ftoks""")
+
+# +first second third -fourth fifth AND sixth seventh NOT eighth ninth ...
+cte("bclauses", ["places"], """
 SELECT request_id, index_name, occur, term, count(*) AS w FROM (
-  SELECT request_id, index_name, 'MUST' AS occur, toks[1] AS term FROM ftoks
-  UNION ALL SELECT request_id, index_name, 'SHOULD', toks[2] FROM ftoks
-  UNION ALL SELECT request_id, index_name, 'SHOULD', toks[3] FROM ftoks
-  UNION ALL SELECT request_id, index_name, 'MUST_NOT', toks[4] FROM ftoks)
-WHERE term IS NOT NULL GROUP BY request_id, index_name, occur, term""")
+  SELECT request_id, index_name, term,
+         CASE WHEN i = 1 THEN 'MUST' WHEN i = n AND n > 6 THEN 'MUST_NOT' WHEN i IN (5, 6) AND n >= 6 THEN 'MUST'
+              WHEN i = 4 THEN 'MUST_NOT' ELSE 'SHOULD' END AS occur
+  FROM places)
+GROUP BY request_id, index_name, occur, term""")
 
 cte("bscores", ["bclauses", "term_stats", "corpus_stats", "postings"], f"""
 SELECT h.request_id, h.doc_id,
@@ -489,47 +501,68 @@ HAVING count(*) FILTER (WHERE h.occur = 'MUST') = n.n_must
    AND count(*) FILTER (WHERE h.occur = 'MUST_NOT') = 0
    AND count(*) FILTER (WHERE h.occur <> 'MUST_NOT') > 0""")
 
-cte("pscores", ["ftoks", "tok", "term_stats", "corpus_stats", "doc_len"], """
-SELECT s.request_id, s.doc_id,
-       round((i1.idf + i2.idf + i3.idf) * s.freq / (s.freq + 1.2 * (0.25 + 0.75 * dl.dl / c.avgdl)), 6) AS score
-FROM (SELECT f.request_id, f.index_name, a.doc_id, count(*) AS freq
-      FROM ftoks f
-      JOIN tok a ON a.index_name = f.index_name AND a.term = f.toks[1]
-      JOIN tok b ON b.index_name = f.index_name AND b.doc_id = a.doc_id AND b.term = f.toks[2] AND b.pos = a.pos + 1
-      JOIN tok d ON d.index_name = f.index_name AND d.doc_id = a.doc_id AND d.term = f.toks[3] AND d.pos = a.pos + 2
-      GROUP BY f.request_id, f.index_name, a.doc_id) s
-JOIN ftoks f ON f.request_id = s.request_id
+# One phrase clause for every three consecutive tokens. The corpus tokens are
+# cut down to query terms first.
+cte("grams", ["places"], """
+SELECT a.request_id, a.index_name, a.i AS clause, a.term AS t1, b.term AS t2, c.term AS t3
+FROM places a JOIN places b ON b.request_id = a.request_id AND b.i = a.i + 1
+JOIN places c ON c.request_id = a.request_id AND c.i = a.i + 2""")
+
+cte("qtok", ["places", "tok"], """
+SELECT index_name, doc_id, term, pos FROM tok
+WHERE (index_name, term) IN (SELECT DISTINCT index_name, term FROM places)""")
+
+cte("trigrams", ["qtok", "grams"], """
+SELECT a.index_name, a.doc_id, a.term AS t1, b.term AS t2, d.term AS t3, count(*) AS freq
+FROM qtok a
+JOIN qtok b ON b.index_name = a.index_name AND b.doc_id = a.doc_id AND b.pos = a.pos + 1
+JOIN qtok d ON d.index_name = a.index_name AND d.doc_id = a.doc_id AND d.pos = a.pos + 2
+WHERE (a.index_name, a.term, b.term, d.term) IN (SELECT index_name, t1, t2, t3 FROM grams)
+GROUP BY ALL""")
+
+cte("qidf", ["term_stats", "corpus_stats", "places"], """
+SELECT t.index_name, t.term, ln(1 + (c.n_docs - t.df + 0.5) / (t.df + 0.5)) AS idf
+FROM term_stats t JOIN corpus_stats c ON t.index_name = c.index_name
+WHERE (t.index_name, t.term) IN (SELECT DISTINCT index_name, term FROM places)""")
+
+cte("pscores", ["grams", "trigrams", "qidf", "corpus_stats", "doc_len"], """
+SELECT g.request_id, s.doc_id,
+       round(sum((i1.idf + i2.idf + i3.idf) * s.freq / (s.freq + 1.2 * (0.25 + 0.75 * dl.dl / c.avgdl))), 6) AS score
+FROM grams g
+JOIN trigrams s ON s.index_name = g.index_name AND s.t1 = g.t1 AND s.t2 = g.t2 AND s.t3 = g.t3
 JOIN corpus_stats c ON c.index_name = s.index_name
 JOIN doc_len dl ON dl.index_name = s.index_name AND dl.doc_id = s.doc_id
-JOIN (SELECT t.index_name, t.term, ln(1 + (c.n_docs - t.df + 0.5) / (t.df + 0.5)) AS idf
-      FROM term_stats t JOIN corpus_stats c ON t.index_name = c.index_name) i1
-  ON i1.index_name = s.index_name AND i1.term = f.toks[1]
-JOIN (SELECT t.index_name, t.term, ln(1 + (c.n_docs - t.df + 0.5) / (t.df + 0.5)) AS idf
-      FROM term_stats t JOIN corpus_stats c ON t.index_name = c.index_name) i2
-  ON i2.index_name = s.index_name AND i2.term = f.toks[2]
-JOIN (SELECT t.index_name, t.term, ln(1 + (c.n_docs - t.df + 0.5) / (t.df + 0.5)) AS idf
-      FROM term_stats t JOIN corpus_stats c ON t.index_name = c.index_name) i3
-  ON i3.index_name = s.index_name AND i3.term = f.toks[3]""")
-
-cte("patscores", ["ftoks", "term_stats", "postings"], """
-SELECT request_id, doc_id, round(CAST(count(DISTINCT clause) AS DOUBLE), 6) AS score FROM (
-  SELECT f.request_id, p.doc_id, e.clause
-  FROM ftoks f
-  JOIN (SELECT f2.request_id, 1 AS clause, t.index_name, t.term FROM ftoks f2 JOIN term_stats t
-          ON t.index_name = f2.index_name AND prefix(t.term, substr(f2.toks[1], 1, 3))
-        UNION ALL
-        SELECT f2.request_id, 2, t.index_name, t.term FROM ftoks f2 JOIN term_stats t
-          ON t.index_name = f2.index_name AND length(t.term) = greatest(length(f2.toks[2]), 2)
-         AND substr(t.term, 1, 1) = substr(f2.toks[2], 1, 1) AND substr(t.term, 3) = substr(f2.toks[2], 3)
-        UNION ALL
-        SELECT f2.request_id, 3, t.index_name, t.term FROM ftoks f2 JOIN term_stats t
-          ON t.index_name = f2.index_name AND prefix(t.term, substr(f2.toks[3], 1, 2))
-        UNION ALL
-        SELECT f2.request_id, 4, t.index_name, t.term FROM ftoks f2 JOIN term_stats t
-          ON t.index_name = f2.index_name AND t.term >= f2.toks[4] AND t.term <= f2.toks[5]) e
-    ON e.request_id = f.request_id
-  JOIN postings p ON p.index_name = e.index_name AND p.term = e.term)
-GROUP BY request_id, doc_id""")
+JOIN qidf i1 ON i1.index_name = g.index_name AND i1.term = g.t1
+JOIN qidf i2 ON i2.index_name = g.index_name AND i2.term = g.t2
+JOIN qidf i3 ON i3.index_name = g.index_name AND i3.term = g.t3
+GROUP BY g.request_id, s.doc_id""")
+
+# A token's place modulo 4 gives its form: prefix of its first three
+# characters, one-character wildcard at its second, regular expression on its
+# first two, range up to the next token.
+cte("patterns", ["places"], """
+SELECT DISTINCT p.index_name, p.i % 4 AS form, p.term, CASE WHEN p.i % 4 = 0 THEN q.term END AS upper
+FROM places p LEFT JOIN places q ON q.request_id = p.request_id AND q.i = p.i + 1""")
+
+cte("patterms", ["patterns", "term_stats"], """
+SELECT p.index_name, p.form, p.term AS text, p.upper, t.term FROM patterns p JOIN term_stats t ON t.index_name = p.index_name
+WHERE CASE p.form WHEN 1 THEN prefix(t.term, substr(p.term, 1, 3))
+           WHEN 2 THEN length(t.term) = greatest(length(p.term), 2) AND substr(t.term, 1, 1) = substr(p.term, 1, 1)
+                       AND substr(t.term, 3) = substr(p.term, 3)
+           WHEN 3 THEN prefix(t.term, substr(p.term, 1, 2))
+           ELSE t.term >= p.term AND t.term <= p.upper END""")
+
+cte("patdocs", ["patterms", "postings"], """
+SELECT DISTINCT e.index_name, e.form, e.text, e.upper, p.doc_id
+FROM patterms e JOIN postings p ON p.index_name = e.index_name AND p.term = e.term""")
+
+cte("patscores", ["places", "patdocs"], """
+SELECT p.request_id, d.doc_id, round(CAST(count(*) AS DOUBLE), 6) AS score
+FROM (SELECT a.request_id, a.index_name, a.i % 4 AS form, a.term, CASE WHEN a.i % 4 = 0 THEN b.term END AS upper
+      FROM places a LEFT JOIN places b ON b.request_id = a.request_id AND b.i = a.i + 1) p
+JOIN patdocs d ON d.index_name = p.index_name AND d.form = p.form AND d.text = p.term
+ AND d.upper IS NOT DISTINCT FROM p.upper
+GROUP BY p.request_id, d.doc_id""")
 
 # DuckDB's levenshtein counts bytes, Spark's counts characters: the few
 # non-ASCII characters of the vocabulary are mapped one to one onto ASCII
@@ -543,7 +576,7 @@ FROM (SELECT ch, row_number() OVER (ORDER BY ch) AS rn FROM (
         UNION SELECT DISTINCT unnest(string_split(array_to_string(toks, ''), '')) FROM ftoks)
       WHERE unicode(ch) > 127)""")
 
-cte("fzscores", ["ftoks", "term_stats", "corpus_stats", "postings", "charmap"], """
+cte("fzscores", ["places", "term_stats", "corpus_stats", "postings", "charmap"], """
 SELECT x.request_id, p.doc_id,
        round(sum(x.sim * ln(1 + (c.n_docs - x.df_blend + 0.5) / (x.df_blend + 0.5))
                  * (p.tf / (p.tf + 1.2 * (0.25 + 0.75 * p.dl / c.avgdl)))), 6) AS score
@@ -552,8 +585,9 @@ FROM (SELECT *, max(df) OVER (PARTITION BY request_id, clause) AS df_blend FROM
           SELECT q.request_id, q.index_name, q.clause, t.term, t.df,
                  1.0 - levenshtein(translate(t.term, m.src, m.dst), translate(q.qterm, m.src, m.dst))
                        / least(length(t.term), length(q.qterm)) AS sim
-          FROM (SELECT request_id, index_name, 1 AS clause, toks[1] AS qterm, 2 AS k FROM ftoks
-                UNION ALL SELECT request_id, index_name, 2, toks[2], 1 FROM ftoks) q
+          FROM (SELECT request_id, index_name, i AS clause, term AS qterm,
+                       CASE i % 3 WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE CAST(least(floor((1 - CAST(0.8 AS DOUBLE)) * length(term)), 2) AS BIGINT) END AS k
+                FROM places) q
           JOIN term_stats t ON t.index_name = q.index_name
            AND abs(length(t.term) - length(q.qterm)) <= q.k
           CROSS JOIN charmap m
@@ -564,13 +598,10 @@ JOIN corpus_stats c ON c.index_name = x.index_name
 JOIN postings p ON p.index_name = x.index_name AND p.term = x.term
 GROUP BY x.request_id, p.doc_id""")
 
-cte("boostscores", ["ftoks", "term_stats", "corpus_stats", "postings"], f"""
+cte("boostscores", ["places", "term_stats", "corpus_stats", "postings"], f"""
 SELECT q.request_id, p.doc_id, round(sum(q.w * {IDF} * {TFN}), 6) AS score
-FROM (SELECT request_id, index_name, term, sum(w) AS w FROM (
-        SELECT request_id, index_name, toks[1] AS term, 2.0 AS w FROM ftoks
-        UNION ALL SELECT request_id, index_name, toks[2], 1.0 FROM ftoks
-        UNION ALL SELECT request_id, index_name, toks[3], 0.5 FROM ftoks)
-      GROUP BY request_id, index_name, term) q
+FROM (SELECT request_id, index_name, term, sum(CASE i % 3 WHEN 1 THEN 2.0 WHEN 2 THEN 1.0 ELSE 0.5 END) AS w
+      FROM places GROUP BY request_id, index_name, term) q
 JOIN term_stats t ON q.index_name = t.index_name AND q.term = t.term
 JOIN corpus_stats c ON q.index_name = c.index_name
 JOIN postings p ON q.index_name = p.index_name AND q.term = p.term
@@ -627,7 +658,7 @@ WHERE m.role = 'user'""")
         CTES["c_" + n] = ([("c_" + d) if d in names else d for d in deps],
                           pat.sub(lambda m: "c_" + m.group(1), sql))
     cte("answers", [], """
-SELECT u.conv_id * 1000 + u.turn AS message_id, a.text AS answer
+SELECT CAST(u.conv_id AS VARCHAR) || '-' || CAST(u.turn AS VARCHAR) AS message_id, a.text AS answer
 FROM conversations u JOIN conversations a
   ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant'
 WHERE u.role = 'user'""")

@@ -20,10 +20,10 @@ from ranklake.config import BROADCAST_MAX_ROWS, DEFAULT_LIMIT, RANKING_ASC, RANK
 from ranklake.operators.enrich import (BARE_POS, RECORD_COLUMNS, RESULT_COLUMNS, doc_meta,
                                        filtered_topk, result_records)
 from ranklake.operators.postings import SearchIndex, index_registry
-from ranklake.operators.query import plain_clauses
+from ranklake.operators.query import clauses_from_q
 from ranklake.operators.requests import (rejected_requests, requests_with_defaults,
                                          valid_requests, validate_requests)
-from ranklake.operators.scoring import evaluate, request_sizes
+from ranklake.operators.scoring import evaluate, request_bounds
 
 
 def _bounded(df: DataFrame, n_rows: int) -> DataFrame:
@@ -55,7 +55,7 @@ class SearchOutput:
 
 def search(requests: DataFrame, index: SearchIndex, metadata: DataFrame | None,
            default_index: str, default_limit: int = DEFAULT_LIMIT,
-           clauses_fn=plain_clauses, kinds: set[str] | None = None,
+           clauses_fn=clauses_from_q, kinds: set[str] | None = None,
            quantize: bool = False, rerank: bool = True,
            mapping: DataFrame | None = None,
            records: DataFrame | None = None) -> SearchOutput:
@@ -69,12 +69,13 @@ def search(requests: DataFrame, index: SearchIndex, metadata: DataFrame | None,
     reqs = requests_with_defaults(requests, default_index, default_limit)
     validated = validate_requests(reqs, index_registry(index))
     valid = valid_requests(validated)
-    n_req, max_lim, n_tok = request_sizes(valid)
-    n_clauses = None
-    if kinds is None and clauses_fn is plain_clauses:
-        kinds, n_clauses = {"term"}, n_tok
-    scores = evaluate(clauses_fn(valid), index, quantize=quantize, kinds=kinds,
-                      n_clauses=n_clauses)
+    n_req, max_lim = request_bounds(valid)
+    clauses = clauses_fn(valid)
+    # One small job: how many clauses there are and of which kinds, so the plan
+    # holds only those.
+    found = clauses.agg(F.count(F.lit(1)).alias("n"), F.collect_set("kind").alias("kinds")).first()
+    scores = evaluate(clauses, index, quantize=quantize, kinds=kinds or set(found.kinds) or {"term"},
+                      n_clauses=found.n)
     if mapping is None:
         mapping = doc_meta(index.doc_stats, metadata)
     # The top-k rows (at most requests x largest limit) feed two consumers

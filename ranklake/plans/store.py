@@ -5,16 +5,16 @@ table cuts the lineage: no query re-tokenises the corpus)."""
 
 from __future__ import annotations
 
-import os
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ranklake.operators.enrich import (canonical_schema_a, canonical_schema_b, doc_meta,
                                        result_records)
-from ranklake.operators.postings import SearchIndex
-from ranklake.session import scratch_path
+from ranklake.operators.postings import SearchIndex, shards_for
+from ranklake.session import ensure_checkpoint_dir, scratch_path
 from ranklake.sources import fixtures as fx
+from ranklake.sources.tables import read_table
 
 
 @dataclass
@@ -26,7 +26,23 @@ class Store:
     records: DataFrame
 
 
-_ROOTS: dict[tuple[str, str], str] = {}
+_ROOTS: dict[tuple, str] = {}
+
+
+def _files(spark: SparkSession, sf_dir: str, name: str) -> list[tuple]:
+    """Path, size and modification time of every file of a table."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    out = []
+    for file in read_table(spark, sf_dir, name).inputFiles():
+        path = jvm.org.apache.hadoop.fs.Path(file)
+        st = path.getFileSystem(conf).getFileStatus(path)
+        out.append((file, st.getLen(), st.getModificationTime()))
+    return sorted(out)
+
+
+def _input_state(spark: SparkSession, sf_dir: str) -> tuple:
+    """What the store is built of."""
+    return tuple(f for name in ("documents", "pages") for f in _files(spark, sf_dir, name))
 
 
 def _done(spark: SparkSession, root: str) -> bool:
@@ -43,7 +59,8 @@ def _mark_done(spark: SparkSession, root: str) -> None:
 def build_store(spark: SparkSession, sf_dir: str) -> Store:
     """Build (one-off) the stored tables of the fixture indexes of ``sf_dir``."""
     root = scratch_path(spark, "store")
-    index = SearchIndex.build(fx.corpus(spark, sf_dir)).save(root)
+    size = sum(n for _, n, _ in _files(spark, sf_dir, "documents"))
+    index = SearchIndex.build(fx.corpus(spark, sf_dir)).save(root, shards_for(spark, size))
     meta = canonical_schema_a(fx.metadata_a(spark, sf_dir), fx.INDEX_UUID).unionByName(
         canonical_schema_b(fx.metadata_b(spark, sf_dir), fx.INDEX_URL))
     meta.write.mode("overwrite").partitionBy("index_name").parquet(f"{root}/metadata")
@@ -63,8 +80,9 @@ def load_store(spark: SparkSession, root: str) -> Store:
 
 
 def store_for(spark: SparkSession, sf_dir: str) -> Store:
-    """The stored tables of ``sf_dir`` for this process (built on first use)."""
-    key = (spark.conf.get("spark.checkpoint.dir"), os.path.abspath(sf_dir))
+    """The stored tables of ``sf_dir`` for this process, built on first use and
+    again when the input files have changed."""
+    key = (ensure_checkpoint_dir(spark), _input_state(spark, sf_dir))
     root = _ROOTS.get(key)
     if root is not None and _done(spark, root):
         return load_store(spark, root)

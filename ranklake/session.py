@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -40,16 +41,20 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the session.
 
-    On a cluster ``spark.checkpoint.dir`` names a folder every executor can
-    reach; it is used as is.  Only when it is unset (local runs and tests) a
-    fresh folder under the system temp dir is taken.
+    A folder that the context already has is used first, then the one that
+    ``spark.checkpoint.dir`` names; on a cluster every executor must reach it.
+    Only on a local master without either is a fresh folder under the system
+    temp dir taken; elsewhere that raises.
     """
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    path = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.match(r"local(\[[^]]*\])?$", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="ranklake-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(path)
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(path)
     return path
 
 

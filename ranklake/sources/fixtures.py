@@ -114,11 +114,11 @@ def metadata_b(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One request per benchmark item: its first five tokens as ``q``, the
+    """One request per benchmark item: all tokens of its passage as ``q``, the
     other parameters cycling through the fixed lists (nulls included)."""
     b = read_table(spark, sf_dir, "benchmark").select("item_id", "text")
     item = F.col("item_id")
-    q = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(TOKEN_PATTERN), 0), 1, 5), " ")
+    q = F.array_join(F.regexp_extract_all("text", F.lit(TOKEN_PATTERN), 0), " ")
     index = (F.when(F.pmod(item, F.lit(13)) == 12, F.lit(INDEX_MISSING))
              .when(F.pmod(item, F.lit(2)) == 0, F.lit(INDEX_UUID))
              .otherwise(F.lit(INDEX_URL)))
@@ -129,11 +129,17 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         _pick(item, REQUEST_LIMITS).cast("int").alias("limit"))
 
 
+def message_id():
+    """A message's key: its conversation and turn."""
+    return F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+
+
 def query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(request_id, qvec): vector ``vec_id = item_id``."""
+    """(request_id, qvec): vector ``vec_id = item_id % (number of vectors)``."""
     b = read_table(spark, sf_dir, "benchmark").select("item_id")
     e = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    return (b.join(e, b.item_id == e.vec_id, "inner")
+    n_vec = e.agg(F.count(F.lit(1))).scalar()
+    return (b.withColumn("vec_id", F.pmod("item_id", n_vec)).join(e, "vec_id", "inner")
             .select(F.col("item_id").alias("request_id"), F.col("embedding").alias("qvec")))
 
 
@@ -175,7 +181,7 @@ def chat_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
                      F.concat(F.lit("data:image/png;base64,"), b64))
                .otherwise(F.col("text")))
     return c.select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("message_id"),
+        message_id().alias("message_id"),
         "conv_id", "turn", "role",
         F.concat(F.col("role"), F.lit("_"), F.col("conv_id").cast("string")).alias("username"),
         message.alias("message"))
@@ -190,13 +196,12 @@ def chat_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def captions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(message_id, caption) for image messages: stands in for the caption
-    model; the first three tokens of the message's text."""
+    model; all tokens of the message's text."""
     c = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return (c.filter((F.col("role") == "user") & (F.col("turn") == 0)
                      & (F.pmod("conv_id", F.lit(5)) == 0))
-            .select((F.col("conv_id") * 1000 + F.col("turn")).alias("message_id"),
-                    F.lower(F.array_join(F.slice(
-                        F.regexp_extract_all("text", F.lit(TOKEN_PATTERN), 0), 1, 3), " "))
+            .select(message_id().alias("message_id"),
+                    F.lower(F.array_join(F.regexp_extract_all("text", F.lit(TOKEN_PATTERN), 0), " "))
                     .alias("caption")))
 
 
@@ -208,4 +213,4 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
         "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
     u = c.filter(F.col("role") == "user").select("conv_id", "turn")
     return u.join(a, ["conv_id", "turn"], "inner").select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("message_id"), "answer")
+        message_id().alias("message_id"), "answer")

@@ -13,6 +13,10 @@ duplicate wins". Unreadable files are skipped (``ignoreCorruptFiles``).
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,6 +32,9 @@ SCHEMA_B = T.StructType(
                                    "language")]
     + [T.StructField("warc_date", T.LongType())])
 
+#: Footers read at a time when a directory is scanned.
+FOOTER_READERS = 16
+
 SUFFIXES = (".parquet", ".parquet.gz")
 
 
@@ -43,12 +50,18 @@ def _list_files(spark: SparkSession, path: str) -> list[str]:
     return sorted(out)
 
 
-def _schema_group(spark: SparkSession, file: str) -> str | None:
-    try:
-        names = set(spark.read.parquet(file).schema.fieldNames())
-    except Exception:  # noqa: BLE001 - unreadable file: skipped like the reference
-        return None
-    return "a" if "record_id" in names else "b"
+def _schema_groups(spark: SparkSession, files: list[str]) -> dict[str, list[str]]:
+    """Files by schema, from their footers, several read at a time; an
+    unreadable file is skipped like the reference does."""
+    def group(file: str) -> str | None:
+        try:
+            names = set(spark.read.parquet(file).schema.fieldNames())
+        except (PySparkException, Py4JJavaError):
+            return None
+        return "a" if "record_id" in names else "b"
+    with ThreadPoolExecutor(FOOTER_READERS) as pool:
+        found = list(zip(files, pool.map(group, files), strict=True))
+    return {g: [f for f, x in found if x == g] for g in ("a", "b")}
 
 
 def _read_group(spark: SparkSession, files: list[str], schema: T.StructType) -> DataFrame:
@@ -60,18 +73,15 @@ def _read_group(spark: SparkSession, files: list[str], schema: T.StructType) ->
 
 def scan_metadata_dir(spark: SparkSession, path: str) -> DataFrame:
     """Canonical metadata of every index file in ``path`` (see module doc)."""
-    groups: dict[str, list[str]] = {"a": [], "b": []}
-    for f in _list_files(spark, path):
-        g = _schema_group(spark, f)
-        if g is not None:
-            groups[g].append(f)
+    groups = _schema_groups(spark, _list_files(spark, path))
     parts = []
     if groups["a"]:
         parts.append(canonical_schema_a(_read_group(spark, groups["a"], SCHEMA_A)))
     if groups["b"]:
         parts.append(canonical_schema_b(_read_group(spark, groups["b"], SCHEMA_B)))
     if not parts:
-        empty = spark.createDataFrame([], SCHEMA_A.add("index_name", S).add("file_pos", T.LongType()))
+        more = [T.StructField("index_name", S), T.StructField("file_pos", T.LongType())]
+        empty = spark.createDataFrame([], T.StructType([*SCHEMA_A.fields, *more]))
         return canonical_schema_a(empty)
     out = parts[0]
     for p in parts[1:]:

@@ -29,7 +29,6 @@ from ranklake.config import MEMORY_EXCHANGES, RETRIEVER_LANG, RETRIEVER_LIMIT
 from ranklake.operators import chain, chat
 from ranklake.operators.postings import SearchIndex
 from ranklake.plans.search import search
-from ranklake.session import scratch_path
 
 
 @dataclass
@@ -94,19 +93,29 @@ def stream_search(stream: DataFrame, index: SearchIndex, metadata: DataFrame | N
                   cfg: ChatConfig, captions: DataFrame, answers: DataFrame,
                   sink: str, checkpoint: str | None = None, available_now: bool = True,
                   mapping: DataFrame | None = None, records: DataFrame | None = None):
-    """Start the streaming job; returns the ``StreamingQuery``."""
-    spark = stream.sparkSession
-    checkpoint = checkpoint or scratch_path(spark, "stream-search-ckpt")
+    """Start the streaming job; returns the ``StreamingQuery``.
+
+    Progress lives in ``checkpoint``, by default the folder next to ``sink``
+    with the suffix ``.checkpoint``, so a restart on the same sink goes on
+    where it ended. A micro-batch is read once and held while it is answered."""
+    checkpoint = checkpoint or f"{sink.rstrip('/')}.checkpoint"
 
     def run_batch(batch: DataFrame, batch_id: int) -> None:
-        out = transcript_batch(batch, index, metadata, cfg, captions, answers, mapping, records)
-        out.write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
+        batch = batch.persist()
+        try:
+            out = transcript_batch(batch, index, metadata, cfg, captions, answers, mapping, records)
+            out.write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
+        finally:
+            batch.unpersist()
 
     w = stream.writeStream.foreachBatch(run_batch).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="5 seconds")
     return w.start()
 
 
+#: A conversation without a message for so long is forgotten (a day).
+MEMORY_IDLE_MS = 24 * 3600 * 1000
+
 MEMORY_OUT = T.StructType([
     T.StructField("conv_id", T.LongType()),
     T.StructField("emit", T.LongType()),
@@ -122,34 +131,43 @@ MEMORY_STATE = T.StructType([
 ])
 
 
-def _memory_fn(k: int):
+def _memory_fn(k: int, idle_ms: int):
     keep = 2 * k
 
     def update(key, batches, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        emits, held = 0, {}
         if state.exists:
             emits, turns, roles, texts = state.get
-            turns, roles, texts = list(turns), list(roles), list(texts)
-        else:
-            emits, turns, roles, texts = 0, [], [], []
-        for pdf in batches:
-            pdf = pdf.sort_values("turn")
-            turns += pdf["turn"].astype("int64").tolist()
-            roles += pdf["role"].tolist()
-            texts += pdf["text"].tolist()
-            turns, roles, texts = turns[-keep:], roles[-keep:], texts[-keep:]
+            held = {t: (r, x) for t, r, x in zip(turns, roles, texts, strict=True)}
+        for pdf in batches:  # a conversation may come in several pieces
+            for t, r, x in zip(pdf["turn"], pdf["role"], pdf["text"], strict=True):
+                held[int(t)] = (r, x)  # a turn that comes again replaces itself
+            held = {t: held[t] for t in sorted(held)[-keep:]}
         emits += 1
+        turns = list(held)
+        roles, texts = [held[t][0] for t in turns], [held[t][1] for t in turns]
         state.update((emits, turns, roles, texts))
+        state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame({"conv_id": [key[0]] * len(turns), "emit": [emits] * len(turns),
                             "turn": turns, "role": roles, "text": texts})
 
     return update
 
 
-def stream_memory(stream: DataFrame, k: int = MEMORY_EXCHANGES) -> DataFrame:
+def stream_memory(stream: DataFrame, k: int = MEMORY_EXCHANGES, idle_ms: int = MEMORY_IDLE_MS) -> DataFrame:
     """Streaming last-k memory: after every micro-batch, the conversation's
     current memory (at most 2k user/assistant messages) tagged with the
-    emission number. The state per conversation is bounded by 2k."""
-    m = stream.filter(F.col("role").isin("user", "assistant")).select(
+    emission number.
+
+    State and input are merged by turn before they are cut, so late and
+    repeated messages and any split into micro-batches give the same memory.
+    The state per conversation is bounded by 2k messages and removed after
+    ``idle_ms`` without one; messages without conversation or turn are left
+    out."""
+    m = stream.filter(F.col("role").isin("user", "assistant") & F.col("conv_id").isNotNull() & F.col("turn").isNotNull()).select(
         "conv_id", "turn", "role", F.col("message").alias("text"))
     return m.groupBy("conv_id").applyInPandasWithState(
-        _memory_fn(k), MEMORY_OUT, MEMORY_STATE, "append", GroupStateTimeout.NoTimeout)
+        _memory_fn(k, idle_ms), MEMORY_OUT, MEMORY_STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)

@@ -71,3 +71,44 @@ def test_fill_to_limit_scores_once(spark, sf):
     p = plan(filtered_topk(bm25_search(valid, st.index), valid, st.mapping, 20, 40))
     scans = [ln for ln in p.splitlines() if "Location" in ln and "/postings" in ln]
     assert len(scans) == 1
+
+
+def test_score_sum_needs_no_exchange(spark, sf):
+    """Stored postings are bucketed by document: nothing is shuffled between
+    the postings join and the score sum."""
+    st = store_for(spark, sf)
+    reqs = spark.createDataFrame([(1, "demo_a", "the of and", 20)],
+                                 "request_id long, index_name string, q string, limit int")
+    text = plan(bm25_search(reqs, st.index, n_clauses=3), "simple")
+    lines = text.splitlines()
+    scan = next(i for i, ln in enumerate(lines) if "FileScan" in ln and "postings" in ln)
+    depth = lambda ln: len(ln) - len(ln.lstrip(" :+-*()0123456789"))
+    above, at = [], depth(lines[scan])
+    for ln in reversed(lines[:scan]):
+        if depth(ln) < at and ln.strip():
+            at = depth(ln)
+            above.append(ln)
+            if "HashAggregate(keys=[request_id" in ln and "sum(" in ln and "partial" not in ln:
+                break
+    assert "Bucketed: true" in text
+    assert above and not any("Exchange" in ln and "Broadcast" not in ln for ln in above)
+
+
+def test_frequent_term_lies_in_all_shards(spark, sf):
+    st = store_for(spark, sf)
+    top = st.index.term_stats.where("index_name = 'demo_a'").orderBy(F.col("df").desc()).first().term
+    files = st.index.postings.where((F.col("index_name") == "demo_a") & (F.col("term") == top)).select(
+        F.input_file_name()).distinct().count()
+    assert files >= 4
+
+
+def test_index_loads_in_another_session(spark, sf):
+    from ranklake.operators.postings import SearchIndex, _table_name
+    st = store_for(spark, sf)
+    n = st.index.postings.count()
+    spark.sql(f"DROP TABLE {_table_name(st.root)}")
+    again = SearchIndex.load(spark, st.root)
+    assert again.postings.count() == n
+    reqs = spark.createDataFrame([(1, "demo_a", "the of and", 20)],
+                                 "request_id long, index_name string, q string, limit int")
+    assert bm25_search(reqs, again).count() == bm25_search(reqs, st.index).count() > 0

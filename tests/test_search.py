@@ -190,9 +190,9 @@ def test_clause_mapping_of_query_syntax(spark):
         ("SHOULD", "range", "a", "c", False, None, 1.0),
         ("SHOULD", "fuzzy", "fuz", None, True, 2, 1.0),
         ("SHOULD", "fuzzy", "fuz", None, True, 1, 1.0),
-        ("SHOULD", "term", "boo", None, True, None, 2.5),
-        ("SHOULD", "term", "x", None, True, None, 1.0),
-        ("SHOULD", "term", "y", None, True, None, 1.0),
+        ("MUST", "term", "boo", None, True, None, 2.5),
+        ("MUST", "term", "x", None, True, None, 1.0),
+        ("MUST", "term", "y", None, True, None, 1.0),
     ]
 
 

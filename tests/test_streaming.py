@@ -1,9 +1,6 @@
 """Streaming: the streamed transcript equals the batch form, the streamed
 memory equals the batch window."""
 
-from pyspark.sql import Window
-from pyspark.sql import functions as F
-
 from ranklake.operators import chain
 from ranklake.plans import catalog
 from ranklake.sources import fixtures as fx
@@ -20,4 +17,38 @@ def test_stream_memory_equals_window(spark, sf):
     conv = fx.read_table(spark, sf, "conversations")
     exp = sorted(tuple(r) for r in chain.memory_window(conv).select("conv_id", "turn", "role").collect())
     assert got == exp
-    assert Window is not None and F is not None
+
+
+class State:
+    """One conversation's streaming state, in memory."""
+
+    def __init__(self):
+        self.held, self.hasTimedOut, self.timeout = None, False, None
+
+    exists = property(lambda self: self.held is not None)
+    get = property(lambda self: self.held)
+
+    def update(self, value):
+        self.held = value
+
+    def remove(self):
+        self.held = None
+
+    def setTimeoutDuration(self, ms):
+        self.timeout = ms
+
+
+def test_memory_merges_late_and_repeated_turns():
+    import pandas as pd
+
+    from ranklake.streaming.chat_stream import _memory_fn
+    frame = lambda *turns: pd.DataFrame({"turn": turns, "role": ["user"] * len(turns), "text": [f"t{t}" for t in turns]})
+    update, state = _memory_fn(1, 1000), State()
+    turns = lambda batches: [p["turn"].tolist() for p in update((7,), iter(batches), state)]
+    assert turns([frame(4, 5)]) == [[4, 5]]
+    assert turns([frame(0, 1)]) == [[4, 5]]
+    assert turns([frame(5, 5), frame(6)]) == [[5, 6]]
+    assert turns([frame(9), frame(8)]) == [[8, 9]]
+    assert state.timeout == 1000
+    state.hasTimedOut = True
+    assert turns([]) == [] and not state.exists
