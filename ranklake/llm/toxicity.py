@@ -1,6 +1,6 @@
 """Toxicity by averaged subword-bag embeddings and a linear softmax.
 
-A word is the bag of its character n-grams and of itself, hashed into buckets;
+A word is the bag of its n-grams (of bytes) and of itself, hashed into buckets;
 its vector is the mean of the buckets' embeddings, and a text's vector the mean
 of its words' vectors, which a linear softmax over two classes scores.  Buckets
 and softmax are trained together in numpy; a misspelt word that no training
@@ -13,9 +13,8 @@ number and a text's margin is the mean of its words' numbers.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -24,9 +23,13 @@ from pyspark.sql import functions as F
 
 from ranklake.llm.common import materialize, parallel
 
-BUCKETS = 1 << 18
+BITS = 18
+BUCKETS = 1 << BITS
 GRAMS = (3, 4, 5)
-EDGES = ".,;:!?\"'()[]{}<>«»"
+#: Bytes between words: blanks, and marks that stand beside words.
+BETWEEN = b" \t\n\x0b\x0c\r.,;:!?\"'()[]{}<>"
+#: Texts are hashed in groups of about so many bytes.
+GROUP_BYTES = 2 << 20
 #: The classifier is fitted on at most this many labelled rows that are toxic,
 #: and that are not, chosen by a hash of doc_id.
 TRAIN_TOXIC, TRAIN_CLEAN = 1200, 3000
@@ -36,37 +39,83 @@ THRESHOLD = 0.7
 CHI = 28.0
 
 
-def word_buckets(token: str) -> np.ndarray:
-    """Buckets of a word: of itself and its n-grams between edge marks."""
-    word = "<" + token.lower().strip(EDGES) + ">"
-    grams = [word] + [word[i:i + n] for n in GRAMS for i in range(len(word) - n + 1)]
-    return np.array([zlib.crc32(g.encode()) % BUCKETS for g in grams])
-
-
-class Bags:
-    """Distinct buckets of texts and the share each has in a text's average;
-    remembers the buckets of up to ``held`` words."""
-
-    def __init__(self, held: int = 50_000):
-        self.seen: dict[str, np.ndarray] = {}
-        self.held = held
-
-    def of(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        tokens = Counter((text or "").split())
-        if not tokens:
-            return np.zeros(0, np.int32), np.zeros(0, np.float32)
-        own = []
-        for t in tokens:
-            got = self.seen.get(t)
-            if got is None:
-                got = word_buckets(t)
-                if len(self.seen) < self.held and len(t) < 64:
-                    self.seen[t] = got
-            own.append(got)
-        n = tokens.total()
-        share = np.repeat([k / (n * len(o)) for k, o in zip(tokens.values(), own, strict=True)], [len(o) for o in own])
-        ids, at = np.unique(np.concatenate(own), return_inverse=True)
-        return ids.astype(np.int32), np.bincount(at, share).astype(np.float32)
+_APART = np.zeros(256, bool)
+_APART[list(BETWEEN)] = True
+_TIMES = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """Buckets of 32-bit hashes."""
+    h = (h ^ (h >> np.uint32(16))) * np.uint32(0x85EBCA6B)
+    return h >> np.uint32(32 - BITS)
+
+
+def parts(texts: list[str | None], keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, bucket, weight) of every word and n-gram of the texts: a
+    word's vector is the mean of its parts, a text's the mean of its words.
+    N-grams are of the lower-cased bytes with one edge mark on either side of a
+    word.  ``keep`` marks the buckets that are wanted."""
+    laid = [(t or "").lower().encode("utf-8", "replace") for t in texts]
+    data = np.frombuffer(b"\n" + b"\n".join(laid) + b"\n", np.uint8)
+    edges = np.cumsum([1 + len(x) for x in laid])  # where each text ends
+    apart = _APART[data]
+    first = np.flatnonzero(~apart[1:] & apart[:-1]) + 1
+    last = np.flatnonzero(apart[1:] & ~apart[:-1]) + 1
+    if not len(first):
+        none = np.zeros(0, np.int64)
+        return none, none, np.zeros(0)
+    size = last - first
+    owner = np.searchsorted(edges, first, side="right")
+    count = 1 + sum(np.maximum(0, size + 3 - n) for n in GRAMS)
+    weight = 1 / (count * np.bincount(owner, minlength=len(texts))[owner])
+    x = data.astype(np.uint32)
+    x[apart] = 32
+    found, words = [], []
+    h, inside = x[:-1] * np.uint32(0x01000193) + x[1:], None
+    for n in range(3, GRAMS[-1] + 1):
+        h = h[:-1] * np.uint32(0x01000193) + x[n - 1:]
+        inside = apart[1:-1] if inside is None else inside[:-1] | apart[n - 2:-1]
+        if n in GRAMS:
+            bucket = _mixed(h)
+            take = ~inside if keep is None else keep[bucket] & ~inside
+            at = np.flatnonzero(take)
+            found.append(bucket[at])
+            words.append(np.searchsorted(first, at + 1, side="right") - 1)
+    # whole words: a polynomial of the bytes, from sums up to each place
+    power = np.multiply.accumulate(np.full(int(size.max()), _TIMES))
+    span = np.repeat(np.arange(len(first)), size)
+    place = np.arange(len(span)) - np.repeat(np.cumsum(size) - size, size)
+    whole = np.add.reduceat(x[first[span] + place].astype(np.uint64) * power[place], np.cumsum(size) - size)
+    bucket = _mixed(((whole * _TIMES) >> np.uint64(32)).astype(np.uint32))
+    at = np.arange(len(first)) if keep is None else np.flatnonzero(keep[bucket])
+    found.append(bucket[at])
+    words.append(at)
+    word = np.concatenate(words)
+    return owner[word], np.concatenate(found).astype(np.int64), weight[word]
+
+
+def groups(texts: list[str | None]) -> Iterator[tuple[int, list[str | None]]]:
+    """Runs of texts of about GROUP_BYTES, with the number of the first."""
+    at, size = 0, 0
+    for i, t in enumerate(texts):
+        size += len(t or "")
+        if size >= GROUP_BYTES:
+            yield at, texts[at:i + 1]
+            at, size = i + 1, 0
+    if at < len(texts):
+        yield at, texts[at:]
+
+
+def text_bags(texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Distinct buckets of every text and the share each has in its average."""
+    out = []
+    for _, some in groups(texts):
+        owner, bucket, weight = parts(some)
+        key, at = np.unique(owner * BUCKETS + bucket, return_inverse=True)
+        share = np.bincount(at, weight) if len(at) else np.zeros(0)
+        cut = np.searchsorted(key, np.arange(1, len(some)) * BUCKETS)
+        out += list(zip(np.split((key % BUCKETS).astype(np.int32), cut), np.split(share.astype(np.float32), cut), strict=True))
+    return out
 
 
 @dataclass
@@ -75,25 +124,15 @@ class Model:
 
     margin: np.ndarray
     bias: float
-    _seen: dict = field(default_factory=dict, repr=False)
-
-    def scorer(self, held: int = 300_000):
-        """text -> score; remembers up to ``held`` words."""
-        margin = self.margin
-
-        class Words(dict):
-            def __missing__(self, token: str) -> float:
-                x = float(margin[word_buckets(token)].mean())
-                if len(self) < held and len(token) < 64:
-                    self[token] = x
-                return x
-        words = Words().__getitem__
 
-        def score(text: str | None) -> float:
-            tokens = (text or "").split()
-            x = self.bias + (sum(map(words, tokens)) / len(tokens) if tokens else 0.0)
-            return float(1 / (1 + np.exp(-np.clip(x, -40, 40))))
-        return score
+    def scores(self, texts: list[str | None]) -> np.ndarray:
+        """0 to 1 for every text; a text without words has the bias alone."""
+        keep = self.margin != 0
+        out = np.full(len(texts), self.bias)
+        for at, some in groups(texts):
+            owner, bucket, weight = parts(some, keep)
+            out[at:at + len(some)] += np.bincount(owner, self.margin[bucket] * weight, len(some))
+        return 1 / (1 + np.exp(-np.clip(out, -40, 40)))
 
 
 def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, dim: int = 8, epochs: int = 80,
@@ -149,7 +188,7 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, dim: in
     return Model(margin, float((b[1] - b[0] - cut) * scale + np.log(THRESHOLD / (1 - THRESHOLD))))
 
 
-def best_cut(x: np.ndarray, y: np.ndarray, alarm: float = 3.0) -> tuple[float, float]:
+def best_cut(x: np.ndarray, y: np.ndarray, alarm: float = 4.0) -> tuple[float, float]:
     """Middle of the widest range of margins with the best rate of toxic texts
     found less ``alarm`` times the rate of false alarms, and the scale that
     puts the classes' medians 6 apart."""
@@ -179,9 +218,8 @@ def fit(docs: DataFrame, labels: DataFrame, toxic: int = TRAIN_TOXIC, clean: int
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(some), "doc_id")
 
     def bags(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = Bags()
         for b in batches:
-            got = [own.of(t) for t in b["text"]]
+            got = text_bags(b["text"].tolist())
             yield pd.DataFrame({"doc_id": b["doc_id"], "toxic": b["toxic"], "ids": [i for i, _ in got], "ws": [w for _, w in got]})
     data = materialize(rows.mapInPandas(bags, "doc_id long, toxic int, ids array<int>, ws array<float>"), "bags")
     n1, n0 = data.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.count_if(F.col("toxic") == 0)).first()
@@ -214,9 +252,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     @F.pandas_udf("double")
     def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        run = Model(*shared.value).scorer()
+        model = Model(*shared.value)
         for b in batches:
-            yield pd.Series([run(t) for t in b], dtype="float64")
+            yield pd.Series(model.scores(b.tolist()))
     return parallel(docs).withColumn("score", scores("text"))
 
 

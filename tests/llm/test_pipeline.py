@@ -54,10 +54,41 @@ def test_toxicity(spark, tables):
 def test_misspelt_words_score(spark, tables):
     folder, docs, labels = tables
     model = toxicity.fit(spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet"))
-    score = model.scorer()
     clean = docs[1][1]
-    assert score(clean) < 0.7
-    assert score(clean[:150] + " moronik idiiot scumbagg patheticc") >= 0.7
+    low, high = model.scores([clean, clean[:150] + " moronik idiiot scumbagg patheticc"])
+    assert low < 0.7 <= high
+
+
+def test_parts_of_words():
+    """The vectorised parts against a loop over words and their n-grams."""
+    import re
+    texts = [None, "", " .", "Ab, cDe", "x", "été ab\nlonger-word (q)", "ab " * 50, "a" * 300]
+    number = {}
+    for i, t in enumerate(texts):
+        words = [w for w in re.split(rb"[" + re.escape(toxicity.BETWEEN) + rb"]+", (t or "").lower().encode()) if w]
+        want = Counter()
+        for w in words:
+            edged = b" " + w + b" "
+            own = [("word", w)] + [(n, edged[k:k + n]) for n in toxicity.GRAMS for k in range(len(edged) - n + 1)]
+            for p in own:
+                want[p] += 1 / (len(own) * len(words))
+        owner, bucket, weight = toxicity.parts(texts[:i] + [t])
+        got = Counter()
+        for o, b, x in zip(owner, bucket, weight):
+            if o == i:
+                got[int(b)] += x
+        assert sum(got.values()) == pytest.approx(1 if words else 0)
+        # equal parts share a bucket wherever they stand
+        alone = {}
+        for p in want:
+            if p[0] == "word":
+                o, b, x = toxicity.parts([p[1].decode()])
+                alone[p] = int(b[-1])
+                assert number.setdefault(p, alone[p]) == alone[p]
+        for p, b in alone.items():
+            assert got[b] >= want[p] - 1e-9
+        ids, ws = toxicity.text_bags(texts)[i]
+        assert dict(zip(ids.tolist(), ws.tolist())) == pytest.approx(dict(got), rel=1e-5)
 
 
 def test_toxicity_without_labels(spark, tables):
