@@ -24,6 +24,7 @@ from pyspark.sql import functions as F  # noqa: E402
 
 from ranklake.operators import chain  # noqa: E402
 from ranklake.operators.partitioning import spread  # noqa: E402
+from ranklake.plans import catalog  # noqa: E402
 from ranklake.plans.store import build_store  # noqa: E402
 from ranklake.operators.query import clauses_from_q  # noqa: E402
 from ranklake.operators.requests import (requests_with_defaults, valid_requests,  # noqa: E402
@@ -73,7 +74,6 @@ def main() -> None:
         r = valid.drop("q").join(toks, "request_id").withColumn("q", q).drop("toks")
         return clauses_from_q(r)
 
-    t = lambda i: F.try_element_at(F.col("toks"), F.lit(i))
     docs = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
     def q_bm25_topk():
@@ -93,16 +93,13 @@ def main() -> None:
         run(chain.stuff_context(ch))
 
     def q_match_bool():
-        q = F.concat_ws(" ", F.concat(F.lit("+"), t(1)), t(2), t(3), F.concat(F.lit("-"), t(4)))
-        run(topk_hits(evaluate(form(q), index, kinds={"term"}), max_lim))
+        run(topk_hits(evaluate(form(catalog.bool_form()), index, kinds={"term"}), max_lim))
 
     def q_match_phrase():
-        q = F.concat(F.lit('"'), F.concat_ws(" ", t(1), t(2), t(3)), F.lit('"'))
-        run(topk_hits(evaluate(form(q), index, kinds={"phrase"}), max_lim))
+        run(topk_hits(evaluate(form(catalog.phrase_form()), index, kinds={"phrase"}), max_lim))
 
     def q_match_fuzzy():
-        q = F.concat_ws(" ", F.concat(t(1), F.lit("~")), F.concat(t(2), F.lit("~1")))
-        run(topk_hits(evaluate(form(q), index, kinds={"fuzzy"}), max_lim))
+        run(topk_hits(evaluate(form(catalog.fuzzy_form()), index, kinds={"fuzzy"}), max_lim))
 
     def q_chunk_text():
         run(chain.explode_chunks(docs, "text", ["doc_id"]))

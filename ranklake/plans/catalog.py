@@ -489,21 +489,32 @@ def _form_scores(spark, sf, q, kinds, quantize=False):
     return s.select("request_id", "doc_id", "score")
 
 
-def q_match_bool(spark, sf):
+def bool_form():
     """+first second third -fourth fifth AND sixth seventh ... NOT last."""
     n = F.size("toks")
-    q = _each(lambda t, i: F.when(i == 1, F.concat(F.lit("+"), t)).when(i == 4, F.concat(F.lit("-"), t))
-              .when((i == 6) & (n >= 6), F.concat(F.lit("AND "), t))
-              .when((i == n) & (n > 6), F.concat(F.lit("NOT "), t)).otherwise(t))
-    return _form_scores(spark, sf, q, {"term"})
+    return _each(lambda t, i: F.when(i == 1, F.concat(F.lit("+"), t)).when(i == 4, F.concat(F.lit("-"), t))
+                 .when((i == 6) & (n >= 6), F.concat(F.lit("AND "), t))
+                 .when((i == n) & (n > 6), F.concat(F.lit("NOT "), t)).otherwise(t))
 
 
-def q_match_phrase(spark, sf):
+def phrase_form():
     """A phrase for every three consecutive tokens."""
     starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size("toks"), F.lit(1))), lambda i: i <= F.size("toks") - 2)
-    q = F.array_join(F.transform(starts, lambda i: F.concat(
+    return F.array_join(F.transform(starts, lambda i: F.concat(
         F.lit('"'), F.array_join(F.slice("toks", i, F.lit(3)), " "), F.lit('"'))), " ")
-    return _form_scores(spark, sf, q, {"phrase"})
+
+
+def fuzzy_form():
+    """Every token fuzzy: two edits, one edit, or a similarity of 0.8."""
+    return _each(lambda t, i: F.concat(t, F.when(i % 3 == 1, F.lit("~")).when(i % 3 == 2, F.lit("~1")).otherwise(F.lit("~0.8"))))
+
+
+def q_match_bool(spark, sf):
+    return _form_scores(spark, sf, bool_form(), {"term"})
+
+
+def q_match_phrase(spark, sf):
+    return _form_scores(spark, sf, phrase_form(), {"phrase"})
 
 
 def q_match_pattern(spark, sf):
@@ -519,9 +530,7 @@ def q_match_pattern(spark, sf):
 
 
 def q_match_fuzzy(spark, sf):
-    """Every token fuzzy: two edits, one edit, or a similarity of 0.8."""
-    q = _each(lambda t, i: F.concat(t, F.when(i % 3 == 1, F.lit("~")).when(i % 3 == 2, F.lit("~1")).otherwise(F.lit("~0.8"))))
-    return _form_scores(spark, sf, q, {"fuzzy"})
+    return _form_scores(spark, sf, fuzzy_form(), {"fuzzy"})
 
 
 def q_boosted_terms(spark, sf):
