@@ -257,6 +257,9 @@ class LineIndex:
         keyed = parallel(docs.drop("n_lines", "n_dropped")).withColumn("_key", content_key("text"))
         texts = keyed.select(F.col("_key").alias("key"), "text")
         drop = self.frequent_lines(texts).select(F.col("key.a").alias("_a"), F.col("key.b").alias("_b"), F.col("lines").alias("_lines"))
+        # Stored, so that the join reads both sides as they are and the rows of
+        # one text's many copies can be split over tasks.
+        drop = materialize(drop, "line-numbers")
         both = keyed.join(drop, (F.col("_key.a") == F.col("_a")) & (F.col("_key.b") == F.col("_b")), "left")
 
         @F.pandas_udf("string")

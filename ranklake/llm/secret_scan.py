@@ -106,7 +106,8 @@ def scan(docs: DataFrame, owner: str = "source", repo: str = "doc_id", max_owner
     live = ownership(cand, max_owners).where("live").select("va", "vb")
     # A live value has one owner; its spans are gathered once per distinct text.
     marked = cand.select("ka", "kb", "va", "vb", "s").distinct().join(live, ["va", "vb"], "left_semi")
-    marked = marked.groupBy("ka", "kb").agg(F.collect_set("s").alias("live"))
+    # stored, so that the join can split the rows of one text's many copies
+    marked = materialize(marked.groupBy("ka", "kb").agg(F.collect_set("s").alias("live")), "live-spans")
     rows = seen.drop("tokens").join(marked, ["ka", "kb"], "left")
     found = F.array_sort(F.concat("base", F.coalesce("live", F.array().cast(f"array<{_SPAN}>"))))
     return rows.select("doc_id", "base", found.alias("found"))
