@@ -78,27 +78,27 @@ def query_error(q) -> Column:
     without its partner, a phrase with slop, a wildcard at the start of a word,
     a bad regular expression, or an operator without its clauses."""
     q = F.col(q) if isinstance(q, str) else q
-    items = _items(q)
+    # One-element array: the items are made once and the checks share them.
+    held = F.array(F.struct(F.coalesce(q, F.lit("")).alias("q"), _items(F.coalesce(q, F.lit(""))).alias("items")))
+    return F.exists(held, lambda x: _unreadable(x["q"], x["items"]))
+
+
+def _unreadable(q: Column, items: Column) -> Column:
     is_op = lambda x: x.isin(*_AND, *_OR, *_NOT)
     is_not = lambda x: x.isin(*_NOT)
 
     def bad(item: Column) -> Column:
         b = _body(item)
-        regex = b.rlike(r"^/.+/$")
-        quoted = b.rlike(r'^".*"(?:~[0-9.]+)?$')
-        ranged = b.rlike(r"^[\[{]")
-        return (F.when(quoted, b.rlike(r"~[0-9.]+$"))
-                .when(regex, ~regex_ok(b.substr(F.lit(2), F.length(b) - 2)))
-                .when(ranged, ~b.rlike(_RANGE))
+        return (F.when(b.rlike(r'^".*"(?:~[0-9.]+)?$'), b.rlike(r"~[0-9.]+$"))
+                .when(b.rlike(r"^/.+/$"), ~regex_ok(b.substr(F.lit(2), F.length(b) - 2)))
+                .when(b.rlike(r"^[\[{]"), ~b.rlike(_RANGE))
                 .otherwise(b.rlike(r"[\[\]{}\"]|^[*?]|^/") | b.rlike(r"~[0-9]*\.[0-9]*\.") | (b == "")))
-    last = F.try_element_at(items, F.lit(-1))
-    first = F.try_element_at(items, F.lit(1))
     after = F.slice(items, 2, F.greatest(F.size(items) - 1, F.lit(0)))
-    pairs = F.zip_with(items, after, lambda x, y: is_op(x) & is_op(y) & ~(is_not(y) & ~is_not(x)))
-    left = F.regexp_replace(q, _ITEM, "").rlike(r"[^\s()]")
-    alone = is_op(last) | (is_op(first) & ~is_not(first)) | F.exists(pairs, lambda p: F.coalesce(p, F.lit(False)))
-    return (q.isNull() | ~F.coalesce(q, F.lit("")).rlike(r"\S") | F.coalesce(left, F.lit(False))
-            | F.coalesce(F.exists(items, lambda x: ~is_op(x) & bad(x)), F.lit(False)) | F.coalesce(alone, F.lit(False)))
+    pairs = F.zip_with(items, after, lambda x, y: F.coalesce(is_op(x) & is_op(y) & ~(is_not(y) & ~is_not(x)), F.lit(False)))
+    ends = F.coalesce(is_op(F.try_element_at(items, F.lit(-1))), F.lit(False))
+    first = F.coalesce(F.try_element_at(items, F.lit(1)), F.lit(""))
+    return (~q.rlike(r"\S") | F.regexp_replace(q, _ITEM, "").rlike(r"[^\s()]") | F.exists(items, lambda x: ~is_op(x) & bad(x))
+            | ends | (is_op(first) & ~is_not(first)) | F.exists(pairs, lambda p: p))
 
 
 def _req_cols(requests: DataFrame):

@@ -176,6 +176,11 @@ def _pattern_hits(c: DataFrame, index: SearchIndex, bcast: bool, salts: int,
             .select("request_id", "doc_id", _occ(), "contrib"))
 
 
+def _characters(col: str):
+    """Which characters a word holds, as bits of a long (64 classes)."""
+    return F.expr(f"aggregate(split({col}, ''), 0L, (m, c) -> m | shiftleft(1L, cast(pmod(xxhash64(c), 64) as int)))")
+
+
 def _fuzzy_hits(c: DataFrame, index: SearchIndex, bcast: bool, salts: int,
                 quantize: bool, max_expansions: int) -> DataFrame:
     """``term~n``: dictionary terms within n edits (Levenshtein; a
@@ -188,21 +193,27 @@ def _fuzzy_hits(c: DataFrame, index: SearchIndex, bcast: bool, salts: int,
     # Threshold 2 (the largest edit distance a fuzzy term admits) lets the
     # distance computation stop early; -1 means "more than 2".
     ed = F.levenshtein(F.col("term"), F.col("text"), 2)
-    # Equi-join on term length: each clause is replicated over the lengths
-    # within its edit bound, so only those dictionary terms meet it.
-    fz_len = fz.withColumn("tlen", F.explode(F.sequence(
+    # Equal clauses of different requests meet the dictionary once. Equi-join on
+    # term length: each is replicated over the lengths within its edit bound, so
+    # only those dictionary terms meet it; and one edit changes at most two of
+    # the characters that occur, which a word of bits tells.
+    form = ["index_name", "text", "max_edits"]
+    forms = fz.select(*form).distinct()
+    side = (lambda x: F.broadcast(x)) if bcast else (lambda x: x)
+    by_len = forms.withColumn("held", _characters("text")).withColumn("tlen", F.explode(F.sequence(
         F.greatest(F.length("text") - F.col("max_edits"), F.lit(1)),
         F.length("text") + F.col("max_edits"))))
-    near = (ts.withColumn("tlen", F.length("term"))
-            .join(F.broadcast(fz_len) if bcast else fz_len, ["index_name", "tlen"], "inner")
+    near = (ts.withColumns({"tlen": F.length("term"), "has": _characters("term")})
+            .join(side(by_len), ["index_name", "tlen"], "inner")
+            .filter(F.bit_count(F.col("has").bitwiseXOR(F.col("held"))) <= 2 * F.col("max_edits"))
             .withColumn("ed", ed)
             .filter((F.col("ed") >= 0) & (F.col("ed") <= F.col("max_edits")))
             .withColumn("sim", 1.0 - F.try_divide(F.col("ed"), F.least(F.length("term"), F.length("text"))))
             .filter(F.col("sim") > 0))
-    wr = Window.partitionBy("request_id", "clause_no").orderBy(F.col("sim").desc(), F.col("term"))
+    wr = Window.partitionBy(*form).orderBy(F.col("sim").desc(), F.col("term"))
     top = near.withColumn("r", F.row_number().over(wr)).filter(F.col("r") <= max_expansions)
-    wb = Window.partitionBy("request_id", "clause_no")
-    exp = (top.withColumn("df_blend", F.max("df").over(wb)).join(cs, "index_name", "inner")
+    top = top.withColumn("df_blend", F.max("df").over(Window.partitionBy(*form))).select(*form, "term", "sim", "df_blend")
+    exp = (top.join(side(fz), form, "inner").join(cs, "index_name", "inner")
            .select(*_REQ, "clause_no", "occur", "key", "term", "avgdl",
                    (F.col("boost") * F.col("sim") * idf("df_blend", "n_docs")).alias("weight")))
     p = _postings_cols(index, "tf", "dl")
