@@ -13,7 +13,6 @@ reached the threshold.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
