@@ -18,9 +18,8 @@ from ranklake.functions.text import text_snippet, word_count
 from ranklake.functions.url import url_schema_a, url_schema_b
 from ranklake.functions.vectors import cosine_similarity, dot_product
 from ranklake.operators import chain, chat
-from ranklake.operators.enrich import (canonical_schema_a, canonical_schema_b, enrich_hits,
-                                       filtered_topk, lang_filter_cond, metadata_by_id,
-                                       url_join, uuid_join)
+from ranklake.operators.enrich import (enrich_hits, filtered_topk, lang_filter_cond,
+                                       metadata_by_id, url_join, uuid_join)
 from ranklake.operators.postings import SearchIndex, index_registry
 from ranklake.operators.query import query_terms
 from ranklake.operators.requests import (requests_with_defaults, valid_requests,
