@@ -13,13 +13,15 @@ from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ranklake.llm.common import cumulative, materialize, parallel
 
+#: Documents encoded at a time.
+ROWS = 500
 MAX_LENGTH = 2048
 END_ID = 1
 
@@ -65,6 +67,30 @@ def binary_lengths(n: int, longest: int) -> list[int]:
     return [longest] * full + [1 << b for b in range(longest.bit_length() - 2, -1, -1) if rest >> b & 1]
 
 
+def pieces_of(docs: pa.RecordBatch, encode, longest: int, with_ids: bool) -> pa.RecordBatch:
+    """The pieces of a few documents (doc_id, text)."""
+    doc, start, size, crc, tokens, held = [], [], [], [], [], []
+    for d, text in zip(docs.column(0).to_pylist(), docs.column(1).to_pylist(), strict=True):
+        ids = np.append(encode(text) if text else np.empty(0, "<u4"), np.uint32(END_ID))
+        at = 0
+        for n in binary_lengths(len(ids), longest):
+            crc.append(zlib.crc32(ids[at:at + n].tobytes()))
+            start.append(at)
+            size.append(n)
+            doc.append(d)
+            tokens.append(len(ids))
+            at += n
+        held.append(ids)
+    columns = [pa.array(x, pa.int64()) for x in (doc, start, size, crc, tokens)]
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+    if with_ids:  # pieces follow each other as the ids do
+        ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+        flat = np.concatenate([np.empty(0, "<u4"), *held]).astype(np.int32)
+        columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32())))
+        names.append("ids")
+    return pa.RecordBatch.from_arrays(columns, names=names)
+
+
 def pieces(docs: DataFrame, longest: int = MAX_LENGTH, vocabulary: str = "byte_bpe_50k.json",
            with_ids: bool = False) -> DataFrame:
     """One row per binary piece of every document (doc_id, text): its start
@@ -74,26 +100,15 @@ def pieces(docs: DataFrame, longest: int = MAX_LENGTH, vocabulary: str = "byte_b
     one piece of one id.  Repeated rows are packed each by itself; a null
     doc_id stays null.
     """
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary)
         for batch in batches:
-            rows = []
-            for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
-                ids = np.append(encode(text) if text else np.empty(0, "<u4"), np.uint32(END_ID))
-                at = 0
-                for n in binary_lengths(len(ids), longest):
-                    part = ids[at:at + n]
-                    rows.append((doc, at, n, zlib.crc32(part.tobytes()), len(ids), *([part.astype("i4")] if with_ids else [])))
-                    at += n
-                if with_ids and len(rows) > 20_000:
-                    yield pd.DataFrame(rows, columns=names)
-                    rows = []
-            yield pd.DataFrame(rows, columns=names)
+            for first in range(0, batch.num_rows, ROWS):
+                yield pieces_of(batch.slice(first, ROWS), encode, longest, with_ids)
 
     schema = T.StructType([*PIECES.fields, *([IDS] if with_ids else [])])
-    names = schema.names
     slim = docs.select(F.col("doc_id").cast("long"), "text")
-    return parallel(slim).mapInPandas(cut, schema)
+    return parallel(slim).mapInArrow(cut, schema)
 
 
 def pack(docs: DataFrame, longest: int = MAX_LENGTH, vocabulary: str = "byte_bpe_50k.json",

@@ -29,7 +29,7 @@ GRAMS = (3, 4, 5)
 #: Bytes between words: blanks, and marks that stand beside words.
 BETWEEN = b" \t\n\x0b\x0c\r.,;:!?\"'()[]{}<>"
 #: Texts are hashed in groups of about so many bytes.
-GROUP_BYTES = 2 << 20
+GROUP_BYTES = 256 << 10
 #: The classifier is fitted on at most this many labelled rows that are toxic,
 #: and that are not, chosen by a hash of doc_id.
 TRAIN_TOXIC, TRAIN_CLEAN = 1200, 3000
