@@ -609,7 +609,7 @@ def q_stream_memory(spark, sf):
         first = lines.filter(F.pmod(F.xxhash64("value"), F.lit(n)) == k)
         late = again.filter(F.pmod(F.xxhash64("value"), F.lit(n)) == (k - 1) % n)
         first.unionByName(late).coalesce(1).write.mode("append").text(path)
-    mem = stream_memory(chat_source(spark, path, max_files_per_trigger=1))
+    mem = stream_memory(chat_source(spark, path, max_files_per_trigger=1), idle_ms=None)
     q = (mem.writeStream.format("parquet").option("path", sink)
          .option("checkpointLocation", scratch_path(spark, "memory-ckpt"))
          .trigger(availableNow=True).start())

@@ -131,7 +131,7 @@ MEMORY_STATE = T.StructType([
 ])
 
 
-def _memory_fn(k: int, idle_ms: int):
+def _memory_fn(k: int, idle_ms: int | None):
     keep = 2 * k
 
     def update(key, batches, state):
@@ -150,14 +150,16 @@ def _memory_fn(k: int, idle_ms: int):
         turns = list(held)
         roles, texts = [held[t][0] for t in turns], [held[t][1] for t in turns]
         state.update((emits, turns, roles, texts))
-        state.setTimeoutDuration(idle_ms)
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame({"conv_id": [key[0]] * len(turns), "emit": [emits] * len(turns),
                             "turn": turns, "role": roles, "text": texts})
 
     return update
 
 
-def stream_memory(stream: DataFrame, k: int = MEMORY_EXCHANGES, idle_ms: int = MEMORY_IDLE_MS) -> DataFrame:
+def stream_memory(stream: DataFrame, k: int = MEMORY_EXCHANGES,
+                  idle_ms: int | None = MEMORY_IDLE_MS) -> DataFrame:
     """Streaming last-k memory: after every micro-batch, the conversation's
     current memory (at most 2k user/assistant messages) tagged with the
     emission number.
@@ -166,8 +168,10 @@ def stream_memory(stream: DataFrame, k: int = MEMORY_EXCHANGES, idle_ms: int = M
     repeated messages and any split into micro-batches give the same memory.
     The state per conversation is bounded by 2k messages and removed after
     ``idle_ms`` without one; messages without conversation or turn are left
-    out."""
+    out. A query that ends by itself (``availableNow``) must pass None: with a
+    timeout Spark goes on running empty batches to look for idle states."""
     m = stream.filter(F.col("role").isin("user", "assistant") & F.col("conv_id").isNotNull() & F.col("turn").isNotNull()).select(
         "conv_id", "turn", "role", F.col("message").alias("text"))
     return m.groupBy("conv_id").applyInPandasWithState(
-        _memory_fn(k, idle_ms), MEMORY_OUT, MEMORY_STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+        _memory_fn(k, idle_ms), MEMORY_OUT, MEMORY_STATE, "append",
+        GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
