@@ -34,9 +34,13 @@ GROUP_BYTES = 256 << 10
 #: and that are not, chosen by a hash of doc_id.
 TRAIN_TOXIC, TRAIN_CLEAN = 1200, 3000
 THRESHOLD = 0.7
-#: A bucket is told apart from chance at this chi-squared: a level of 10^-7,
-#: against the number of buckets looked at.
-CHI = 28.0
+#: A bucket counts in full from this chi-squared on (a level of 10^-7, against the
+#: number of buckets looked at), and the less the further it stays below.
+EVIDENCE = 28.0
+#: A false alarm costs as much as so many toxic texts found, rate for rate.
+ALARM = 4.0
+#: With fewer rows of a class, the threshold is placed by cross-validation.
+FEW = 100
 
 
 _APART = np.zeros(256, bool)
@@ -135,60 +139,100 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(out, -40, 40)))
 
 
+def strength(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, n: int) -> np.ndarray:
+    """How far each of ``n`` buckets may move, above 0 to 1: the squared share of
+    EVIDENCE that its chi-squared has."""
+    held = np.zeros((2, n))
+    for (i, _), k in zip(bags, labels, strict=True):
+        held[k, i] += 1
+    n0, n1 = (float((labels == k).sum()) for k in (0, 1))
+    b, a = held
+    chi = (n1 + n0) * (a * n0 - b * n1) ** 2 / np.maximum(1, n1 * n0 * (a + b) * (n1 + n0 - a - b))
+    return np.maximum(np.minimum(1, chi / EVIDENCE) ** 2, 1e-6)
+
+
+def descend(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, n: int, dim: int, epochs: int,
+            rate: float, rng: np.random.Generator) -> tuple[np.ndarray, float]:
+    """Margins of the ``n`` buckets and the bias, by Adagrad on the log loss,
+    classes weighted alike, the step falling to 0.  With two classes only the
+    difference ``v`` of the softmax's rows counts, so an embedding's gradient is
+    a multiple of it."""
+    order = rng.permutation(len(labels))
+    counts = np.bincount(labels, minlength=2)
+    s = strength(bags, labels, n)
+    e = rng.uniform(-0.1, 0.1, (n, dim)) / dim
+    v = rng.uniform(-1, 1, dim) / dim - rng.uniform(-1, 1, dim) / dim
+    b = 0.0
+    past = np.full(n, 1e-8)
+    cost = (0.5 * len(labels) / np.maximum(counts, 1))[labels]
+    batches = []
+    for at in range(0, len(order), 32):
+        rows = order[at:at + 32]
+        ids = np.concatenate([bags[r][0] for r in rows])
+        ws = np.concatenate([bags[r][1] for r in rows]) * s[ids]
+        hit, inv = np.unique(ids, return_inverse=True)
+        batches.append((rows, [len(bags[r][0]) for r in rows], hit, inv.astype(np.int32), ws.astype(np.float32)))
+    for epoch in range(epochs):
+        step = rate * (1 - epoch / epochs)
+        for at in rng.permutation(len(batches)):
+            rows, sizes, hit, inv, ws = batches[at]
+            doc = np.repeat(np.arange(len(rows)), sizes)
+            own = e[hit]
+            z = np.bincount(doc, (own @ v)[inv] * ws, len(rows)) + b
+            q = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - labels[rows]) * cost[rows] / len(rows)
+            g = np.bincount(inv, q[doc] * ws, len(hit))
+            past[hit] += g * g * (v @ v) / dim
+            e[hit] = own - (step * g / np.sqrt(past[hit]))[:, None] * v
+            v = v - 0.4 * step * (g @ own)
+            b -= 0.4 * q.sum()
+    return (e @ v) * s, float(b)
+
+
 def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, dim: int = 8, epochs: int = 80,
           rate: float = 3.0, seed: int = 3) -> Model:
-    """Embeddings and softmax by Adagrad on the log loss, classes weighted
-    alike, the step falling to 0.  A fifth of the rows only serves to place the
-    margin at which the score is THRESHOLD.  With labels of one class only, or
-    none, every text gets that class (none: not toxic)."""
+    """Embeddings and softmax of all buckets of the rows, held back by
+    ``strength``.  A fifth of the rows only serves to place the margin at which
+    the score is THRESHOLD; where a class has fewer than FEW rows, every fifth
+    does so in turn and the model is trained on all.  With labels of one class
+    only, or none, every text gets that class (none: not toxic); where no margin
+    tells the classes apart, none is toxic."""
     labels = np.asarray(labels, np.int64)
     if len(set(labels.tolist())) < 2:
         return Model(np.zeros(BUCKETS), 4.0 if labels.any() else -4.0)
     rng = np.random.default_rng(seed)
-    known = np.unique(np.concatenate([i for i, _ in bags]))
-    bags = [(np.searchsorted(known, i), w.astype(np.float64)) for i, w in bags]
-    e = rng.uniform(-0.1, 0.1, (len(known), dim)) / dim
-    w = rng.uniform(-1, 1, (2, dim)) / dim
-    b = np.zeros(2)
-    past = np.full(len(known), 1e-8)
-    aside = np.zeros(len(labels), bool)
+    number = np.zeros(BUCKETS, np.int32)
+    for i, _ in bags:
+        number[i] = 1
+    known = np.flatnonzero(number)
+    number[known] = np.arange(len(known))
+    bags = [(number[i], w) for i, w in bags]
+    fold = np.zeros(len(labels), int)
     for k in (0, 1):
         own = rng.permutation(np.flatnonzero(labels == k))
-        aside[own[:len(own) // 5]] = True
-    fit = np.flatnonzero(~aside)
-    counts = np.bincount(labels[fit], minlength=2)
-    cost = (0.5 * len(fit) / np.maximum(counts, 1))[labels]
-    for epoch in range(epochs):
-        step = rate * (1 - epoch / epochs)
-        order = rng.permutation(fit)
-        for at in range(0, len(order), 32):
-            rows = order[at:at + 32]
-            ids = np.concatenate([bags[r][0] for r in rows])
-            ws = np.concatenate([bags[r][1] for r in rows])
-            doc = np.repeat(np.arange(len(rows)), [len(bags[r][0]) for r in rows])
-            part = e[ids] * ws[:, None]
-            h = np.stack([np.bincount(doc, part[:, d], len(rows)) for d in range(dim)], axis=1)
-            z = h @ w.T + b
-            p = np.exp(z - z.max(axis=1, keepdims=True))
-            p /= p.sum(axis=1, keepdims=True)
-            p[np.arange(len(rows)), labels[rows]] -= 1
-            p *= cost[rows][:, None] / len(rows)
-            back = (p @ w)[doc] * ws[:, None]
-            hit, inv = np.unique(ids, return_inverse=True)
-            g = np.stack([np.bincount(inv, back[:, d], len(hit)) for d in range(dim)], axis=1)
-            past[hit] += (g * g).mean(axis=1)
-            e[hit] -= step * g / np.sqrt(past[hit])[:, None]
-            w -= 0.2 * step * (p.T @ h)
-            b -= 0.2 * p.sum(axis=0)
-    x = np.array([(e @ (w[1] - w[0]))[i] @ s for i, s in bags]) + b[1] - b[0]
-    held = np.flatnonzero(aside) if labels[aside].any() else np.arange(len(labels))
+        fold[own] = np.arange(len(own)) % 5
+    few = np.bincount(labels).min() < FEW
+    x = np.full(len(labels), np.nan)
+    for f in range(5 if few else 1):
+        rows = np.flatnonzero(fold != f)
+        if len(set(labels[rows].tolist())) == 2:
+            m, b = descend([bags[r] for r in rows], labels[rows], len(known), dim, epochs, rate, rng)
+            for r in np.flatnonzero(fold == f):
+                x[r] = m[bags[r][0]] @ bags[r][1] + b
+    if few:
+        m, b = descend(bags, labels, len(known), dim, epochs, rate, rng)
+    held = np.flatnonzero(~np.isnan(x))
+    if len(set(labels[held].tolist())) < 2:
+        return Model(np.zeros(BUCKETS), -4.0)
     cut, scale = best_cut(x[held], labels[held])
+    found, alarms = (np.mean(x[held][labels[held] == k] > cut) for k in (1, 0))
+    if found <= ALARM * alarms:
+        return Model(np.zeros(BUCKETS), -4.0)
     margin = np.zeros(BUCKETS)
-    margin[known] = e @ (w[1] - w[0]) * scale
-    return Model(margin, float((b[1] - b[0] - cut) * scale + np.log(THRESHOLD / (1 - THRESHOLD))))
+    margin[known] = m * scale
+    return Model(margin, float((b - cut) * scale + np.log(THRESHOLD / (1 - THRESHOLD))))
 
 
-def best_cut(x: np.ndarray, y: np.ndarray, alarm: float = 4.0) -> tuple[float, float]:
+def best_cut(x: np.ndarray, y: np.ndarray, alarm: float = ALARM) -> tuple[float, float]:
     """Middle of the widest range of margins with the best rate of toxic texts
     found less ``alarm`` times the rate of false alarms, and the scale that
     puts the classes' medians 6 apart."""
@@ -209,8 +253,8 @@ def is_held_out(doc_id) -> F.Column:
 
 def fit(docs: DataFrame, labels: DataFrame, toxic: int = TRAIN_TOXIC, clean: int = TRAIN_CLEAN) -> Model:
     """A model of labelled documents (doc_id, text; doc_id, toxic) outside the
-    held-out third, at most ``toxic`` and ``clean`` of them.  Buckets whose
-    presence does not tell the classes apart (chi-squared) keep the number 0."""
+    held-out third, at most ``toxic`` and ``clean`` of them.  All buckets of
+    these rows are trained."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~is_held_out("doc_id"))
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     pick = lambda k, n: known.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
@@ -220,28 +264,13 @@ def fit(docs: DataFrame, labels: DataFrame, toxic: int = TRAIN_TOXIC, clean: int
     def bags(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             got = text_bags(b["text"].tolist())
-            yield pd.DataFrame({"doc_id": b["doc_id"], "toxic": b["toxic"], "ids": [i for i, _ in got], "ws": [w for _, w in got]})
-    data = materialize(rows.mapInPandas(bags, "doc_id long, toxic int, ids array<int>, ws array<float>"), "bags")
-    n1, n0 = data.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.count_if(F.col("toxic") == 0)).first()
-    one = F.sum("toxic").cast("double")
-    two = (F.count("*") - F.sum("toxic")).cast("double")
-    seen = data.select("toxic", F.explode("ids").alias("id")).groupBy("id").agg(one.alias("a"), two.alias("b"))
-    chi = (n1 + n0) * F.pow(F.col("a") * (n0 - F.col("b")) - F.col("b") * (n1 - F.col("a")), F.lit(2))
-    total = F.col("a") + F.col("b")
-    chi = F.try_divide(chi, F.lit(float(max(1, n1) * max(1, n0))) * total * (n1 + n0 - total))
-    told = [r.id for r in seen.where(chi > CHI).select("id").collect()]  # at most BUCKETS
-    keep = np.zeros(BUCKETS, bool)
-    keep[told] = True
-
-    def narrow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            on = [keep[i] for i in b["ids"]]
-            yield b.assign(ids=[i[k] for i, k in zip(b["ids"], on, strict=True)], ws=[w[k] for w, k in zip(b["ws"], on, strict=True)])
-    few = data.mapInPandas(narrow, data.schema).toPandas()
-    few = few.assign(ids=[np.array(i, np.int32) for i in few["ids"]], ws=[np.array(w, np.float32) for w in few["ws"]])
-    few["key"] = [(zlib.crc32(str(d).encode()), d, i.tobytes(), w.tobytes()) for d, i, w in zip(few["doc_id"], few["ids"], few["ws"], strict=True)]
-    few = few.sort_values("key", kind="stable")
-    return train(list(zip(few["ids"], few["ws"], strict=True)), few["toxic"].to_numpy())
+            yield pd.DataFrame({"doc_id": b["doc_id"], "toxic": b["toxic"], "ids": [i.tobytes() for i, _ in got], "ws": [w.tobytes() for _, w in got]})
+    data = materialize(rows.mapInPandas(bags, "doc_id long, toxic int, ids binary, ws binary"), "bags")
+    # a partition at a time and as bytes: the driver holds each bag once
+    few = [(zlib.crc32(str(r.doc_id).encode()), r.doc_id, zlib.crc32(r.ids), zlib.crc32(r.ws), r.toxic,
+            np.frombuffer(r.ids, np.int32), np.frombuffer(r.ws, np.float32)) for r in data.toLocalIterator()]
+    few.sort(key=lambda r: r[:4])
+    return train([r[5:] for r in few], np.array([r[4] for r in few], np.int64))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -99,6 +99,47 @@ def test_toxicity_without_labels(spark, tables):
     assert toxicity.score_digest(spark, d.limit(0), none).count() == 0
 
 
+def test_toxicity_with_few_labels(spark):
+    """No bucket reaches the evidence of many labels: what cannot be told apart
+    is not toxic, what can be is found."""
+    rng = random.Random(6)
+    vocab = ["".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(3)) for _ in range(300)]
+
+    def fitted(insult):
+        texts = [" ".join(rng.choice(vocab) for _ in range(30)) + (insult if i < 6 else "") for i in range(52)]
+        ids = [i for i in range(400) if not toxicity.zlib.crc32(str(i).encode()) % 3 == 1][:52]
+        docs = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")
+        labels = spark.createDataFrame([(i, 1, int(k < 6)) for k, i in enumerate(ids)], "doc_id long, quality int, toxic int")
+        return toxicity.fit(docs, labels), texts
+    model, texts = fitted("")
+    assert (model.scores(texts + [None, "", "unseen"]) < 0.7).all()
+    model, texts = fitted(" idiot moronic idiot")
+    got = model.scores(texts) >= 0.7
+    assert got[:6].all() and not got[6:].any()
+    # margins that all tie tell nothing apart
+    one = toxicity.text_bags(["same words"] * 40)
+    assert toxicity.train(one, [1] * 8 + [0] * 32).scores(["same words", None]).max() < 0.7
+
+
+def test_rare_insult_scores(spark):
+    """An insult in 5 of 1,200 toxic rows (chi-squared 12.5) counts."""
+    rng = random.Random(4)
+    vocab = ["".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(rng.randint(1, 4))) for _ in range(400)]
+    ids = [i for i in range(7000) if toxicity.zlib.crc32(str(i).encode()) % 3 != 1][:4200]
+    docs, labels = [], []
+    for k, i in enumerate(ids):
+        words = [rng.choice(vocab) for _ in range(rng.randint(15, 40))]
+        for _ in range(2 if k < 1200 else 0):
+            words.insert(rng.randrange(len(words)), "zwyxhead" if k < 5 else rng.choice(["moronic", "idiot", "scumbag"]))
+        docs.append((i, " ".join(words)))
+        labels.append((i, 1, int(k < 1200)))
+    model = toxicity.fit(spark.createDataFrame(docs, "doc_id long, text string"),
+                         spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    plain = [" ".join(rng.choice(vocab) for _ in range(25)) for _ in range(100)]
+    assert (model.scores(plain) < 0.7).all()
+    assert (model.scores([p + " zwyxhead zwyxhead" for p in plain]) >= 0.7).mean() > 0.5
+
+
 def test_stages_against_brute_force(spark, tables, tmp_path):
     folder, data, _ = tables
     docs = spark.read.parquet(f"{folder}/documents.parquet")
