@@ -15,11 +15,12 @@ BLANK = r"\x20\x09-\x0D"
 WORD = rf"[^{BLANK}]+"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet in the shared checkpoint folder and read back:
-    computed once, lineage cut, readable after an executor is lost."""
+def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """``df`` written as Parquet (with the writer's ``options``) in the shared
+    checkpoint folder and read back: computed once, lineage cut, readable after
+    an executor is lost."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -37,6 +37,19 @@ def test_sharding_rows_law(spark, docs):
     assert sharding.shard_documents(no_documents(spark), 16).count() == 0
 
 
+def test_sharding_writes_whole_documents(spark, docs, tmp_path):
+    """Text and further columns stand in the shards, and buckets hold them."""
+    path = str(tmp_path / "shards")
+    digest = sharding.shard_documents(docs, 4, path=path, bucket_bytes=20_000).collect()
+    back = spark.read.parquet(path).collect()
+    assert Counter(tuple(r.rec) for r in back) == Counter(rows())
+    assert back[0].rec.__fields__ == docs.columns
+    place = lambda i, t, r: (str(i), zlib.crc32((t or "").encode()), r.shard, r.slot)
+    assert sorted(place(r.rec.doc_id, r.rec.text, r) for r in back) == sorted(
+        (str(r.doc_id), r.text_crc32, r.shard, r.slot) for r in digest)
+    assert sorted(r.position for r in back) == list(range(len(back)))
+
+
 def test_shuffle_buckets_and_uniformity(spark):
     recs = spark.range(4000).selectExpr("id as bucket", "'r' as rec", "id % 3 as at")
     from pyspark.sql import functions as F
