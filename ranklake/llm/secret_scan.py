@@ -74,18 +74,28 @@ def render(spans: Column) -> Column:
         ":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def ownership(candidates: DataFrame, max_owners: int = 1) -> DataFrame:
-    """(value key va, vb, n_owners, n_repos, live) of candidates (va, vb,
-    owner, repo).  A hot value's rows are first reduced to distinct (value,
-    owner, repository), dealt by all three, then counted per owner; null owners
-    and repositories count as one each."""
+def ownership(candidates: DataFrame, max_owners: int = 1, max_repos: int | None = None) -> DataFrame:
+    """(value key va, vb, n_owners, n_repos, live) of candidates (va, vb, owner,
+    repo, and with ``max_repos`` the text's key ka, kb).  A hot value's rows are
+    first reduced to distinct (value, owner, repository), dealt by all three,
+    then counted per owner; null owners and repositories count as one each.
+
+    With ``max_repos`` a value is live only if it also stands in no more
+    repositories (of its owners together); exact copies of a text count as one
+    repository."""
     each = candidates.groupBy("va", "vb", "owner", "repo").agg(F.lit(1).alias("one"))
     by_owner = each.groupBy("va", "vb", "owner").agg(F.count("*").alias("repos"))
     out = by_owner.groupBy("va", "vb").agg(F.count("*").alias("n_owners"), F.sum("repos").alias("n_repos"))
-    return out.withColumn("live", F.col("n_owners") <= max_owners)
+    if max_repos is None:
+        return out.withColumn("live", F.col("n_owners") <= max_owners)
+    texts = candidates.groupBy("va", "vb", "ka", "kb").agg(F.lit(1).alias("one"))
+    texts = texts.groupBy("va", "vb").agg(F.count("*").alias("n_texts"))
+    out = out.join(texts, ["va", "vb"]).withColumn("n_repos", F.least("n_repos", "n_texts")).drop("n_texts")
+    return out.withColumn("live", (F.col("n_owners") <= max_owners) & (F.col("n_repos") <= max_repos))
 
 
-def scan(docs: DataFrame, owner: str = "source", repo: str = "doc_id", max_owners: int = 1) -> DataFrame:
+def scan(docs: DataFrame, owner: str = "source", repo: str = "doc_id", max_owners: int = 1,
+         max_repos: int | None = None) -> DataFrame:
     """doc_id, base and found (arrays of start, kind, end, value) of every row.
 
     ``base`` are the base spans; ``found`` also holds the live ones.  A null
@@ -103,8 +113,8 @@ def scan(docs: DataFrame, owner: str = "source", repo: str = "doc_id", max_owner
         "owner", "repo", "ka", "kb", value["a"].alias("va"), value["b"].alias("vb"),
         F.struct((F.col("s.end") - F.length("s.value")).alias("start"), F.lit(KINDS.index("live")).alias("kind"),
                  F.col("s.end").alias("end"), F.col("s.value").alias("value")).alias("s"))
-    live = ownership(cand, max_owners).where("live").select("va", "vb")
-    # A live value has one owner; its spans are gathered once per distinct text.
+    live = ownership(cand, max_owners, max_repos).where("live").select("va", "vb")
+    # A live value has few owners; its spans are gathered once per distinct text.
     marked = cand.select("ka", "kb", "va", "vb", "s").distinct().join(live, ["va", "vb"], "left_semi")
     # stored, so that the join can split the rows of one text's many copies
     marked = materialize(marked.groupBy("ka", "kb").agg(F.collect_set("s").alias("live")), "live-spans")

@@ -260,6 +260,23 @@ def test_secret_scan(spark, docs):
     assert secret_scan.scan_digest(no_documents(spark)).count() == 0
 
 
+def test_secret_scan_by_repositories(spark):
+    """One owner's value in many documents is a copied example; one document's
+    exact copies are one place."""
+    key = "password=%s end"
+    data = [(i, f"{i} " + key % "EXAMPLE99key", "s1") for i in range(50)]
+    data += [(100 + i, key % "hunter2live", "s1") for i in range(50)]
+    data += [(200 + i, f"{i} " + key % "twoplaces1", "s1") for i in range(2)]
+    data += [(300 + i, f"{i} " + key % "twoowners1", f"s{i}") for i in range(2)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string")
+
+    def live(**options):
+        return {r.doc_id // 100 for r in secret_scan.scan_digest(docs, **options).collect() if "live" in r.spans}
+    assert live(max_repos=1) == {1}
+    assert live(max_repos=2) == {1, 2}
+    assert live() == {0, 1, 2}  # the rule of the registered query and its SQL
+
+
 def test_targets():
     assert mixing.targets([10, 10, 10], [1, 2, 3]) == pytest.approx([5, 10, 15])
     assert mixing.targets([1, 100, 10], [1, 1, 1]) == pytest.approx([3, 78, 30])
