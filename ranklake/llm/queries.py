@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ranklake.llm import ann, embedding_dedup, html_extract, line_dedup, mixing, packing, secret_scan, sharding, simhash, toxicity
+from ranklake.llm import (ann, embedding_dedup, html_extract, license_scan, line_dedup, mixing, packing, reversed_search, secret_scan,
+                          sharding, simhash, spelling, toxicity)
 from ranklake.sources.tables import read_table
 
 
@@ -51,9 +52,22 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"), words=3, bits=2)
 
 
+def op11_reversed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reversed_search.ranking(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), k=20)
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(read_table(spark, sf_dir, "documents"))
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_digest(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_mixing, op2_sharding, op3_line_dedup, op4_embedding_dedup, op5_secret_scan, op6_html,
-                           op7_packing, op8_nearest, op9_toxicity, op10_simhash)
+                           op7_packing, op8_nearest, op9_toxicity, op10_simhash, op11_reversed_search,
+                           op12_spelling, op13_license_scan)
 }
 
 #: Lines split at the line feed; a key is the line without blanks at its ends,
@@ -121,4 +135,86 @@ SELECT vec_id, coalesce(n.n, 0) AS n_links, component_id, vec_id = component_id
 FROM rows JOIN comp ON comp.r = rid LEFT JOIN n ON n.a = rid
 """
 
-ORACLE_SQL: dict[str, str] = {"op4_embedding_dedup": EMBEDDING_SQL, "op3_line_dedup": LINE_DEDUP_SQL, "op5_secret_scan": _secret_sql()}
+#: Terms, counts and scores in whole numbers, but for the weight of a term.
+SEARCH_SQL = r"""
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id,
+              regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+items AS (SELECT row_number() OVER () AS iid, item_id,
+              regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM benchmark),
+tf AS (SELECT rid, t, count(*) AS tf FROM (SELECT rid, unnest(ts) AS t FROM docs) GROUP BY rid, t),
+n AS (SELECT rid, sum(tf) AS n FROM tf GROUP BY rid),
+total AS (SELECT count(*) AS nd, sum(n) AS nt FROM n),
+df AS (SELECT t, count(*) AS df FROM tf GROUP BY t),
+w AS (SELECT t, CAST(floor(1000 * ln((2 * nd + 2) / (2 * df + 1))) AS BIGINT) AS w FROM df, total),
+m AS (SELECT rid, CAST(100 - 25 + ((25 * n * nd) // nt) AS BIGINT) AS m FROM n, total),
+q AS (SELECT iid, t, count(*) AS qtf FROM (SELECT iid, unnest(ts) AS t FROM items) GROUP BY iid, t),
+scored AS (SELECT iid, rid, CAST(sum(qtf * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+           FROM q JOIN w USING (t) JOIN tf USING (t) JOIN m USING (rid) GROUP BY iid, rid),
+ranked AS (SELECT iid, doc_id, score, CAST(row_number() OVER (PARTITION BY iid ORDER BY score DESC, doc_id ASC NULLS LAST) AS INTEGER) AS rank
+           FROM scored JOIN docs USING (rid) WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked JOIN items USING (iid) WHERE rank <= 20
+"""
+
+#: The checksum as shifts over the bytes of ``<doc_id>:<run>``; near words are
+#: those that agree when the character at one place is left out of one or both.
+SPELLING_SQL = """
+WITH crc AS (SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(CAST(b AS BIGINT), CAST(range(8) AS BIGINT[])),
+             lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab),
+runs AS (SELECT did, run, count(*) AS n FROM (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS did,
+         unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run FROM documents)
+         WHERE length(run) >= 7 GROUP BY did, run),
+bytes AS (SELECT run, n, flatten(list_transform(string_split(did || ':' || run, ''), lambda ch:
+          CASE WHEN unicode(ch) < 128 THEN [CAST(unicode(ch) AS BIGINT)] ELSE [CAST(192 + unicode(ch) // 64 AS BIGINT), CAST(128 + unicode(ch) % 64 AS BIGINT)] END)) AS bs FROM runs),
+hashed AS (SELECT run, n, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), bs), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) AS h FROM bytes, crc),
+words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (SELECT n, CASE WHEN h % 31 = 0
+          THEN substr(run, 1, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word FROM hashed)
+          WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+cuts AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS cut FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+near AS (SELECT DISTINCT a.word AS word, b.word AS other, b.n AS bn FROM cuts a JOIN cuts b ON a.i = b.i AND a.cut = b.cut AND a.word <> b.word
+         UNION SELECT a.word, b.word, b.n FROM cuts a JOIN words b ON a.cut = b.word
+         UNION SELECT b.word, a.word, a.n FROM cuts a JOIN words b ON a.cut = b.word),
+best AS (SELECT word, count(*) AS n_near, min(struct_pack(m := -bn, o := other)) AS best FROM near GROUP BY word),
+forms AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN -best.m >= 10 * w.n THEN best.o END AS form,
+                 CASE WHEN -best.m >= 10 * w.n THEN -best.m END AS form_n FROM words w LEFT JOIN best USING (word)),
+path AS (SELECT word, word AS root, 0 AS d FROM forms),
+p1 AS (SELECT p.word, coalesce(f.form, p.root) AS root FROM path p JOIN forms f ON p.root = f.word),
+p2 AS (SELECT p.word, coalesce(f.form, p.root) AS root FROM p1 p JOIN forms f ON p.root = f.word),
+p3 AS (SELECT p.word, coalesce(f.form, p.root) AS root FROM p2 p JOIN forms f ON p.root = f.word),
+p4 AS (SELECT p.word, coalesce(f.form, p.root) AS root FROM p3 p JOIN forms f ON p.root = f.word),
+p5 AS (SELECT p.word, coalesce(f.form, p.root) AS root FROM p4 p JOIN forms f ON p.root = f.word),
+p6 AS (SELECT p.word, coalesce(f.form, p.root) AS root FROM p5 p JOIN forms f ON p.root = f.word),
+p7 AS (SELECT p.word, coalesce(f.form, p.root) AS root FROM p6 p JOIN forms f ON p.root = f.word),
+p8 AS (SELECT p.word, coalesce(f.form, p.root) AS root FROM p7 p JOIN forms f ON p.root = f.word)
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN p8 USING (word)
+"""
+
+
+def _license_sql() -> str:
+    """Base phrases by the words that follow each other; templates against every
+    block of every document."""
+    rows = ", ".join(f"({t['template']}, '{t['label']}', {t['stride']}, {t['need']}, {t['words']!r})"
+                     for t in license_scan.template_table(license_scan.TEMPLATES, license_scan.THRESHOLD))
+    phrases = ", ".join(f"('{label}', {p.split()!r})" for p, label in license_scan.PHRASES)
+    return rf"""
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(regexp_extract_all(
+              translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS ws FROM documents),
+phrase(label, parts) AS (VALUES {phrases}),
+place AS (SELECT rid, label, i FROM (SELECT rid, ws, unnest(range(len(ws))) AS i FROM docs), phrase WHERE ws[i+1:i+len(parts)] = parts),
+base AS (SELECT rid, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list_sort(list_distinct(list(label))) AS labels FROM place GROUP BY rid),
+template(tid, label, stride, need, parts) AS (VALUES {rows}),
+known AS (SELECT tid, stride, unnest(parts) AS word FROM template),
+toks AS (SELECT rid, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS pos FROM docs),
+held AS (SELECT rid, tid, pos // stride - k AS block, count(DISTINCT t.word) AS c
+         FROM toks t JOIN known USING (word), (VALUES (0), (1)) AS both_blocks(k) GROUP BY rid, tid, pos // stride - k),
+hit AS (SELECT rid, list_sort(list_distinct(list(label))) AS labels, max(CAST(c AS DOUBLE) / len(parts)) AS score
+        FROM held JOIN template USING (tid) WHERE c >= need GROUP BY rid)
+SELECT doc_id, len(ws) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+       coalesce(array_to_string(b.labels, ','), '') AS base_labels,
+       array_to_string(list_sort(list_distinct(list_concat(coalesce(b.labels, []), coalesce(h.labels, [])))), ',') AS labels,
+       CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(h.score, 0) END AS score
+FROM docs LEFT JOIN base b USING (rid) LEFT JOIN hit h USING (rid)
+"""
+
+
+ORACLE_SQL: dict[str, str] = {"op11_reversed_search": SEARCH_SQL, "op12_spelling": SPELLING_SQL, "op13_license_scan": _license_sql(),
+                              "op4_embedding_dedup": EMBEDDING_SQL, "op3_line_dedup": LINE_DEDUP_SQL, "op5_secret_scan": _secret_sql()}
