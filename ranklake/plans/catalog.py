@@ -516,16 +516,20 @@ def q_match_phrase(spark, sf):
     return _form_scores(spark, sf, phrase_form(), {"phrase"})
 
 
-def q_match_pattern(spark, sf):
+def pattern_form():
     """Every token in one of four forms by its place: prefix, wildcard,
-    regular expression, range up to the next token."""
+    regular expression, range up to the next token (open behind the last)."""
     def form(t, i):
-        nxt = F.try_element_at("toks", (i + 1).cast("int"))
+        nxt = F.coalesce(F.try_element_at("toks", (i + 1).cast("int")), F.lit("*"))
         return (F.when(i % 4 == 1, F.concat(t.substr(F.lit(1), F.lit(3)), F.lit("*")))
                 .when(i % 4 == 2, F.concat(t.substr(F.lit(1), F.lit(1)), F.lit("?"), t.substr(F.lit(3), F.length(t))))
                 .when(i % 4 == 3, F.concat(F.lit("/"), t.substr(F.lit(1), F.lit(2)), F.lit(".*/")))
                 .otherwise(F.concat(F.lit("["), t, F.lit(" TO "), nxt, F.lit("]"))))
-    return _form_scores(spark, sf, _each(form), {"prefix", "wildcard", "regex", "range"})
+    return _each(form)
+
+
+def q_match_pattern(spark, sf):
+    return _form_scores(spark, sf, pattern_form(), {"prefix", "wildcard", "regex", "range"})
 
 
 def q_match_fuzzy(spark, sf):

@@ -539,7 +539,7 @@ GROUP BY g.request_id, s.doc_id""")
 
 # A token's place modulo 4 gives its form: prefix of its first three
 # characters, one-character wildcard at its second, regular expression on its
-# first two, range up to the next token.
+# first two, range up to the next token (open behind the last one).
 cte("patterns", ["places"], """
 SELECT DISTINCT p.index_name, p.i % 4 AS form, p.term, CASE WHEN p.i % 4 = 0 THEN q.term END AS upper
 FROM places p LEFT JOIN places q ON q.request_id = p.request_id AND q.i = p.i + 1""")
@@ -550,7 +550,7 @@ WHERE CASE p.form WHEN 1 THEN prefix(t.term, substr(p.term, 1, 3))
            WHEN 2 THEN length(t.term) = greatest(length(p.term), 2) AND substr(t.term, 1, 1) = substr(p.term, 1, 1)
                        AND substr(t.term, 3) = substr(p.term, 3)
            WHEN 3 THEN prefix(t.term, substr(p.term, 1, 2))
-           ELSE t.term >= p.term AND t.term <= p.upper END""")
+           ELSE t.term >= p.term AND (p.upper IS NULL OR t.term <= p.upper) END""")
 
 cte("patdocs", ["patterms", "postings"], """
 SELECT DISTINCT e.index_name, e.form, e.text, e.upper, p.doc_id

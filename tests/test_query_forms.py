@@ -108,9 +108,20 @@ def test_store_follows_its_input(spark, sf, tmp_path):
 
     from ranklake.plans.store import _input_state
     for name in ("documents", "pages"):
-        shutil.copy(f"{sf}/{name}.parquet", tmp_path / f"{name}.parquet")
+        shutil.copyfile(f"{sf}/{name}.parquet", tmp_path / f"{name}.parquet")
     before = _input_state(spark, str(tmp_path))
     assert before == _input_state(spark, str(tmp_path))
     spark.read.parquet(f"{sf}/documents.parquet").limit(5).coalesce(1).write.parquet(str(tmp_path / "more"))
-    shutil.copy(next((tmp_path / "more").glob("part-*.parquet")), tmp_path / "documents.parquet")
+    shutil.copyfile(next((tmp_path / "more").glob("part-*.parquet")), tmp_path / "documents.parquet")
     assert before != _input_state(spark, str(tmp_path))
+
+
+def test_pattern_form_holds_every_token(spark):
+    """One form for each token of a passage, the last one included."""
+    from ranklake.plans.catalog import pattern_form
+    for n in range(1, 10):
+        toks = [f"tok{k}" for k in range(n)]
+        q = spark.createDataFrame([(toks,)], "toks array<string>").select(pattern_form().alias("q")).first().q
+        rows = spark.createDataFrame([(1, "i", 5, q)], "request_id long, index_name string, limit int, q string")
+        assert clauses_from_q(rows).count() == n
+    assert q.split()[-1] == "tok*" and "[tok3 TO tok4]" in q
