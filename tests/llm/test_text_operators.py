@@ -76,7 +76,6 @@ def test_packing_against_tokenizers(spark, docs):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     out = packing.pack(docs, longest=64, with_ids=True).collect()
     assert sorted(r.sequence_id for r in out) == list(range(len(out)))
     lengths = [r.length for r in sorted(out, key=lambda r: r.sequence_id)]
@@ -101,8 +100,7 @@ def test_encoder_equals_tokenizers():
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
-    for t in ("", " ", "  two  spaces ", "tab\t\n x", "<|endoftext|> y", "don't I'll WE'VE", "é ß 漢字 ٣", "a\r\n\r\nb", "\x1c\x85!", "🙂👍🏽 é", "x" * 5000):
+    for t in ("", " ", "  two  spaces ", "tab\t\n x", "<|endoftext|> y", "x<|endoftext|><|endoftext|>\n<|endoftext", "<|endoftext|>", "don't I'll WE'VE", "é ß 漢字 ٣", "a\r\n\r\nb", "\x1c\x85!", "🙂👍🏽 é", "x" * 5000):
         assert packing.encoder("byte_bpe_50k.json")(t).tolist() == tok.encode(t, add_special_tokens=False).ids
 
 
@@ -239,7 +237,7 @@ def brute_spans(text):
 
 def test_secret_scan(spark, docs):
     names = ("assign", "access", "hex", "live")
-    owners = defaultdict(set)
+    owners, repos, texts = defaultdict(set), defaultdict(set), defaultdict(set)
     found = []
     for d in rows():
         t = d[1] or ""
@@ -249,9 +247,12 @@ def test_secret_scan(spark, docs):
         found.append((d, base, toks))
         for s in base + toks:
             owners[s[3]].add(d[3])
+            repos[s[3]].add(d[0])
+            texts[s[3]].add(t)
+    lives = lambda v: len(owners[v]) <= 1 and min(len(repos[v]), len(texts[v])) <= secret_scan.MAX_REPOS
     want = Counter()
     for d, base, toks in found:
-        live = {(s[2] - len(s[3]), 3, s[2], s[3]) for s in base + toks if len(owners[s[3]]) <= 1}
+        live = {(s[2] - len(s[3]), 3, s[2], s[3]) for s in base + toks if lives(s[3])}
         text = lambda ss: ",".join(f"{names[s[1]]}:{s[0]}:{s[2]}" for s in sorted(ss))
         n = Counter(s[1] for s in base)
         want[(d[0], n[0], n[1], n[2], hashlib.sha256(text(base).encode()).hexdigest(), text(base + list(live)))] += 1
@@ -274,7 +275,16 @@ def test_secret_scan_by_repositories(spark):
         return {r.doc_id // 100 for r in secret_scan.scan_digest(docs, **options).collect() if "live" in r.spans}
     assert live(max_repos=1) == {1}
     assert live(max_repos=2) == {1, 2}
-    assert live() == {0, 1, 2}  # the rule of the registered query and its SQL
+    assert live() == {1, 2}  # the rule of the registered query and its SQL
+
+
+def test_secret_scan_of_many_spans(spark):
+    """Lists longer than a chunk, and a text of thousands of hits."""
+    for n in (1, 127, 128, 129, 300, 20_000):
+        text = " ".join(f"{i:024x}é" for i in range(n)) + " tail"
+        row = secret_scan.scan(spark.createDataFrame([(1, text, "s")], "doc_id long, text string, source string")).first()
+        assert [(s.start, s.end) for s in row.base] == [(26 * i, 26 * i + 24) for i in range(n)]
+        assert len(row.found) == 2 * n
 
 
 def test_targets():
