@@ -110,7 +110,8 @@ base AS (SELECT * FROM s_assign UNION ALL SELECT * FROM s_access UNION ALL SELEC
 cand AS (SELECT * FROM base UNION ALL SELECT * FROM s_token
          WHERE regexp_matches(value, '[a-z]') AND regexp_matches(value, '[A-Z]') AND regexp_matches(value, '[0-9]')),
 live AS (SELECT value FROM cand JOIN docs USING (rid) GROUP BY value
-         HAVING count(DISTINCT source) + max(CASE WHEN source IS NULL THEN 1 ELSE 0 END) <= 1),
+         HAVING count(DISTINCT source) + max(CASE WHEN source IS NULL THEN 1 ELSE 0 END) <= 1
+            AND least(count(DISTINCT doc_id) + max(CASE WHEN doc_id IS NULL THEN 1 ELSE 0 END), count(DISTINCT text)) <= {secret_scan.MAX_REPOS}),
 marks AS (SELECT DISTINCT rid, stop - length(value) AS start, 3 AS kind, stop, value FROM cand WHERE value IN (SELECT value FROM live)),
 found AS (SELECT * FROM base UNION ALL SELECT * FROM marks),
 b AS (SELECT rid, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,

@@ -2,8 +2,8 @@
 
 Patterns find candidates in every text.  A candidate's value is counted over
 the whole corpus by distinct owners and repositories: a value that many owners
-hold is a copied example, a value that one owner holds looks like a live
-credential.  The base spans are always reported; the method adds a ``live``
+hold, or one owner in many repositories, is a copied example; a value that one
+owner holds in few looks like a live credential.  The base spans are always reported; the method adds a ``live``
 span for every candidate value that its ownership marks so, including tokens of
 mixed characters that no base pattern finds.
 """
@@ -30,6 +30,11 @@ SCAN = {"assign": ASSIGN, "access": r"AKIA[A-Z0-9]{16,}", "hex": r"[0-9a-f]{24,}
 TOKEN = r"[A-Za-z0-9+/_-]{20,}"
 MIXED = r"^(?=.*[a-z])(?=.*[A-Z])(?=.*[0-9]).*$"
 
+#: Spans that are listed at a time.
+CHUNK = 128
+#: Most repositories that hold a live value; a value in more is a copied example.
+MAX_REPOS = 5
+
 _SPAN = "struct<start:int, kind:int, end:int, value:string>"
 
 
@@ -49,9 +54,23 @@ def _spans(text: Column, kind: int, pattern: str, value: int = 0) -> Column:
         return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
 
     none = F.array().cast(f"array<{_SPAN}>")
-    parts = F.filter(parts, lambda p: p["hit"].isNotNull())
-    run = F.aggregate(parts, F.struct(F.lit(0).alias("at"), none.alias("spans")), step, lambda a: a["spans"])
-    return F.when(text.rlike(pattern), run).otherwise(none)
+    start = lambda at: F.struct(at.alias("at"), none.alias("spans"))
+
+    # A step copies the list it adds to, so lists stay short: CHUNK spans each,
+    # and a list of those.
+    def chunk(acc: Column, part: Column) -> Column:
+        done = F.aggregate(part, start(acc["at"]), step)
+        return F.struct(done["at"].alias("at"), F.concat(acc["spans"], F.array(done["spans"])).alias("spans"))
+
+    def run(all_parts: Column) -> Column:
+        first = F.sequence(F.lit(1), F.greatest(F.size(all_parts), F.lit(1)), F.lit(CHUNK))
+        chunks = F.transform(first, lambda k: F.slice(all_parts, k, F.lit(CHUNK)))
+        whole = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<array<{_SPAN}>>").alias("spans"))
+        return F.aggregate(chunks, whole, chunk, lambda a: F.flatten(a["spans"]))
+
+    # bound in a lambda, the parts are made once
+    parts = F.array(F.filter(parts, lambda p: p["hit"].isNotNull()))
+    return F.when(text.rlike(pattern), F.transform(parts, run)[0]).otherwise(none)
 
 
 def base_spans(text: Column) -> Column:
@@ -74,20 +93,18 @@ def render(spans: Column) -> Column:
         ":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def ownership(candidates: DataFrame, max_owners: int = 1, max_repos: int | None = None) -> DataFrame:
+def ownership(candidates: DataFrame, max_owners: int = 1, max_repos: int = MAX_REPOS) -> DataFrame:
     """(value key va, vb, n_owners, n_repos, live) of candidates (va, vb, owner,
-    repo, and with ``max_repos`` the text's key ka, kb).  A hot value's rows are
-    first reduced to distinct (value, owner, repository), dealt by all three,
-    then counted per owner; null owners and repositories count as one each.
+    repo and the text's key ka, kb).  A hot value's rows are first reduced to
+    distinct (value, owner, repository), dealt by all three, then counted per
+    owner; null owners and repositories count as one each.
 
-    With ``max_repos`` a value is live only if it also stands in no more
-    repositories (of its owners together); exact copies of a text count as one
-    repository."""
+    A value is live if at most ``max_owners`` owners hold it, in at most
+    ``max_repos`` repositories of theirs together; exact copies of a text count
+    as one repository."""
     each = candidates.groupBy("va", "vb", "owner", "repo").agg(F.lit(1).alias("one"))
     by_owner = each.groupBy("va", "vb", "owner").agg(F.count("*").alias("repos"))
     out = by_owner.groupBy("va", "vb").agg(F.count("*").alias("n_owners"), F.sum("repos").alias("n_repos"))
-    if max_repos is None:
-        return out.withColumn("live", F.col("n_owners") <= max_owners)
     texts = candidates.groupBy("va", "vb", "ka", "kb").agg(F.lit(1).alias("one"))
     texts = texts.groupBy("va", "vb").agg(F.count("*").alias("n_texts"))
     out = out.join(texts, ["va", "vb"]).withColumn("n_repos", F.least("n_repos", "n_texts")).drop("n_texts")
@@ -95,7 +112,7 @@ def ownership(candidates: DataFrame, max_owners: int = 1, max_repos: int | None
 
 
 def scan(docs: DataFrame, owner: str = "source", repo: str = "doc_id", max_owners: int = 1,
-         max_repos: int | None = None) -> DataFrame:
+         max_repos: int = MAX_REPOS) -> DataFrame:
     """doc_id, base and found (arrays of start, kind, end, value) of every row.
 
     ``base`` are the base spans; ``found`` also holds the live ones.  A null
