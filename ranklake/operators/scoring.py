@@ -90,33 +90,61 @@ def _term_hits(c: DataFrame, index: SearchIndex, bcast: bool, salts: int,
     return h.select("request_id", "doc_id", _occ(), contrib.alias("contrib"))
 
 
+def _lined_up(asked: DataFrame, index: SearchIndex, bcast: bool, max_rows: int) -> DataFrame:
+    """Rows of ``asked`` (index_name, term, doc_id, want) whose document holds
+    the term at the place ``want``: positions are read for those documents only.
+    The rows are counted before they are broadcast."""
+    p = _postings_cols(index, "positions")
+    side = F.broadcast(asked) if bcast and asked.count() <= max_rows else asked
+    return (p.join(side, ["index_name", "term", "doc_id"], "inner")
+            .filter(F.array_contains("positions", F.col("want"))).drop("positions"))
+
+
 def _phrase_hits(c: DataFrame, index: SearchIndex, bcast: bool, salts: int,
                  quantize: bool, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """Phrases, the rarest term first: its postings give the places where a
+    phrase may start; the second rarest term is looked up at those places, and
+    the other terms at the places that are left. Equal phrases of different
+    requests are looked up once."""
     ph = c.filter(F.col("kind") == "phrase")
-    pt = (ph.select(*_REQ, "clause_no", "occur", "key", "boost",
-                    F.size(tokens("text")).alias("n_terms"),
-                    F.posexplode(tokens("text")).alias("offset", "term")))
-    ts = _ts(index, "df")
+    form = ["index_name", "text"]
+    # Checkpointed, so that the numbers are the same wherever they are read.
+    forms = ph.select(*form).distinct().withColumn("fid", F.monotonically_increasing_id()).checkpoint(eager=True)
+    bcast = bcast and forms.count() <= max_rows
+    small = (lambda x: F.broadcast(x)) if bcast else (lambda x: x)
+    toks = forms.select("index_name", "fid", F.posexplode(tokens("text")).alias("offset", "term"))
     cs = F.broadcast(index.corpus_stats.select("index_name", "n_docs", "avgdl"))
-    bcast = bcast and pt.count() <= max_rows  # tokens, not clauses
-    pt_side = F.broadcast(pt) if bcast else pt
-    wc = Window.partitionBy("request_id", "clause_no")
-    w = (pt_side.join(ts, ["index_name", "term"], "inner").join(cs, "index_name", "inner")
-         .withColumn("idf_sum", F.sum(idf("df", "n_docs")).over(wc)))
-    p = _postings_cols(index, "dl", "positions")
-    h = _postings_join(w, p, ["index_name", "term"], bcast, salts)
-    parts = (h.groupBy(*_REQ, "clause_no", "occur", "key", "boost", "n_terms", "idf_sum",
-                       "avgdl", "doc_id", "dl")
-             .agg(F.collect_list(F.struct("offset", "positions")).alias("parts"))
-             .filter(F.size("parts") == F.col("n_terms")))
-    shifted = lambda x: F.transform(x["positions"], lambda p_: p_ - x["offset"])
-    starts = F.aggregate(
-        F.slice("parts", F.lit(2), F.greatest(F.size("parts") - 1, F.lit(0))), shifted(F.col("parts")[0]),
-        lambda acc, x: F.array_intersect(acc, shifted(x)))
-    freq = F.size(starts)
-    scored = parts.withColumn("freq", freq).filter(F.col("freq") > 0)
-    contrib = F.col("boost") * F.col("idf_sum") * tf_norm("freq", _dl(quantize), "avgdl")
-    return scored.select("request_id", "doc_id", _occ(), contrib.alias("contrib"))
+    # A phrase with a term that no document holds is left out.
+    whole = Window.partitionBy("fid")
+    toks = (_ts(index, "df").join(small(toks), ["index_name", "term"], "right")
+            .withColumn("held", F.bool_and(F.col("df").isNotNull()).over(whole)).filter("held")
+            .join(cs, "index_name")
+            .withColumn("idf_sum", F.sum(idf("df", "n_docs")).over(whole))
+            .withColumn("n_terms", F.count(F.lit(1)).over(whole))
+            .withColumn("place", F.row_number().over(whole.orderBy("df", "term", "offset")))
+            .select("index_name", "fid", "offset", "term", "place", "n_terms", "idf_sum", "avgdl")).checkpoint(eager=True)
+    bcast = bcast and toks.count() <= max_rows  # tokens, not phrases
+    side = (lambda x: F.broadcast(x)) if bcast else (lambda x: x)
+    first = toks.filter(F.col("place") == 1).select("index_name", "fid", "term", "offset", "n_terms")
+    starts = (_postings_join(first, _postings_cols(index, "dl", "positions"), ["index_name", "term"], bcast, salts)
+              .select("index_name", "fid", "n_terms", "doc_id", "dl", "offset", F.explode("positions").alias("pos"))
+              .withColumn("start", F.col("pos") - F.col("offset")).drop("pos", "offset")
+              .filter(F.col("start") >= 0).checkpoint(eager=True))
+
+    def asked(rows: DataFrame, places) -> DataFrame:
+        more = toks.filter(places).select("fid", "term", "offset")
+        return rows.join(side(more), "fid").withColumn("want", F.col("start") + F.col("offset")).drop("offset")
+
+    place = ["index_name", "fid", "n_terms", "doc_id", "dl", "start"]
+    two = _lined_up(asked(starts, F.col("place") == 2), index, bcast, max_rows).select(*place).checkpoint(eager=True)
+    all_ = (_lined_up(asked(two, F.col("place") > 2), index, bcast, max_rows).groupBy(*place)
+            .agg(F.count(F.lit(1)).alias("more")).filter(F.col("more") == F.col("n_terms") - 2).select(*place))
+    found = starts.filter(F.col("n_terms") == 1).unionByName(two.filter(F.col("n_terms") == 2)).unionByName(all_)
+    scored = (found.groupBy("fid", "doc_id", "dl").agg(F.count(F.lit(1)).alias("freq"))
+              .join(side(toks.filter(F.col("place") == 1).select("fid", "idf_sum", "avgdl")), "fid")
+              .select("fid", "doc_id", (F.col("idf_sum") * tf_norm("freq", _dl(quantize), "avgdl")).alias("each")))
+    hits = scored.join(side(ph.join(small(forms), form)), "fid")
+    return hits.select("request_id", "doc_id", _occ(), (F.col("boost") * F.col("each")).alias("contrib"))
 
 
 def _wildcard_regex(text):
