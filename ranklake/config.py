@@ -64,5 +64,8 @@ BROADCAST_MAX_ROWS = 1_000_000
 # query side is too large to broadcast; splits every hot term into this many
 # tasks.
 TERM_SALTS = 32
+# Documents of an index to one of the largest limit from where the top-k goes by
+# bounds: below, the candidates are a large part of the index.
+PRUNE_RATIO = 20_000
 # Compressed corpus bytes whose postings make one document shard.
 SHARD_BYTES = 64 << 20

@@ -158,17 +158,24 @@ def doc_meta(doc_stats: DataFrame, meta: DataFrame | None) -> DataFrame:
     return out
 
 
-def filtered_topk(scores: DataFrame, requests: DataFrame, mapping: DataFrame,
-                  max_limit: int, n_requests: int) -> DataFrame:
-    """Fill-to-limit: hits without a result row or failing the request's
-    language filter do not use up the limit. Join and filter first, then
-    rank by (score desc, doc_id, record file order) and keep ``limit``
-    rows per request. ``requests`` carries (request_id, lang); ``bare``
-    rows (index without metadata) pass unfiltered."""
+def result_hits(scores: DataFrame, requests: DataFrame, mapping: DataFrame,
+                n_requests: int) -> DataFrame:
+    """Scores joined to the result rows of their documents that pass the
+    request's language filter; ``bare`` rows (index without metadata) pass
+    unfiltered. ``requests`` carries (request_id, lang)."""
     langs = requests.select("request_id", "lang")
     if n_requests <= BROADCAST_MAX_ROWS:
         langs = F.broadcast(langs)
     j = (scores.join(langs, "request_id", "inner")
          .join(mapping, ["index_name", "doc_id"], "inner"))
-    j = j.filter((F.col("mode") == "bare") | lang_filter_cond("lang", "language"))
-    return topk_hits(j, max_limit, extra_order=[F.col("file_pos")])
+    return j.filter((F.col("mode") == "bare") | lang_filter_cond("lang", "language"))
+
+
+def filtered_topk(scores: DataFrame, requests: DataFrame, mapping: DataFrame,
+                  max_limit: int, n_requests: int) -> DataFrame:
+    """Fill-to-limit: hits without a result row or failing the request's
+    language filter do not use up the limit. Join and filter first, then
+    rank by (score desc, doc_id, record file order) and keep ``limit``
+    rows per request."""
+    return topk_hits(result_hits(scores, requests, mapping, n_requests), max_limit,
+                     extra_order=[F.col("file_pos")])

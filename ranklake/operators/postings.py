@@ -5,7 +5,8 @@
   with the document table, and ``positions`` (0-based, sorted) serve phrase
   queries. Parquet column pruning keeps ``positions`` out of plain scoring.
 * ``doc_stats(index_name, doc_id, doc_key, dl)``: stored key (URL or UUID).
-* ``term_stats(index_name, term, df)``.
+* ``term_stats(index_name, term, df, max_impact)``: ``max_impact`` is the
+  largest tf-norm of the term's postings, the bound that pruned top-k needs.
 * ``corpus_stats(index_name, n_docs, sum_dl, avgdl)``: one row per index,
   so its size is bounded by the number of indexes and it is broadcast.
 
@@ -24,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ranklake.config import SHARD_BYTES
+from ranklake.functions.bm25 import tf_norm
 from ranklake.functions.text import tokens
 from ranklake.operators.partitioning import spread
 
@@ -88,9 +90,14 @@ def doc_lengths(postings: DataFrame) -> DataFrame:
     return postings.groupBy("index_name", "doc_id").agg(F.max("dl").alias("dl"))
 
 
-def build_term_stats(postings: DataFrame) -> DataFrame:
-    return (postings.groupBy("index_name", "term")
-            .agg(F.count(F.lit(1)).cast("long").alias("df")))
+def build_term_stats(postings: DataFrame, corpus_stats: DataFrame) -> DataFrame:
+    """df and the largest BM25 tf-norm of every term. ``corpus_stats`` has one
+    row per index, so it is broadcast."""
+    impact = tf_norm("tf", F.col("dl"), "avgdl")
+    return (postings.select("index_name", "term", "tf", "dl")
+            .join(F.broadcast(corpus_stats.select("index_name", "avgdl")), "index_name")
+            .groupBy("index_name", "term")
+            .agg(F.count(F.lit(1)).cast("long").alias("df"), F.max(impact).alias("max_impact")))
 
 
 def build_corpus_stats(doc_stats: DataFrame) -> DataFrame:
@@ -117,8 +124,8 @@ class SearchIndex:
         lengths = doc_lengths(postings)
         keys = corpus.select("index_name", "doc_id", "doc_key")
         doc_stats = lengths.join(keys, ["index_name", "doc_id"], "inner")
-        return cls(postings, doc_stats, build_term_stats(postings),
-                   build_corpus_stats(lengths), keys)
+        corpus_stats = build_corpus_stats(lengths)
+        return cls(postings, doc_stats, build_term_stats(postings, corpus_stats), corpus_stats, keys)
 
     def save(self, path: str, shards: int | None = None) -> "SearchIndex":
         """Write the tables once (the one-off index build) and return the
@@ -142,10 +149,10 @@ class SearchIndex:
                 else self.doc_stats.select("index_name", "doc_id", "doc_key"))
         (lengths.join(keys, ["index_name", "doc_id"], "inner")
          .write.mode("overwrite").partitionBy("index_name").parquet(f"{path}/doc_stats"))
-        (build_term_stats(stored)
-         .write.mode("overwrite").partitionBy("index_name").parquet(f"{path}/term_stats"))
         (build_corpus_stats(spark.read.parquet(f"{path}/doc_stats"))
          .write.mode("overwrite").parquet(f"{path}/corpus_stats"))
+        (build_term_stats(stored, spark.read.parquet(f"{path}/corpus_stats"))
+         .write.mode("overwrite").partitionBy("index_name").parquet(f"{path}/term_stats"))
         return SearchIndex.load(spark, path)
 
     @classmethod

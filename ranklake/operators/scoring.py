@@ -210,7 +210,7 @@ def _characters(col: str):
 
 
 def _fuzzy_hits(c: DataFrame, index: SearchIndex, bcast: bool, salts: int,
-                quantize: bool, max_expansions: int) -> DataFrame:
+                quantize: bool, max_expansions: int, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """``term~n``: dictionary terms within n edits (Levenshtein; a
     transposition counts two), similarity ``1 - ed / min(len)``, the best
     ``max_expansions`` by (similarity desc, term), each scored by BM25 with
@@ -244,6 +244,10 @@ def _fuzzy_hits(c: DataFrame, index: SearchIndex, bcast: bool, salts: int,
     exp = (top.join(side(fz), form, "inner").join(cs, "index_name", "inner")
            .select(*_REQ, "clause_no", "occur", "key", "term", "avgdl",
                    (F.col("boost") * F.col("sim") * idf("df_blend", "n_docs")).alias("weight")))
+    # Up to max_expansions rows for a clause: counted before they are broadcast.
+    if bcast:
+        exp = exp.checkpoint(eager=True)
+        bcast = exp.count() <= max_rows
     p = _postings_cols(index, "tf", "dl")
     h = _postings_join(exp, p, ["index_name", "term"], bcast, salts)
     contrib = F.col("weight") * tf_norm("tf", _dl(quantize), "avgdl")
@@ -276,7 +280,7 @@ def evaluate(clauses: DataFrame, index: SearchIndex, quantize: bool = False,
     if kinds & {"prefix", "wildcard", "regex", "range"}:
         parts.append(_pattern_hits(c, index, bcast, salts, max_rows))
     if "fuzzy" in kinds:
-        parts.append(_fuzzy_hits(c, index, bcast, salts, quantize, max_expansions))
+        parts.append(_fuzzy_hits(c, index, bcast, salts, quantize, max_expansions, max_rows))
     hits = parts[0]
     for p_ in parts[1:]:
         hits = hits.unionByName(p_)

@@ -16,14 +16,15 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ranklake.config import BROADCAST_MAX_ROWS, DEFAULT_LIMIT, RANKING_ASC, RANKING_DESC
+from ranklake.config import BROADCAST_MAX_ROWS, DEFAULT_LIMIT, PRUNE_RATIO, RANKING_ASC, RANKING_DESC
 from ranklake.operators.enrich import (BARE_POS, RECORD_COLUMNS, RESULT_COLUMNS, doc_meta,
-                                       filtered_topk, result_records)
+                                       result_hits, result_records)
 from ranklake.operators.postings import SearchIndex, index_registry
+from ranklake.operators.pruning import pruned_topk
 from ranklake.operators.query import clauses_from_q
 from ranklake.operators.requests import (rejected_requests, requests_with_defaults,
                                          valid_requests, validate_requests)
-from ranklake.operators.scoring import evaluate, request_bounds
+from ranklake.operators.scoring import evaluate, request_bounds, topk_hits
 
 
 def _bounded(df: DataFrame, n_rows: int) -> DataFrame:
@@ -58,30 +59,42 @@ def search(requests: DataFrame, index: SearchIndex, metadata: DataFrame | None,
            clauses_fn=clauses_from_q, kinds: set[str] | None = None,
            quantize: bool = False, rerank: bool = True,
            mapping: DataFrame | None = None,
-           records: DataFrame | None = None) -> SearchOutput:
+           records: DataFrame | None = None, prune: bool | None = None) -> SearchOutput:
     """Answer every request of ``requests(request_id, q, index, lang,
     ranking, limit)``. ``metadata`` is canonical metadata (or None);
     ``mapping`` and ``records`` may pass the stored ``doc_meta`` and
     ``result_records`` tables of the index.
 
     Scoring runs once for all indexes: documents of indexes without
-    metadata reach the top-k through ``bare`` mapping rows."""
+    metadata reach the top-k through ``bare`` mapping rows. ``prune`` asks for
+    the top-k by bounds (``operators.pruning``, the same rows); by default it
+    is taken where an index holds ``PRUNE_RATIO`` times as many documents as
+    the largest limit, from where leaving documents out pays for its passes."""
     reqs = requests_with_defaults(requests, default_index, default_limit)
-    validated = validate_requests(reqs, index_registry(index))
+    # Read by every step below: checked and parsed once.
+    validated = validate_requests(reqs, index_registry(index)).checkpoint(eager=True)
     valid = valid_requests(validated)
     n_req, max_lim = request_bounds(valid)
-    clauses = clauses_fn(valid)
+    clauses = clauses_fn(valid).checkpoint(eager=True)
     # One small job: how many clauses there are and of which kinds, so the plan
     # holds only those.
     found = clauses.agg(F.count(F.lit(1)).alias("n"), F.collect_set("kind").alias("kinds")).first()
-    scores = evaluate(clauses, index, quantize=quantize, kinds=kinds or set(found.kinds) or {"term"},
-                      n_clauses=found.n)
+    kinds = kinds or set(found.kinds) or {"term"}
     if mapping is None:
         mapping = doc_meta(index.doc_stats, metadata)
+    keep = lambda scores: result_hits(scores, valid, mapping, n_req)
+    order = [F.col("file_pos")]
+    if prune is None:
+        docs = index.corpus_stats.agg(F.max("n_docs")).first()[0] or 0
+        prune = docs >= PRUNE_RATIO * max(max_lim, 1)
+    if prune and not quantize:
+        ranked = pruned_topk(clauses, index, max_lim, found.n, n_req, keep, order, kinds)
+    else:
+        ranked = topk_hits(keep(evaluate(clauses, index, quantize=quantize, kinds=kinds, n_clauses=found.n)), max_lim, order)
     # The top-k rows (at most requests x largest limit) feed two consumers
     # (the records they need and the final join): a reliable checkpoint in
     # the shared folder computes the scoring once and cuts the lineage.
-    ranked = filtered_topk(scores, valid, mapping, max_lim, n_req).select(
+    ranked = ranked.select(
         "request_id", "index_name", "file_pos", "mode", "out_url", "rank").checkpoint(eager=True)
     top_bound = max(n_req * max(max_lim, 1), 1)
     top = _bounded(ranked, top_bound)
