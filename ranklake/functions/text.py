@@ -47,3 +47,24 @@ def word_count(col) -> Column:
     return (F.when(x == "", F.lit(1))
             .when(r == "", F.lit(0))
             .otherwise(F.size(F.split(r, JAVA_WS + "+", -1)))).cast("int")
+
+
+#: Characters of a word's beginning that its deletion signatures read.
+SIGNATURE_PREFIX = 8
+
+
+def deletion_signatures(col: str, deletions: int = 2) -> Column:
+    """Hashes of what is left of a word's first ``SIGNATURE_PREFIX`` characters
+    after up to ``deletions`` (0 to 2) of them are deleted. Two words within so
+    many edits share one; their number is bounded, however long the word is."""
+    def cut(s: Column) -> Column:
+        places = F.when(F.length(s) > 0, F.sequence(F.lit(1), F.length(s))).otherwise(F.array().cast("array<int>"))
+        return F.transform(places, lambda i: F.concat(s.substr(F.lit(1), i - 1), s.substr(i + 1, F.lit(SIGNATURE_PREFIX))))
+
+    start = F.substring(col, 1, SIGNATURE_PREFIX)
+    kept = F.array(start)
+    if deletions > 0:
+        kept = F.concat(kept, cut(start))
+    if deletions > 1:
+        kept = F.concat(kept, F.flatten(F.transform(cut(start), cut)))
+    return F.transform(F.array_distinct(kept), lambda s: F.xxhash64(s))

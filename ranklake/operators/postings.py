@@ -7,6 +7,8 @@
 * ``doc_stats(index_name, doc_id, doc_key, dl)``: stored key (URL or UUID).
 * ``term_stats(index_name, term, df, max_impact)``: ``max_impact`` is the
   largest tf-norm of the term's postings, the bound that pruned top-k needs.
+* ``signatures(index_name, sig, term, df)``: every term under its deletion
+  signatures, for fuzzy matching by an equi-join.
 * ``corpus_stats(index_name, n_docs, sum_dl, avgdl)``: one row per index,
   so its size is bounded by the number of indexes and it is broadcast.
 
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ranklake.config import SHARD_BYTES
 from ranklake.functions.bm25 import tf_norm
-from ranklake.functions.text import tokens
+from ranklake.functions.text import deletion_signatures, tokens
 from ranklake.operators.partitioning import spread
 
 
@@ -100,6 +102,11 @@ def build_term_stats(postings: DataFrame, corpus_stats: DataFrame) -> DataFrame:
             .agg(F.count(F.lit(1)).cast("long").alias("df"), F.max(impact).alias("max_impact")))
 
 
+def build_signatures(term_stats: DataFrame) -> DataFrame:
+    """Terms by deletion signature: bounded rows a term."""
+    return term_stats.select("index_name", F.explode(deletion_signatures("term")).alias("sig"), "term", "df")
+
+
 def build_corpus_stats(doc_stats: DataFrame) -> DataFrame:
     return (doc_stats.groupBy("index_name")
             .agg(F.count(F.lit(1)).cast("long").alias("n_docs"),
@@ -116,6 +123,10 @@ class SearchIndex:
     term_stats: DataFrame
     corpus_stats: DataFrame
     keys: DataFrame | None = None   # corpus (index_name, doc_id, doc_key), build only
+    signatures: DataFrame | None = None   # stored; otherwise made of the term table
+
+    def by_signature(self) -> DataFrame:
+        return self.signatures if self.signatures is not None else build_signatures(self.term_stats)
 
     @classmethod
     def build(cls, corpus: DataFrame, text_col: str = "text") -> "SearchIndex":
@@ -153,6 +164,8 @@ class SearchIndex:
          .write.mode("overwrite").parquet(f"{path}/corpus_stats"))
         (build_term_stats(stored, spark.read.parquet(f"{path}/corpus_stats"))
          .write.mode("overwrite").partitionBy("index_name").parquet(f"{path}/term_stats"))
+        (build_signatures(spread(spark.read.parquet(f"{path}/term_stats")))
+         .write.mode("overwrite").partitionBy("index_name").parquet(f"{path}/signatures"))
         return SearchIndex.load(spark, path)
 
     @classmethod
@@ -167,7 +180,8 @@ class SearchIndex:
         return cls(spark.table(name),
                    spark.read.parquet(f"{path}/doc_stats"),
                    spark.read.parquet(f"{path}/term_stats"),
-                   spark.read.parquet(f"{path}/corpus_stats"))
+                   spark.read.parquet(f"{path}/corpus_stats"),
+                   signatures=spark.read.parquet(f"{path}/signatures"))
 
 
 def _table_name(path: str) -> str:

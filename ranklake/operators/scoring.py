@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ranklake.config import BROADCAST_MAX_ROWS, FUZZY_MAX_EXPANSIONS, TERM_SALTS
 from ranklake.functions.bm25 import idf, quantized_length, tf_norm
-from ranklake.functions.text import tokens
+from ranklake.functions.text import deletion_signatures, tokens
 from ranklake.operators.joins import bounded_broadcast, salt_replicate, salt_spread
 from ranklake.operators.postings import SearchIndex
 from ranklake.operators.query import MUST, MUST_NOT
@@ -204,11 +204,6 @@ def _pattern_hits(c: DataFrame, index: SearchIndex, bcast: bool, salts: int,
             .select("request_id", "doc_id", _occ(), "contrib"))
 
 
-def _characters(col: str):
-    """Which characters a word holds, as bits of a long (64 classes)."""
-    return F.expr(f"aggregate(split({col}, ''), 0L, (m, c) -> m | shiftleft(1L, cast(pmod(xxhash64(c), 64) as int)))")
-
-
 def _fuzzy_hits(c: DataFrame, index: SearchIndex, bcast: bool, salts: int,
                 quantize: bool, max_expansions: int, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """``term~n``: dictionary terms within n edits (Levenshtein; a
@@ -216,28 +211,26 @@ def _fuzzy_hits(c: DataFrame, index: SearchIndex, bcast: bool, salts: int,
     ``max_expansions`` by (similarity desc, term), each scored by BM25 with
     the clause's highest df (blended statistics) times its similarity."""
     fz = c.filter((F.col("kind") == "fuzzy") & (F.length("text") > 0))
-    ts = _ts(index, "df")
     cs = F.broadcast(index.corpus_stats.select("index_name", "n_docs", "avgdl"))
     # Threshold 2 (the largest edit distance a fuzzy term admits) lets the
     # distance computation stop early; -1 means "more than 2".
     ed = F.levenshtein(F.col("term"), F.col("text"), 2)
-    # Equal clauses of different requests meet the dictionary once. Equi-join on
-    # term length: each is replicated over the lengths within its edit bound, so
-    # only those dictionary terms meet it; and one edit changes at most two of
-    # the characters that occur, which a word of bits tells.
+    # Equal clauses of different requests meet the dictionary once, and only
+    # the terms that share a deletion signature: an equi-join, then verified.
     form = ["index_name", "text", "max_edits"]
-    forms = fz.select(*form).distinct()
     side = (lambda x: F.broadcast(x)) if bcast else (lambda x: x)
-    by_len = forms.withColumn("held", _characters("text")).withColumn("tlen", F.explode(F.sequence(
-        F.greatest(F.length("text") - F.col("max_edits"), F.lit(1)),
-        F.length("text") + F.col("max_edits"))))
-    near = (ts.withColumns({"tlen": F.length("term"), "has": _characters("term")})
-            .join(side(by_len), ["index_name", "tlen"], "inner")
-            .filter(F.bit_count(F.col("has").bitwiseXOR(F.col("held"))) <= 2 * F.col("max_edits"))
+    sigs = F.when(F.col("max_edits") > 1, deletion_signatures("text", 2)).when(
+        F.col("max_edits") == 1, deletion_signatures("text", 1)).otherwise(deletion_signatures("text", 0))
+    forms = fz.select(*form).distinct().select(*form, F.explode(sigs).alias("sig")).checkpoint(eager=True)
+    met = F.broadcast(forms) if bcast and forms.count() <= max_rows else forms
+    # Stored, so that the windows and the joins behind are planned by themselves.
+    near = (index.by_signature().join(met, ["index_name", "sig"], "inner")
+            .filter(F.abs(F.length("term") - F.length("text")) <= F.col("max_edits"))
+            .select(*form, "term", "df").distinct()
             .withColumn("ed", ed)
             .filter((F.col("ed") >= 0) & (F.col("ed") <= F.col("max_edits")))
             .withColumn("sim", 1.0 - F.try_divide(F.col("ed"), F.least(F.length("term"), F.length("text"))))
-            .filter(F.col("sim") > 0))
+            .filter(F.col("sim") > 0).select(*form, "term", "df", "sim").checkpoint(eager=True))
     wr = Window.partitionBy(*form).orderBy(F.col("sim").desc(), F.col("term"))
     top = near.withColumn("r", F.row_number().over(wr)).filter(F.col("r") <= max_expansions)
     top = top.withColumn("df_blend", F.max("df").over(Window.partitionBy(*form))).select(*form, "term", "sim", "df_blend")

@@ -125,3 +125,40 @@ def test_pattern_form_holds_every_token(spark):
         rows = spark.createDataFrame([(1, "i", 5, q)], "request_id long, index_name string, limit int, q string")
         assert clauses_from_q(rows).count() == n
     assert q.split()[-1] == "tok*" and "[tok3 TO tok4]" in q
+
+
+def test_fuzzy_neighbourhood_against_brute_force(spark):
+    """Every dictionary term within the edits is found through its deletion
+    signatures: random words, words shorter than the edits, long ones."""
+    import random
+
+    from ranklake.functions.text import deletion_signatures
+    rng = random.Random(4)
+    words = {"".join(rng.choice("abc") for _ in range(rng.randrange(1, 14))) for _ in range(250)}
+    words |= {"a" * 300, "a" * 301, "b" + "a" * 300, "a" * 150 + "b" + "a" * 150, "é", "éa", "漢字", "漢字x"}
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a):
+            last, row[0] = row[0], i + 1
+            for j, y in enumerate(b):
+                last, row[j + 1] = row[j + 1], min(row[j] + 1, row[j + 1] + 1, last + (x != y))
+        return row[-1]
+    df = spark.createDataFrame([(w,) for w in words], "w string")
+    sig = {k: {r.w: set(r.s) for r in df.select("w", deletion_signatures("w", k).alias("s")).collect()} for k in (0, 1, 2)}
+    short = sorted(w for w in words if len(w) < 20)
+    for a in short:
+        for b in short:
+            if abs(len(a) - len(b)) <= 2 and (d := distance(a, b)) <= 2:
+                assert sig[d][a] & sig[2][b], (a, b)
+    assert sig[2]["a" * 301] & sig[2]["b" + "a" * 300]
+    assert max(map(len, sig[2].values())) <= 37
+    corpus = spark.createDataFrame([("i", k, str(k), w) for k, w in enumerate(sorted(words))], "index_name string, doc_id long, doc_key string, text string")
+    index = SearchIndex.build(corpus)
+    asked = short[::9] + ["a" * 300]
+    reqs = spark.createDataFrame([(k, "i", 9, f"{w}~{k % 2 + 1}") for k, w in enumerate(asked)], "request_id long, index_name string, limit int, q string")
+    got = {(r.request_id, r.doc_id) for r in evaluate(clauses_from_q(reqs), index, kinds={"fuzzy"}, max_expansions=1000).collect()}
+    order = sorted(words)
+    want = {(k, order.index(t)) for k, w in enumerate(asked) for t in words
+            if abs(len(t) - len(w)) <= 2 and distance(w, t) <= k % 2 + 1 and distance(w, t) < min(len(t), len(w))}
+    assert got == want
