@@ -22,6 +22,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 import pyarrow as pa
@@ -138,15 +139,16 @@ def affected(s: str, grams: list[tuple[int, int]], suffixes: set[str]) -> int:
     the place changes.  A gram behind it stays unless a gram that starts at the
     edit or before comes to enclose it, for which what lies between the edit and
     the gram's last character must end a frequent gram."""
-    most = 0
+    most = near = 0
     for i in range(1, len(s)):
+        while near < len(grams) and grams[near][1] < i:
+            near += 1
         held = cut = 0  # one character replaced or deleted; one inserted before it
-        for p, e in grams:
-            if e < i:
-                continue
+        for p, e in islice(grams, near, None):
+            if e > i + LONGEST:  # nothing that frequent reaches so far
+                break
             if p > i:
-                reach = s[i + 1:e] in suffixes
-                held += reach
+                held += s[i + 1:e] in suffixes
                 cut += s[i:e] in suffixes
             else:
                 held += 1
@@ -167,36 +169,35 @@ def letters(word: str) -> int:
 
 SIGNATURE = T.StructType([
     T.StructField("word", T.StringType()), T.StructField("n", T.LongType()), T.StructField("letters", T.LongType()),
-    T.StructField("size", T.IntegerType()), T.StructField("shared", T.IntegerType()), T.StructField("gram", T.StringType()),
+    T.StructField("fixed", T.BooleanType()), T.StructField("shared", T.IntegerType()), T.StructField("gram", T.StringType()),
     T.StructField("at", T.IntegerType()), T.StructField("rest", T.IntegerType()),
 ])
 
 
-def signatures(words: DataFrame, frequent, fixed: bool = False) -> DataFrame:
-    """The rarest grams of every word, one more than an edit can change: the
-    gram, its place, how many of the word's grams come after it in the order of
-    rareness (``rest``), and how many a near word shares (``shared``).
+def signature(s: str, frequent: dict[str, int], grams: list[tuple[int, int]], bound: int) -> list[tuple[int, str, int, int]]:
+    """(shared, gram, at, rest) of the ``bound`` + 1 rarest grams of a marked
+    word: how many grams a near word shares, and how many of the word's grams
+    come after this one in the order of rareness."""
+    order = sorted((frequent.get(s[p:e + 1], 0), s[p:e + 1], p) for p, e in grams)
+    return [(max(0, len(grams) - bound), g, p, len(grams) - 1 - k) for k, (_, g, p) in enumerate(order[:bound + 1])]
 
-    With ``fixed`` only the words whose bound leaves nothing are given, with
-    grams of the shortest length."""
+
+def signatures(words: DataFrame, frequent) -> DataFrame:
+    """The signature rows of every word of words (word, n).  A word whose bound
+    leaves no gram also has ``fixed`` rows, of grams of the shortest length."""
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = frequent.value
         suffixes = tails(known)
         for frame in frames:
             out = []
             for word, n in zip(frame["word"], frame["n"], strict=True):
-                s = FIRST + word + LAST
+                s, mask = FIRST + word + LAST, letters(word)
                 grams = decompose(s, known)
                 bound = affected(s, grams, suffixes)
-                if fixed:
-                    if bound < len(grams):
-                        continue
+                out += [(word, n, mask, False, *x) for x in signature(s, known, grams, bound)]
+                if bound >= len(grams):
                     grams = decompose(s, {})
-                    bound = affected(s, grams, set())
-                order = sorted((known.get(s[p:e + 1], 0), s[p:e + 1], p) for p, e in grams)
-                mask = letters(word)
-                out += [(word, n, mask, len(word), len(grams) - bound, g, p, len(grams) - 1 - k)
-                        for k, (_, g, p) in enumerate(order[:bound + 1])]
+                    out += [(word, n, mask, True, *x) for x in signature(s, {}, grams, affected(s, grams, set()))]
             yield pd.DataFrame(out, columns=SIGNATURE.names)
 
     return words.select("word", "n").mapInPandas(cut, SIGNATURE)
@@ -205,35 +206,36 @@ def signatures(words: DataFrame, frequent, fixed: bool = False) -> DataFrame:
 def near_pairs(found: DataFrame) -> DataFrame:
     """Pairs (a, an, b, bn) of words one edit apart, of words given by their
     signature rows; a is the shorter or, among equals, the smaller word."""
+    size = F.length("word")
     place = lambda side, at, size: F.struct(F.lit(side).alias("side"), at.alias("at"), size.alias("size"))
-    start, end = F.col("at"), F.col("size") - F.col("at")
+    start, end = F.col("at"), size - F.col("at")
     # A gram before the edit keeps its distance from the start, one behind it
     # from the end; the longer word has one character more.
-    short = [place(0, start, F.col("size")), place(0, start, F.col("size") + 1), place(1, end, F.col("size") + 1)]
-    long = [place(0, start, F.col("size")), place(1, end, F.col("size"))]
+    short = [place(0, start, size), place(0, start, size + 1), place(1, end, size + 1)]
+    long = [place(0, start, size), place(1, end, size)]
 
-    def listed(places, name: str) -> DataFrame:
+    def listed(places, side: str) -> DataFrame:
         # a chance collision of keys adds a candidate, which is verified
         return found.withColumn("_p", F.explode(F.array(*places))).select(
-            F.xxhash64("gram", "_p").alias("key"), F.struct("word", "n", "letters", "size", "shared", "rest").alias(name))
-
-    fits = (((F.col("s.size") < F.col("l.size")) | (F.col("s.word") < F.col("l.word")))
-            & (F.bit_count(F.col("s.letters").bitwiseXOR(F.col("l.letters"))) <= 2)
-            & (F.least("s.rest", "l.rest") + 1 >= F.greatest("s.shared", "l.shared"))
-            & (F.levenshtein("s.word", "l.word", 1) == 1))
+            F.xxhash64("fixed", "gram", "_p").alias("key"),
+            *[F.col(c).alias(side + c) for c in ("word", "n", "letters")],
+            (F.shiftleft(F.col("rest").cast("long"), 32) + F.col("shared")).alias(f"{side}room"))
+
+    rest = lambda c: F.shiftright(c, 32)
+    shared = lambda c: F.col(c).bitwiseAND(F.lit(0xFFFFFFFF))
+    fits = ((F.bit_count(F.col("sletters").bitwiseXOR(F.col("lletters"))) <= 2)
+            & (F.least(rest("sroom"), rest("lroom")) + 1 >= F.greatest(shared("sroom"), shared("lroom")))
+            & (F.struct(F.length("sword"), "sword") < F.struct(F.length("lword"), "lword"))
+            & (F.levenshtein("sword", "lword", 1) == 1))
     a, b = listed(short, "s").alias("x"), listed(long, "l").alias("y")
     return a.join(b, (F.col("x.key") == F.col("y.key")) & fits).select(
-        F.col("s.word").alias("a"), F.col("s.n").alias("an"), F.col("l.word").alias("b"), F.col("l.n").alias("bn"))
+        F.col("sword").alias("a"), F.col("sn").alias("an"), F.col("lword").alias("b"), F.col("ln").alias("bn"))
 
 
 def near_words(words: DataFrame, rare: int = RARE) -> DataFrame:
     """Every pair of near words of words (word, n) once."""
-    spark = words.sparkSession
-    frequent = spark.sparkContext.broadcast(gram_dictionary(words, rare))
-    words = parallel(words)
-    some = near_pairs(materialize(signatures(words, frequent), "signatures"))
-    rest = near_pairs(materialize(signatures(words, frequent, fixed=True), "signatures"))
-    return some.unionByName(rest).distinct()
+    frequent = words.sparkSession.sparkContext.broadcast(gram_dictionary(words, rare))
+    return near_pairs(materialize(signatures(parallel(words), frequent), "signatures")).distinct()
 
 
 def group(words: DataFrame, factor: int = FACTOR, rare: int = RARE) -> DataFrame:
