@@ -59,7 +59,12 @@ def encoder(vocabulary: str):
         special = {t["content"]: t["id"] for t in added}
         bpe = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, special_tokens=special,
                                 mergeable_ranks={k: v for k, v in table.items() if v not in special.values()})
-        return lambda text: np.array(bpe.encode(text, allowed_special="all"), dtype="<u4")
+
+        def ids(text: str) -> np.ndarray:
+            held = any(t in text for t in special)  # the search for added tokens is slow, and mostly idle
+            return np.array(bpe.encode(text, allowed_special="all") if held else bpe.encode_ordinary(text), dtype="<u4")
+
+        return ids
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(public_tokenizers.path(vocabulary))
