@@ -90,8 +90,14 @@ def explode_chunks(df: DataFrame, text_col: str, keep: list[str],
 
 def stuff_context(chunks: DataFrame, group: str = "request_id",
                   order: tuple[str, ...] = ("rank", "chunk_no"),
-                  text_col: str = "chunk") -> DataFrame:
-    """All chunks of a request in order, joined by a blank line."""
+                  text_col: str = "chunk", max_chars: int | None = None) -> DataFrame:
+    """All chunks of a request in order, joined by a blank line. With
+    ``max_chars`` the first chunks that fit into so many characters together,
+    whole; a request whose first chunk does not fit has no row."""
+    if max_chars is not None:
+        w = Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        used = F.sum(F.length(text_col) + len(CONTEXT_SEPARATOR)).over(w) - len(CONTEXT_SEPARATOR)
+        chunks = chunks.withColumn("_used", used).filter(F.col("_used") <= max_chars).drop("_used")
     item = F.struct(*[F.col(c) for c in order], F.col(text_col).alias("_t"))
     return (chunks.groupBy(group)
             .agg(F.sort_array(F.collect_list(item)).alias("_items"))

@@ -78,3 +78,18 @@ def test_stuff_context(spark):
     r = chain.stuff_context(df).first()
     assert r.context == "a\n\nb" and r.n_chunks == 2
     assert F is not None
+
+
+def test_context_budget(spark):
+    """Whole chunks up to a budget; the blank line between them counts."""
+    rows = [(1, 1, 0, "aaaa"), (1, 1, 1, "bbb"), (1, 2, 0, "c"), (2, 1, 0, "x" * 50), (2, 1, 1, "y"), (3, 1, 0, "")]
+    df = spark.createDataFrame(rows, "request_id long, rank int, chunk_no int, chunk string")
+
+    def got(budget):
+        return {r.request_id: r.context for r in chain.stuff_context(df, max_chars=budget).collect()}
+    assert got(None) == {1: "aaaa\n\nbbb\n\nc", 2: "x" * 50 + "\n\ny", 3: ""}
+    assert got(9) == {1: "aaaa\n\nbbb", 3: ""}
+    assert got(8) == {1: "aaaa", 3: ""}
+    assert got(12) == {1: "aaaa\n\nbbb\n\nc", 3: ""}
+    assert got(50) == {1: "aaaa\n\nbbb\n\nc", 2: "x" * 50, 3: ""}
+    assert got(0) == {3: ""}
