@@ -17,9 +17,11 @@ NAMES = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']
 # and inline elements; every other element is a block.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp noframes".split())
-UNSEEN = RAW | frozenset("head template noscript select option datalist button svg math iframe object audio video canvas map".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small "
-                   "span strike strong sub sup time tt u var".split())
+UNSEEN = RAW | frozenset("head template noscript select option datalist button svg iframe object audio video map".split())
+IN_HEAD = frozenset("head base link meta noscript script style template title".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big canvas cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small "
+                   "span strike strong sub sup time tt u var "
+                   "math mfrac mi mn mo mover mroot mrow mspace msqrt mstyle msub msubsup msup mtext munder munderover semantics".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form "
                      "h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 #: An element of the key ends an open one of the value, up to a container.
@@ -45,15 +47,21 @@ def read(html: str | None, label: str | None = None) -> list[Node]:
     """Nodes of a page, parents before children; node 0 is the page.  Text that
     stands beside blocks, or is interrupted by them, becomes '#text' nodes, so
     text is only in leaves; ``place`` orders it.  ``label`` names an attribute
-    that marks nodes of labelled pages (inherited by their children)."""
+    that marks nodes of labelled pages (inherited by their children).  What a
+    head cannot hold ends it; an element that would hide its text and is never
+    closed hides nothing."""
     nodes = [Node("#page", "", -1)]
     open_: list[tuple[str, int]] = [("#page", 0)]  # tag, its block node
     html = html or ""
     at, unseen, links = 0, 0, 0
     run = -1  # the node that text goes to
+    lower, closed = html.lower(), {}  # closed: where the last end tag of an element stands
     while at < len(html):
         m = MARKUP.search(html, at)
         end = m.start() if m else len(html)
+        if end > at and open_[-1][0] == "head" and not html[at:end].isspace():
+            open_.pop()
+            unseen -= 1
         if end > at and not unseen:
             piece = unescape(html[at:end])
             if run < 0:
@@ -95,17 +103,19 @@ def read(html: str | None, label: str | None = None) -> list[Node]:
             stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(html, at)
             at = stop.end() if stop else len(html)
             continue
+        if open_[-1][0] == "head" and tag not in IN_HEAD:
+            open_.pop()
+            unseen -= 1
         if tag in UNSEEN:
-            if not m["attrs"].rstrip().endswith("/"):
+            if tag not in closed:
+                closed[tag] = lower.rfind("</" + tag)
+            if not m["attrs"].rstrip().endswith("/") and (tag == "head" or closed[tag] >= at):
                 open_.append((tag, open_[-1][1]))
                 unseen += 1
             continue
-        if tag == "body" and unseen and any(t == "head" for t, _ in open_):  # a head that was never closed
-            while open_[-1][0] != "head":
-                unseen -= open_.pop()[0] in UNSEEN
-            open_.pop()
-            unseen -= 1
         if unseen:
+            if tag not in INLINE and tag not in VOID and not m["attrs"].rstrip().endswith("/"):
+                open_.append((tag, open_[-1][1]))  # so that its end tag ends nothing outside
             continue
         if tag == "a":
             links += 1

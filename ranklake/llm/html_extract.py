@@ -29,7 +29,7 @@ GROUPS = {
     "menu": "nav navbar navigation menu breadcrumb breadcrumbs pager pagination pages toc tabs toolbar skip skiplink",
     "head": "header masthead topbar logo branding hero banner site",
     "foot": "footer foot copyright colophon legal imprint contentinfo",
-    "side": "sidebar aside side widget widgets rail complementary related recommended recommendations popular trending more teaser promos tags archive",
+    "side": "sidebar aside side widget widgets rail complementary related recommended recommendations popular trending more teaser promos",
     "ask": "newsletter subscribe subscription signup login search form share sharing social follow poll survey contact",
     "notice": "cookie cookies consent gdpr notice popup modal overlay alert warning message disclaimer privacy",
     "advert": "ad ads adbox adsense advert adverts advertisement advertising sponsor sponsored sponsors promo promotion commercial outbrain taboola",
@@ -37,6 +37,7 @@ GROUPS = {
     "text": "content article post entry story main body text blog news paragraph lead intro",
 }
 GROUP_OF = {w: g for g, words in GROUPS.items() for w in words.split()}
+MARKS = frozenset("article aside footer form header main nav".split())
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
@@ -73,12 +74,16 @@ def understand(nodes: list[Node]) -> Page:
     for i in keep:
         if nodes[i].parent >= 0:
             kids[nodes[i].parent] += 1
-    features = []
+    features, inside = [], {-1: ()}  # inside: what the nearest node with a telling tag or name says
     for i in keep:
         x = nodes[i]
+        groups = name_groups(x.names)
+        own = tuple("in " + g for g in groups) + (("in " + x.tag,) if x.tag in MARKS else ())
+        inside[i] = own or inside[x.parent]
         f = ["tag " + x.tag, "size %d" % level(size[i], (25, 80, 250, 1000)),
              "links %d" % level(linked[i] / max(1, size[i]), (0.05, 0.3, 0.6, 0.9))]
-        f += ["name " + g for g in name_groups(x.names)]
+        f += ["name " + g for g in groups]
+        f += inside[x.parent]
         f.append("leaf" if kids[i] == 0 else "parts %d" % level(kids[i], (2, 5, 12)))
         if texts[i]:
             f.append("stop" if texts[i][-1] in ".!?…" else "open")
@@ -128,21 +133,22 @@ class Model:
         return "\n".join(t for t, c in zip(page.texts, chance, strict=True) if t and c >= 0.5)
 
 
-def train(pages: list[str], rounds: int = 600, rate: float = 0.3, keep: float = 0.0005) -> Model:
+def train(pages: list[str], rounds: int = 600, rate: float = 0.3, keep: float = 2e-5) -> Model:
     """Potentials of the nodes and of the edge that make the labels of the
     pages most likely, by gradient ascent: expected counts come from the same
     messages that score a page, over all pages' trees at once, depth by depth.
-    A node without a label is content if any text below it is."""
+    A node without a label is content if all text below it is: what holds the
+    whole page is not, so the things around an article say nothing against it."""
     features, labels, parents, depths = [], [], [], []
     for html in pages:
         page = understand(read(html, "y"))
         first = len(features)
-        holds = [bool(t) and x == 1 for t, x in zip(page.texts, page.labels, strict=True)]
+        whole = [not t or x == 1 for t, x in zip(page.texts, page.labels, strict=True)]
         for i in range(len(page.parents) - 1, 0, -1):
-            holds[page.parents[i]] |= holds[i]
+            whole[page.parents[i]] &= whole[i]
         for i, p in enumerate(page.parents):
             features.append(page.features[i])
-            labels.append(holds[i] if page.labels[i] is None else page.labels[i])
+            labels.append(whole[i] if page.labels[i] is None else page.labels[i])
             parents.append(first + p if p >= 0 else -1)
             depths.append(depths[first + p] + 1 if p >= 0 else 0)
     vocabulary = sorted({f for fs in features for f in fs})
@@ -193,12 +199,26 @@ def labelled_pages(seed: int = 11) -> list[str]:
     def text(a: int, b: int) -> str:
         return ". ".join(words(1, 14).capitalize() for _ in range(rng.randint(a, b))) + "."
 
+    def part(t: str) -> str:
+        """Rarer parts of an article."""
+        rows = "".join(f"<tr><t{c}>{words(1, 2)}</t{c}><td>{rng.randint(1, 999)}</td><td>{words(1, 4)}</td></tr>" for c in rng.choices("hd", k=rng.randint(1, 4)))
+        head = rng.choice(["h3", "h4"])
+        return rng.choice([
+            f"<div>{t}</div>", f"<div><div>{t}</div><div>{text(1, 2)}</div></div>", f"<p><a href='/x'>{rng.choice([t, words(2, 6)])}</a></p>",
+            f"<table>{rows}</table>", f"<table><caption>{words(2, 5)}</caption><tbody>{rows}</tbody></table>",
+            f"<figure><img src='x'><figcaption>{short()}</figcaption></figure>", f"<{head}>{words(1, 6)}</{head}><p>{t}</p>", f"<pre>{t}</pre>",
+            f"<dl><dt>{words(1, 3)}</dt><dd>{t}</dd></dl>", f"<section><{head}>{words(1, 4)}</{head}><p>{t}</p></section>",
+            f"<section id='{words(1, 1)}'><h2>{words(1, 4)}</h2><p>{t}</p></section>", f"<ol><li>{words(1, 4)}</li><li>{words(1, 4)}</li></ol>"])
+
     def paras(a: int, b: int) -> str:
         made = []
         for _ in range(rng.randint(a, b)):
             t = text(1, 6) if rng.random() < 0.8 else words(1, 4)
             if rng.random() < 0.2:
                 t = f"{t} <a href='#'>{words(1, 3)}</a> {text(1, 2)}"
+            if rng.random() < 0.35:
+                made.append(part(t))
+                continue
             made.append(rng.choice([f"<p>{t}</p>", f"<p>{t}</p>", f"<p><b>{t}<br>", f"<h2>{words(1, 6)}</h2><p>{t}</p>",
                                     f"<blockquote>{t}</blockquote>", f"<ul><li>{words(2, 9)}</li><li>{text(1, 2)}</li></ul>", f"<p>{t}<br>{words(1, 5)}"]))
         return "".join(made)
@@ -232,12 +252,14 @@ def labelled_pages(seed: int = 11) -> list[str]:
         size = rng.choice([0, 1, 3, 9])
         body = f"<h1>{short()}</h1>" * (not size or rng.random() < 0.6) + (paras(1, size) if size else f"<p><b>{short()}<br>")
         inner = rng.choice(extras()[4:12]) if rng.random() < 0.25 else ""
+        if rng.random() < 0.08:  # no element of its own
+            return "".join(f"<p y=1>{text(1, 4)}</p>" for _ in range(rng.randint(1, 6)))
         name = rng.choice(["content", "post", "entry-content", "main", "story", "article-body"])
         return rng.choice([f"<article y=1>{body}{inner}</article>", f"<article y=1>{body}</article>", f"<main y=1>{body}{inner}</main>",
                            f"<main y=1><article>{body}</article></main>", f"<div class='{name}' y=1>{body}</div>",
                            f"<div id='{name}' y=1><div>{body}</div></div>", f"<section class='{name}' y=1>{body}{inner}</section>", f"<div y=1>{body}</div>"])
     pages = []
-    for k in range(240):
+    for k in range(400):
         around = extras()
         rng.shuffle(around)
         before, after = around[:rng.randint(0, 3)], around[3:3 + rng.randint(0, 4)]

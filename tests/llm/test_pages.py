@@ -26,6 +26,35 @@ def test_layouts(model, page, text):
     assert model.extract(page) == text
 
 
+REST = "<nav><ul><li><a href=/a>One</a></li><li><a href=/b>Two</a></li></ul></nav>{}<aside><h3>Related</h3><p>Other things to read.</p></aside><footer>&copy; me</footer>"
+PARTS = [
+    ("<div>A sentence stands in a plain block.</div>", "A sentence stands in a plain block."),
+    ("<p><a href=/x>A paragraph that is one link.</a></p>", "A paragraph that is one link."),
+    ("<table><tr><th>Name</th><td>12</td></tr><tr><td>b</td><td>c d</td></tr></table>", "Name\n12\nb\nc d"),
+    ("<figure><img src=i><figcaption>A caption</figcaption></figure>", "A caption"),
+    ("<section id=archive><h2>The archive</h2><p>What is kept there is old.</p></section>", "The archive\nWhat is kept there is old."),
+    ("<h3>A small heading</h3><p>And what it is about.</p>", "A small heading\nAnd what it is about."),
+    ("<p>So <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds.</p>", "So x=2 holds."),
+    ("<p>Drawn: <canvas>a plot</canvas></p>", "Drawn: a plot"),
+    ("<noscript><div>Turn it on.</div></noscript><p>The text goes on here.</p>", "The text goes on here."),
+]
+
+
+@pytest.mark.parametrize("open_,close", [("<article>", "</article>"), ("<div class=content>", "</div>"), ("<main>", "</main>")])
+@pytest.mark.parametrize("part,text", PARTS)
+def test_parts_of_articles(model, open_, close, part, text):
+    first, last = "<p>The first paragraph of the text is here.</p>", "<p>And this is how the whole story ends.</p>"
+    page = REST.format(f"{open_}{first}{part}{last}{close}")
+    assert model.extract(page) == f"The first paragraph of the text is here.\n{text}\nAnd this is how the whole story ends."
+
+
+def test_elements_that_are_never_closed(model):
+    body = "<article><p>The only paragraph of this page is this one.</p></article>"
+    for page in ("<html><head><title>t</title><meta charset=x>" + body, "<head><link rel=x>" + REST.format(body),
+                 "<noscript><img src=p>" + body, REST.format("<noscript>" + body), "<html><head><noscript><style>p{}</style></noscript>" + body):
+        assert model.extract(page) == "The only paragraph of this page is this one."
+
+
 def test_other_labelled_pages(model):
     """Accuracy on pages that were not trained on."""
     right = total = 0
