@@ -69,3 +69,6 @@ TERM_SALTS = 32
 PRUNE_RATIO = 20_000
 # Compressed corpus bytes whose postings make one document shard.
 SHARD_BYTES = 64 << 20
+# Document shards of an index at most (Spark's bound on buckets); beyond it
+# shards grow instead.
+MAX_SHARDS = 100_000

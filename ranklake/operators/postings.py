@@ -26,7 +26,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ranklake.config import SHARD_BYTES
+from ranklake.config import MAX_SHARDS, SHARD_BYTES
 from ranklake.functions.bm25 import tf_norm
 from ranklake.functions.text import deletion_signatures, tokens
 from ranklake.operators.partitioning import spread
@@ -192,8 +192,10 @@ def _table_name(path: str) -> str:
 
 def shards_for(spark: SparkSession, input_bytes: int) -> int:
     """Document shards for a corpus of so many (compressed) bytes: about
-    ``SHARD_BYTES`` of it each, and at least one per core."""
-    return max(spark.sparkContext.defaultParallelism, -(-input_bytes // SHARD_BYTES))
+    ``SHARD_BYTES`` of it each, and at least one per core. From some 6 TB on
+    there are ``MAX_SHARDS`` and each holds more: a shard's rows are sorted by
+    term, so what a scan of it reads follows the query's terms."""
+    return min(MAX_SHARDS, max(spark.sparkContext.defaultParallelism, -(-input_bytes // SHARD_BYTES)))
 
 
 def index_registry(index: SearchIndex) -> DataFrame:

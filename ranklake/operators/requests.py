@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ranklake.config import (DEFAULT_LIMIT, ERR_BAD_LIMIT, ERR_NO_INDEX, ERR_NO_LIMIT,
-                             ERR_NO_QUERY)
+                             ERR_NO_QUERY, RETRIEVER_INDEX, RETRIEVER_LANG, RETRIEVER_LIMIT)
 from ranklake.operators.query import query_error
 
 
@@ -24,6 +24,19 @@ def requests_with_defaults(requests: DataFrame, default_index: str,
         .otherwise(F.col("limit").try_cast("int")).alias("limit"))
 
 
+def retriever_requests(requests: DataFrame, index: str = RETRIEVER_INDEX,
+                       lang: str | None = RETRIEVER_LANG,
+                       limit: int = RETRIEVER_LIMIT) -> DataFrame:
+    """Requests as the retriever sends them: where one names no index, language
+    or limit, the retriever's own are filled in (100 results, ``en``), before
+    the server's defaults see it. Column names are those of
+    ``requests_with_defaults``' input."""
+    return requests.withColumns({
+        "index": F.coalesce(F.col("index"), F.lit(index)),
+        "lang": F.coalesce(F.col("lang"), F.lit(lang).cast("string")),
+        "limit": F.coalesce(F.col("limit"), F.lit(limit).cast(requests.schema["limit"].dataType))})
+
+
 def validate_requests(requests: DataFrame, registry: DataFrame) -> DataFrame:
     """Adds ``status`` and ``error`` in the order the server checks them:
     unreadable query -> 500, limit that is no integer -> 500, unknown index ->

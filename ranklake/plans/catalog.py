@@ -22,7 +22,7 @@ from ranklake.operators.enrich import (enrich_hits, filtered_topk, lang_filter_c
                                        metadata_by_id, url_join, uuid_join)
 from ranklake.operators.postings import SearchIndex, index_registry
 from ranklake.operators.query import query_terms
-from ranklake.operators.requests import (requests_with_defaults, valid_requests,
+from ranklake.operators.requests import (requests_with_defaults, retriever_requests, valid_requests,
                                          validate_requests)
 from ranklake.operators.scoring import (bm25_search, hit_pages, request_bounds,
                                         search_after, topk_hits, total_hits)
@@ -87,9 +87,12 @@ class Ctx:
 
     @cached_property
     def retrieved(self) -> DataFrame:
-        """Retriever documents: the result snippet chunked (page_content),
-        ``source`` = url, the other result fields as metadata."""
-        r = self.search.results
+        """Retriever documents: the requests with the retriever's defaults, the
+        result snippet chunked (page_content), ``source`` = url, the other
+        result fields as metadata."""
+        sent = retriever_requests(fx.requests(self.spark, self.sf), DEFAULT_INDEX)
+        r = search(sent, self.index, self.meta, DEFAULT_INDEX, mapping=self.mapping,
+                   records=self.store.records).results
         chunks = chain.explode_chunks(
             r, "textSnippet", ["request_id", "rank", "url", "id", "title", "language",
                                "warcDate", "wordCount"])
@@ -104,28 +107,18 @@ def _long(*names):
 
 def q_metadata_scan(spark, sf):
     """The two schema groups written as the metadata files of a directory, one
-    per index, and read back by the directory scan. ``file_pos`` is a record's
-    place in its file, which is written in the fixture's order."""
+    per index (a folder of sorted parts each), and read back by the directory
+    scan. ``file_pos`` is a record's place in its index, which is written in the
+    fixture's order."""
     from ranklake.session import scratch_path
-    from ranklake.sources.metadata import scan_metadata_dir
+    from ranklake.sources.metadata import scan_metadata_dir, write_metadata
     root = scratch_path(spark, "metadata-dir")
     groups = ((fx.INDEX_UUID, fx.metadata_a(spark, sf)), (fx.INDEX_URL, fx.metadata_b(spark, sf)))
     for name, rows in groups:
-        _write_file(spark, rows.orderBy("file_pos").drop("file_pos"), root, name)
+        write_metadata(rows, f"{root}/{name}.parquet", spark.sparkContext.defaultParallelism)
     return scan_metadata_dir(spark, root)
 
 
-def _write_file(spark, rows, root: str, name: str) -> None:
-    """``rows`` as the one file ``root/name.parquet`` (an index's metadata is
-    one file by definition of the layout)."""
-    rows.coalesce(1).write.parquet(f"{root}/parts/{name}")
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path
-    fs = path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    part = fs.globStatus(path(f"{root}/parts/{name}/part-*"))[0].getPath()
-    fs.rename(part, path(f"{root}/{name}.parquet"))
-
-
 def q_metadata_by_id(spark, sf):
     return metadata_by_id(Ctx(spark, sf).meta.drop("plain_text"))
 
@@ -388,6 +381,24 @@ def q_embed_distinct(spark, sf):
                     F.round(F.sqrt(squared_norm("vec")), 6).alias("norm"))
 
 
+def _text_shape(texts: list[str]) -> list[list[float]]:
+    """A stand-in for an embedding model: code points and blanks of a text."""
+    return [[float(len(t)), float(t.count(" "))] for t in texts]
+
+
+def q_embed_memo(spark, sf):
+    """A memo filled in two runs: the accepted requests' texts first, then the
+    same texts with the documents; the second run embeds only what is new."""
+    from ranklake.operators.memo import EmbeddingMemo
+    from ranklake.session import scratch_path
+    memo = EmbeddingMemo(spark, scratch_path(spark, "memo"))
+    asked = Ctx(spark, sf).valid.select(F.lit("request").alias("kind"), F.col("request_id").alias("id"), F.col("q").alias("text"))
+    memo.embed(asked, _text_shape)
+    docs = read_table(spark, sf, "documents").select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), "text")
+    out = memo.embed(asked.unionByName(docs), _text_shape)
+    return out.select("kind", "id", *[F.col("vec")[i].cast("long").alias(n) for i, n in enumerate(("n_chars", "n_blanks"))], "error")
+
+
 def _messages(spark, sf):
     return fx.chat_messages(spark, sf)
 
@@ -456,6 +467,7 @@ REGISTRY = {
     "cosine_similarity": q_cosine_similarity,
     "semantic_rerank": q_semantic_rerank,
     "embed_distinct": q_embed_distinct,
+    "embed_memo": q_embed_memo,
     "chat_source": q_chat_source,
     "message_router": q_message_router,
     "image_payload": q_image_payload,
@@ -598,6 +610,37 @@ def q_stream_search(spark, sf):
     return spark.read.parquet(sink).select("message_id", *_long("seq"), "username", "text")
 
 
+def _file_count(spark, path: str) -> int:
+    return len(spark.read.text(path).inputFiles())
+
+
+def q_stream_memory_reset(spark, sf):
+    """Final streamed memory with resets (k = 5; ``system`` turns reset). As in
+    ``stream_memory`` turns come late and twice, over several micro-batches, so
+    resets come before and after what they forget."""
+    from pyspark.sql import Window
+    from ranklake.session import scratch_path
+    from ranklake.streaming.chat_stream import chat_source
+    from ranklake.streaming.memory import stream_memory_reset, use_rocksdb
+    path, sink = scratch_path(spark, "reset-in"), scratch_path(spark, "reset-out")
+    lines = fx.chat_json(spark, sf)
+    n = MEMORY_BATCHES
+    for k in range(n):
+        lines.filter((F.pmod(F.xxhash64("value"), F.lit(n)) == k)
+                     | (F.pmod(F.xxhash64("value"), F.lit(7 * n)) == (k - 1) % n)).write.mode("append").text(path)
+    per = max(1, -(-_file_count(spark, path) // n))
+    use_rocksdb(spark)
+    stream = chat_source(spark, path, max_files_per_trigger=per).withColumn("is_reset", F.col("role") == "system")
+    q = (stream_memory_reset(stream).writeStream.format("parquet").option("path", sink)
+         .option("checkpointLocation", scratch_path(spark, "reset-ckpt"))
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    last = F.max("emit").over(Window.partitionBy("conv_id"))
+    return (spark.read.parquet(sink).withColumn("_last", last)
+            .filter((F.col("emit") == F.col("_last")) & F.col("turn").isNotNull())
+            .select("conv_id", "turn", "role"))
+
+
 def q_stream_memory(spark, sf):
     """Final streamed memory per conversation (k = 5). The messages come in
     several micro-batches, dealt over files by a hash so that turns arrive out
@@ -612,8 +655,9 @@ def q_stream_memory(spark, sf):
     for k in range(n):
         first = lines.filter(F.pmod(F.xxhash64("value"), F.lit(n)) == k)
         late = again.filter(F.pmod(F.xxhash64("value"), F.lit(n)) == (k - 1) % n)
-        first.unionByName(late).coalesce(1).write.mode("append").text(path)
-    mem = stream_memory(chat_source(spark, path, max_files_per_trigger=1), idle_ms=None)
+        first.unionByName(late).write.mode("append").text(path)
+    per = max(1, -(-_file_count(spark, path) // n))
+    mem = stream_memory(chat_source(spark, path, max_files_per_trigger=per), idle_ms=None)
     q = (mem.writeStream.format("parquet").option("path", sink)
          .option("checkpointLocation", scratch_path(spark, "memory-ckpt"))
          .trigger(availableNow=True).start())
@@ -628,4 +672,5 @@ REGISTRY.update({
     "stream_transcript": q_stream_transcript,
     "stream_search": q_stream_search,
     "stream_memory": q_stream_memory,
+    "stream_memory_reset": q_stream_memory_reset,
 })

@@ -641,8 +641,18 @@ _CHAIN = ["reqs", "validated", "valid", "qt", "scores", "ftopk", "result_rows",
           "retrieved"]
 
 
-def _chat_chain() -> None:
+def _copy_chain(prefix: str) -> None:
+    """The chain over ``<prefix>raw_req`` under names with that prefix."""
     import re
+    names = ["raw_req"] + _CHAIN
+    pat = re.compile(r"\b(" + "|".join(names) + r")\b")
+    for n in _CHAIN:
+        deps, sql = CTES[n]
+        CTES[prefix + n] = ([(prefix + d) if d in names else d for d in deps],
+                            pat.sub(lambda m: prefix + m.group(1), sql))
+
+
+def _chat_chain() -> None:
     cte("c_raw_req", ["messages", "captions"], """
 SELECT m.message_id AS request_id,
        CASE WHEN prefix(m.message, 'data:image/jpeg;base64,') THEN 'tell me about ' || c.caption
@@ -651,12 +661,7 @@ SELECT m.message_id AS request_id,
        CAST(100 AS INTEGER) AS "limit"
 FROM messages m LEFT JOIN captions c ON m.message_id = c.message_id
 WHERE m.role = 'user'""")
-    names = ["raw_req"] + _CHAIN
-    pat = re.compile(r"\b(" + "|".join(names) + r")\b")
-    for n in _CHAIN:
-        deps, sql = CTES[n]
-        CTES["c_" + n] = ([("c_" + d) if d in names else d for d in deps],
-                          pat.sub(lambda m: "c_" + m.group(1), sql))
+    _copy_chain("c_")
     cte("answers", [], """
 SELECT CAST(u.conv_id AS VARCHAR) || '-' || CAST(u.turn AS VARCHAR) AS message_id, a.text AS answer
 FROM conversations u JOIN conversations a
@@ -678,7 +683,24 @@ LEFT JOIN answers a ON r.request_id = a.message_id""")
 
 
 _chat_chain()
+
+# The server's requests as the retriever sends them: 100 results and ``en``
+# where a request names neither.
+cte("r_raw_req", ["raw_req"], """
+SELECT request_id, q, COALESCE("index", 'demo_a') AS "index", COALESCE(lang, 'en') AS lang, ranking,
+       CAST(COALESCE("limit", 100) AS INTEGER) AS "limit"
+FROM raw_req""")
+_copy_chain("r_")
+for _name in ("retrieve", "stuff_context", "answer_sources", "reference_links"):
+    ORACLE[_name] = (ORACLE[_name][0].replace("FROM retrieved", "FROM r_retrieved"), ["r_retrieved"])
+
 ORACLE.update({
+    "stream_memory_reset": ORACLE["memory_reset"],
+    "embed_memo": ("""
+SELECT kind, id, CAST(length(text) AS BIGINT) AS n_chars, CAST(length(text) - length(replace(text, ' ', '')) AS BIGINT) AS n_blanks,
+       CAST(NULL AS VARCHAR) AS error
+FROM (SELECT 'request' AS kind, request_id AS id, q AS text FROM valid
+      UNION ALL SELECT 'document', doc_id, text FROM documents)""", ["valid"]),
     "stream_transcript": ("SELECT message_id, seq, username, text FROM transcript", ["transcript"]),
     "stream_search": ("SELECT message_id, seq, username, text FROM transcript", ["transcript"]),
 })

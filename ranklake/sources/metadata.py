@@ -1,14 +1,15 @@
 """Metadata source: every ``*.parquet`` / ``*.parquet.gz`` file of a
 directory is the metadata of the index named by the file name up to its
-last ``.parquet``.
+last ``.parquet``. A folder of that name holds the same as sorted parts
+(``part-<number>...``, as ``write_metadata`` leaves them).
 
 The two record schemas cannot be read together (string vs long
 ``warc_date``), so the files are grouped by schema from their footers (one
 small footer read per file, as many files as indexes), each group is read
 in one scan with an explicit schema, projected to the canonical columns
 and the groups are unioned. ``file_pos`` is the record's row index in its
-file (``_metadata.row_index``), which keeps file order for "last
-duplicate wins". Unreadable files are skipped (``ignoreCorruptFiles``).
+file (``_metadata.row_index``) plus the rows of the parts before it, which
+keeps file order for "last duplicate wins". Unreadable files are skipped (``ignoreCorruptFiles``).
 """
 
 from __future__ import annotations
@@ -17,10 +18,11 @@ from concurrent.futures import ThreadPoolExecutor
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ranklake.config import BROADCAST_MAX_ROWS
 from ranklake.operators.enrich import canonical_schema_a, canonical_schema_b
 
 S = T.StringType()
@@ -40,13 +42,17 @@ SUFFIXES = (".parquet", ".parquet.gz")
 
 def _list_files(spark: SparkSession, path: str) -> list[str]:
     jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
+    p_of = jvm.org.apache.hadoop.fs.Path
+    p = p_of(path)
     fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     out = []
     for st in fs.listStatus(p):
         name = st.getPath().getName()
         if st.isFile() and name.endswith(SUFFIXES):
             out.append(st.getPath().toString())
+        elif st.isDirectory() and name.endswith(SUFFIXES[0]):
+            parts = fs.globStatus(p_of(st.getPath(), "part-*"))
+            out += [part.getPath().toString() for part in parts or []]
     return sorted(out)
 
 
@@ -65,10 +71,32 @@ def _schema_groups(spark: SparkSession, files: list[str]) -> dict[str, list[str]
 
 
 def _read_group(spark: SparkSession, files: list[str], schema: T.StructType) -> DataFrame:
-    df = (spark.read.schema(schema).option("ignoreCorruptFiles", "true").parquet(*files)
-          .select("*", F.col("_metadata.file_name").alias("_file"),
-                  F.col("_metadata.row_index").alias("file_pos")))
-    return df.withColumn("index_name", F.regexp_extract("_file", r"^(.*)\.parquet(\.gz)?$", 1))
+    read = spark.read.schema(schema).option("ignoreCorruptFiles", "true").parquet(*files)
+    # Empty for a plain file; the path is a URI.
+    folder = F.url_decode(F.replace(F.regexp_extract("_path", r"([^/]*)\.parquet/[^/]*$", 1), F.lit("+"), F.lit("%2B")))
+    named = F.when(folder != "", folder).otherwise(F.regexp_extract("_file", r"^(.*)\.parquet(\.gz)?$", 1))
+    meta = [F.col("_metadata.file_name").alias("_file"), F.col("_metadata.file_path").alias("_path")]
+    df = read.select("*", *meta, F.col("_metadata.row_index").alias("_row")).withColumn("index_name", named)
+    if not any(SUFFIXES[0] + "/" in f for f in files):
+        return df.withColumn("file_pos", F.col("_row"))
+    # Rows before each part: one row a file, summed up within its index.
+    part = F.when(folder != "", F.regexp_extract("_file", r"^part-(\d+)", 1).try_cast("long"))
+    counts = (read.select(*meta).withColumn("index_name", named).withColumn("_part", part)
+              .groupBy("index_name", "_part", "_file", "_path").agg(F.count(F.lit(1)).alias("_n")))
+    w = Window.partitionBy("index_name").orderBy("_part", "_file").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select("_path", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"))
+    if len(files) <= BROADCAST_MAX_ROWS:
+        before = F.broadcast(before)
+    return (df.join(before, "_path", "left")
+            .withColumn("file_pos", F.col("_row") + F.coalesce("_before", F.lit(0))).drop("_before"))
+
+
+def write_metadata(rows: DataFrame, path: str, parts: int | None = None, order_col: str = "file_pos") -> None:
+    """``rows`` in the order of ``order_col`` (not written) as a folder of
+    sorted parts, as many as their size asks for unless ``parts`` is given.
+    Rows must differ in ``order_col`` for a defined order."""
+    ranges = rows.repartitionByRange(parts, order_col) if parts else rows.repartitionByRange(order_col)
+    ranges.sortWithinPartitions(order_col).drop(order_col).write.parquet(path)
 
 
 def scan_metadata_dir(spark: SparkSession, path: str) -> DataFrame:

@@ -52,3 +52,41 @@ def test_memory_merges_late_and_repeated_turns():
     assert state.timeout == 1000
     state.hasTimedOut = True
     assert turns([]) == [] and not state.exists
+
+
+def test_stream_memory_reset_equals_batch(spark, sf):
+    """Several micro-batches with late and repeated turns and resets."""
+    from pyspark.sql import functions as F
+    got = sorted(tuple(r) for r in catalog.q_stream_memory_reset(spark, sf).collect())
+    conv = fx.read_table(spark, sf, "conversations").withColumn("is_reset", F.col("role") == "system")
+    exp = sorted(tuple(r) for r in chain.memory_reset(conv).select("conv_id", "turn", "role").collect())
+    assert got == exp and exp
+
+
+def test_late_messages_before_a_reset_are_refused(spark, tmp_path):
+    """Micro-batch by micro-batch: a reset forgets, late messages from before it
+    stay out, a late reset forgets only what is before it."""
+    import json
+
+    from ranklake.streaming.chat_stream import chat_source
+    from ranklake.streaming.memory import stream_memory_reset, use_rocksdb
+    use_rocksdb(spark)
+    source, sink = tmp_path / "in", str(tmp_path / "out")
+    source.mkdir()
+
+    def messages(n, *turns):
+        lines = [json.dumps({"message_id": f"{c}-{t}", "conv_id": c, "turn": t, "role": r, "username": "u", "message": f"m{t}"}) for c, t, r in turns]
+        (source / f"{n}.json").write_text("\n".join(lines))
+        stream = chat_source(spark, str(source))
+        stream = stream.withColumn("is_reset", stream.role == "system")
+        (stream_memory_reset(stream, k=1).writeStream.format("parquet").option("path", sink)
+         .option("checkpointLocation", str(tmp_path / "ckpt")).trigger(availableNow=True).start().awaitTermination())
+        out = spark.read.parquet(sink).filter("conv_id = 1").collect()
+        last = max(r.emit for r in out)
+        return sorted(r.turn for r in out if r.emit == last and r.turn is not None)
+    assert messages(1, (1, 0, "user"), (1, 1, "assistant"), (1, 2, "user"), (2, 0, "user"), (None, 5, "user")) == [1, 2]
+    assert messages(2, (1, 5, "system")) == []
+    assert messages(3, (1, 3, "user"), (1, 4, "assistant")) == []
+    assert messages(4, (1, 6, "user"), (1, 8, "user"), (1, 7, "assistant")) == [7, 8]
+    assert messages(5, (1, 7, "system")) == [8]
+    assert messages(6, (1, 6, "system"), (1, 7, "assistant")) == [8]
