@@ -17,9 +17,43 @@ def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
-def tokens(col, pattern: str = TOKEN_PATTERN) -> Column:
-    """Analyser: lower case, then every maximal run of the token pattern."""
-    return F.regexp_extract_all(F.lower(_c(col)), F.lit(pattern), 0)
+# Character classes of the Unicode word boundary rules (UAX #29), by property.
+_MARK = r"[\p{M}\p{Cf}]*+"
+_KATAKANA = r"[\p{IsKatakana}\u30FC\uFF70]"
+_MAINLAND = r"\p{IsThai}\p{IsLao}\p{IsMyanmar}\p{IsKhmer}"
+_LETTER = rf"[\p{{IsAlphabetic}}&&[^\p{{IsIdeographic}}\p{{IsHiragana}}{_KATAKANA}{_MAINLAND}\p{{M}}]]"
+# What joins two letters, and what joins two digits.
+_MID_LETTER = r"[:'.\u00B7\u2018\u2019\u2024\u2027\uFE13\uFE52\uFE55\uFF07\uFF0E\uFF1A]"
+_MID_NUMBER = r"[,;'.\u037E\u0589\u2018\u2019\u2024\u2044\uFE10\uFE14\uFE50\uFE52\uFE54\uFF07\uFF0C\uFF0E\uFF1B]"
+
+
+def _joined(unit: str, joiner: str) -> str:
+    run = rf"{unit}(?:{unit}|[\p{{M}}\p{{Cf}}])*+"
+    return rf"{run}(?:{joiner}{_MARK}{run})*+"
+
+
+# Every repetition is possessive: none has to give anything back, and a long
+# token costs no stack. The look-behind keeps a run of underscores linear.
+_UNIT = rf"(?:(?:{_joined(_LETTER, _MID_LETTER)}|{_joined(r'\p{Nd}', _MID_NUMBER)})++|(?:{_KATAKANA}{_MARK})++)"
+_LINK = rf"(?:\p{{Pc}}{_MARK})++"
+UAX29_PATTERN = (rf"(?:(?<!\p{{Pc}}){_LINK})?+{_UNIT}(?:{_LINK}{_UNIT})*+(?:{_LINK})?+"
+                 rf"|[[{_MAINLAND}]&&[\p{{L}}\p{{M}}]]++|[\p{{IsIdeographic}}\p{{IsHiragana}}]{_MARK}")
+
+#: Analysers by name: the pattern whose matches in the lower-cased text are the
+#: tokens. ``words`` takes runs of letters, digits and underscores;
+#: ``uax29_like`` follows the Unicode word boundaries: ``can't``, ``3.14`` and
+#: ``example.com`` are whole, ideographs and Hiragana come one by one, a run of
+#: Katakana or of a script without spaces is one token. It has no dictionary
+#: for these scripts, and emoji are no tokens.
+ANALYSERS = {"words": TOKEN_PATTERN, "uax29_like": UAX29_PATTERN}
+DEFAULT_ANALYSER = "words"
+
+
+def tokens(col, analyser: str = DEFAULT_ANALYSER) -> Column:
+    """Analyser: lower case, then every match of the analyser's pattern."""
+    if analyser not in ANALYSERS:
+        raise ValueError(f"no analyser named {analyser}; there are {', '.join(ANALYSERS)}")
+    return F.regexp_extract_all(F.lower(_c(col)), F.lit(ANALYSERS[analyser]), 0)
 
 
 def java_trim(col) -> Column:

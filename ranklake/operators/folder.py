@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ranklake.operators.postings import SearchIndex, index_registry
+from ranklake.operators.query import clauses_from_q
 from ranklake.operators.scoring import evaluate
 
 
@@ -50,6 +51,17 @@ class IndexFolder:
         """One row per known index name, for ``validate_requests``."""
         return spark.createDataFrame([(n,) for held in self.names for n in sorted(held)], "index_name string")
 
+    def answer(self, requests: DataFrame, clauses_fn=clauses_from_q, **kw) -> DataFrame | None:
+        """Scores of ``requests``, whose queries go through the analyser of the
+        index that they name (indexes of one folder may differ in it)."""
+        parts = []
+        for analyser in sorted({i.analyser for i in self.indexes}):
+            own = [k for k, i in enumerate(self.indexes) if i.analyser == analyser]
+            some = IndexFolder([self.indexes[k] for k in own], [self.names[k] for k in own])
+            parts.append(some.evaluate(clauses_fn(requests, analyser), **kw))
+        parts = [p for p in parts if p is not None]
+        return reduce(DataFrame.unionByName, parts) if parts else None
+
     def evaluate(self, clauses: DataFrame, **kw) -> DataFrame | None:
         """Scores of ``clauses`` over all indexes of the folder (the arguments
         of ``scoring.evaluate``); None where no clause names a held index."""

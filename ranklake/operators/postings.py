@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ranklake.config import MAX_SHARDS, SHARD_BYTES
 from ranklake.functions.bm25 import tf_norm
-from ranklake.functions.text import deletion_signatures, tokens
+from ranklake.functions.text import DEFAULT_ANALYSER, deletion_signatures, tokens
 from ranklake.operators.partitioning import spread
 
 
@@ -62,7 +62,7 @@ def _runs(pairs, starts):
     return F.when(n > 0, F.transform(starts, run)).otherwise(empty)
 
 
-def build_postings(corpus: DataFrame, text_col: str = "text") -> DataFrame:
+def build_postings(corpus: DataFrame, text_col: str = "text", analyser: str = DEFAULT_ANALYSER) -> DataFrame:
     """corpus(index_name, doc_id, text) -> postings.
 
     A document is one row, so its postings are computed inside the row and
@@ -73,7 +73,7 @@ def build_postings(corpus: DataFrame, text_col: str = "text") -> DataFrame:
     expression referenced inside a lambda would be evaluated once per
     element, a column once per row."""
     docs = (spread(corpus.select("index_name", "doc_id", text_col))
-            .select("index_name", "doc_id", tokens(text_col).alias("toks"))
+            .select("index_name", "doc_id", tokens(text_col, analyser).alias("toks"))
             .select("index_name", "doc_id", F.size("toks").cast("long").alias("dl"),
                     _sorted_pairs(F.col("toks")).alias("pairs"))
             .select("index_name", "doc_id", "dl", "pairs",
@@ -124,19 +124,20 @@ class SearchIndex:
     corpus_stats: DataFrame
     keys: DataFrame | None = None   # corpus (index_name, doc_id, doc_key), build only
     signatures: DataFrame | None = None   # stored; otherwise made of the term table
+    analyser: str = DEFAULT_ANALYSER   # of its texts, and of the queries that it answers
 
     def by_signature(self) -> DataFrame:
         return self.signatures if self.signatures is not None else build_signatures(self.term_stats)
 
     @classmethod
-    def build(cls, corpus: DataFrame, text_col: str = "text") -> "SearchIndex":
+    def build(cls, corpus: DataFrame, text_col: str = "text", analyser: str = DEFAULT_ANALYSER) -> "SearchIndex":
         """Lazy build from corpus(index_name, doc_id, doc_key, text)."""
-        postings = build_postings(corpus, text_col)
+        postings = build_postings(corpus, text_col, analyser)
         lengths = doc_lengths(postings)
         keys = corpus.select("index_name", "doc_id", "doc_key")
         doc_stats = lengths.join(keys, ["index_name", "doc_id"], "inner")
         corpus_stats = build_corpus_stats(lengths)
-        return cls(postings, doc_stats, build_term_stats(postings, corpus_stats), corpus_stats, keys)
+        return cls(postings, doc_stats, build_term_stats(postings, corpus_stats), corpus_stats, keys, analyser=analyser)
 
     def save(self, path: str, shards: int | None = None) -> "SearchIndex":
         """Write the tables once (the one-off index build) and return the
@@ -153,7 +154,7 @@ class SearchIndex:
         (self.postings.repartition(shards, "doc_id").write.mode("overwrite")
          .bucketBy(shards, "doc_id").sortBy("index_name", "term")
          .option("path", f"{path}/postings").saveAsTable(_table_name(path)))
-        spark.createDataFrame([(shards,)], "shards int").write.mode("overwrite").parquet(f"{path}/layout")
+        spark.createDataFrame([(shards, self.analyser)], "shards int, analyser string").write.mode("overwrite").parquet(f"{path}/layout")
         stored = spark.table(_table_name(path))
         lengths = doc_lengths(stored)
         keys = (self.keys if self.keys is not None
@@ -171,8 +172,8 @@ class SearchIndex:
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> "SearchIndex":
         name = _table_name(path)
+        shards, analyser = spark.read.schema("shards int, analyser string").parquet(f"{path}/layout").first()
         if not spark.catalog.tableExists(name):  # written by another session
-            shards = spark.read.parquet(f"{path}/layout").first().shards
             fields = spark.read.parquet(f"{path}/postings").schema.fields
             cols = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
             spark.sql(f"CREATE TABLE {name} ({cols}) USING parquet LOCATION '{path}/postings' "
@@ -181,7 +182,7 @@ class SearchIndex:
                    spark.read.parquet(f"{path}/doc_stats"),
                    spark.read.parquet(f"{path}/term_stats"),
                    spark.read.parquet(f"{path}/corpus_stats"),
-                   signatures=spark.read.parquet(f"{path}/signatures"))
+                   signatures=spark.read.parquet(f"{path}/signatures"), analyser=analyser or DEFAULT_ANALYSER)
 
 
 def _table_name(path: str) -> str:

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ranklake.config import FUZZY_MAX_EDITS
-from ranklake.functions.text import tokens
+from ranklake.functions.text import DEFAULT_ANALYSER, tokens
 
 MUST, SHOULD, MUST_NOT = "MUST", "SHOULD", "MUST_NOT"
 
@@ -106,17 +106,17 @@ def _req_cols(requests: DataFrame):
     return [F.col("request_id"), F.col("index_name"), lim.cast("int").alias("limit")]
 
 
-def query_terms(requests: DataFrame) -> DataFrame:
+def query_terms(requests: DataFrame, analyser: str = DEFAULT_ANALYSER) -> DataFrame:
     """(request_id, index_name, term, qtf): analysed terms of ``q``; a term
     repeated in the query counts as often as it appears."""
-    return (requests.select(*_req_cols(requests)[:2], F.explode(tokens("q")).alias("term"))
+    return (requests.select(*_req_cols(requests)[:2], F.explode(tokens("q", analyser)).alias("term"))
             .groupBy("request_id", "index_name", "term")
             .agg(F.count(F.lit(1)).cast("long").alias("qtf")))
 
 
-def plain_clauses(requests: DataFrame) -> DataFrame:
+def plain_clauses(requests: DataFrame, analyser: str = DEFAULT_ANALYSER) -> DataFrame:
     """One SHOULD term clause per analysed token of ``q`` (default OR)."""
-    return (requests.select(*_req_cols(requests), F.posexplode(tokens("q")).alias("clause_no", "text"))
+    return (requests.select(*_req_cols(requests), F.posexplode(tokens("q", analyser)).alias("clause_no", "text"))
             .select("request_id", "index_name", "limit",
                     F.col("clause_no").cast("long").alias("clause_no"),
                     F.lit(SHOULD).alias("occur"), F.lit("term").alias("kind"), "text",
@@ -126,8 +126,9 @@ def plain_clauses(requests: DataFrame) -> DataFrame:
                     F.lit(1.0).alias("boost")))
 
 
-def clauses_from_q(requests: DataFrame) -> DataFrame:
-    """Flat query-syntax items of ``q`` -> clause table (see module doc)."""
+def clauses_from_q(requests: DataFrame, analyser: str = DEFAULT_ANALYSER) -> DataFrame:
+    """Flat query-syntax items of ``q`` -> clause table (see module doc);
+    ``analyser`` is that of the index which is asked."""
     items = requests.select(*_req_cols(requests), _items("q").alias("items"))
     items = items.select("request_id", "index_name", "limit", "items", F.posexplode("items").alias("item_no", "item"))
     near = lambda k: F.coalesce(F.try_element_at("items", F.col("item_no") + 1 + k), F.lit(""))
@@ -170,7 +171,7 @@ def clauses_from_q(requests: DataFrame) -> DataFrame:
     # Bare words go through the analyser; each token becomes a term clause.
     words = (typed.filter(F.col("kind") == "term")
              .select("request_id", "index_name", "limit", "item_no", "occur", "boost",
-                     "kind", F.posexplode(tokens("text")).alias("sub", "text"),
+                     "kind", F.posexplode(tokens("text", analyser)).alias("sub", "text"),
                      "upper", "inclusive", "max_edits"))
     others = typed.filter(F.col("kind") != "term").withColumn("sub", F.lit(0))
     out = words.unionByName(others)

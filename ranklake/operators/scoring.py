@@ -112,7 +112,7 @@ def _phrase_hits(c: DataFrame, index: SearchIndex, bcast: bool, salts: int,
     forms = ph.select(*form).distinct().withColumn("fid", F.monotonically_increasing_id()).checkpoint(eager=True)
     bcast = bcast and forms.count() <= max_rows
     small = (lambda x: F.broadcast(x)) if bcast else (lambda x: x)
-    toks = forms.select("index_name", "fid", F.posexplode(tokens("text")).alias("offset", "term"))
+    toks = forms.select("index_name", "fid", F.posexplode(tokens("text", index.analyser)).alias("offset", "term"))
     cs = F.broadcast(index.corpus_stats.select("index_name", "n_docs", "avgdl"))
     # A phrase with a term that no document holds is left out.
     whole = Window.partitionBy("fid")
@@ -298,7 +298,7 @@ def bm25_search(requests: DataFrame, index: SearchIndex, quantize: bool = False,
                 **kw) -> DataFrame:
     """Plain text ``q`` (default OR) -> scores for every request."""
     from ranklake.operators.query import plain_clauses
-    return evaluate(plain_clauses(requests), index, quantize=quantize, kinds={"term"}, **kw)
+    return evaluate(plain_clauses(requests, index.analyser), index, quantize=quantize, kinds={"term"}, **kw)
 
 
 def request_bounds(requests: DataFrame) -> tuple[int, int]:

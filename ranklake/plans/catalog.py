@@ -674,3 +674,15 @@ REGISTRY.update({
     "stream_memory": q_stream_memory,
     "stream_memory_reset": q_stream_memory_reset,
 })
+
+
+def q_bm25_uax29(spark, sf):
+    """BM25 of the passages on the indexes built with the second analyser."""
+    from ranklake.session import scratch_path
+    c = Ctx(spark, sf)
+    index = SearchIndex.build(c.corpus, analyser="uax29_like").save(scratch_path(spark, "uax29"))
+    valid = valid_requests(validate_requests(c.reqs, index_registry(index)))
+    return bm25_search(valid, index).select("request_id", "index_name", "doc_id", "score")
+
+
+REGISTRY["bm25_uax29"] = q_bm25_uax29

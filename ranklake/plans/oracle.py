@@ -178,6 +178,42 @@ JOIN corpus_stats c ON q.index_name = c.index_name
 JOIN postings p ON q.index_name = p.index_name AND q.term = p.term
 GROUP BY q.request_id, q.index_name, q."limit", p.doc_id""")
 
+# The second analyser without look-around or class intersection: words of
+# letters and digits with inner marks, Katakana runs, runs of the scripts
+# without spaces, and one token for every ideograph and Hiragana sign.
+_JOIN = r"[\p{M}\p{Cf}]*"
+_ALPHA = r"[^\P{L}\p{Han}\p{Hiragana}\p{Katakana}\x{30FC}\x{FF70}\p{Thai}\p{Lao}\p{Myanmar}\p{Khmer}]"
+_WORD29 = (rf"(?:{_ALPHA}{_JOIN})+(?:[:\x27.\x{{B7}}\x{{2018}}\x{{2019}}\x{{2024}}\x{{2027}}\x{{FE13}}\x{{FE52}}\x{{FE55}}\x{{FF07}}\x{{FF0E}}\x{{FF1A}}]"
+           rf"{_JOIN}(?:{_ALPHA}{_JOIN})+)*")
+_NUM29 = (rf"(?:\p{{Nd}}{_JOIN})+(?:[,;\x27.\x{{37E}}\x{{589}}\x{{2018}}\x{{2019}}\x{{2024}}\x{{2044}}\x{{FE10}}\x{{FE14}}\x{{FE50}}\x{{FE52}}\x{{FE54}}"
+          rf"\x{{FF07}}\x{{FF0C}}\x{{FF0E}}\x{{FF1B}}]{_JOIN}(?:\p{{Nd}}{_JOIN})+)*")
+_UNIT29 = rf"(?:(?:{_WORD29}|{_NUM29})+|(?:[\p{{Katakana}}\x{{30FC}}\x{{FF70}}]{_JOIN})+)"
+_LINK29 = rf"(?:\p{{Pc}}{_JOIN})"
+TOKEN29_RE = (rf"{_LINK29}*{_UNIT29}(?:{_LINK29}+{_UNIT29})*{_LINK29}*"
+              rf"|(?:[^\P{{Thai}}\p{{N}}]|[^\P{{Lao}}\p{{N}}]|[^\P{{Myanmar}}\p{{N}}]|[^\P{{Khmer}}\p{{N}}])+|[\p{{Han}}\p{{Hiragana}}]{_JOIN}")
+
+cte("tok29", ["corpus"], f"""
+SELECT index_name, doc_id, len(t) AS dl, unnest(t) AS term
+FROM (SELECT index_name, doc_id, regexp_extract_all(lower(text), '{TOKEN29_RE}') AS t FROM corpus)""")
+
+cte("postings29", ["tok29"], """
+SELECT index_name, term, doc_id, dl, count(*) AS tf FROM tok29 GROUP BY ALL""")
+
+cte("corpus29", ["postings29"], """
+SELECT index_name, count(*) AS n_docs, CAST(sum(dl) AS DOUBLE) / count(*) AS avgdl
+FROM (SELECT DISTINCT index_name, doc_id, dl FROM postings29) GROUP BY index_name""")
+
+cte("terms29", ["postings29"], """
+SELECT index_name, term, count(*) AS df FROM postings29 GROUP BY index_name, term""")
+
+cte("scores29", ["valid", "postings29", "corpus29", "terms29"], f"""
+SELECT q.request_id, q.index_name, p.doc_id, round(sum({BM25_TERM}), 6) AS score
+FROM (SELECT request_id, index_name, unnest(regexp_extract_all(lower(q), '{TOKEN29_RE}')) AS term FROM valid) q
+JOIN terms29 t ON t.index_name = q.index_name AND t.term = q.term
+JOIN corpus29 c ON c.index_name = q.index_name
+JOIN postings29 p ON p.index_name = q.index_name AND p.term = q.term
+GROUP BY q.request_id, q.index_name, p.doc_id""")
+
 cte("topk", ["scores"], """
 SELECT * FROM (
   SELECT request_id, index_name, "limit", doc_id, score,
@@ -316,6 +352,7 @@ LEFT JOIN (SELECT request_id, count(*) AS hits FROM scores GROUP BY request_id)
     "query_terms": ("SELECT request_id, index_name, term, CAST(sum(qtf) AS BIGINT) AS qtf FROM qt GROUP BY request_id, index_name, term", ["qt"]),
     "match_any": ("SELECT request_id, index_name, doc_id FROM scores", ["scores"]),
     "bm25_score": ("SELECT request_id, index_name, doc_id, score FROM scores", ["scores"]),
+    "bm25_uax29": ("SELECT request_id, index_name, doc_id, score FROM scores29", ["scores29"]),
     "topk_hits": ("SELECT request_id, CAST(rank AS BIGINT) AS rank, doc_id, score FROM topk", ["topk"]),
     "total_hits": ("SELECT request_id, CAST(count(*) AS BIGINT) AS total_hits FROM scores GROUP BY request_id", ["scores"]),
     "search_after": ("""

@@ -56,14 +56,15 @@ class SearchOutput:
 
 def search(requests: DataFrame, index: SearchIndex, metadata: DataFrame | None,
            default_index: str, default_limit: int = DEFAULT_LIMIT,
-           clauses_fn=clauses_from_q, kinds: set[str] | None = None,
+           clauses_fn=None, kinds: set[str] | None = None,
            quantize: bool = False, rerank: bool = True,
            mapping: DataFrame | None = None,
            records: DataFrame | None = None, prune: bool | None = None) -> SearchOutput:
     """Answer every request of ``requests(request_id, q, index, lang,
     ranking, limit)``. ``metadata`` is canonical metadata (or None);
     ``mapping`` and ``records`` may pass the stored ``doc_meta`` and
-    ``result_records`` tables of the index.
+    ``result_records`` tables of the index. ``clauses_fn`` makes the clauses of
+    the accepted requests; by default ``clauses_from_q`` with the index's analyser.
 
     Scoring runs once for all indexes: documents of indexes without
     metadata reach the top-k through ``bare`` mapping rows. ``prune`` asks for
@@ -75,7 +76,7 @@ def search(requests: DataFrame, index: SearchIndex, metadata: DataFrame | None,
     validated = validate_requests(reqs, index_registry(index)).checkpoint(eager=True)
     valid = valid_requests(validated)
     n_req, max_lim = request_bounds(valid)
-    clauses = clauses_fn(valid).checkpoint(eager=True)
+    clauses = (clauses_fn(valid) if clauses_fn else clauses_from_q(valid, index.analyser)).checkpoint(eager=True)
     # One small job: how many clauses there are and of which kinds, so the plan
     # holds only those.
     found = clauses.agg(F.count(F.lit(1)).alias("n"), F.collect_set("kind").alias("kinds")).first()

@@ -125,3 +125,21 @@ def test_metadata_in_parts(spark, tmp_path):
     assert many == [(k, f"r{k}") for k in range(1000)]
     assert sorted(r.file_pos for r in got if r.index_name == "one") == [0, 1, 2]
     assert {r.index_name for r in got} == {"many parts", "one"}
+
+
+def test_folder_of_two_analysers(spark, tmp_path):
+    folder = str(tmp_path)
+    texts = ("we can't stop at example.com", "we can stop", "pi is 3.14", "3 or 14", "東京 tower")
+    SearchIndex.build(corpus_of(spark, "plain", *texts)).save(f"{folder}/plain", 2)
+    SearchIndex.build(corpus_of(spark, "whole", *texts), analyser="uax29_like").save(f"{folder}/whole", 2)
+    opened = IndexFolder.open(spark, folder)
+    assert {n: i.analyser for i, held in zip(opened.indexes, opened.names) for n in held} == {"plain": "words", "whole": "uax29_like"}
+    asked = ["can't", "3.14", "example", '"stop at example.com"', "京東"]
+    reqs = spark.createDataFrame([(k * 2 + j, name, 9, q) for k, q in enumerate(asked) for j, name in enumerate(("plain", "whole"))],
+                                 "request_id long, index_name string, limit int, q string")
+    got: dict = {}
+    for r in opened.answer(reqs).collect():
+        got.setdefault(r.request_id, set()).add(r.doc_id)
+    assert [got.get(k, set()) for k in range(10)] == [{0, 1}, {0}, {2, 3}, {2}, {0}, set(), {0}, {0}, set(), {4}]
+    # another session finds the analyser where the index is stored
+    assert SearchIndex.load(spark, f"{folder}/whole").analyser == "uax29_like"
