@@ -338,3 +338,25 @@ def test_mixed_documents(spark, docs):
         assert r.text in texts[r.doc_id] and r.n_chars == len(r.text)
     assert all(got[d] == n for d, n in want.items())
     assert mixing.mixed_documents(no_documents(spark)).count() == 0
+
+
+def test_mixing_of_many_sources(spark, docs, monkeypatch):
+    """Beyond max_sources the plan is a table: same targets, same taken words."""
+    monkeypatch.setattr(mixing, "GROUP_SOURCES", 50)
+    monkeypatch.setattr(mixing, "SLOT_RUN", 3)
+    data = [(k, " ".join(["w"] * (k * k % 97)), f"s{k % 173:03}" if k % 173 else None) for k in range(900)]
+    many = spark.createDataFrame(data, "doc_id long, text string, source string").repartition(3)
+    few = {None: 2.0, "s001": 1.0, "s002": 0.5, "none": 4.0}
+    for table, options in ((many, {}), (many, {"weights": few}), (docs, {})):
+        def sums(**more):
+            out = mixing.mix_digest(table, block=7, shards=5, **options, **more).collect()
+            assert all(0 <= r.taken <= 3 * r.size for r in out)
+            by = Counter()
+            names = {r.doc_id: r.source for r in table.collect()}
+            for r in out:
+                by[names[r.doc_id], r.source_size, round(r.target, 6)] += r.taken
+            return len(out), by
+        assert sums(max_sources=1) == sums()
+    again = [Counter(mixing.mix_digest(many, block=7, shards=5, max_sources=1).collect()) for _ in range(2)]
+    assert again[0] == again[1]
+    assert mixing.mix_digest(no_documents(spark), max_sources=-1).count() == 0
