@@ -28,6 +28,9 @@ MAX_KICKS = 200
 #: Filters up to this size go to every task; beyond it lines are joined with
 #: the exact counts without a filter.
 FILTER_BYTES = 64 << 20
+#: Frequent keys that a filter shard holds about; with more keys the shards are
+#: doubled and their filters built anew.
+SHARD_KEYS = 1 << 18
 
 
 class CuckooFilter:
@@ -158,11 +161,14 @@ class LineIndex:
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, **limits) -> LineIndex:
-        return cls(spark, spark.read.parquet(f"{path}/counts"), spark.read.parquet(f"{path}/filters"), **limits)
+        """The state saved at ``path``, with its number of shards."""
+        shards = spark.read.parquet(f"{path}/layout").first().shards
+        return cls(spark, spark.read.parquet(f"{path}/counts"), spark.read.parquet(f"{path}/filters"), **{**limits, "shards": shards})
 
     def save(self, path: str) -> None:
         self.counts.write.parquet(f"{path}/counts")
         self.filters.write.parquet(f"{path}/filters")
+        self.spark.createDataFrame([(self.shards,)], "shards int").write.parquet(f"{path}/layout")
 
     def insert(self, docs: DataFrame) -> LineIndex:
         return self._change(line_counts(docs, self.min_chars))
@@ -176,12 +182,18 @@ class LineIndex:
         old = self.counts.select("a", "b", "n", F.col("n").alias("was"))
         both = old.unionByName(delta.withColumn("was", F.lit(0).cast("long")))
         new = both.groupBy("a", "b").agg(F.sum("n").alias("n"), F.sum("was").alias("was"))
-        new = new.where("n > 0 or was > 0").select(
-            F.pmod("a", F.lit(self.shards)).cast("int").alias("shard"), "a", "b", F.greatest("n", F.lit(0)).alias("n"), "was")
+        new = new.where("n > 0 or was > 0").select("a", "b", F.greatest("n", F.lit(0)).alias("n"), "was")
         counts = materialize(new, "line-counts")
         up, down = F.col("n") >= self.min_docs, F.col("was") >= self.min_docs
-        moved = counts.where(up != down).select("shard", "b", up.alias("enters"))
-        filters = materialize(self._refilter(moved), "line-filters")
+        hot, shards = counts.where(up).count(), self.shards
+        while hot > shards * SHARD_KEYS:
+            shards *= 2
+        counts = counts.select(F.pmod("a", F.lit(shards)).cast("int").alias("shard"), "a", "b", "n", "was")
+        if shards == self.shards:
+            moved = counts.where(up != down).select("shard", "b", up.alias("enters"))
+            filters = materialize(self._refilter(moved), "line-filters")
+        else:  # every filter anew
+            filters = self.spark.range(shards).select(F.col("id").cast("int").alias("shard"), F.lit(None).cast("binary").alias("data"))
         full = filters.where("data is null").select("shard")
         if not full.isEmpty():
             hot = counts.where(up).join(full, "shard", "left_semi").select("shard", "b")
@@ -189,7 +201,7 @@ class LineIndex:
                 lambda p: pd.DataFrame({"shard": p["shard"].iloc[:1], "data": [build_filter(np.sort(p["b"].to_numpy())).table.tobytes()]}),
                 "shard int, data binary")
             filters = materialize(filters.where("data is not null").unionByName(rebuilt), "line-filters")
-        return LineIndex(self.spark, counts.where("n > 0"), filters, self.min_docs, self.min_chars, self.shards)
+        return LineIndex(self.spark, counts.where("n > 0"), filters, self.min_docs, self.min_chars, shards)
 
     def _refilter(self, moved: DataFrame) -> DataFrame:
         """Filters after keys entered and left; data is null where a shard must

@@ -207,6 +207,24 @@ def test_line_dedup_is_reversible(spark, docs, tmp_path):
     assert kept == brute_lines(rows(), 4)
 
 
+def test_line_dedup_shards_grow(spark, docs, monkeypatch, tmp_path):
+    """More frequent keys than the shards hold: shards double, filters are
+    built anew, decisions and later deletions stay right."""
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", 1)
+    one, two = docs.where("doc_id < 14"), docs.where("doc_id >= 14 or doc_id is null")
+    first = line_dedup.LineIndex.empty(spark, min_docs=4, shards=1).insert(one)
+    both = first.insert(two)
+    hot = both.counts.where("n >= 4").count()
+    assert both.shards >= hot > 1 and both.shards >= first.shards
+    held = sum(int((line_dedup.CuckooFilter.of_bytes(r.data).table != 0).sum()) for r in both.filters.collect())
+    assert held == hot
+    both.save(str(tmp_path / "grown"))
+    for state in (both, line_dedup.LineIndex.load(spark, str(tmp_path / "grown"), min_docs=4), both.delete(two).insert(two)):
+        got = state.clean(docs.select("doc_id", "text")).collect()
+        kept = Counter((r.doc_id, r.n_lines, r.n_dropped, hashlib.sha256((r.text or "").encode()).hexdigest()) for r in got)
+        assert kept == brute_lines(rows(), 4)
+
+
 def test_line_dedup_without_filters(spark, docs, monkeypatch):
     monkeypatch.setattr(line_dedup, "FILTER_BYTES", -1)
     out = line_dedup.digest(docs, 3).collect()
