@@ -67,8 +67,9 @@ TERM_SALTS = 32
 # Documents of an index to one of the largest limit from where the top-k goes by
 # bounds: below, the candidates are a large part of the index.
 PRUNE_RATIO = 20_000
-# Compressed corpus bytes whose postings make one document shard.
-SHARD_BYTES = 64 << 20
+# Compressed corpus bytes whose postings make one document shard: a task sorts
+# a shard's postings when it is stored, and holds the scores of its documents.
+SHARD_BYTES = 4 << 20
 # Document shards of an index at most (Spark's bound on buckets); beyond it
 # shards grow instead.
 MAX_SHARDS = 100_000

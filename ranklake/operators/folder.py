@@ -20,8 +20,8 @@ from ranklake.operators.scoring import evaluate
 
 def saved_indexes(spark: SparkSession, folder: str) -> list[str]:
     """Paths below ``folder`` that hold a whole saved index, by name. The
-    signatures are the last table that ``SearchIndex.save`` writes."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/*/signatures/_SUCCESS")
+    term table is the last that ``SearchIndex.save`` writes."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/*/term_stats/_SUCCESS")
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     return sorted(s.getPath().getParent().getParent().toString() for s in fs.globStatus(path) or [])
 

@@ -8,7 +8,8 @@
 * ``term_stats(index_name, term, df, max_impact)``: ``max_impact`` is the
   largest tf-norm of the term's postings, the bound that pruned top-k needs.
 * ``signatures(index_name, sig, term, df)``: every term under its deletion
-  signatures, for fuzzy matching by an equi-join.
+  signatures, for fuzzy matching by an equi-join. Tens of rows a term, so they
+  are made of ``term_stats`` by the searches that ask for them, not stored.
 * ``corpus_stats(index_name, n_docs, sum_dl, avgdl)``: one row per index,
   so its size is bounded by the number of indexes and it is broadcast.
 
@@ -21,6 +22,7 @@ requests) finds its rows in one place without a shuffle.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -62,26 +64,33 @@ def _runs(pairs, starts):
     return F.when(n > 0, F.transform(starts, run)).otherwise(empty)
 
 
-def build_postings(corpus: DataFrame, text_col: str = "text", analyser: str = DEFAULT_ANALYSER) -> DataFrame:
-    """corpus(index_name, doc_id, text) -> postings.
+def build_postings(corpus: DataFrame, text_col: str = "text", analyser: str = DEFAULT_ANALYSER,
+                   shards: int | None = None) -> DataFrame:
+    """corpus(index_name, doc_id, text) -> postings, with ``shards`` in so many
+    partitions by document.
 
     A document is one row, so its postings are computed inside the row and
     exploded: sort the (term, position) pairs, find where the term changes,
-    slice out each run. Building the postings is a map-only step; the only
-    shuffle is the one that lays the stored index out by term
-    (``SearchIndex.save``). Each step reads the previous one's column: an
+    slice out each run. Building the postings is a map-only step; what is
+    shuffled are the texts, before (a text takes a fraction of its postings'
+    bytes). Each step reads the previous one's column: an
     expression referenced inside a lambda would be evaluated once per
     element, a column once per row."""
-    docs = (spread(corpus.select("index_name", "doc_id", text_col))
-            .select("index_name", "doc_id", tokens(text_col, analyser).alias("toks"))
-            .select("index_name", "doc_id", F.size("toks").cast("long").alias("dl"),
+    rows = corpus.select("doc_id", text_col, F.struct("index_name").alias("of"))
+    # A text that a document has in several indexes is analysed once; the rows
+    # of a document lie in one partition, so nothing else is shuffled.
+    docs = (rows.repartition(shards, "doc_id").groupBy("doc_id", text_col).agg(F.collect_list("of").alias("of"))
+            if shards else spread(rows).withColumn("of", F.array("of")))
+    docs = (docs.select("of", "doc_id", tokens(text_col, analyser).alias("toks"))
+            .select("of", "doc_id", F.size("toks").cast("long").alias("dl"),
                     _sorted_pairs(F.col("toks")).alias("pairs"))
-            .select("index_name", "doc_id", "dl", "pairs",
+            .select("of", "doc_id", "dl", "pairs",
                     F.when(F.size("pairs") > 0, _run_starts(F.col("pairs")))
                     .otherwise(F.array().cast("array<int>")).alias("starts")))
-    return (docs.select("index_name", "doc_id", "dl",
+    return (docs.select("of", "doc_id", "dl",
                         F.explode(_runs(F.col("pairs"), F.col("starts"))).alias("p"))
-            .select("index_name", F.col("p.term").alias("term"), "doc_id",
+            .select(F.explode("of").alias("of"), "doc_id", "dl", "p")
+            .select(F.col("of.index_name").alias("index_name"), F.col("p.term").alias("term"), "doc_id",
                     F.col("p.tf").cast("long").alias("tf"), "dl",
                     F.col("p.positions").alias("positions")))
 
@@ -123,11 +132,12 @@ class SearchIndex:
     term_stats: DataFrame
     corpus_stats: DataFrame
     keys: DataFrame | None = None   # corpus (index_name, doc_id, doc_key), build only
-    signatures: DataFrame | None = None   # stored; otherwise made of the term table
+    layout: Callable[[int], DataFrame] | None = None   # postings in so many partitions by document, build only
     analyser: str = DEFAULT_ANALYSER   # of its texts, and of the queries that it answers
+    shards: int | None = None   # of the stored postings
 
     def by_signature(self) -> DataFrame:
-        return self.signatures if self.signatures is not None else build_signatures(self.term_stats)
+        return build_signatures(spread(self.term_stats))
 
     @classmethod
     def build(cls, corpus: DataFrame, text_col: str = "text", analyser: str = DEFAULT_ANALYSER) -> "SearchIndex":
@@ -137,7 +147,8 @@ class SearchIndex:
         keys = corpus.select("index_name", "doc_id", "doc_key")
         doc_stats = lengths.join(keys, ["index_name", "doc_id"], "inner")
         corpus_stats = build_corpus_stats(lengths)
-        return cls(postings, doc_stats, build_term_stats(postings, corpus_stats), corpus_stats, keys, analyser=analyser)
+        return cls(postings, doc_stats, build_term_stats(postings, corpus_stats), corpus_stats, keys,
+                   lambda shards: build_postings(corpus, text_col, analyser, shards), analyser)
 
     def save(self, path: str, shards: int | None = None) -> "SearchIndex":
         """Write the tables once (the one-off index build) and return the
@@ -151,11 +162,9 @@ class SearchIndex:
         (``shards_for``)."""
         spark = self.postings.sparkSession
         shards = shards or spark.sparkContext.defaultParallelism
-        (self.postings.repartition(shards, "doc_id").write.mode("overwrite")
-         .bucketBy(shards, "doc_id").sortBy("index_name", "term")
-         .option("path", f"{path}/postings").saveAsTable(_table_name(path)))
+        rows = self.layout(shards) if self.layout is not None else self.postings.repartition(shards, "doc_id")
+        stored = save_by_document(rows, f"{path}/postings", shards, ["index_name", "term"])
         spark.createDataFrame([(shards, self.analyser)], "shards int, analyser string").write.mode("overwrite").parquet(f"{path}/layout")
-        stored = spark.table(_table_name(path))
         lengths = doc_lengths(stored)
         keys = (self.keys if self.keys is not None
                 else self.doc_stats.select("index_name", "doc_id", "doc_key"))
@@ -165,30 +174,44 @@ class SearchIndex:
          .write.mode("overwrite").parquet(f"{path}/corpus_stats"))
         (build_term_stats(stored, spark.read.parquet(f"{path}/corpus_stats"))
          .write.mode("overwrite").partitionBy("index_name").parquet(f"{path}/term_stats"))
-        (build_signatures(spread(spark.read.parquet(f"{path}/term_stats")))
-         .write.mode("overwrite").partitionBy("index_name").parquet(f"{path}/signatures"))
         return SearchIndex.load(spark, path)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> "SearchIndex":
-        name = _table_name(path)
         shards, analyser = spark.read.schema("shards int, analyser string").parquet(f"{path}/layout").first()
-        if not spark.catalog.tableExists(name):  # written by another session
-            fields = spark.read.parquet(f"{path}/postings").schema.fields
-            cols = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-            spark.sql(f"CREATE TABLE {name} ({cols}) USING parquet LOCATION '{path}/postings' "
-                      f"CLUSTERED BY (doc_id) SORTED BY (index_name, term) INTO {shards} BUCKETS")
-        return cls(spark.table(name),
+        return cls(load_by_document(spark, f"{path}/postings", shards, ["index_name", "term"]),
                    spark.read.parquet(f"{path}/doc_stats"),
                    spark.read.parquet(f"{path}/term_stats"),
                    spark.read.parquet(f"{path}/corpus_stats"),
-                   signatures=spark.read.parquet(f"{path}/signatures"), analyser=analyser or DEFAULT_ANALYSER)
+                   analyser=analyser or DEFAULT_ANALYSER, shards=shards)
 
 
-def _table_name(path: str) -> str:
-    """The catalog name of the postings stored under ``path`` (the catalog
+def _table_name(path: str, what: str = "postings") -> str:
+    """The catalog name of what is stored under ``path`` (the catalog
     keeps the bucketing; the files are plain Parquet)."""
-    return f"ranklake_postings_{zlib.crc32(path.encode()):08x}"
+    return f"ranklake_{what}_{zlib.crc32(path.encode()):08x}"
+
+
+def save_by_document(rows: DataFrame, path: str, shards: int, sort: list[str]) -> DataFrame:
+    """Writes rows that lie in ``shards`` partitions by ``doc_id`` as so many
+    buckets; the last part of ``path`` names them in the catalog."""
+    root, _, what = path.rpartition("/")
+    name = _table_name(root, what)
+    (rows.write.mode("overwrite").bucketBy(shards, "doc_id").sortBy(*sort)
+     .option("path", path).saveAsTable(name))
+    return rows.sparkSession.table(name)
+
+
+def load_by_document(spark: SparkSession, path: str, shards: int, sort: list[str]) -> DataFrame:
+    """What ``save_by_document`` wrote, also in another session."""
+    root, _, what = path.rpartition("/")
+    name = _table_name(root, what)
+    if not spark.catalog.tableExists(name):  # written by another session
+        fields = spark.read.parquet(path).schema.fields
+        cols = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
+        spark.sql(f"CREATE TABLE {name} ({cols}) USING parquet LOCATION '{path}' "
+                  f"CLUSTERED BY (doc_id) SORTED BY ({', '.join(sort)}) INTO {shards} BUCKETS")
+    return spark.table(name)
 
 
 def shards_for(spark: SparkSession, input_bytes: int) -> int:

@@ -20,7 +20,7 @@ from ranklake.functions.vectors import cosine_similarity, dot_product
 from ranklake.operators import chain, chat
 from ranklake.operators.enrich import (enrich_hits, filtered_topk, lang_filter_cond,
                                        metadata_by_id, url_join, uuid_join)
-from ranklake.operators.postings import SearchIndex, index_registry
+from ranklake.operators.postings import SearchIndex, index_registry, shards_for
 from ranklake.operators.query import query_terms
 from ranklake.operators.requests import (requests_with_defaults, retriever_requests, valid_requests,
                                          validate_requests)
@@ -678,9 +678,11 @@ REGISTRY.update({
 
 def q_bm25_uax29(spark, sf):
     """BM25 of the passages on the indexes built with the second analyser."""
+    from ranklake.plans.store import documents_size
     from ranklake.session import scratch_path
     c = Ctx(spark, sf)
-    index = SearchIndex.build(c.corpus, analyser="uax29_like").save(scratch_path(spark, "uax29"))
+    index = SearchIndex.build(c.corpus, analyser="uax29_like").save(
+        scratch_path(spark, "uax29"), shards_for(spark, documents_size(spark, sf)))
     valid = valid_requests(validate_requests(c.reqs, index_registry(index)))
     return bm25_search(valid, index).select("request_id", "index_name", "doc_id", "score")
 

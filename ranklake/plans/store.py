@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ranklake.operators.enrich import (canonical_schema_a, canonical_schema_b, doc_meta,
                                        result_records)
-from ranklake.operators.postings import SearchIndex, shards_for
+from ranklake.operators.postings import SearchIndex, load_by_document, save_by_document, shards_for
 from ranklake.session import ensure_checkpoint_dir, scratch_path
 from ranklake.sources import fixtures as fx
 from ranklake.sources.tables import read_table
@@ -40,6 +40,11 @@ def _files(spark: SparkSession, sf_dir: str, name: str) -> list[tuple]:
     return sorted(out)
 
 
+def documents_size(spark: SparkSession, sf_dir: str) -> int:
+    """Bytes of the documents' files, of which the number of shards is made."""
+    return sum(n for _, n, _ in _files(spark, sf_dir, "documents"))
+
+
 def _input_state(spark: SparkSession, sf_dir: str) -> tuple:
     """What the store is built of."""
     return tuple(f for name in ("documents", "pages") for f in _files(spark, sf_dir, name))
@@ -59,15 +64,14 @@ def _mark_done(spark: SparkSession, root: str) -> None:
 def build_store(spark: SparkSession, sf_dir: str) -> Store:
     """Build (one-off) the stored tables of the fixture indexes of ``sf_dir``."""
     root = scratch_path(spark, "store")
-    size = sum(n for _, n, _ in _files(spark, sf_dir, "documents"))
-    index = SearchIndex.build(fx.corpus(spark, sf_dir)).save(root, shards_for(spark, size))
+    index = SearchIndex.build(fx.corpus(spark, sf_dir)).save(root, shards_for(spark, documents_size(spark, sf_dir)))
     meta = canonical_schema_a(fx.metadata_a(spark, sf_dir), fx.INDEX_UUID).unionByName(
         canonical_schema_b(fx.metadata_b(spark, sf_dir), fx.INDEX_URL))
     meta.write.mode("overwrite").partitionBy("index_name").parquet(f"{root}/metadata")
     meta = spark.read.parquet(f"{root}/metadata")
-    # Not partitioned by index: a partitioned mapping would invite a dynamic
-    # pruning subquery that re-plans the whole scoring as its filter side.
-    doc_meta(index.doc_stats, meta).write.mode("overwrite").parquet(f"{root}/doc_meta")
+    # Sharded as the postings are: scores meet their documents without a shuffle.
+    save_by_document(doc_meta(index.doc_stats, meta).repartition(index.shards, "doc_id"), f"{root}/doc_meta",
+                     index.shards, ["doc_id"])
     result_records(meta).write.mode("overwrite").partitionBy("index_name") \
         .parquet(f"{root}/records")
     _mark_done(spark, root)
@@ -75,8 +79,9 @@ def build_store(spark: SparkSession, sf_dir: str) -> Store:
 
 
 def load_store(spark: SparkSession, root: str) -> Store:
-    return Store(root, SearchIndex.load(spark, root), spark.read.parquet(f"{root}/metadata"),
-                 spark.read.parquet(f"{root}/doc_meta"), spark.read.parquet(f"{root}/records"))
+    index = SearchIndex.load(spark, root)
+    return Store(root, index, spark.read.parquet(f"{root}/metadata"),
+                 load_by_document(spark, f"{root}/doc_meta", index.shards, ["doc_id"]), spark.read.parquet(f"{root}/records"))
 
 
 def store_for(spark: SparkSession, sf_dir: str) -> Store:
