@@ -110,15 +110,18 @@ def context_and_sources(chunks: DataFrame, group: str = "request_id",
                         order: tuple[str, ...] = ("rank", "chunk_no"), text_col: str = "chunk",
                         source_col: str = "source", shown: int = SOURCES_SHOWN) -> DataFrame:
     """``stuff_context`` and ``answer_sources`` from one aggregation (one
-    pass over the chunks instead of two)."""
-    item = F.struct(*[F.col(c) for c in order], F.col(text_col).alias("_t"),
-                    F.col(source_col).alias("_s"))
+    pass over the chunks instead of two). Texts and sources are gathered apart,
+    each with its place, so that a reader of the sources alone moves no texts."""
+    def item(col):
+        return F.struct(*[F.col(c) for c in order], F.col(col).alias("_v"))
+
+    def values(items):
+        return F.transform(F.sort_array(items), lambda x: x.getField("_v"))
+
     return (chunks.groupBy(group)
-            .agg(F.sort_array(F.collect_list(item)).alias("_items"))
-            .select(group, F.size("_items").alias("n_chunks"),
-                    F.array_join(F.transform("_items", lambda x: x.getField("_t")),
-                                 CONTEXT_SEPARATOR).alias("context"),
-                    F.transform("_items", lambda x: x.getField("_s")).alias("sources"))
+            .agg(F.count(F.lit(1)).cast("int").alias("n_chunks"),
+                 F.array_join(values(F.collect_list(item(text_col))), CONTEXT_SEPARATOR).alias("context"),
+                 values(F.collect_list(item(source_col))).alias("sources"))
             .withColumn("shown", F.slice("sources", 1, shown)))
 
 

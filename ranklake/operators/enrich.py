@@ -158,6 +158,26 @@ def doc_meta(doc_stats: DataFrame, meta: DataFrame | None) -> DataFrame:
     return out
 
 
+def by_document(rows: DataFrame, mapping: DataFrame, how: str = "inner") -> DataFrame:
+    """``rows`` joined to ``mapping`` on (index_name, doc_id). The document
+    alone is the join key and the index a condition behind it, so that postings
+    and mapping stored in the same shards by document meet without a shuffle;
+    a shard's part of the mapping is hashed, the rows are not sorted."""
+    m = mapping.withColumnsRenamed({"index_name": "_m_index", "doc_id": "_m_doc"}).hint("shuffle_hash")
+    same = (rows["index_name"] >= F.col("_m_index")) & (rows["index_name"] <= F.col("_m_index"))
+    return rows.join(m, (rows["doc_id"] == F.col("_m_doc")) & same, how).drop("_m_index", "_m_doc")
+
+
+def askable(mapping: DataFrame, requests: DataFrame) -> DataFrame:
+    """The (index_name, doc_id) of ``mapping`` that pass the language filter of
+    at least one of ``requests`` (index_name, lang): no other can be a result."""
+    asked = F.broadcast(requests.select("index_name", F.lower("lang").alias("lang")).distinct())
+    m = mapping.select("index_name", "doc_id", "mode", "language").alias("m")
+    passes = (F.col("mode") == "bare") | lang_filter_cond("lang", "language")
+    return m.join(asked.alias("a"), (F.col("m.index_name") == F.col("a.index_name")) & passes, "left_semi") \
+        .select("index_name", "doc_id")
+
+
 def result_hits(scores: DataFrame, requests: DataFrame, mapping: DataFrame,
                 n_requests: int) -> DataFrame:
     """Scores joined to the result rows of their documents that pass the
@@ -166,8 +186,7 @@ def result_hits(scores: DataFrame, requests: DataFrame, mapping: DataFrame,
     langs = requests.select("request_id", "lang")
     if n_requests <= BROADCAST_MAX_ROWS:
         langs = F.broadcast(langs)
-    j = (scores.join(langs, "request_id", "inner")
-         .join(mapping, ["index_name", "doc_id"], "inner"))
+    j = by_document(scores.join(langs, "request_id", "inner"), mapping)
     return j.filter((F.col("mode") == "bare") | lang_filter_cond("lang", "language"))
 
 

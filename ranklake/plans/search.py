@@ -3,22 +3,23 @@
 requests -> defaults -> validation -> clauses -> BM25 -> (metadata join ->
 language filter -> top-k | top-k) -> result fields -> word-count re-rank.
 
-Shuffles: postings join (broadcast side or salted), score aggregation by
-(request, doc), score x document-metadata mapping by (index, doc), top-k by
-request (partial limit before the exchange). The result fields over
+Shuffles: postings join (none where the terms are broadcast, otherwise salted),
+score aggregation by (request, doc) and score x document-metadata mapping (none
+where both are stored in the same shards by document), top-k by request
+(partial limit before the exchange). The result fields over
 ``plain_text`` are computed only for the surviving top-k rows.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ranklake.config import BROADCAST_MAX_ROWS, DEFAULT_LIMIT, PRUNE_RATIO, RANKING_ASC, RANKING_DESC
-from ranklake.operators.enrich import (BARE_POS, RECORD_COLUMNS, RESULT_COLUMNS, doc_meta,
-                                       result_hits, result_records)
+from ranklake.operators.enrich import (BARE_POS, RECORD_COLUMNS, RESULT_COLUMNS, askable,
+                                       by_document, doc_meta, result_hits, result_records)
 from ranklake.operators.postings import SearchIndex, index_registry
 from ranklake.operators.pruning import pruned_topk
 from ranklake.operators.query import clauses_from_q
@@ -83,6 +84,9 @@ def search(requests: DataFrame, index: SearchIndex, metadata: DataFrame | None,
     kinds = kinds or set(found.kinds) or {"term"}
     if mapping is None:
         mapping = doc_meta(index.doc_stats, metadata)
+    # Documents that no request can be answered with are not scored; statistics
+    # are those of the whole index.
+    index = replace(index, postings=by_document(index.postings, askable(mapping, valid), "left_semi"))
     keep = lambda scores: result_hits(scores, valid, mapping, n_req)
     order = [F.col("file_pos")]
     if prune is None:
