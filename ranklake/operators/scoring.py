@@ -159,49 +159,92 @@ def _range_cond(term, lower, upper, inclusive):
     return lo_ok & hi_ok
 
 
+def _beginning():
+    """The text that a clause's terms begin with, where that is all it asks for:
+    a prefix, or the regular expression of some letters and ``.*`` (a term
+    holds no line break)."""
+    return (F.when(F.col("kind") == "prefix", F.col("text"))
+            .when((F.col("kind") == "regex") & F.col("text").rlike(r"^[\p{L}\p{N}_]+\.\*$"),
+                  F.regexp_replace("text", r"\.\*$", "")))
+
+
+def _begun_hits(mt: DataFrame, index: SearchIndex, bcast: bool) -> DataFrame:
+    """Clauses that ask for a term's beginning: an equi-join of the postings'
+    beginnings, of the lengths that are asked for, with the distinct beginnings.
+    A document holds many terms of one beginning and is listed once, in its
+    shard, before the clauses are joined."""
+    side = (lambda x: F.broadcast(x)) if bcast else (lambda x: x)
+    asked = mt.withColumn("begin", _beginning()).filter(F.col("begin") != "")
+    forms = asked.select("index_name", "begin").distinct()
+    lengths = forms.select("index_name", F.length("begin").alias("n")).distinct()
+    places = (_postings_cols(index).join(side(lengths), "index_name")
+              .select("index_name", "doc_id", F.expr("substring(term, 1, n)").alias("begin")))
+    docs = places.join(side(forms), ["index_name", "begin"], "left_semi").distinct()
+    return docs.join(side(asked), ["index_name", "begin"]).select(*_CLAUSE_HIT)
+
+
+def _range_hits(mt: DataFrame, index: SearchIndex, bcast: bool) -> DataFrame:
+    """Range clauses: the distinct ranges of an index are tried on every
+    document's terms, each up to the first term that lies in it."""
+    side = (lambda x: F.broadcast(x)) if bcast else (lambda x: x)
+    form = ["index_name", "text", "upper", "inclusive"]
+    asked = mt.filter(F.col("kind") == "range")
+    forms = asked.select(*form).distinct()
+    docs = (_postings_cols(index).join(F.broadcast(forms.select("index_name").distinct()), "index_name", "left_semi")
+            .groupBy("doc_id", "index_name").agg(F.collect_list("term").alias("terms")))
+    held = F.exists("terms", lambda t: _range_cond(t, F.col("text"), F.col("upper"), F.col("inclusive")))
+    found = docs.join(side(forms), "index_name").filter(held).select("doc_id", *form)
+    return found.join(side(asked), form).select(*_CLAUSE_HIT)
+
+
+_CLAUSE_HIT = ["request_id", "clause_no", "occur", "doc_id", "boost"]
+
+
 def _pattern_hits(c: DataFrame, index: SearchIndex, bcast: bool, salts: int,
                   max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """prefix / wildcard / regex / range: the clause side (small, broadcast)
-    filters the term dictionary, then the matching terms' postings give a
-    constant score ``boost`` per (clause, doc)."""
-    mt = c.filter(F.col("kind").isin("prefix", "wildcard", "regex", "range"))
+    """prefix / wildcard / regex / range: a constant score ``boost`` per (clause,
+    doc). What begins with some text or lies in a range can be a large part of
+    the dictionary; such clauses are looked up in the documents
+    (``_begun_hits``, ``_range_hits``). The others filter the dictionary (the
+    clause side is small and broadcast), and their terms' postings are read."""
+    # Read by every part: parsed once.
+    every = c.filter(F.col("kind").isin("prefix", "wildcard", "regex", "range")).checkpoint(eager=True)
+    mt = every.filter(F.col("kind").isin("wildcard", "regex") & _beginning().isNull())
     ts = _ts(index)
     term = F.col("term")
-    cond = (F.when(F.col("kind") == "prefix", term.startswith(F.col("text")))
-            .when(F.col("kind") == "wildcard", F.regexp_like(term, _wildcard_regex(F.col("text"))))
-            .when(F.col("kind") == "regex",
-                  F.regexp_like(term, F.concat(F.lit("^(?:"), F.col("text"), F.lit(")$"))))
-            .otherwise(_range_cond(term, F.col("text"), F.col("upper"), F.col("inclusive"))))
+    cond = (F.when(F.col("kind") == "wildcard", F.regexp_like(term, _wildcard_regex(F.col("text"))))
+            .otherwise(F.regexp_like(term, F.concat(F.lit("^(?:"), F.col("text"), F.lit(")$")))))
     # Equal clauses of different requests meet the dictionary once, and those
     # that fix a term's first character only the terms that begin with it.
     # The clause side is broadcast behind the clause-table size check; above
     # it the join shuffles and AQE's skew handling splits an index's terms.
-    first = (F.when(F.col("kind").isin("prefix", "wildcard"), F.substring("text", 1, 1))
+    first = (F.when(F.col("kind") == "wildcard", F.substring("text", 1, 1))
              .when((F.col("kind") == "regex") & F.col("text").rlike(r"^[\p{L}\p{N}_](?![*?{])[^|]*$"),
                    F.substring("text", 1, 1)))
-    form = ["index_name", "kind", "text", "upper", "inclusive"]
+    form = ["index_name", "kind", "text"]
     forms = mt.select(*form, first.alias("first")).distinct()
     side = (lambda x: F.broadcast(x)) if bcast else (lambda x: x)
     begun = ts.withColumn("first", F.substring("term", 1, 1)).join(
         side(forms.filter(F.col("first").isNotNull())), ["index_name", "first"], "inner").filter(cond)
     free = ts.join(side(forms.filter(F.col("first").isNull())), "index_name", "inner").filter(cond)
-    found = begun.drop("first").unionByName(free.drop("first"))
-    same = F.col("f.upper").eqNullSafe(F.col("m.upper"))
-    exp = (found.alias("f").join(side(mt).alias("m"), same & (F.col("f.index_name") == F.col("m.index_name"))
-                                 & (F.col("f.kind") == F.col("m.kind")) & (F.col("f.text") == F.col("m.text"))
-                                 & (F.col("f.inclusive") == F.col("m.inclusive")), "inner")
-           .select("m.request_id", "m.index_name", "m.limit", "m.n_must", "m.clause_no", "m.occur", "m.key", "m.boost",
-                   "f.term"))
+    exp = begun.drop("first").unionByName(free.drop("first"))
     # What the dictionary makes of the clauses is bounded by the dictionary
     # only: its own rows are counted before it is broadcast.
+    small = bcast
     if bcast:
         exp = exp.checkpoint(eager=True)
-        bcast = exp.count() <= max_rows
-    p = _postings_cols(index)
-    h = _postings_join(exp, p, ["index_name", "term"], bcast, salts)
-    return (h.groupBy("request_id", "clause_no", "occur", "doc_id")
-            .agg(F.max("boost").alias("contrib"))
-            .select("request_id", "doc_id", _occ(), "contrib"))
+        small = exp.count() <= max_rows
+    found = _postings_join(exp, _postings_cols(index), ["index_name", "term"], small, salts)
+    # A document is listed once a form before the requests' clauses are joined.
+    docs = found.select("doc_id", *form).distinct()
+    hits = (_begun_hits(every, index, bcast).unionByName(_range_hits(every, index, bcast))
+            .unionByName(docs.join(side(mt), form).select(*_CLAUSE_HIT)))
+    # Each clause comes from one of the three, once a document, unless requests
+    # share an id and so clauses their key.
+    key = ["request_id", "clause_no", "occur"]
+    if not every.groupBy(*key).count().filter(F.col("count") > 1).isEmpty():
+        hits = hits.groupBy(*key, "doc_id").agg(F.max("boost").alias("boost"))
+    return hits.select("request_id", "doc_id", _occ(), F.col("boost").alias("contrib"))
 
 
 def _fuzzy_hits(c: DataFrame, index: SearchIndex, bcast: bool, salts: int,
