@@ -90,22 +90,17 @@ def _term_hits(c: DataFrame, index: SearchIndex, bcast: bool, salts: int,
     return h.select("request_id", "doc_id", _occ(), contrib.alias("contrib"))
 
 
-def _lined_up(asked: DataFrame, index: SearchIndex, bcast: bool, max_rows: int) -> DataFrame:
-    """Rows of ``asked`` (index_name, term, doc_id, want) whose document holds
-    the term at the place ``want``: positions are read for those documents only.
-    The rows are counted before they are broadcast."""
-    p = _postings_cols(index, "positions")
-    side = F.broadcast(asked) if bcast and asked.count() <= max_rows else asked
-    return (p.join(side, ["index_name", "term", "doc_id"], "inner")
-            .filter(F.array_contains("positions", F.col("want"))).drop("positions"))
+#: Tokens of a phrase that are looked up at once.
+PIECE = 3
 
 
 def _phrase_hits(c: DataFrame, index: SearchIndex, bcast: bool, salts: int,
                  quantize: bool, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Phrases, the rarest term first: its postings give the places where a
-    phrase may start; the second rarest term is looked up at those places, and
-    the other terms at the places that are left. Equal phrases of different
-    requests are looked up once."""
+    """Phrases, cut into pieces of up to ``PIECE`` consecutive tokens: the places
+    of the phrases' terms, in a document's order, are equi-joined with the pieces.
+    On stored postings that happens inside a document's shard; nothing but the
+    phrases themselves leaves it. A phrase stands where all its pieces do. Equal
+    phrases of different requests are looked up once."""
     ph = c.filter(F.col("kind") == "phrase")
     form = ["index_name", "text"]
     # Checkpointed, so that the numbers are the same wherever they are read.
@@ -121,27 +116,36 @@ def _phrase_hits(c: DataFrame, index: SearchIndex, bcast: bool, salts: int,
             .join(cs, "index_name")
             .withColumn("idf_sum", F.sum(idf("df", "n_docs")).over(whole))
             .withColumn("n_terms", F.count(F.lit(1)).over(whole))
-            .withColumn("place", F.row_number().over(whole.orderBy("df", "term", "offset")))
-            .select("index_name", "fid", "offset", "term", "place", "n_terms", "idf_sum", "avgdl")).checkpoint(eager=True)
+            .select("index_name", "fid", "offset", "term", "n_terms", "idf_sum", "avgdl")).checkpoint(eager=True)
     bcast = bcast and toks.count() <= max_rows  # tokens, not phrases
     side = (lambda x: F.broadcast(x)) if bcast else (lambda x: x)
-    first = toks.filter(F.col("place") == 1).select("index_name", "fid", "term", "offset", "n_terms")
-    starts = (_postings_join(first, _postings_cols(index, "dl", "positions"), ["index_name", "term"], bcast, salts)
-              .select("index_name", "fid", "n_terms", "doc_id", "dl", "offset", F.explode("positions").alias("pos"))
-              .withColumn("start", F.col("pos") - F.col("offset")).drop("pos", "offset")
-              .filter(F.col("start") >= 0).checkpoint(eager=True))
-
-    def asked(rows: DataFrame, places) -> DataFrame:
-        more = toks.filter(places).select("fid", "term", "offset")
-        return rows.join(side(more), "fid").withColumn("want", F.col("start") + F.col("offset")).drop("offset")
-
-    place = ["index_name", "fid", "n_terms", "doc_id", "dl", "start"]
-    two = _lined_up(asked(starts, F.col("place") == 2), index, bcast, max_rows).select(*place).checkpoint(eager=True)
-    all_ = (_lined_up(asked(two, F.col("place") > 2), index, bcast, max_rows).groupBy(*place)
-            .agg(F.count(F.lit(1)).alias("more")).filter(F.col("more") == F.col("n_terms") - 2).select(*place))
-    found = starts.filter(F.col("n_terms") == 1).unionByName(two.filter(F.col("n_terms") == 2)).unionByName(all_)
-    scored = (found.groupBy("fid", "doc_id", "dl").agg(F.count(F.lit(1)).alias("freq"))
-              .join(side(toks.filter(F.col("place") == 1).select("fid", "idf_sum", "avgdl")), "fid")
+    ids = (toks.select("index_name", "term").distinct()
+           .withColumn("tid", F.monotonically_increasing_id()).checkpoint(eager=True))
+    size = F.least("n_terms", F.lit(PIECE))
+    none = F.lit(-1).cast("long")  # no term's number
+    behind = Window.partitionBy("fid").orderBy("offset")
+    pieces = (toks.join(side(ids), ["index_name", "term"])
+              .select("fid", "offset", size.alias("size"), (F.col("n_terms") - size + 1).alias("pieces"), F.col("tid").alias("a"),
+                      F.coalesce(F.lead("tid", 1).over(behind), none).alias("b"), F.coalesce(F.lead("tid", 2).over(behind), none).alias("c"))
+              .filter(F.col("offset") < F.col("pieces")).checkpoint(eager=True))
+    sizes = sorted(r["size"] for r in pieces.select("size").distinct().collect())  # at most PIECE
+    placed = (_postings_join(ids, _postings_cols(index, "dl", "positions"), ["index_name", "term"], bcast, salts)
+              .select("doc_id", "index_name", "dl", "tid", F.explode("positions").alias("pos")))
+    order = Window.partitionBy("doc_id", "index_name", "dl").orderBy("pos")
+
+    def after(k: int):
+        """The term ``k`` places on; null if it is none of the phrases' terms."""
+        return F.when(F.lead("pos", k).over(order) == F.col("pos") + k, F.lead("tid", k).over(order))
+
+    row = placed.select("doc_id", "dl", "pos", F.col("tid").alias("a"), after(1).alias("b"), after(2).alias("c"))
+    piece = {1: F.struct("a", none.alias("b"), none.alias("c")), 2: F.struct("a", "b", none.alias("c")), 3: F.struct("a", "b", "c")}
+    read = row.select("doc_id", "dl", "pos", F.explode(F.array(*[piece[n] for n in sizes or [1]])).alias("p"))
+    hit = _postings_join(pieces.drop("size"), read.select("doc_id", "dl", "pos", "p.*"), ["a", "b", "c"], bcast, salts)
+    single = F.col("pieces") == 1
+    found = (hit.groupBy("fid", "doc_id", "dl", "pieces", (F.col("pos") - F.col("offset")).alias("start"))
+             .agg(F.count(F.lit(1)).alias("n")).filter(single | (F.col("n") == F.col("pieces")))
+             .groupBy("fid", "doc_id", "dl").agg(F.sum(F.when(single, F.col("n")).otherwise(1)).alias("freq")))
+    scored = (found.join(side(toks.filter(F.col("offset") == 0).select("fid", "idf_sum", "avgdl")), "fid")
               .select("fid", "doc_id", (F.col("idf_sum") * tf_norm("freq", _dl(quantize), "avgdl")).alias("each")))
     hits = scored.join(side(ph.join(small(forms), form)), "fid")
     return hits.select("request_id", "doc_id", _occ(), (F.col("boost") * F.col("each")).alias("contrib"))
@@ -304,6 +308,8 @@ def evaluate(clauses: DataFrame, index: SearchIndex, quantize: bool = False,
     bound on the clause rows, saves the counting job."""
     c = _with_must_count(clauses)
     kinds = kinds or {"term", "phrase", "prefix", "wildcard", "regex", "range", "fuzzy"}
+    if kinds - {"term"}:  # read many times: parsed once
+        c = c.checkpoint(eager=True)
     if n_clauses is None:
         _, bcast = bounded_broadcast(c.select("request_id"), max_rows)
     else:
