@@ -4,7 +4,7 @@ they stay inside whole-stage codegen."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ranklake.config import TOKEN_PATTERN
@@ -102,3 +102,19 @@ def deletion_signatures(col: str, deletions: int = 2) -> Column:
     if deletions > 1:
         kept = F.concat(kept, F.flatten(F.transform(cut(start), cut)))
     return F.transform(F.array_distinct(kept), lambda s: F.xxhash64(s))
+
+
+def exploded_signatures(df: DataFrame, col: str) -> DataFrame:
+    """``df`` with a row for each of the deletion signatures (``sig``) of up to
+    two deletions: of every two places in the beginning that is read, what
+    stands before, between and behind them. No lambda, so it stays in codegen;
+    a signature that two pairs of places give comes twice."""
+    none = SIGNATURE_PREFIX + 1  # the first place behind the beginning
+    pairs = [(none, none + 1)] + [(i, j) for i in range(1, none) for j in range(i + 1, none + 1)]
+    places = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in pairs])
+    start, i, j, n = F.col("_start"), F.col("_cut.i"), F.col("_cut.j"), F.col("_n")
+    kept = F.concat(start.substr(F.lit(1), i - 1), start.substr(i + 1, j - i - 1), start.substr(j + 1, F.lit(SIGNATURE_PREFIX)))
+    rows = (df.withColumn("_start", F.substring(col, 1, SIGNATURE_PREFIX)).withColumn("_n", F.length("_start"))
+            .withColumn("_cut", F.explode(places)))
+    return (rows.filter((i == none) | ((i <= n) & ((j == none) | (j <= n))))
+            .withColumn("sig", F.xxhash64(kept)).drop("_start", "_n", "_cut"))

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from ranklake.config import MAX_SHARDS, SHARD_BYTES
 from ranklake.functions.bm25 import tf_norm
-from ranklake.functions.text import DEFAULT_ANALYSER, deletion_signatures, tokens
+from ranklake.functions.text import DEFAULT_ANALYSER, exploded_signatures, tokens
 from ranklake.operators.partitioning import spread
 
 
@@ -113,7 +113,7 @@ def build_term_stats(postings: DataFrame, corpus_stats: DataFrame) -> DataFrame:
 
 def build_signatures(term_stats: DataFrame) -> DataFrame:
     """Terms by deletion signature: bounded rows a term."""
-    return term_stats.select("index_name", F.explode(deletion_signatures("term")).alias("sig"), "term", "df")
+    return exploded_signatures(term_stats.select("index_name", "term", "df"), "term")
 
 
 def build_corpus_stats(doc_stats: DataFrame) -> DataFrame:

@@ -281,19 +281,26 @@ def _fuzzy_hits(c: DataFrame, index: SearchIndex, bcast: bool, salts: int,
     wr = Window.partitionBy(*form).orderBy(F.col("sim").desc(), F.col("term"))
     top = near.withColumn("r", F.row_number().over(wr)).filter(F.col("r") <= max_expansions)
     top = top.withColumn("df_blend", F.max("df").over(Window.partitionBy(*form))).select(*form, "term", "sim", "df_blend")
+    # Scores add up, so what a request's clauses ask of one term is one weight;
+    # only of required clauses each must be met.
+    must = F.col("occur") == MUST
     exp = (top.join(side(fz), form, "inner").join(cs, "index_name", "inner")
-           .select(*_REQ, "clause_no", "occur", "key", "term", "avgdl",
-                   (F.col("boost") * F.col("sim") * idf("df_blend", "n_docs")).alias("weight")))
+           .groupBy("request_id", "index_name", "occur", F.when(must, F.col("clause_no")).alias("clause_no"), "term", "avgdl")
+           .agg(F.sum(F.col("boost") * F.col("sim") * idf("df_blend", "n_docs")).alias("weight")).checkpoint(eager=True))
     # Up to max_expansions rows for a clause: counted before they are broadcast.
-    if bcast:
-        exp = exp.checkpoint(eager=True)
-        bcast = exp.count() <= max_rows
+    bcast = bcast and exp.count() <= max_rows
     p = _postings_cols(index, "tf", "dl")
-    h = _postings_join(exp, p, ["index_name", "term"], bcast, salts)
-    contrib = F.col("weight") * tf_norm("tf", _dl(quantize), "avgdl")
-    return (h.groupBy("request_id", "clause_no", "occur", "doc_id")
-            .agg(F.sum(contrib).alias("contrib"))
-            .select("request_id", "doc_id", _occ(), "contrib"))
+
+    def gains(asked: DataFrame) -> DataFrame:
+        contrib = F.col("weight") * tf_norm("tf", _dl(quantize), "avgdl")
+        return _postings_join(asked, p, ["index_name", "term"], bcast, salts).withColumn("contrib", contrib)
+
+    out = ["request_id", "doc_id", _occ(), "contrib"]
+    hits = gains(exp.filter(~must)).select(*out)
+    if exp.filter(must).isEmpty():
+        return hits
+    return hits.unionByName(gains(exp.filter(must)).groupBy("request_id", "clause_no", "occur", "doc_id")
+                            .agg(F.sum("contrib").alias("contrib")).select(*out))
 
 
 def evaluate(clauses: DataFrame, index: SearchIndex, quantize: bool = False,
