@@ -71,7 +71,9 @@ def search(requests: DataFrame, index: SearchIndex, metadata: DataFrame | None,
     metadata reach the top-k through ``bare`` mapping rows. ``prune`` asks for
     the top-k by bounds (``operators.pruning``, the same rows); by default it
     is taken where an index holds ``PRUNE_RATIO`` times as many documents as
-    the largest limit, from where leaving documents out pays for its passes."""
+    the largest limit, from where leaving documents out pays for its passes.
+    Not on postings stored by document: there full scoring moves nothing but
+    the best rows of each shard, while the passes store every partial score."""
     reqs = requests_with_defaults(requests, default_index, default_limit)
     # Read by every step below: checked and parsed once.
     validated = validate_requests(reqs, index_registry(index)).checkpoint(eager=True)
@@ -89,7 +91,9 @@ def search(requests: DataFrame, index: SearchIndex, metadata: DataFrame | None,
     index = replace(index, postings=by_document(index.postings, askable(mapping, valid), "left_semi"))
     keep = lambda scores: result_hits(scores, valid, mapping, n_req)
     order = [F.col("file_pos")]
-    if prune is None:
+    if prune is None and index.shards is not None:
+        prune = False
+    elif prune is None:
         docs = index.corpus_stats.agg(F.max("n_docs")).first()[0] or 0
         prune = docs >= PRUNE_RATIO * max(max_lim, 1)
     if prune and not quantize:
