@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
@@ -16,3 +19,17 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     if len(df.inputFiles()) < target:
         return df.repartition(target)
     return df
+
+
+@contextmanager
+def dealt_to(spark: SparkSession, partitions: int) -> Iterator[None]:
+    """What is run inside shuffles to at least so many partitions, so that the
+    share of one task does not grow with the input; adaptive execution joins
+    small ones."""
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(max(int(before), partitions)))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from ranklake.config import MAX_SHARDS, SHARD_BYTES
 from ranklake.functions.bm25 import tf_norm
 from ranklake.functions.text import DEFAULT_ANALYSER, exploded_signatures, tokens
-from ranklake.operators.partitioning import spread
+from ranklake.operators.partitioning import dealt_to, spread
 
 
 def _sorted_pairs(toks):
@@ -162,6 +162,10 @@ class SearchIndex:
         (``shards_for``)."""
         spark = self.postings.sparkSession
         shards = shards or spark.sparkContext.defaultParallelism
+        with dealt_to(spark, shards):
+            return self._write(spark, path, shards)
+
+    def _write(self, spark: SparkSession, path: str, shards: int) -> "SearchIndex":
         rows = self.layout(shards) if self.layout is not None else self.postings.repartition(shards, "doc_id")
         stored = save_by_document(rows, f"{path}/postings", shards, ["index_name", "term"])
         spark.createDataFrame([(shards, self.analyser)], "shards int, analyser string").write.mode("overwrite").parquet(f"{path}/layout")

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ranklake.operators.enrich import (canonical_schema_a, canonical_schema_b, doc_meta,
                                        result_records)
+from ranklake.operators.partitioning import dealt_to
 from ranklake.operators.postings import SearchIndex, load_by_document, save_by_document, shards_for
 from ranklake.session import ensure_checkpoint_dir, scratch_path
 from ranklake.sources import fixtures as fx
@@ -64,16 +65,18 @@ def _mark_done(spark: SparkSession, root: str) -> None:
 def build_store(spark: SparkSession, sf_dir: str) -> Store:
     """Build (one-off) the stored tables of the fixture indexes of ``sf_dir``."""
     root = scratch_path(spark, "store")
-    index = SearchIndex.build(fx.corpus(spark, sf_dir)).save(root, shards_for(spark, documents_size(spark, sf_dir)))
-    meta = canonical_schema_a(fx.metadata_a(spark, sf_dir), fx.INDEX_UUID).unionByName(
-        canonical_schema_b(fx.metadata_b(spark, sf_dir), fx.INDEX_URL))
-    meta.write.mode("overwrite").partitionBy("index_name").parquet(f"{root}/metadata")
-    meta = spark.read.parquet(f"{root}/metadata")
-    # Sharded as the postings are: scores meet their documents without a shuffle.
-    save_by_document(doc_meta(index.doc_stats, meta).repartition(index.shards, "doc_id"), f"{root}/doc_meta",
-                     index.shards, ["doc_id"])
-    result_records(meta).write.mode("overwrite").partitionBy("index_name") \
-        .parquet(f"{root}/records")
+    shards = shards_for(spark, documents_size(spark, sf_dir))
+    with dealt_to(spark, shards):
+        index = SearchIndex.build(fx.corpus(spark, sf_dir)).save(root, shards)
+        meta = canonical_schema_a(fx.metadata_a(spark, sf_dir), fx.INDEX_UUID).unionByName(
+            canonical_schema_b(fx.metadata_b(spark, sf_dir), fx.INDEX_URL))
+        meta.write.mode("overwrite").partitionBy("index_name").parquet(f"{root}/metadata")
+        meta = spark.read.parquet(f"{root}/metadata")
+        # Sharded as the postings are: scores meet their documents without a shuffle.
+        save_by_document(doc_meta(index.doc_stats, meta).repartition(index.shards, "doc_id"), f"{root}/doc_meta",
+                         index.shards, ["doc_id"])
+        result_records(meta).write.mode("overwrite").partitionBy("index_name") \
+            .parquet(f"{root}/records")
     _mark_done(spark, root)
     return load_store(spark, root)
 
