@@ -73,3 +73,15 @@ SHARD_BYTES = 4 << 20
 # Document shards of an index at most (Spark's bound on buckets); beyond it
 # shards grow instead.
 MAX_SHARDS = 100_000
+# Requests, and result rows (requests x largest limit), from where plain requests
+# are answered block by block (operators.blocks).
+BLOCK_MIN_REQUESTS = 1_000
+BLOCK_MIN_ROWS = 200_000
+# Rows that the requests of a block keep at most; postings of the documents they
+# meet at once.
+BLOCK_ROWS = 8_000_000
+GROUP_POSTINGS = 4_000_000
+# Bytes of text up to which a small table's texts are broadcast.
+BROADCAST_MAX_BYTES = 64 << 20
+# Result rows that a task lists at once where they are many.
+TASK_ROWS = 250_000

@@ -82,10 +82,11 @@ def chunk_text(col, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> Col
 
 
 def explode_chunks(df: DataFrame, text_col: str, keep: list[str],
-                   size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
-    """One row per chunk: ``keep`` columns, ``chunk_no`` (0-based), ``chunk``."""
-    return df.select(*keep, F.posexplode(chunk_text(text_col, size, overlap))
-                     .alias("chunk_no", "chunk"))
+                   size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP, chunked: bool = False) -> DataFrame:
+    """One row per chunk: ``keep`` columns, ``chunk_no`` (0-based), ``chunk``.
+    ``chunked``: ``text_col`` holds what ``chunk_text`` made."""
+    chunks = _c(text_col) if chunked else chunk_text(text_col, size, overlap)
+    return df.select(*keep, F.posexplode(chunks).alias("chunk_no", "chunk"))
 
 
 def stuff_context(chunks: DataFrame, group: str = "request_id",

@@ -14,10 +14,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ranklake.config import BROADCAST_MAX_ROWS, DEFAULT_LIMIT, PRUNE_RATIO, RANKING_ASC, RANKING_DESC
+from ranklake.config import (BLOCK_MIN_REQUESTS, BLOCK_MIN_ROWS, BROADCAST_MAX_BYTES, BROADCAST_MAX_ROWS,
+                             DEFAULT_LIMIT, PRUNE_RATIO, RANKING_ASC, RANKING_DESC, TASK_ROWS)
+from ranklake.operators.blocks import block_topk, numbered_rows, plain_requests
 from ranklake.operators.enrich import (BARE_POS, RECORD_COLUMNS, RESULT_COLUMNS, askable,
                                        by_document, doc_meta, result_hits, result_records)
 from ranklake.operators.postings import SearchIndex, index_registry
@@ -26,6 +28,7 @@ from ranklake.operators.query import clauses_from_q
 from ranklake.operators.requests import (rejected_requests, requests_with_defaults,
                                          valid_requests, validate_requests)
 from ranklake.operators.scoring import evaluate, request_bounds, topk_hits
+from ranklake.session import release
 
 
 def _bounded(df: DataFrame, n_rows: int) -> DataFrame:
@@ -60,7 +63,8 @@ def search(requests: DataFrame, index: SearchIndex, metadata: DataFrame | None,
            clauses_fn=None, kinds: set[str] | None = None,
            quantize: bool = False, rerank: bool = True,
            mapping: DataFrame | None = None,
-           records: DataFrame | None = None, prune: bool | None = None) -> SearchOutput:
+           records: DataFrame | None = None, prune: bool | None = None,
+           blocks: bool | None = None, record_fields: dict[str, Column] | None = None) -> SearchOutput:
     """Answer every request of ``requests(request_id, q, index, lang,
     ranking, limit)``. ``metadata`` is canonical metadata (or None);
     ``mapping`` and ``records`` may pass the stored ``doc_meta`` and
@@ -73,19 +77,71 @@ def search(requests: DataFrame, index: SearchIndex, metadata: DataFrame | None,
     is taken where an index holds ``PRUNE_RATIO`` times as many documents as
     the largest limit, from where leaving documents out pays for its passes.
     Not on postings stored by document: there full scoring moves nothing but
-    the best rows of each shard, while the passes store every partial score."""
+    the best rows of each shard, while the passes store every partial score.
+    ``blocks`` asks for plain requests to be answered block by block
+    (``operators.blocks``, the same rows); by default it is taken from
+    ``BLOCK_MIN_REQUESTS`` requests with ``BLOCK_MIN_ROWS`` result rows, from
+    where the best rows of each shard are more than the documents.
+    ``record_fields`` are further columns of the results, made of a record's
+    fields once per record."""
     reqs = requests_with_defaults(requests, default_index, default_limit)
     # Read by every step below: checked and parsed once.
     validated = validate_requests(reqs, index_registry(index)).checkpoint(eager=True)
     valid = valid_requests(validated)
     n_req, max_lim = request_bounds(valid)
-    clauses = (clauses_fn(valid) if clauses_fn else clauses_from_q(valid, index.analyser)).checkpoint(eager=True)
+    clauses_of = clauses_fn or (lambda v: clauses_from_q(v, index.analyser))
+    if mapping is None:
+        mapping = doc_meta(index.doc_stats, metadata)
+    if blocks is None:
+        blocks = not prune and n_req >= BLOCK_MIN_REQUESTS and n_req * max_lim >= BLOCK_MIN_ROWS
+    parts, asked = [], valid
+    if blocks and not quantize:
+        plain = plain_requests(valid, clauses_of(valid)).checkpoint(eager=True)
+        here = valid.join(plain, "request_id", "left_semi")
+        parts.append(_block_rows(here, clauses_of(here), index, metadata, mapping, records, n_req, max_lim, rerank, record_fields))
+        asked = valid.join(plain, "request_id", "left_anti").checkpoint(eager=True)
+        n_req, max_lim = request_bounds(asked)
+    if not parts or n_req:
+        parts.append(_scored_rows(asked, clauses_of(asked), index, metadata, mapping, records, n_req, max_lim, kinds, quantize, rerank,
+                                  record_fields, prune))
+    rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    results = rows.select("request_id", "rank", *RESULT_COLUMNS, *(record_fields or {}))
+    return SearchOutput(results, rejected_requests(validated), valid)
+
+
+def _records(index: SearchIndex, metadata: DataFrame | None, records: DataFrame | None, needed) -> DataFrame:
+    """Result records: per-record fields (stored, or computed only for the
+    distinct records ``needed()``) plus one empty record per index without
+    metadata (file_pos -1, matched by its ``bare`` rows), so one inner join with
+    the top-k serves both kinds of index."""
+    names = index_registry(index)
+    if metadata is not None:
+        names = names.join(F.broadcast(metadata.select("index_name").distinct()),
+                           "index_name", "left_anti")
+    empty = names.select("index_name", F.lit(BARE_POS).cast("long").alias("file_pos"),
+                         *[F.lit(None).cast("int" if c == "wordCount" else "string").alias(c)
+                           for c in RECORD_COLUMNS])
+    if records is None and metadata is not None:
+        records = result_records(metadata.join(needed(), ["index_name", "file_pos"], "left_semi"))
+    return empty if records is None else records.select(
+        "index_name", "file_pos", *RECORD_COLUMNS).unionByName(empty)
+
+
+def _reranked(rows: DataFrame, valid: DataFrame, n_req: int) -> DataFrame:
+    req_side = _bounded(valid.select("request_id", "ranking"), n_req)
+    return rerank_word_count(rows.join(req_side, "request_id", "inner"), mode_col="mode").drop("ranking")
+
+
+def _scored_rows(valid: DataFrame, clauses: DataFrame, index: SearchIndex, metadata: DataFrame | None, mapping: DataFrame,
+                 records: DataFrame | None, n_req: int, max_lim: int, kinds: set[str] | None, quantize: bool, rerank: bool,
+                 record_fields: dict[str, Column] | None, prune: bool | None) -> DataFrame:
+    """The result rows of ``valid``, by the score of every (request, document)
+    or by bounds."""
+    clauses = clauses.checkpoint(eager=True)
     # One small job: how many clauses there are and of which kinds, so the plan
     # holds only those.
     found = clauses.agg(F.count(F.lit(1)).alias("n"), F.collect_set("kind").alias("kinds")).first()
     kinds = kinds or set(found.kinds) or {"term"}
-    if mapping is None:
-        mapping = doc_meta(index.doc_stats, metadata)
     # Documents that no request can be answered with are not scored; statistics
     # are those of the whole index.
     index = replace(index, postings=by_document(index.postings, askable(mapping, valid), "left_semi"))
@@ -107,30 +163,39 @@ def search(requests: DataFrame, index: SearchIndex, metadata: DataFrame | None,
         "request_id", "index_name", "file_pos", "mode", "out_url", "rank").checkpoint(eager=True)
     top_bound = max(n_req * max(max_lim, 1), 1)
     top = _bounded(ranked, top_bound)
-    # Result records: per-record fields (stored, or computed only for the
-    # distinct records the top-k needs) plus one empty record per index
-    # without metadata (file_pos -1, matched by its ``bare`` rows), so one
-    # inner join with the broadcast top-k serves both kinds of index.
-    names = index_registry(index)
-    if metadata is not None:
-        names = names.join(F.broadcast(metadata.select("index_name").distinct()),
-                           "index_name", "left_anti")
-    empty = names.select("index_name", F.lit(BARE_POS).cast("long").alias("file_pos"),
-                         *[F.lit(None).cast("int" if c == "wordCount" else "string").alias(c)
-                           for c in RECORD_COLUMNS])
-    if records is None and metadata is not None:
-        needed = _bounded(ranked.select("index_name", "file_pos").distinct(), top_bound)
-        records = result_records(metadata.join(needed, ["index_name", "file_pos"], "left_semi"))
-    recs = empty if records is None else records.select(
-        "index_name", "file_pos", *RECORD_COLUMNS).unionByName(empty)
-    rows = recs.join(top, ["index_name", "file_pos"], "inner").select(
-        "request_id", "rank", "mode", F.col("out_url").alias("url"), *RECORD_COLUMNS)
+    recs = _records(index, metadata, records, lambda: _bounded(ranked.select("index_name", "file_pos").distinct(), top_bound))
+    rows = recs.withColumns(record_fields or {}).join(top, ["index_name", "file_pos"], "inner").select(
+        "request_id", "rank", "mode", F.col("out_url").alias("url"), *RECORD_COLUMNS, *(record_fields or {}))
+    return _reranked(rows, valid, n_req) if rerank else rows
+
+
+def _block_rows(valid: DataFrame, clauses: DataFrame, index: SearchIndex, metadata: DataFrame | None, mapping: DataFrame,
+                records: DataFrame | None, n_req: int, max_lim: int, rerank: bool, record_fields: dict[str, Column] | None) -> DataFrame:
+    """The result rows of plain requests, block by block (``operators.blocks``).
+
+    What is stored is one row of numbers per request. It is dealt out by request
+    once; the rows behind the numbers are listed inside those tasks, re-ranked
+    by their word counts and meet their texts last, so no result row is moved."""
+    numbered = numbered_rows(mapping, valid)
+    top = block_topk(valid, clauses, index, numbered, max_lim).checkpoint(eager=True)
+    release(valid.sparkSession)
+    recs = _records(index, metadata, records, lambda: numbered.select("index_name", "file_pos").distinct())
+    n_rows = numbered.count()
+    # A result row's texts, once for each document that can be one.
+    held = (recs.withColumns(record_fields or {}).join(_bounded(numbered.drop("language"), n_rows), ["index_name", "file_pos"])
+            .select("row", "mode", F.col("out_url").alias("url"), *RECORD_COLUMNS, *(record_fields or {}))
+            .withColumn("held", F.monotonically_increasing_id()).checkpoint(eager=True))
+    size = held.agg(F.count(F.lit(1)).alias("n"), F.sum(sum((F.coalesce(F.length(F.col(c).cast("string")), F.lit(0))
+                    for c in held.columns), F.lit(0))).alias("chars")).first()
+    texts = held.drop("row", "mode")
+    texts = _bounded(texts, size.n) if (size.chars or 0) <= BROADCAST_MAX_BYTES else texts
+    tasks = max(1, -(-n_req * max(max_lim, 1) // TASK_ROWS))
+    rows = (top.repartition(tasks, "request_id").select("request_id", F.posexplode("rows").alias("place", "row"))
+            .join(_bounded(held.select("row", "held", "mode", F.col("wordCount").alias("words")), size.n), "row")
+            .select("request_id", (F.col("place") + 1).alias("rank"), "held", "mode", F.col("words").alias("wordCount")))
     if rerank:
-        req_side = _bounded(valid.select("request_id", "ranking"), n_req)
-        rows = rerank_word_count(rows.join(req_side, "request_id", "inner"),
-                                 mode_col="mode").drop("ranking")
-    results = rows.select("request_id", "rank", *RESULT_COLUMNS)
-    return SearchOutput(results, rejected_requests(validated), valid)
+        rows = _reranked(rows, valid, n_req)
+    return rows.drop("wordCount").join(texts, "held").drop("held")
 
 
 def results_json(results: DataFrame, valid: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from ranklake.operators.enrich import (canonical_schema_a, canonical_schema_b, d
                                        result_records)
 from ranklake.operators.partitioning import dealt_to
 from ranklake.operators.postings import SearchIndex, load_by_document, save_by_document, shards_for
-from ranklake.session import ensure_checkpoint_dir, scratch_path
+from ranklake.session import ensure_checkpoint_dir, release, scratch_path
 from ranklake.sources import fixtures as fx
 from ranklake.sources.tables import read_table
 
@@ -78,6 +78,7 @@ def build_store(spark: SparkSession, sf_dir: str) -> Store:
         result_records(meta).write.mode("overwrite").partitionBy("index_name") \
             .parquet(f"{root}/records")
     _mark_done(spark, root)
+    release(spark)
     return load_store(spark, root)
 
 

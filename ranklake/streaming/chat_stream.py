@@ -63,8 +63,10 @@ def answer_messages(messages: DataFrame, index: SearchIndex, metadata: DataFrame
         F.col("message_id").alias("request_id"), F.col("query").alias("q"),
         F.lit(cfg.index).alias("index"), F.lit(cfg.lang).cast("string").alias("lang"),
         F.lit(None).cast("string").alias("ranking"), F.lit(cfg.limit).cast("int").alias("limit"))
-    out = search(reqs, index, metadata, cfg.index, mapping=mapping, records=records)
-    chunks = chain.explode_chunks(out.results, "textSnippet", ["request_id", "rank", "url"]) \
+    # A record is a result of many messages: its snippet is cut once.
+    out = search(reqs, index, metadata, cfg.index, mapping=mapping, records=records,
+                 record_fields={"chunks": chain.chunk_text("textSnippet")})
+    chunks = chain.explode_chunks(out.results, "chunks", ["request_id", "rank", "url"], chunked=True) \
         .withColumnRenamed("url", "source")
     both = chain.context_and_sources(chunks)
     empty = F.array().cast("array<string>")
