@@ -31,6 +31,7 @@ from ranklake.functions.text import deletion_signatures, tokens
 from ranklake.operators.joins import bounded_broadcast, salt_replicate, salt_spread
 from ranklake.operators.postings import SearchIndex
 from ranklake.operators.query import MUST, MUST_NOT
+from ranklake.operators.ranges import held_ranges
 
 SCORE_DIGITS = 6
 _REQ = ["request_id", "index_name", "limit", "n_must"]
@@ -187,15 +188,22 @@ def _begun_hits(mt: DataFrame, index: SearchIndex, bcast: bool) -> DataFrame:
     return docs.join(side(asked), ["index_name", "begin"]).select(*_CLAUSE_HIT)
 
 
-def _range_hits(mt: DataFrame, index: SearchIndex, bcast: bool) -> DataFrame:
-    """Range clauses: the distinct ranges of an index are tried on every
-    document's terms, each up to the first term that lies in it."""
+def _range_hits(mt: DataFrame, index: SearchIndex, bcast: bool, max_rows: int) -> DataFrame:
+    """Range clauses: every document's terms are placed among the bounds of its
+    index's distinct ranges once (``operators.ranges``). Ranges that are too many
+    to be sent to the tasks are tried one by one, each up to the first term that
+    lies in it."""
     side = (lambda x: F.broadcast(x)) if bcast else (lambda x: x)
     form = ["index_name", "text", "upper", "inclusive"]
     asked = mt.filter(F.col("kind") == "range")
-    forms = asked.select(*form).distinct()
+    # Checkpointed, so that the numbers are the same wherever they are read.
+    forms = asked.select(*form).distinct().withColumn("form", F.monotonically_increasing_id()).checkpoint(eager=True)
     docs = (_postings_cols(index).join(F.broadcast(forms.select("index_name").distinct()), "index_name", "left_semi")
             .groupBy("doc_id", "index_name").agg(F.collect_list("term").alias("terms")))
+    if bcast and forms.count() <= max_rows:
+        ranges = [tuple(r) for r in forms.collect()]
+        found = docs.mapInArrow(held_ranges(ranges), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, form long")
+        return found.join(F.broadcast(forms), "form").join(side(asked), form).select(*_CLAUSE_HIT)
     held = F.exists("terms", lambda t: _range_cond(t, F.col("text"), F.col("upper"), F.col("inclusive")))
     found = docs.join(side(forms), "index_name").filter(held).select("doc_id", *form)
     return found.join(side(asked), form).select(*_CLAUSE_HIT)
@@ -219,19 +227,26 @@ def _pattern_hits(c: DataFrame, index: SearchIndex, bcast: bool, salts: int,
     cond = (F.when(F.col("kind") == "wildcard", F.regexp_like(term, _wildcard_regex(F.col("text"))))
             .otherwise(F.regexp_like(term, F.concat(F.lit("^(?:"), F.col("text"), F.lit(")$")))))
     # Equal clauses of different requests meet the dictionary once, and those
-    # that fix a term's first character only the terms that begin with it.
+    # that fix a term's first character only the terms that begin with it; a
+    # wildcard without ``*`` those of its length. A pattern is compiled for every
+    # term that it is tried on, so the last character is compared before.
     # The clause side is broadcast behind the clause-table size check; above
     # it the join shuffles and AQE's skew handling splits an index's terms.
     first = (F.when(F.col("kind") == "wildcard", F.substring("text", 1, 1))
              .when((F.col("kind") == "regex") & F.col("text").rlike(r"^[\p{L}\p{N}_](?![*?{])[^|]*$"),
                    F.substring("text", 1, 1)))
     form = ["index_name", "kind", "text"]
-    forms = mt.select(*form, first.alias("first")).distinct()
+    exact = (F.col("kind") == "wildcard") & ~F.col("text").contains("*")
+    forms = mt.select(*form, first.alias("first"), F.when(exact, F.length("text")).alias("size")).distinct()
     side = (lambda x: F.broadcast(x)) if bcast else (lambda x: x)
-    begun = ts.withColumn("first", F.substring("term", 1, 1)).join(
-        side(forms.filter(F.col("first").isNotNull())), ["index_name", "first"], "inner").filter(cond)
-    free = ts.join(side(forms.filter(F.col("first").isNull())), "index_name", "inner").filter(cond)
-    exp = begun.drop("first").unionByName(free.drop("first"))
+    last = F.substring("text", -1, 1)
+    cond = F.when((F.col("kind") == "wildcard") & ~last.isin("*", "?") & (F.substring("term", -1, 1) != last), F.lit(False)).otherwise(cond)
+    dictionary = ts.withColumns({"first": F.substring("term", 1, 1), "size": F.length("term")})
+    known = F.col("first").isNotNull()
+    begun = dictionary.drop("size").join(side(forms.filter(known & F.col("size").isNull()).drop("size")), ["index_name", "first"])
+    sized = dictionary.join(side(forms.filter(known & F.col("size").isNotNull())), ["index_name", "first", "size"])
+    free = ts.join(side(forms.filter(~known).drop("first", "size")), "index_name")
+    exp = begun.drop("first").unionByName(sized.drop("first", "size")).unionByName(free).filter(cond)
     # What the dictionary makes of the clauses is bounded by the dictionary
     # only: its own rows are counted before it is broadcast.
     small = bcast
@@ -241,7 +256,7 @@ def _pattern_hits(c: DataFrame, index: SearchIndex, bcast: bool, salts: int,
     found = _postings_join(exp, _postings_cols(index), ["index_name", "term"], small, salts)
     # A document is listed once a form before the requests' clauses are joined.
     docs = found.select("doc_id", *form).distinct()
-    hits = (_begun_hits(every, index, bcast).unionByName(_range_hits(every, index, bcast))
+    hits = (_begun_hits(every, index, bcast).unionByName(_range_hits(every, index, bcast, max_rows))
             .unionByName(docs.join(side(mt), form).select(*_CLAUSE_HIT)))
     # Each clause comes from one of the three, once a document, unless requests
     # share an id and so clauses their key.

@@ -68,3 +68,41 @@ def test_wide_patterns_are_looked_up_in_the_documents(spark, tmp_path):
     assert got == want
     text = plan(evaluate(clauses, index, kinds={"prefix", "range"}), "simple")
     assert not re.search(r"hashpartitioning\(index_name#\d+, term", text)  # no postings are dealt by term
+
+
+def test_ranges_place_a_document_once_among_their_bounds(spark, tmp_path, monkeypatch):
+    """Every kind of bound against brute force; a document's terms are not tried
+    range by range."""
+    from ranklake.operators import ranges
+    monkeypatch.setattr(ranges, "CELLS", 40)
+    rows = [(name, i, str(i), " ".join(w for k, w in enumerate(["b", "bb", "c", "é", "漢", "𝛼x", "a1"]) if (i >> k) & 1)) for i in range(128) for name in ("a", "b")]
+    index = SearchIndex.build(spark.createDataFrame(rows, "index_name string, doc_id long, doc_key string, text string")).save(str(tmp_path / "r"), 3)
+    bounds = ["*", "a1", "b", "ba", "bb", "é", "漢", "𝛼x", "zz"]
+    asked = [(lo, up, brackets) for lo in bounds for up in bounds for brackets in ("[]", "{}")]
+    clauses = clauses_from_q(spark.createDataFrame(
+        [(n, "a" if n % 3 else "b", f"{x[0]}{lo} TO {up}{x[1]}^2", 9) for n, (lo, up, x) in enumerate(asked)], REQUEST))
+    scores = evaluate(clauses, index, kinds={"range"})
+
+    def inside(t, lo, up, x):
+        below = lo == "*" or (t >= lo if x == "[]" else t > lo)
+        return below and (up == "*" or (t <= up if x == "[]" else t < up))
+    want = {(n, i) for n, (lo, up, x) in enumerate(asked) for _, i, _, text in rows[::2] if any(inside(t, lo, up, x) for t in text.split())}
+    got = {(r.request_id, r.doc_id): r.score for r in scores.collect()}
+    assert set(got) == want and set(got.values()) == {2.0}
+    assert "lambdafunction" not in plan(scores, "extended")
+    # too many ranges to be sent to the tasks
+    few = clauses.where("request_id < 20")
+    again = evaluate(few, index, kinds={"range"}, max_rows=3)
+    assert {(r.request_id, r.doc_id) for r in again.collect()} == {(n, i) for n, i in want if n < 20}
+
+
+def test_wildcards_of_every_form(spark, tmp_path):
+    import fnmatch
+    words = ["a", "ab", "abc", "abd", "abcd", "b", "bé", "béc", "漢字", "漢x字", "𝛼", "𝛼b", "xab"]
+    index = SearchIndex.build(spark.createDataFrame([("a", i, str(i), w) for i, w in enumerate(words)],
+                                                    "index_name string, doc_id long, doc_key string, text string")).save(str(tmp_path / "w"), 2)
+    forms = ["a?", "a?c", "a*c", "a*?", "ab?d", "b?c", "b*", "漢?字", "漢?", "𝛼?", "?", "a??", "a*b*d"]
+    forms = [f for f in forms if f != "?"]
+    clauses = clauses_from_q(spark.createDataFrame([(n, "a", f, 9) for n, f in enumerate(forms)], REQUEST))
+    got = {(r.request_id, r.doc_id) for r in evaluate(clauses, index, kinds={"prefix", "wildcard"}).collect()}
+    assert got == {(n, i) for n, f in enumerate(forms) for i, w in enumerate(words) if fnmatch.fnmatchcase(w, f)}
