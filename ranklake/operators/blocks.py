@@ -22,7 +22,7 @@ prohibited (``plain_requests``), with the rows that ``evaluate``,
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +34,7 @@ from ranklake.functions.bm25 import idf
 from ranklake.operators.enrich import by_document, lang_filter_cond
 from ranklake.operators.joins import salt_replicate, salt_spread
 from ranklake.operators.postings import SearchIndex
-from ranklake.operators.scoring import SCORE_DIGITS, TERM_SALTS, _occ, _with_must_count
+from ranklake.operators.scoring import SCORE_DIGITS, TERM_SALTS, _occ
 
 #: Requests that are scored at once against a group of documents.
 BATCH = 128
@@ -42,14 +42,20 @@ BATCH = 128
 DENSE = 0.25
 MAX_DENSE = 128
 UNIT = 10.0 ** SCORE_DIGITS
+#: Requests whose clauses a task weighs.
+TASK_REQUESTS = 10_000
 
-Clauses = Callable[[DataFrame], DataFrame]
+
+def said(clauses: DataFrame) -> DataFrame:
+    """What is read of clauses again and again, stored: (request_id, plain, occ,
+    text, boost), ``plain`` where a clause is a term."""
+    return clauses.select("request_id", (F.col("kind") == "term").alias("plain"), _occ(), "text", "boost").checkpoint(eager=True)
 
 
 def plain_requests(valid: DataFrame, clauses: DataFrame) -> DataFrame:
-    """The request_ids whose clauses are all terms and whose rows, if an id comes
-    more than once, agree on index and limit. No others are answered here."""
-    other = clauses.groupBy("request_id").agg(F.bool_and(F.col("kind") == "term").alias("plain")).where("NOT plain")
+    """The request_ids whose clauses (``said``) are all terms and whose rows, if an
+    id comes more than once, agree on index and limit. No others are answered here."""
+    other = clauses.where("NOT plain").select("request_id").distinct()
     one = valid.where("request_id IS NOT NULL").groupBy("request_id").agg(
         F.count_distinct("index_name", "limit").alias("n")).where("n = 1")
     return one.join(other, "request_id", "left_anti").select("request_id")
@@ -65,13 +71,14 @@ def numbered_rows(mapping: DataFrame, valid: DataFrame) -> DataFrame:
             .withColumn("row", F.monotonically_increasing_id()).checkpoint(eager=True))
 
 
-def asked_terms(clauses: DataFrame, index: SearchIndex, max_rows: int) -> tuple[DataFrame, bool]:
-    """(index_name, term, df, term_no) of the clauses' terms that the index
-    holds, and whether they may be broadcast."""
-    asked = clauses.select("index_name", F.col("text").alias("term")).distinct().checkpoint(eager=True)
-    small = asked.count() <= max_rows
-    known = (index.term_stats.select("index_name", "term", "df")
-             .join(F.broadcast(asked) if small else asked, ["index_name", "term"])
+def asked_terms(valid: DataFrame, clauses: DataFrame, index: SearchIndex, max_rows: int) -> tuple[DataFrame, bool]:
+    """(index_name, term, df, term_no) of the clauses' terms that the indexes
+    which are asked hold, and whether they may be broadcast."""
+    asked = clauses.select(F.col("text").alias("term")).distinct().checkpoint(eager=True)
+    names = F.broadcast(valid.select("index_name").distinct())
+    small = asked.count() * names.count() <= max_rows
+    known = (index.term_stats.select("index_name", "term", "df").join(names, "index_name", "left_semi")
+             .join(F.broadcast(asked) if small else asked, "term")
              .withColumn("id", F.monotonically_increasing_id()).checkpoint(eager=True))
     # Numbers without gaps: an id is its partition (one number each) and its place there.
     part = F.shiftright("id", 33)
@@ -84,18 +91,23 @@ def asked_terms(clauses: DataFrame, index: SearchIndex, max_rows: int) -> tuple[
     return known, small
 
 
-def weighted_requests(valid: DataFrame, clauses: DataFrame, terms: DataFrame, small: bool, index: SearchIndex) -> DataFrame:
+def weighted_requests(valid: DataFrame, clauses: DataFrame, terms: DataFrame, small: bool, index: SearchIndex,
+                      tasks: int) -> DataFrame:
     """A row per request: index_name, limit, n_must, lang (its rows' languages as
-    JSON) and, place by place, the terms' numbers, weights and occurs."""
+    JSON) and, place by place, the terms' numbers, weights and occurs. A request's
+    clauses meet in one of ``tasks`` tasks."""
     cs = F.broadcast(index.corpus_stats.select("index_name", "n_docs"))
-    key = ["request_id", "index_name", "limit", "n_must"]
-    w = (_with_must_count(clauses).groupBy(*key, "occur", F.col("text").alias("term")).agg(F.sum("boost").alias("wsum"))
-         .join(F.broadcast(terms) if small else terms, ["index_name", "term"]).join(cs, "index_name")
-         .select(*key, "term_no", (F.col("wsum") * idf("df", "n_docs")).alias("weight"), _occ()))
-    terms_of = w.groupBy(*key).agg(F.collect_list("term_no").alias("terms"), F.collect_list("weight").alias("weights"),
-                                   F.collect_list("occ").alias("occs"))
-    langs = valid.groupBy("request_id").agg(F.to_json(F.sort_array(F.collect_list(F.struct(F.lower("lang").alias("l"))))).alias("lang"))
-    return terms_of.join(langs, "request_id")
+    of = valid.groupBy("request_id").agg(
+        F.first("index_name").alias("index_name"), F.first("limit").alias("limit"),
+        F.to_json(F.sort_array(F.collect_list(F.struct(F.lower("lang").alias("l"))))).alias("lang"))
+    w = (clauses.repartition(tasks, "request_id").groupBy("request_id", "occ", F.col("text").alias("term"))
+         .agg(F.sum("boost").alias("wsum")).join(of, "request_id")
+         .join(F.broadcast(terms) if small else terms, ["index_name", "term"], "left").join(cs, "index_name"))
+    held = lambda c: F.when(F.col("term_no").isNotNull(), c)  # noqa: E731  lists leave nulls out
+    # a required term that no document holds counts too
+    return w.groupBy("request_id", "index_name", "limit", "lang").agg(
+        F.count_if(F.col("occ") == 1).cast("int").alias("n_must"), F.collect_list("term_no").alias("terms"),
+        F.collect_list(held(F.col("wsum") * idf("df", "n_docs"))).alias("weights"), F.collect_list(held(F.col("occ"))).alias("occs"))
 
 
 def packed_documents(index: SearchIndex, rows: DataFrame, terms: DataFrame, small: bool) -> DataFrame:
@@ -121,17 +133,19 @@ def block_topk(valid: DataFrame, clauses: DataFrame, index: SearchIndex, rows: D
                max_rows: int = BROADCAST_MAX_ROWS, group_postings: int = GROUP_POSTINGS) -> DataFrame:
     """(request_id, rows): the numbers of a request's best rows of ``rows``
     (``numbered_rows``), best first, at most its limit. ``valid`` and
-    ``clauses`` hold plain requests only."""
+    ``clauses`` (``said``) hold plain requests only."""
     spark = valid.sparkSession
-    terms, small = asked_terms(clauses, index, max_rows)
+    cores = spark.sparkContext.defaultParallelism
+    terms, small = asked_terms(valid, clauses, index, max_rows)
     docs = packed_documents(index, rows, terms, small).checkpoint(eager=True)
-    asks = weighted_requests(valid, clauses, terms, small, index).checkpoint(eager=True)
+    tasks = max(2 * cores, -(-valid.count() // TASK_REQUESTS))
+    asks = weighted_requests(valid, clauses, terms, small, index, tasks).checkpoint(eager=True)
     # A row per index: blocks of its requests, groups of its documents.
     n_asks = {r[0]: r[1] for r in asks.groupBy("index_name").count().collect()}
     n_held = {r[0]: r[1] for r in docs.groupBy("index_name").agg(F.sum(F.size("terms"))).collect()}
     plan, cells = [], 0
     for name in sorted(n_asks.keys() & n_held.keys()):
-        n = max(min(-(-n_asks[name] // BATCH), 2 * spark.sparkContext.defaultParallelism),
+        n = max(min(-(-n_asks[name] // BATCH), 2 * cores),
                 -(-n_asks[name] * max(max_limit, 1) // BLOCK_ROWS))
         plan.append((name, cells, n, max(1, -(-n_held[name] // group_postings))))
         cells += n

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ranklake.config import (BLOCK_MIN_REQUESTS, BLOCK_MIN_ROWS, BROADCAST_MAX_BYTES, BROADCAST_MAX_ROWS,
                              DEFAULT_LIMIT, PRUNE_RATIO, RANKING_ASC, RANKING_DESC, TASK_ROWS)
-from ranklake.operators.blocks import block_topk, numbered_rows, plain_requests
+from ranklake.operators.blocks import block_topk, numbered_rows, plain_requests, said
 from ranklake.operators.enrich import (BARE_POS, RECORD_COLUMNS, RESULT_COLUMNS, askable,
                                        by_document, doc_meta, result_hits, result_records)
 from ranklake.operators.postings import SearchIndex, index_registry
@@ -96,9 +96,10 @@ def search(requests: DataFrame, index: SearchIndex, metadata: DataFrame | None,
         blocks = not prune and n_req >= BLOCK_MIN_REQUESTS and n_req * max_lim >= BLOCK_MIN_ROWS
     parts, asked = [], valid
     if blocks and not quantize:
-        plain = plain_requests(valid, clauses_of(valid)).checkpoint(eager=True)
+        clauses = said(clauses_of(valid))
+        plain = plain_requests(valid, clauses).checkpoint(eager=True)
         here = valid.join(plain, "request_id", "left_semi")
-        parts.append(_block_rows(here, clauses_of(here), index, metadata, mapping, records, n_req, max_lim, rerank, record_fields))
+        parts.append(_block_rows(here, clauses.join(plain, "request_id", "left_semi"), index, metadata, mapping, records, n_req, max_lim, rerank, record_fields))
         asked = valid.join(plain, "request_id", "left_anti").checkpoint(eager=True)
         n_req, max_lim = request_bounds(asked)
     if not parts or n_req:

@@ -75,13 +75,13 @@ def test_groups_and_shuffled_sides(spark, index, tables, monkeypatch, max_rows,
     monkeypatch.setattr(blocks, "BLOCK_ROWS", 500)
     mapping, _ = tables
     valid = requests(spark).withColumnRenamed("index", "index_name").where("request_id LIKE 'r%'")
-    plain = blocks.plain_requests(valid, clauses_from_q(valid))
+    plain = blocks.plain_requests(valid, blocks.said(clauses_from_q(valid)))
     assert {r.request_id for r in valid.join(plain, "request_id", "left_anti").collect()} == {
         f"r{k}-{n}" for k in (11, 12, 13) for n in (1, 15, 400)}
     valid = valid.join(plain, "request_id", "left_semi").checkpoint()
     clauses = clauses_from_q(valid)
     numbered = blocks.numbered_rows(mapping, valid)
-    got = blocks.block_topk(valid, clauses, index, numbered, 400, max_rows, group).select("request_id", F.posexplode("rows").alias("pos", "row"))
+    got = blocks.block_topk(valid, blocks.said(clauses), index, numbered, 400, max_rows, group).select("request_id", F.posexplode("rows").alias("pos", "row"))
     got = got.join(numbered, "row").select("request_id", (F.col("pos") + 1).alias("rank"), "doc_id", "file_pos", "out_url")
     want = topk_hits(result_hits(evaluate(clauses, index), valid, mapping, 1), 400, [F.col("file_pos")])
     want = want.select("request_id", "rank", "doc_id", "file_pos", "out_url")
